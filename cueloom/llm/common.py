@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch of texts; whole texts may be long, so batches stay small.
-TEXT_ROWS = 256
+#: Bytes of one Arrow batch; a longer text has a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Lowers the session's Arrow batch to a size that whole texts fit."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def text_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bounds the session's Arrow batches by bytes: whole texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(key)
+    if not found.isdigit() or int(found) > size:
+        spark.conf.set(key, str(size))
 
 
 def text_bytes(col: Column) -> Column:
