@@ -36,7 +36,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str
         enc, end = encoder(vocabulary), end_id.to_bytes(4, "little")
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
+            ids = [x + end for x in enc.encode_many(b.column(1).to_pylist())]
             n = [len(x) // 4 for x in ids]
             at = []
             for x in n:

@@ -30,7 +30,7 @@ def _chars(kind: str) -> str:
 #: letters, single digits, runs of anything else but white space.
 WORD = re.compile(f"[{_chars('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_chars('N')}]|[^\\t-\\r\\x20\\x85\\xa0{_chars('L')}{_chars('N')}]+")
 #: Words kept per worker; the cache is emptied when it is full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 700_000
 
 
 @lru_cache(maxsize=2)
@@ -82,17 +82,18 @@ class WordEncoder(dict):
         self.cache_words = cache_words
         suffix = getattr(self.tok.model, "end_of_word_suffix", None)
         size = self.tok.get_vocab_size()
-        #: Whether an id ends a word.
-        self.ends = [bool(suffix) and (self.tok.id_to_token(i) or "").endswith(suffix) for i in range(size)]
+        #: The id-to-piece table, and whether a piece ends a word.
+        self.pieces = [self.tok.id_to_token(i) or "" for i in range(size)]
+        self.ends = [bool(suffix) and piece.endswith(suffix) for piece in self.pieces]
 
-    def learn(self, words) -> None:
-        """Encodes the words that are not cached yet, each once."""
-        new = [w for w in set(words) if w not in self]
+    def learn(self, new: set[str], everything) -> None:
+        """Encodes new words, each once; if the cache is full, it then holds the words of everything() alone."""
         if len(self) + len(new) > self.cache_words:
             self.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 2048):
-            self.update(zip(new[i : i + 2048], self.ids_of(new[i : i + 2048])))
+            new = set(everything())
+        ordered = list(new)
+        for i in range(0, len(ordered), 4096):
+            self.update(zip(ordered[i : i + 4096], self.ids_of(ordered[i : i + 4096])))
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """One call for many words, cut at the pieces that end a word where these tell the words apart."""
@@ -107,10 +108,34 @@ class WordEncoder(dict):
             found = iter([array("I", e.ids).tobytes() for e in self.tok.encode_batch(plain, add_special_tokens=False)])
         return [special[w].to_bytes(4, "little") if w in special else next(found) for w in words]
 
-    def encode(self, text: str | None) -> bytes:
-        words = self.splitter.words(text)
-        self.learn(words)
-        return b"".join(map(self.__getitem__, words))
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids."""
+        found = list(map(self.get, words))
+        if None in found:
+            self.learn({w for w, x in zip(words, found) if x is None}, lambda: words)
+            found = list(map(self.__getitem__, words))
+        return found
+
+    def encode_many(self, texts) -> list[bytes]:
+        """Each text's ids. Words that the cache lacks are encoded together."""
+        split, get = self.splitter.words, self.get
+        out: list[bytes] = []
+        lacking: dict[int, list[str]] = {}
+        new: set[str] = set()
+        for text in texts:
+            words = split(text)
+            found = list(map(get, words))
+            if None in found:
+                new.update(w for w, x in zip(words, found) if x is None)
+                lacking[len(out)] = words
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        if lacking:
+            self.learn(new, lambda: (w for words in lacking.values() for w in words))
+            for i, words in lacking.items():
+                out[i] = b"".join(map(self.__getitem__, words))
+        return out
 
 
 @lru_cache(maxsize=2)
