@@ -52,7 +52,7 @@ def repeated_words(words: Column, n: Column, window: int = WINDOW) -> Column:
 
 
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with FEATURES (long) and the working columns __words, __text and __lines (lines with a word)."""
+    """df with FEATURES (long) and the working columns __words, __text, __lines (lines with a word) and __row."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = own(df, *FEATURES).withColumn("__text", text)
     base = base.withColumn("__words", F.regexp_extract_all("__text", F.lit(f"({WORD_CLASS})"), F.lit(1)))
@@ -60,6 +60,9 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
     words, n = F.col("__words"), F.size("__words")
     return base.select(
         "*",
+        # Not deterministic on purpose: a filter on what follows must not be pushed below this
+        # projection, where the optimizer would write every feature out once a use.
+        F.monotonically_increasing_id().alias("__row"),
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("__text", f"{SPACE_CLASS}+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -140,5 +143,5 @@ def judge(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS)
     checks = rules()
     order = ordered(cost_and_selectivity(df, checks, sample_rows, text_col))
     out = features(own(df, "base_failed", "rejected_by", "kept"), text_col).withColumn("base_failed", base_failed())
-    out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(checks, order)))
-    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("__words", "__text", "__lines")
+    out = out.withColumn("rejected_by", F.when(F.col("base_failed") & (F.col("__row") >= 0), F.lit("base")).otherwise(cascade(checks, order)))
+    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("__words", "__text", "__lines", "__row")

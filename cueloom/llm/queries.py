@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, linededup, packing, quality, sharding, simhash, substring, urlfilter
+from . import bpe, knn, licenses, linededup, packing, quality, sharding, simhash, substring, urlfilter
 from .common import SPACE_CLASS, table, text_bytes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` has no paths, so each stands in a tree by its id; every eighth id is its folder's license file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 8 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", F.expr("doc_id div 512"), F.expr("doc_id div 8"), name)
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
@@ -70,6 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_license_scan": op2_license_scan,
         "op3_exact_top_k": op3_exact_top_k,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_url_filter": op5_url_filter,
