@@ -18,6 +18,7 @@ pairs are formed. All windows are judged on the input.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,61 +29,127 @@ from .common import own
 WINDOW = 35
 #: A perfect difference set of 21 (all differences but 0 once).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-#: Words kept with their hash per worker; the cache is emptied when it is full.
-CACHE_WORDS = 300_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Bytes or words hashed in one go, and the length from which a word is hashed on its own.
+CHUNK, LONG = 1 << 16, 256
+#: The odd multiplier of the positional sums, and those of the final mixer.
+BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, with a bounded cache."""
+@lru_cache(maxsize=1)
+def _tables():
+    """Powers of BASE, of its inverse, a random value for each byte, and which bytes are white space."""
+    import numpy as np
 
-    def __missing__(self, word):
-        from xxhash import xxh3_64_intdigest
+    powers = [np.full(CHUNK + 1, x, np.uint64) for x in (BASE, pow(BASE, -1, 2**64))]
+    for p in powers:
+        p[0] = 1
+        np.cumprod(p, out=p)
+    values = np.random.default_rng(20240229).integers(1, 2**64, 256, np.uint64)
+    space = np.zeros(256, bool)
+    space[list(b" \t\n\x0b\x0c\r")] = True
+    return *powers, values, space
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxh3_64_intdigest(word)
-        return h
 
+def _mixed(h):
+    import numpy as np
 
-_hashes = WordHash()
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(MIX1)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(MIX2)
+    h ^= h >> np.uint64(31)
+    return h
 
 
-def word_hashes(text: str | None):
+def _sums(values):
+    """(prefix sums of values weighted by position, inverse powers): any run's hash is a difference of two."""
     import numpy as np
 
-    words = text.encode().split() if text else []
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    power, inverse, *_ = _tables()
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=total[1:])
+    return total, inverse
+
+
+def _chunk_hashes(raw: bytes):
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    *_, values, space = _tables()
+    b = np.frombuffer(raw, np.uint8)
+    word = np.zeros(len(b) + 2, np.int8)
+    word[1:-1] = ~space[b]
+    step = np.diff(word)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    total, inverse = _sums(values[b])
+    h = (total[end] - total[start]) * inverse[start]
+    size = end - start
+    h = _mixed(h + size.astype(np.uint64))
+    if len(size) and size.max() > LONG:
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxh3_64_intdigest(raw[start[i] : end[i]])
+    return h
 
 
-def rolled(h, width: int, base: int):
+def word_hashes(text: str | None):
+    """A 64-bit hash of each word, the same wherever the word stands."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    raw = text.encode() if text else b""
+    if len(raw) <= CHUNK:
+        return _chunk_hashes(raw)
+    out, at = [], 0
+    cut = re.compile(rb"[\x20\x09-\x0D]")
+    while at < len(raw):
+        part = raw[at : at + CHUNK]
+        if at + CHUNK < len(raw):
+            last = max(part.rfind(x) for x in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+            if last < 0:  # one word that is longer than a chunk
+                m = cut.search(raw, at + CHUNK)
+                end = m.start() if m else len(raw)
+                out.append(np.array([xxh3_64_intdigest(raw[at:end])], np.uint64))
+                at = end
+                continue
+            part = part[: last + 1]
+        out.append(_chunk_hashes(part))
+        at += len(part)
+    return np.concatenate(out)
+
+
+def rolled(h, width: int):
     """A hash of each run of `width` words; h: the words' hashes."""
     import numpy as np
 
     n = len(h) - width + 1
     if n < 1:
         return h[:0]
-    out = h[:n].copy()
-    b = np.uint64(base)
-    for i in range(1, width):
-        out *= b
-        out += h[i : i + n]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+    out = []
+    for i in range(0, n, CHUNK - width):
+        part = h[i : i + CHUNK]
+        total, inverse = _sums(part)
+        k = min(len(part) - width + 1, CHUNK - width)
+        out.append(_mixed((total[width : width + k] - total[:k]) * inverse[:k] + np.uint64(width)))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
-ANCHOR_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+@lru_cache(maxsize=1)
+def _cover_upto(n: int):
+    import numpy as np
+
+    at = (np.arange(0, n + PERIOD, PERIOD)[:, None] + np.array(COVER)).ravel()
+    return at[at < n]
 
 
 def anchors(h, width: int):
     """(positions, hashes) of the anchors of one document."""
     import numpy as np
 
-    all_ = rolled(h, width, ANCHOR_BASE)
-    at = np.flatnonzero(np.isin(np.arange(len(all_)) % PERIOD, COVER))
-    return at, all_[at]
+    runs = rolled(h, width)
+    at = _cover_upto(1 << 10)
+    at = at[: np.searchsorted(at, len(runs))] if len(runs) <= 1 << 10 else np.flatnonzero(np.isin(np.arange(len(runs)) % PERIOD, COVER))
+    return at, runs[at]
 
 
 def candidates(h, shared, window: int):
@@ -171,7 +238,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             for t in texts(payload.as_py()):
                 h = word_hashes(t)
                 if len(at := candidates(h, shared, window)):
-                    parts.append(rolled(h, window, WINDOW_BASE)[at])
+                    parts.append(rolled(h, window)[at])
         found = list(distinct(left.column("block")[0].as_py(), parts)) if left.num_rows else []
         return pa.Table.from_batches(found, pa.schema([("of", pa.int64()), ("h", pa.int64()), ("n", pa.int32())]))
 
@@ -197,7 +264,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                 for t in rows.column(i_text).to_pylist():
                     h = word_hashes(t) if len(gone) else None
                     n = len(t.encode().split()) if h is None and t else 0 if h is None else len(h)
-                    hit = np.flatnonzero(member(rolled(h, window, WINDOW_BASE), gone)) if h is not None and n >= window else ()
+                    hit = np.flatnonzero(member(rolled(h, window), gone)) if h is not None and n >= window else ()
                     n_words.append(n)
                     if not len(hit):
                         n_removed.append(0)
