@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, licenses, linededup, packing, quality, sharding, simhash, substring, urlfilter
+from . import bpe, knn, licenses, linededup, packing, quality, sharding, simhash, sql, substring, urlfilter
 from .common import SPACE_CLASS, table, text_bytes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -91,4 +91,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
