@@ -34,6 +34,21 @@ def rows_of(payload: bytes):
     return pa.ipc.open_stream(payload)
 
 
+def runs_of(batches, block_bytes: int):
+    """(block, its batches) for each block of the running task, in order."""
+    part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size >= block_bytes:
+            yield (part << 24) + n, held
+            n, held, size = n + 1, [], 0
+    if held:
+        yield (part << 24) + n, held
+
+
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block long, payload binary), computed lazily.
 
@@ -44,21 +59,11 @@ def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        from .common import trim
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + n], pa.int64()), pa.array([pack_rows(held)], pa.binary())], ["block", "payload"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            size += b.nbytes
-            if size >= block_bytes:
-                yield flush()
-                n, held, size = n + 1, [], 0
-        if held:
-            yield flush()
+        for block, held in runs_of(batches, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack_rows(held)], pa.binary())], ["block", "payload"])
+        trim()
 
     text_batches(docs.sparkSession)
     return docs.mapInArrow(run, "block long, payload binary")

@@ -1,55 +1,111 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are split into the vocabulary's words block by block. A block's distinct
-words meet in one distinct-word table, each of whose words is encoded once; the
-word's ids and pieces come from a join with the vocabulary's id-to-piece table
-(its size is the vocabulary's, so it is broadcast). The ids go back to the
-blocks by word, and the block's word positions turn them into id sequences.
-
-What is shuffled is a block's distinct words, not its words: a word that stands
-in every document counts once a block. Block numbers may differ if a lost task
-is computed anew over another order of rows; a word that a block then misses is
-encoded in place, so the result doesn't depend on them.
+1. Texts are split into the vocabulary's words, block by block. A block's
+   distinct words are put in the order of (hash bucket, word).
+2. The distinct-word table: the words meet by bucket, each is encoded once
+   there, and a block's words of a bucket go back with their ids as one piece.
+3. A block joins the pieces to its words by position in that order, and the
+   words' ids to its texts by position there. Decoding joins the ids to the
+   vocabulary's id-to-piece table, whose size is the vocabulary's.
+
+What is shuffled is a block's distinct words, not its words, so a word that
+stands in every document counts once a block. Block numbers may differ if a
+lost task is computed anew over another order of rows; each piece therefore
+carries a checksum of its words, and a block whose words differ encodes them in
+place. The result doesn't depend on the blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocked, rows_of
+from .blocks import blocked, rows_of, runs_of
 from .common import own
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
+#: Encoded words that a worker keeps between pieces: a bucket's words, not the corpus's.
+KEPT_WORDS = 150_000
 
 
-def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
-    """(id int, piece string) of the vocabulary, special tokens included."""
-    from .wordbpe import load
+def in_buckets(words: set[str], buckets: int) -> list[tuple[int, list[str]]]:
+    """(bucket, its words in order), in the order of the buckets."""
+    from zlib import crc32
 
-    tok = load(vocabulary)
-    rows = sorted((i, w) for w, i in tok.get_vocab(with_added_tokens=True).items())
-    return spark.createDataFrame(rows, "id int, piece string")
+    by: dict[int, list[str]] = {}
+    for w in words:
+        by.setdefault(crc32(w.encode()) % buckets, []).append(w)
+    return [(b, sorted(by[b])) for b in sorted(by)]
 
 
-def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, ids array<int>, decoded string) for the distinct words of a column `word`."""
+def checksum(words: list[str]) -> int:
+    from zlib import crc32
 
-    @F.pandas_udf("array<int>")
-    def encode(batches):
+    return crc32(" ".join(words).encode())
+
+
+def squeezed(data: bytes) -> bytes:
+    from zstandard import ZstdCompressor
+
+    return ZstdCompressor(level=1).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    from zstandard import ZstdDecompressor
+
+    return ZstdDecompressor().decompress(data)
+
+
+def block_words(docs: DataFrame, vocabulary: str, buckets: int, block_bytes: int) -> DataFrame:
+    """(bucket, of, words): a block's distinct words of each bucket, in one compressed piece.
+
+    It reads docs itself: a second Python stage over blocked() would hold twice the workers.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .common import trim
+        from .wordbpe import encoder
+
+        split = encoder(vocabulary).splitter.words
+        for block, held in runs_of(batches, block_bytes):
+            found: set[str] = set()
+            for rows in held:
+                for text in rows.column(1).to_pylist():
+                    found.update(split(text))
+            pieces = in_buckets(found, buckets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in pieces], pa.int32()), pa.array([block] * len(pieces), pa.int64()), pa.array([squeezed(" ".join(w).encode()) for _, w in pieces], pa.binary())],
+                ["bucket", "of", "words"],
+            )
+        trim()
+
+    return docs.mapInArrow(run, "bucket int, of long, words binary")
+
+
+def word_ids(pieces: DataFrame, vocabulary: str) -> DataFrame:
+    """(of, bucket, check, ids): the ids of each piece's words; a bucket's words are encoded once."""
+
+    def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         from .wordbpe import encoder
 
         enc = encoder(vocabulary)
-        return pd.Series([np.frombuffer(x, "<i4") for x in enc.ids_of(batches.tolist())] if len(batches) else [], dtype=object)
+        for b in batches:
+            if len(enc) > KEPT_WORDS:
+                enc.clear()
+            checks, packed = [], []
+            for words in b.column(2):
+                words = unsqueezed(words.as_py()).decode().split(" ")
+                ids = enc.encode_words(words)
+                checks.append(checksum(words))
+                packed.append(squeezed(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(checks, pa.int64()), pa.array(packed, pa.binary())], ["of", "bucket", "check", "ids"])
 
-    coded = words.select("word").distinct().select("word", F.posexplode(encode("word")).alias("at", "id"))
-    named = coded.join(F.broadcast(pieces(words.sparkSession, vocabulary)), "id", "left")
-    # Still dealt by word: neither the explode nor the broadcast join moves a row.
-    parts = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
-    return named.groupBy("word").agg(parts.alias("p")).select("word", F.col("p.id").alias("ids"), F.array_join(F.col("p.piece"), " ").alias("decoded"))
+    return pieces.repartition("bucket").mapInArrow(run, "of long, bucket int, check long, ids binary")
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -58,60 +114,53 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     Null and empty texts give no ids and an empty string. Repeated rows give
     repeated results, an empty table none. Other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[id_col].dataType
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     named = own(docs, *[c for c in docs.columns if c not in (id_col, text_col)]).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = blocked(named, block_bytes)
-
-    def distinct_words(batches):
-        import pyarrow as pa
-
-        from .wordbpe import encoder
-
-        split = encoder(vocabulary).splitter.words
-        for b in batches:
-            for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                found: set[str] = set()
-                for rows in rows_of(payload.as_py()):
-                    for text in rows.column(1).to_pylist():
-                        found.update(split(text))
-                words = sorted(found)
-                for i in range(0, len(words), 20_000):
-                    part = words[i : i + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
-
-    pairs = blocks.mapInArrow(distinct_words, "block long, word string")
-    back = pairs.join(word_table(pairs, vocabulary), "word").select(F.col("block").alias("of"), "word", "ids", "decoded")
+    table = word_ids(block_words(named, vocabulary, buckets, block_bytes), vocabulary)
+    done = pa.schema([("id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def rewrite(left, right):
-        import pyarrow as pa
+        import numpy as np
 
         from .wordbpe import encoder
 
         enc = encoder(vocabulary)
-        split, tok = enc.splitter.words, enc.tok
-        ids = right.column("ids").combine_chunks()
-        flat, ends = ids.flatten().to_numpy().astype("<u4"), ids.value_lengths().to_numpy().cumsum() if len(ids) else []
-        coded, said, start = {}, {}, 0
-        for w, end, d in zip(right.column("word").to_pylist(), ends, right.column("decoded").to_pylist()):
-            coded[w], said[w], start = flat[start:end].tobytes(), d, end
-
-        def lookup(words):
-            for w in {w for w in words if w not in coded}:
-                coded[w] = enc.ids_of([w])[0]
-                said[w] = " ".join(tok.id_to_token(int.from_bytes(coded[w][i : i + 4], "little")) for i in range(0, len(coded[w]), 4))
-            return b"".join(map(coded.__getitem__, words)), " ".join(filter(None, map(said.__getitem__, words)))
-
+        enc.clear()
+        split, piece_of = enc.splitter.words, enc.pieces
+        back = {b: (c, ids) for b, c, ids in zip(right.column("bucket").to_pylist(), right.column("check").to_pylist(), right.column("ids"))}
         out = []
         for payload in left.column("payload"):
+            found: set[str] = set()
             for rows in rows_of(payload.as_py()):
-                both = [lookup(split(t)) for t in rows.column(1).to_pylist()]
-                n = [len(x) // 4 for x, _ in both]
-                out.append(pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array([x for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.string())], schema=done))
+                for text in rows.column(1).to_pylist():
+                    found.update(split(text))
+            coded: dict[str, bytes] = {}
+            said: dict[str, str] = {}
+            for bucket, words in in_buckets(found, buckets):
+                check, packed = back.get(bucket, (None, None))
+                if check == checksum(words):
+                    packed = unsqueezed(packed.as_py())
+                    n = np.frombuffer(packed, "<u4", len(words))
+                    ids, ends = packed[4 * len(words) :], np.cumsum(n) * 4
+                    coded.update((w, ids[b - 4 * k : b]) for w, b, k in zip(words, ends.tolist(), n.tolist()))
+                else:
+                    coded.update(zip(words, enc.encode_words(words)))
+            for w, ids in coded.items():
+                said[w] = " ".join([piece_of[i] for i in np.frombuffer(ids, "<u4").tolist()] if len(ids) > 4 else [piece_of[int.from_bytes(ids, "little")]])
+            del found
+            for rows in rows_of(payload.as_py()):
+                words = [split(t) for t in rows.column(1).to_pylist()]
+                ids = pa.array([b"".join(map(coded.__getitem__, w)) for w in words], pa.binary())
+                text = pa.array([" ".join(map(said.__getitem__, w)) for w in words], pa.string())
+                n = pa.compute.divide(pa.compute.binary_length(ids), 4).cast(pa.int64())
+                out.append(pa.RecordBatch.from_arrays([rows.column(0), n, ids, text], schema=done))
+                del words
         return pa.Table.from_batches(out, schema=done)
 
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    done = pa.schema([("id", to_arrow_type(docs.schema[id_col].dataType)), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-    result = blocks.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(rewrite, f"id {kind}, n_tokens long, ids binary, decoded string")
-    return result.withColumnRenamed("id", id_col)
+    names = f"id {kind.simpleString()}, n_tokens long, ids binary, decoded string"
+    return blocks.groupBy("block").cogroup(table.groupBy("of")).applyInArrow(rewrite, names).withColumnRenamed("id", id_col)

@@ -60,6 +60,38 @@ def text_bytes(col: Column) -> Column:
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
 
 
+_working: dict = {"on": None, "caches": []}
+
+
+def cached(clear) -> None:
+    """Registers what empties a worker's cache of an operator."""
+    _working["caches"].append(clear)
+
+
+def working(on: str) -> None:
+    """Called where a Python task begins. Workers outlive tasks, so what another operator has cached goes back to the system."""
+    if _working["on"] not in (None, on):
+        for clear in _working["caches"]:
+            clear()
+        trim()
+    _working["on"] = on
+
+
+def trim() -> None:
+    """Returns freed memory to the system, which the allocators keep otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def own(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add under the same names."""
     have = {c.lower() for c in names}

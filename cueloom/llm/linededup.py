@@ -50,6 +50,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         import pyarrow as pa
         from xxhash import xxh3_128_digest as digest
 
+        from .common import working
+
+        working("linededup")
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 found: dict[bytes, list] = {}
@@ -88,6 +91,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     def rewrite(left, right):
         from xxhash import xxh3_128_digest as digest
 
+        from .common import working
+
+        working("linededup")
         drop = dict(zip(right.column("h").to_pylist(), right.column("top").to_pylist()))
         out = []
         for payload in left.column("payload"):

@@ -31,8 +31,10 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str
     def run(batches):
         import pyarrow as pa
 
+        from .common import working
         from .wordbpe import encoder
 
+        working("packing")
         enc, end = encoder(vocabulary), end_id.to_bytes(4, "little")
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:

@@ -89,6 +89,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, lanes: int = 1, id_col
         import numpy as np
         import pyarrow as pa
 
+        from .common import working
+
+        working("simhash")
         for b in batches:
             rows = [majority(shingle_hashes(t, shingle), lanes) for t in b.column(1).to_pylist()]
             fps = np.array(rows, np.uint64).reshape(len(rows), lanes).view(np.int64)
@@ -122,6 +125,9 @@ def _pieces(found, lanes: int, radius: int):
     import numpy as np
     import pyarrow as pa
 
+    from .common import working
+
+    working("simhash")
     pivots = np.random.default_rng(SEED).integers(0, 2**64, (REFERENCES, lanes), np.uint64)
 
     def links(group, node, fps):

@@ -220,6 +220,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(h[i : i + k].view(np.int64)), pa.array(np.minimum(n[i : i + k], 2).astype(np.int32))], ["of", "h", "n"])
 
     def anchor_rows(batches):
+        from .common import working
+
+        working("substring")
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 hs = (word_hashes(t) for t in texts(payload.as_py()))

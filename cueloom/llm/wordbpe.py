@@ -18,6 +18,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
+from .common import cached
+
 #: Characters for which the plain pattern needs no composition.
 PLAIN = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
 
@@ -30,7 +32,7 @@ def _chars(kind: str) -> str:
 #: letters, single digits, runs of anything else but white space.
 WORD = re.compile(f"[{_chars('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_chars('N')}]|[^\\t-\\r\\x20\\x85\\xa0{_chars('L')}{_chars('N')}]+")
 #: Words kept per worker; the cache is emptied when it is full.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 
 @lru_cache(maxsize=2)
@@ -141,4 +143,6 @@ class WordEncoder(dict):
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One encoder a worker process: later tasks find its cache filled."""
+    cached(encoder.cache_clear)
+    cached(load.cache_clear)
     return WordEncoder(path)
