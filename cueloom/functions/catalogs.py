@@ -23,17 +23,133 @@ VOICES = [
     ("openai", "en", "nova", "female", "Bright, energetic female — engaging for social/short-form."),
     ("openai", "en", "shimmer", "female", "Gentle, soft female — calm narration and friendly content."),
     ("supertonic", "en", "M1", "male", "Warm, conversational male — default narrator."),
+    ("supertonic", "en", "M2", "male", "Energetic male — engaging for tutorials and short-form."),
+    ("supertonic", "en", "M3", "male", "Calm, low-pitched male — long-form narration."),
+    ("supertonic", "en", "M4", "male", "Bright, youthful male — casual content."),
+    ("supertonic", "en", "M5", "male", "Authoritative male — news and serious content."),
     ("supertonic", "en", "F1", "female", "Friendly, conversational female — default narrator."),
+    ("supertonic", "en", "F2", "female", "Bright, expressive female — engaging short-form."),
+    ("supertonic", "en", "F3", "female", "Soft, gentle female — calm narration."),
+    ("supertonic", "en", "F4", "female", "Energetic female — kids and casual content."),
+    ("supertonic", "en", "F5", "female", "Authoritative female — news and formal."),
     ("together", "en", "tutorial man", "male", "tutorial man"),
     ("together", "en", "helpful woman", "female", "helpful woman"),
     ("together", "en", "nonfiction man", "male", "nonfiction man"),
     ("together", "en", "reading man", "male", "reading man"),
-    ("together", "es", "spanish narrator man", "male", "spanish narrator man"),
-    ("together", "es", "spanish narrator lady", "female", "spanish narrator lady"),
-    ("together", "fr", "french narrator man", "male", "french narrator man"),
-    ("together", "fr", "french narrator lady", "female", "french narrator lady"),
-    ("together", "de", "german reporter man", "male", "german reporter man"),
-    ("together", "de", "german conversational woman", "female", "german conversational woman"),
+    ("together", "zh", "chinese commercial man", None, "chinese commercial man"),
+    ("together", "zh", "chinese female conversational", None, "chinese female conversational"),
+    ("together", "ja", "japanese male conversational", None, "japanese male conversational"),
+    ("together", "ja", "japanese woman conversational", None, "japanese woman conversational"),
+    ("together", "ko", "korean narrator man", None, "korean narrator man"),
+    ("together", "ko", "korean calm woman", None, "korean calm woman"),
+    ("together", "es", "spanish narrator man", None, "spanish narrator man"),
+    ("together", "es", "spanish narrator lady", None, "spanish narrator lady"),
+    ("together", "fr", "french narrator man", None, "french narrator man"),
+    ("together", "fr", "french narrator lady", None, "french narrator lady"),
+    ("together", "de", "german reporter man", None, "german reporter man"),
+    ("together", "de", "german conversational woman", None, "german conversational woman"),
+    ("together", "it", "italian narrator man", None, "italian narrator man"),
+    ("together", "it", "italian narrator woman", None, "italian narrator woman"),
+    ("together", "nl", "dutch confident man", None, "dutch confident man"),
+    ("together", "nl", "dutch man", None, "dutch man"),
+    ("together", "ru", "russian narrator man 1", None, "russian narrator man 1"),
+    ("together", "ru", "russian narrator woman", None, "russian narrator woman"),
+    ("together", "pt", "friendly brazilian man", None, "friendly brazilian man"),
+    ("together", "pt", "pleasant brazilian lady", None, "pleasant brazilian lady"),
+    ("together", "hi", "hindi narrator man", None, "hindi narrator man"),
+    ("together", "hi", "hindi narrator woman", None, "hindi narrator woman"),
+    ("together", "tr", "turkish narrator man", None, "turkish narrator man"),
+    ("together", "tr", "turkish calm man", None, "turkish calm man"),
+    ("together", "pl", "polish confident man", None, "polish confident man"),
+    ("together", "pl", "polish narrator woman", None, "polish narrator woman"),
+    ("together", "sv", "swedish narrator man", None, "swedish narrator man"),
+    ("together", "sv", "swedish calm lady", None, "swedish calm lady"),
+    ("together", "ar", "middle eastern woman", None, "middle eastern woman"),
+    ("together", "ar", "middle eastern woman", None, "middle eastern woman"),
+]
+#: The voices of the provider with ids of its own: language, name, id, gender, accent.
+ELEVENLABS = [
+    ("en", "Adam", "pNInz6obpgDQGcFmaJgB", "male", "american"),
+    ("en", "Sarah", "EXAVITQu4vr4xnSDxMaL", "female", "american"),
+    ("en", "Brian", "nPczCjzI2devNBz1zQrb", "male", "american"),
+    ("en", "Bill", "pqHfZKP75CvOlQylNhV4", "male", "american"),
+    ("en", "Roger", "CwhRBWXzGAHq8TQ4Fs17", "male", "american"),
+    ("en", "Eric", "cjVigY5qzO86Huf0OWal", "male", "american"),
+    ("en", "Chris", "iP95p4xoKVk53GoZ742B", "male", "american"),
+    ("en", "Will", "bIHbv24MWmeRgasZH58o", "male", "american"),
+    ("en", "Liam", "TX3LPaxmHKxFdv7VOQHJ", "male", "american"),
+    ("en", "Harry", "SOYHLrjzK2X1ezoPC6cr", "male", "american"),
+    ("en", "Callum", "N2lVS1w4EtoT3dr4eOWO", "male", "american"),
+    ("en", "Charlie", "IKne3meq5aSn9XLyUdCD", "male", "australian"),
+    ("en", "George", "JBFqnCBsd6RMkjVDRZzb", "male", "british"),
+    ("en", "Daniel", "onwK4e9ZLuTAKqWW03F9", "male", "british"),
+    ("en", "Bella", "hpp4J3VqNfWAUOO0d1Us", "female", "american"),
+    ("en", "Matilda", "XrExE9yKIg1WjnnlVkGX", "female", "american"),
+    ("en", "Jessica", "cgSgspJ2msm6clMCkdW9", "female", "american"),
+    ("en", "Laura", "FGY2WhTYpPnrIDTdsKH5", "female", "american"),
+    ("en", "Alice", "Xb7hH8MSUJpSbSDYk0k2", "female", "british"),
+    ("en", "Lily", "pFZP5JQG7iQjIQuC4Bku", "female", "british"),
+    ("en", "River", "SAz9YHcvj6GT2YYXdXww", "neutral", "american"),
+    ("zh", "Lin", "UFDAUkGzdLAEJlINT3Fx", "male", "mandarin"),
+    ("zh", "Lingyue", "ROfZIBAOQbwvPvLR3GMu", "female", "mandarin"),
+    ("zh", "Jing", "zYD0xJl1ponKr8TwFBmJ", "male", "mandarin"),
+    ("zh", "Nina", "El018FmI047NtSsCfyrY", "female", "mandarin"),
+    ("ja", "Shohei", "AIg1eVkw9X3Bz8LsQQS3", "male", "japanese"),
+    ("ja", "Maiko", "deKmbWEKZdwxcKxxcfvP", "female", "japanese"),
+    ("ja", "Yoshio", "f7UUeltR22mzvXAsYavl", "male", "japanese"),
+    ("ja", "Kana", "dhGvgIx0X6G3xzSWqOye", "female", "japanese"),
+    ("ko", "Joon-ho", "NpneagLVR101ytYGxUPX", "male", "korean"),
+    ("ko", "Soo", "3H7nUJE8YbxkmPW1GFts", "female", "korean"),
+    ("ko", "Jae-won", "yvcSjT5PVWkS89U5mD6w", "male", "korean"),
+    ("ko", "Onyu", "NaQdbkW5gNZD8wfwXeTV", "female", "korean"),
+    ("es", "Carlos", "Y4HwpMNrBWN5dFKi5Lw8", "male", "colombian"),
+    ("es", "Valeria", "nfyTTmgO0f6GV9CKrMWL", "female", "neutral"),
+    ("es", "Brian C", "Czw3Dn181ypdrCOnPfif", "male", "neutral"),
+    ("es", "Paola", "PoLFkTquRWtbexdwW3Xa", "female", "argentine"),
+    ("fr", "Lior", "ljrJ081VvO1DCmonP7R8", "male", "french"),
+    ("fr", "Virginie", "NzCI2wsmQgzQiufNpYi7", "female", "french"),
+    ("fr", "Augustin", "kKgyAHjGAbeWHCNd7qoC", "male", "french"),
+    ("fr", "Marilène", "tRQeD4idfj7AuhU7ApjT", "female", "french"),
+    ("de", "Daniel", "wcqN36SUOZ0EhToc2OIu", "male", "german"),
+    ("de", "Sina", "sgKauqXbUxSBZgugAiOl", "female", "german"),
+    ("de", "Arthur", "3nMIMZ7RlGwsq1WLgxY3", "male", "german"),
+    ("de", "Helmut", "OwYx4Jd2f6DQax9m8SVa", "male", "german"),
+    ("it", "Raffaele", "YGp1lBJLaHhfIFT0yeDE", "male", "italian"),
+    ("it", "Chiara", "mT0eqrjKfAPl6gQBlfBa", "female", "italian"),
+    ("it", "Paolo", "mcMi8FJDhg35bMpWHv2R", "male", "italian"),
+    ("it", "Cornelia", "SKEVNjRKCergbPKum64u", "female", "italian"),
+    ("nl", "Ronald", "cfzqtNeB4pAo40KOcI0v", "male", "dutch"),
+    ("nl", "Jolanda", "DiUBVrSFwkMaPz4XqWvR", "female", "dutch"),
+    ("nl", "Thijs", "DYfqtQfWhbc1Z0SLiCWw", "male", "dutch"),
+    ("nl", "Peter", "Kv97WYcYaIv0A06FfXcK", "male", "dutch"),
+    ("ru", "Ivo", "hD8aK7CmEPgH3mbFO08e", "male", "russian"),
+    ("ru", "Xenia", "vZopxKc6jrT5l48V9W5w", "female", "russian"),
+    ("ru", "Anton", "13JzN9jg1ViUP8Pf3uet", "male", "russian"),
+    ("ru", "Morna", "9AE7A1Ivnw8jKr8Us0ch", "female", "russian"),
+    ("pt", "Medeiros", "E9hPCbqBRCgB3UEiCUuE", "male", "brazilian"),
+    ("pt", "Luna", "jotBQRDYDizrWQAbv9VO", "female", "brazilian"),
+    ("pt", "Guilherme", "Mn7FDiiQr3aIwMWsLE7r", "male", "brazilian"),
+    ("pt", "Carolina", "4NRXT5DGqWzIcL6iVqtF", "female", "brazilian"),
+    ("hi", "Yatin", "46xKhzYfIJMejACevZhq", "male", "hindi"),
+    ("hi", "Madhusmita", "vQmxatd5nc5hsnpVWWpJ", "female", "hindi"),
+    ("hi", "Niraj", "4aFkTNmCXWi67j9dQQVC", "male", "hindi"),
+    ("hi", "Kalpana", "KBzY47BBXGaDJVIbCIFU", "female", "hindi"),
+    ("tr", "Sinan", "Rn6ATQ4HFbyhBC6mze4Z", "male", "turkish"),
+    ("tr", "Aura", "wYM8FTSOj72VzJ7kgprn", "female", "turkish"),
+    ("tr", "Hakan", "EJ861k94E3y4EM3kZh71", "male", "turkish"),
+    ("tr", "Dilek", "3K9SrW7hHlFO6yMzQgJV", "female", "turkish"),
+    ("pl", "Gregor", "xPYhbnzKk9nCh7pnUehm", "male", "polish"),
+    ("pl", "Jola", "mgxZQ8b1CA0Zl9YUTX8Z", "female", "polish"),
+    ("pl", "Kris", "jnAzri3VrjEtIf7MMQ4d", "male", "polish"),
+    ("pl", "Asia", "Bz1e1clEKwgN71Vx7cxj", "female", "polish"),
+    ("sv", "Andreas", "TIMFVcMCO4bdy7J79GWF", "male", "swedish"),
+    ("sv", "Louise", "kpTdKfohzvarfFPnwuHW", "female", "swedish"),
+    ("sv", "Peter", "oJEeOXECH9V31Oci9WHK", "male", "swedish"),
+    ("sv", "Olivia", "cLAH1kXlkAivJHxCW601", "female", "swedish"),
+    ("ar", "Faris", "RL04FaPrUG6vS8aWd9NZ", "male", "levantine"),
+    ("ar", "Haneen", "iIIMrkfGuAyFOZsShpgf", "female", "levantine"),
+    ("ar", "Ashraf", "QfMIySsRuJWjZPZCnDQp", "male", "egyptian"),
+    ("ar", "Sawsan", "mS4cERRqrNy5Kmlx8Udf", "female", "egyptian"),
 ]
 VOICE_SCHEMA = "provider string, lang string, pos int, name string, voice_id string, gender string, accent string, description string"
 
@@ -58,15 +174,18 @@ def voices(spark: SparkSession) -> DataFrame:
     for provider, lang, name, gender, text in VOICES:
         pos[provider, lang] = pos.get((provider, lang), -1) + 1
         rows.append((provider, lang, pos[provider, lang], name, name, gender, None, text))
+    for lang, name, voice_id, gender, accent in ELEVENLABS:
+        pos["elevenlabs", lang] = pos.get(("elevenlabs", lang), -1) + 1
+        rows.append(("elevenlabs", lang, pos["elevenlabs", lang], name, voice_id, gender, accent, f"{gender} — {accent}"))
     return spark.createDataFrame(rows, VOICE_SCHEMA)
 
 
 def native_voices(table: DataFrame) -> DataFrame:
-    """(provider, lang, male, female): the first of each gender, else the first and the last voice."""
+    """(provider, lang, male, female): the first of each gender, else the first voice and the second or last one."""
     first = lambda g: F.min_by(F.when(F.col("gender") == g, F.col("name")), F.when(F.col("gender") == g, F.col("pos")))
     return table.groupBy("provider", "lang").agg(
         F.coalesce(first("male"), F.min_by("name", "pos")).alias("male"),
-        F.coalesce(first("female"), F.max_by("name", "pos")).alias("female"),
+        F.coalesce(first("female"), F.max_by(F.when(F.col("pos") <= 1, F.col("name")), F.when(F.col("pos") <= 1, F.col("pos")))).alias("female"),
     )
 
 

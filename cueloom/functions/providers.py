@@ -58,3 +58,54 @@ def synthesize(segments: DataFrame, voice_map: DataFrame | None, default_voice:
     s = segments.join(voice_map, "speaker", "left") if voice_map is not None else segments.withColumn("voice", F.lit(None).cast("string"))
     n = F.length("text")
     return s.select("media_id", "id", F.coalesce("voice", F.lit(default_voice)).alias("voice"), (n * ms_per_char + tail_silence_ms(F.col("text"))).cast("long").alias("tts_ms"), n.alias("characters"))
+
+
+def recognise(media: DataFrame, call: Callable[[str], list[dict]], retries: int = 3) -> DataFrame:
+    """(media_id, id, start_ms, end_ms, text, no_speech_prob): `call` gives a path's segments; it is tried up to `retries` times.
+
+    media: (media_id, path). A medium that keeps failing fails its task, and Spark tries that again.
+    """
+
+    def run(frames):
+        import pandas as pd
+
+        cols = ["media_id", "id", "start_ms", "end_ms", "text", "no_speech_prob"]
+        for f in frames:
+            rows = []
+            for m, path in zip(f["media_id"], f["path"]):
+                for attempt in range(retries):
+                    try:
+                        found = call(path)
+                        break
+                    except Exception:  # noqa: BLE001  whatever a remote call raises
+                        if attempt == retries - 1:
+                            raise
+                rows += [(m, i, s["start_ms"], s["end_ms"], s["text"], s.get("no_speech_prob")) for i, s in enumerate(found)]
+            yield pd.DataFrame(rows, columns=cols)
+
+    return media.mapInPandas(run, "media_id long, id long, start_ms long, end_ms long, text string, no_speech_prob double")
+
+
+def restore_punctuation(chunked: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
+    """Sentences of unpunctuated words (media_id, chunk, seq, text, start_ms, end_ms): a chunk's text goes to `call`.
+
+    A chunk whose call fails keeps its own words as its text, as one segment.
+    """
+    from ..operators.segments import align, renumber
+
+    keys = ["media_id", "chunk"]
+    raw = chunked.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "text")))["text"], " ").alias("text"))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for t in f["text"]:
+                try:
+                    out.append(call(t) or t)
+                except Exception:  # noqa: BLE001  a failed call leaves the words as they are
+                    out.append(t)
+            f["text"] = out
+            yield f
+
+    said = raw.mapInPandas(run, raw.schema)
+    return renumber(align(chunked, said), "chunk", "sentence").select("media_id", "id", "start_ms", "end_ms", "text")

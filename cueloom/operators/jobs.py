@@ -112,3 +112,16 @@ def reusable_mix(requests: DataFrame, cached: DataFrame, within: float = 0.001)
     """requests (job_id, volume) with reuse: whether a cached mix has the same volume."""
     c = cached.select("job_id", F.col("volume").alias("__v"))
     return requests.join(c, "job_id", "left").withColumn("reuse", F.coalesce(F.abs(F.col("volume") - F.col("__v")) < within, F.lit(False))).drop("__v")
+
+
+def readiness(probes: DataFrame, known: DataFrame) -> DataFrame:
+    """probes (job_id) with code: 404 for unknown jobs, 409 for unfinished ones, else 200."""
+    k = known.select(F.col("id").alias("job_id"), "status")
+    return probes.join(k, "job_id", "left").withColumn("code", F.when(F.col("status").isNull(), 404).when(F.col("status") != "done", 409).otherwise(200))
+
+
+def timings_json(steps: DataFrame, costs: DataFrame) -> DataFrame:
+    """(run, body): a run's total time, its steps in order and its cost; steps (run, pos, step, elapsed), costs (run, total_usd)."""
+    g = steps.groupBy("run").agg(F.sum("elapsed").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "step", "elapsed"))).alias("steps"))
+    shown = F.transform("steps", lambda s: F.struct(s["step"].alias("name"), s["elapsed"].alias("elapsed")))
+    return g.join(costs, "run", "left").select("run", F.to_json(F.struct("total", shown.alias("steps"), F.col("total_usd").alias("cost"))).alias("body"))

@@ -125,3 +125,41 @@ def test_catalogs(spark):
     with pytest.raises(Exception, match="kids, standard"):
         readers.style_of(spark.createDataFrame([("x",)], "style string"), styles).collect()
     assert readers.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}, "d": 4}) == {"a": {"b": 3, "c": 2}, "d": 4}
+
+
+def test_punctuation_and_recognition(spark):
+    w = spark.createDataFrame([(1, 0, i, t, i * 1000, i * 1000 + 1000) for i, t in enumerate("a few years".split())], "media_id long, chunk long, seq long, text string, start_ms long, end_ms long")
+
+    def fail(text):
+        raise OSError
+
+    assert [(r.start_ms, r.end_ms, r.text) for r in providers.restore_punctuation(w, lambda t: "A few years.").collect()] == [(0, 3000, "A few years.")]
+    assert [(r.start_ms, r.end_ms, r.text) for r in providers.restore_punctuation(w, fail).collect()] == [(0, 3000, "a few years")]
+    heard = providers.recognise(spark.createDataFrame([(1, "x.wav")], "media_id long, path string"), lambda p: [{"start_ms": 0, "end_ms": 900, "text": p}])
+    assert [tuple(r) for r in heard.collect()] == [(1, 0, 0, 900, "x.wav", None)]
+
+
+def test_config_and_readiness(spark):
+    from cueloom.functions import config
+
+    cfg = {"models": {"transcription": {"provider": "faster_whisper"}, "translation": "a-model", "tts": {"provider": "elevenlabs", "model": "v3"}}}
+    assert config.required_keys(cfg) == ["ELEVENLABS_API_KEY", "TOGETHER_API_KEY"]
+    assert config.missing_keys(cfg, {"TOGETHER_API_KEY": "x"}) == ["ELEVENLABS_API_KEY"]
+    with pytest.raises(ValueError, match="edge"):
+        config.speech_provider("edge")
+    known = spark.createDataFrame([("a", "done"), ("b", "running")], "id string, status string")
+    got = jobs.readiness(spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string"), known)
+    assert {r.job_id: r.code for r in got.collect()} == {"a": 200, "b": 409, "c": 404}
+    steps = spark.createDataFrame([(1, 0, "asr", 2.0), (1, 1, "tts", 3.0)], "run long, pos int, step string, elapsed double")
+    costs = spark.createDataFrame([(1, 0.5)], "run long, total_usd double")
+    assert jobs.timings_json(steps, costs).first().body == '{"total":5.0,"steps":[{"name":"asr","elapsed":2.0},{"name":"tts","elapsed":3.0}],"cost":0.5}'
+
+
+def test_voice_lookup(spark):
+    table = catalogs.voices(spark)
+    probe = spark.createDataFrame([("elevenlabs", "Daniel"), ("elevenlabs", "mine"), ("openai", "nova")], "provider string, voice string")
+    got = {r.voice: r.voice_id for r in catalogs.voice_of(probe, table).collect()}
+    assert got["mine"] == "mine" and got["nova"] == "nova"
+    assert got["Daniel"] == table.where("provider = 'elevenlabs' and name = 'Daniel'").orderBy("lang").first().voice_id
+    native = {(r.provider, r.lang): (r.male, r.female) for r in catalogs.native_voices(table).collect()}
+    assert native["openai", "en"] == ("onyx", "nova") and native["supertonic", "en"] == ("M1", "F1") and native["together", "tr"] == ("turkish narrator man", "turkish calm man")
