@@ -132,6 +132,17 @@ def oracle_sql() -> dict[str, str]:
         "missing_files": w(CUES, "SELECT media_id, id, printf('seg_%05d.wav', id) AS name FROM cues WHERE id % 10 = 0"),
         "upload_gate": r"""SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'extension' WHEN length(html) * 1000 > 2097152 THEN 'size' WHEN page_id % 500 > 300 THEN 'duration' END AS refused FROM pages""",
     }
+    chunked = WORDS + r""", s0 AS (SELECT *, sum(CASE WHEN start_ms - prev > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY seq) AS session FROM (SELECT *, lag(end_ms) OVER (PARTITION BY media_id ORDER BY seq) AS prev FROM words)),
+        s1 AS (SELECT *, (row_number() OVER (PARTITION BY media_id, session ORDER BY seq) - 1) // 120 AS part FROM s0), s2 AS (SELECT *, dense_rank() OVER (PARTITION BY media_id ORDER BY session, part) - 1 AS chunk FROM s1)"""
+    out["align"] = w(chunked, ", e AS (SELECT *, " + ENDS.format(w="text") + r""" AS ends FROM s2), f AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY media_id, chunk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM e)
+        SELECT media_id, chunk, CAST(sentence AS BIGINT) AS sentence, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CASE WHEN sentence > 0 THEN '— ' ELSE '' END || string_agg(text, ' — ' ORDER BY seq) AS text FROM f GROUP BY media_id, chunk, sentence""")
+    out["auto_caption_words"] = w(WORDS, "SELECT media_id, seq, text, start_ms, greatest(start_ms, coalesce(lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq), start_ms + 300)) AS end_ms FROM words")
+    out["batches"] = w(CUES, r"""SELECT media_id, id // 64 AS batch, count(*) AS n, md5(string_agg('[' || (id % 64 + 1) || ']: "' || text || '"', chr(10) ORDER BY id)) AS prompt_md5 FROM cues GROUP BY 1, 2""")
+    out["tempo_chain"] = w(TTS, r""", r AS (SELECT c.media_id, c.id, tts_ms::DOUBLE / (end_ms - start_ms)::DOUBLE AS r FROM cues c JOIN tts USING (media_id, id))
+        SELECT media_id, id, CAST(greatest(ceil(log2(r)) - 1, 0) + greatest(ceil(-log2(r)) - 1, 0) + 1 AS BIGINT) AS n, CAST(floor(r * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS product, true AS within FROM r""")
+    out["track_select"] = r"""WITH m AS (SELECT DISTINCT conv_id AS media_id, conv_id % 5 AS k, conv_id % 3 > 0 AS known FROM conversations),
+        t AS (SELECT media_id, CASE WHEN known THEN CASE WHEN k = 1 THEN 'manual,en,m-en' WHEN k = 0 THEN 'manual,en-US,m-us' WHEN media_id % 2 = 0 THEN 'auto,en,a-en' END ELSE CASE k WHEN 0 THEN 'manual,de,m-de' WHEN 1 THEN 'manual,en,m-en' WHEN 2 THEN 'manual,vi,m-vi' END END AS t FROM m)
+        SELECT media_id, string_split(t, ',')[1] AS kind, string_split(t, ',')[2] AS lang, string_split(t, ',')[3] AS url FROM t WHERE t IS NOT NULL"""
     probes = r""", probes AS (SELECT DISTINCT media_id, unnest([0, total_ms // 4, total_ms // 2, total_ms]) AS t_ms FROM media), win AS (SELECT *, greatest(0, t_ms - 30000) AS ws, t_ms + 30000 AS we FROM probes),
         ctx AS (SELECT p.media_id, p.t_ms, least(ws, coalesce(arg_min(c.start_ms, c.id), ws)) AS window_start_ms, greatest(we, coalesce(arg_max(c.end_ms, c.id), we)) AS window_end_ms, coalesce(string_agg(c.id::VARCHAR, ',' ORDER BY c.id), '') AS ids, coalesce(string_agg(c.text, chr(10) ORDER BY c.id), '') AS text
           FROM win p LEFT JOIN cues c ON c.media_id = p.media_id AND c.end_ms >= ws AND c.start_ms <= we GROUP BY p.media_id, p.t_ms, ws, we)"""
