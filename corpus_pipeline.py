@@ -19,9 +19,9 @@ from cueloom.session import ship
 
 #: Near duplicates: a similarity of 0.8 or more on five-word shingles. Two sets of similarity 0.8 have a cosine of
 #: 1.6 / 1.8, so each fingerprint bit agrees with chance 0.848 and 39 of 256 bits differ on average, standard
-#: deviation 5.7. Up to 48 differing bits link; keys are drawn so that a pair at 0.8 meets with chance 0.99.
+#: deviation 5.7. Up to 48 differing bits link; keys are drawn so that a pair at 0.8 meets with chance 0.999.
 SHINGLE, LANES, RADIUS = 5, 4, 48
-AGREE, RECALL = 1 - math.acos(1.6 / 1.8) / math.pi, 0.99
+AGREE, RECALL = 1 - math.acos(1.6 / 1.8) / math.pi, 0.999
 
 
 def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 1. Document frequencies of the templates' terms over all texts (one row a term,
    so the result is bounded by the templates).
-2. Every line with template terms, and every run of such lines, is compared
-   with each template. A text's license is its best match of at least
+2. Every line with template terms, every run of such lines and every sentence
+   of a line is compared with each template. A text's license is its best match of at least
    `threshold`; texts are read whole, so headers may stand anywhere.
 3. A file without one inherits: the distinct directories give their ancestors,
    these meet the directories that hold a license file, and the deepest wins.
@@ -22,6 +22,7 @@ from .common import own, text_batches, written
 
 THRESHOLD = 0.6
 TERMS = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+SENTENCES = re.compile(r"(?<=[.!?;])\s+")
 #: A run of matching lines is compared as a whole up to this many lines; longer runs in overlapping parts.
 RUN_LINES = 40
 LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-].*)?$"
@@ -105,6 +106,12 @@ class Scanner:
                 runs[-1].append((at, found))
             else:
                 runs.append([(at, found)])
+        for at, line in enumerate(text.split("\n") if text else ()):
+            # A notice inside a longer line is a sentence of its own.
+            sentences = SENTENCES.split(line)
+            for found in map(terms, sentences if len(sentences) > 1 else ()):
+                if 2 * sum(w in self.idf for w in found) >= max(len(found), 1):
+                    runs.append([(at, found)])
         for run in runs:
             units = [(at, found) for at, found in run]
             if len(run) > 1:

@@ -31,12 +31,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own, text_batches, written
+from .common import own, shared_dir, text_batches, written
 
 SHINGLE = 4
 RADIUS = 4
 REFERENCES = 6
 CAP = 4096
+#: Hot keys that are broadcast, of 16 bytes each.
+MAX_HOT = 1 << 20
 #: The seed of a shingle's XXH64, and the multipliers of the 64-bit mixer of further lanes.
 SEED = 42
 MIX1, MIX2, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
@@ -150,19 +152,22 @@ def _pieces(found, lanes: int, radius: int):
             b_out.append(b)
             lag += 1
         for s, n in zip(start[size > 32], size[size > 32]):
-            # Breadth first: each node is compared with those that no link has reached yet.
+            # Breadth first: each node is compared with those that no link has reached yet. What is
+            # reached from one node is linked to the smallest of it, in place of all its pairs.
             rest = np.arange(s, s + n)
-            queue: list[int] = []
-            while len(rest) or queue:
-                if not queue:
-                    queue, rest = [int(rest[0])], rest[1:]
-                x = queue.pop()
-                a, b = near(np.full(len(rest), x), rest)
-                if len(b):
-                    a_out.append(a)
-                    b_out.append(b)
+            while len(rest):
+                queue, rest = [int(rest[0])], rest[1:]
+                reached = list(queue)
+                while queue and len(rest):
+                    _, b = near(np.full(len(rest), queue.pop()), rest)
                     rest = rest[~np.isin(rest, b, assume_unique=True)]
                     queue.extend(b.tolist())
+                    reached.extend(b.tolist())
+                if len(reached) > 1:
+                    together = np.array(reached)
+                    least = together[node[together].argmin()]
+                    a_out.append(np.full(len(together), least))
+                    b_out.append(together)
         a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
         b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
         x, y = node[a], node[b]
@@ -209,7 +214,9 @@ def links(nodes: DataFrame, masks: list[int], radius: int, lanes: int = 1, cap:
         keys.append(F.xxhash64(F.lit(t), *[F.col(n).bitwiseXOR(F.lit(_signed(base))).bitwiseAND(F.lit(m)) for n, m in held]))
     rows = nodes.select("node", *names, F.explode(F.array(*keys)).alias("key"))
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
-    split = hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / (cap // 2)).cast("int").alias("nb"))
+    split = written(hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / (cap // 2)).cast("int").alias("nb")), "hot-keys")
+    if split.count() <= MAX_HOT:  # else the rows are shuffled to them
+        split = F.broadcast(split)
     own_block = F.pmod(F.xxhash64("node", "key"), F.col("nb")).cast("int")
     cell = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
     dealt = (
@@ -220,7 +227,13 @@ def links(nodes: DataFrame, masks: list[int], radius: int, lanes: int = 1, cap:
         .select("key", F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"), "node", *names)
     )
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.mapInArrow(lambda found: _pieces(found, lanes, radius), "a long, b long").distinct()
+    found = ordered.mapInArrow(lambda found: _pieces(found, lanes, radius), "a long, b long").distinct()
+    # A node has at most a few smaller neighbours under each key. Its smallest takes over the others,
+    # so that a group that meets under many keys keeps a few links a node, not one a key.
+    lists = found.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("low"))
+    first = F.col("low")[0]
+    thin = F.concat(F.array(F.struct(first.alias("a"), F.col("b").alias("b"))), F.transform(F.slice("low", 2, F.size("low")), lambda x: F.struct(first.alias("a"), x.alias("b"))))
+    return lists.select(F.explode(thin).alias("e")).select("e.a", "e.b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -229,6 +242,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large-star and small-star steps, each cut by checkpoint(): neighbours are
     only ever reduced to their smallest, so a hub is a sum, not a list.
     """
+    shared_dir(edges.sparkSession)
     now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = now.checkpoint()
     if now.isEmpty():
@@ -265,6 +279,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, lanes:
     in linking and has a null component. Other columns are ignored, whatever
     their names. An empty table gives none. Ids are integers.
     """
+    if lanes > 1 and not masks:
+        raise ValueError("more than one lane needs masks")
     names = lane_names(lanes)
     docs = own(docs, *[c for c in docs.columns if c not in (id_col, text_col)])
     fps = written(fingerprints(docs, shingle, lanes, id_col, text_col), "fingerprints")

@@ -112,16 +112,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: s
     return found.withColumn("rule", F.col("__found.rule")).withColumn("verdict", F.coalesce("__found.verdict", F.lit(default))).drop("__found")
 
 
-_tries: dict = {}
+_built: dict = {"rules": None, "trie": None}
 
 
 def _trie(held) -> Trie:
     """One trie a broadcast and worker."""
-    key = id(held.value)
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(held.value)
-    return _tries[key]
+    if _built["rules"] is not held.value:
+        _built.update(rules=held.value, trie=Trie(held.value))
+    return _built["trie"]
 
 
 def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:

@@ -297,8 +297,10 @@ def test_licenses(spark, odd, documents):
     assert {r.doc_id for r in licenses.scan(files).where("own_license is not null").collect()} == wanted
     tree = [(1, "LICENSE", "Released under the MIT License."), (2, "a/LICENSE.txt", "words\nLicensed under the Apache License, Version 2.0."), (3, "a/b/c.py", "code"), (4, "x/y.py", None), (5, "z.py", ""), (6, None, "x"), (7, "a/b/d.py", "# Licensed under CC BY-NC 4.0."), (8, "a/COPYING", "Licensed under CC BY 4.0. see"), (3, "a/b/c.py", "code")]
     got = {r.doc_id: (r.own_license, r.license, r.license_dir) for r in licenses.scan(spark.createDataFrame(tree, "doc_id long, path string, text string").withColumn("line", F.lit("clash"))).collect()}
-    assert got == {1: ("MIT", "MIT", None), 2: ("Apache-2.0",) * 2 + (None,), 3: (None, "Apache-2.0", "a"), 4: (None, "MIT", ""), 5: (None, "MIT", ""), 6: (None, None, None), 7: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 8: ("CC-BY-4.0", "CC-BY-4.0", None)}
+    assert got == {1: ("MIT", "MIT", None), 2: ("Apache-2.0",) * 2 + (None,), 3: (None, "CC-BY-4.0", "a"), 4: (None, "MIT", ""), 5: (None, "MIT", ""), 6: (None, None, None), 7: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 8: ("CC-BY-4.0", "CC-BY-4.0", None)}
     assert licenses.scan(files.limit(0)).count() == 0
+    inside = spark.createDataFrame([(1, "f", "Some words go first, as they do. Licensed under the Apache License, Version 2.0. More of them follow after it."), (2, "g", "the license of the software is the software and to use")], "doc_id long, path string, text string")
+    assert {r.doc_id: r.own_license for r in licenses.scan(inside).collect()} == {1: "Apache-2.0", 2: None}
 
 
 def test_empty_tables(empty):
