@@ -221,3 +221,22 @@ def voice_candidates(answers: DataFrame, table: DataFrame, k: int = 3) -> DataFr
     hit = asked.join(F.broadcast(known), "key").groupBy("answer_id", "name").agg(F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy("answer_id").orderBy("at"))
     return hit.withColumn("rank", rank).where(F.col("rank") <= k).select("answer_id", "rank", "name")
+
+
+def native_voices_for(probe: DataFrame, table: DataFrame) -> DataFrame:
+    """probe (provider, lang) with male and female: the language's voices, else the provider's English ones."""
+    native = native_voices(table)
+    english = native.where("lang = 'en'").select("provider", F.col("male").alias("__m"), F.col("female").alias("__f"))
+    j = probe.join(native, ["provider", "lang"], "left").join(english, "provider", "left")
+    return j.withColumn("male", F.coalesce("male", "__m")).withColumn("female", F.coalesce("female", "__f")).drop("__m", "__f")
+
+
+def default_voice(explicit: Column, gender: Column, male: Column, female: Column) -> Column:
+    """The stated voice, else the male one for gender ``male`` and the female one for any other."""
+    return F.coalesce(explicit, F.when(gender == "male", male).otherwise(female))
+
+
+def local_voice(voice: Column) -> Column:
+    """A style of the local model; unknown ones are M1."""
+    known = [name for provider, _, name, *_ in VOICES if provider == "supertonic"]
+    return F.when(voice.isin(*known), voice).otherwise(F.lit("M1"))

@@ -109,3 +109,20 @@ def restore_punctuation(chunked: DataFrame, call: Callable[[str], str | None]) -
 
     said = raw.mapInPandas(run, raw.schema)
     return renumber(align(chunked, said), "chunk", "sentence").select("media_id", "id", "start_ms", "end_ms", "text")
+
+
+def fetch_captions(media: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
+    """(media_id, body) of the media (media_id, url) whose caption body `call` gets; any failure leaves a medium out."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for url in f["url"]:
+                try:
+                    out.append(call(url))
+                except Exception:  # noqa: BLE001  without captions the medium is recognised
+                    out.append(None)
+            f["body"] = out
+            yield f[["media_id", "body"]]
+
+    return media.select("media_id", "url").mapInPandas(run, "media_id long, body string").where("body is not null")

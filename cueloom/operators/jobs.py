@@ -125,3 +125,17 @@ def timings_json(steps: DataFrame, costs: DataFrame) -> DataFrame:
     g = steps.groupBy("run").agg(F.sum("elapsed").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "step", "elapsed"))).alias("steps"))
     shown = F.transform("steps", lambda s: F.struct(s["step"].alias("name"), s["elapsed"].alias("elapsed")))
     return g.join(costs, "run", "left").select("run", F.to_json(F.struct("total", shown.alias("steps"), F.col("total_usd").alias("cost"))).alias("body"))
+
+
+def job_rows(runs: DataFrame, costs: DataFrame) -> DataFrame:
+    """The statistics table's rows of ended runs, cancelled ones left out; created_at is when the run began.
+
+    runs: (id, status, started_at, finished_at, params map, audio_seconds, segments_count,
+    tts_characters, llm_input_tokens, llm_output_tokens, error); costs: (id, whisper_usd,
+    translation_usd, tts_usd, total_usd).
+    """
+    p = lambda k: F.try_element_at("params", F.lit(k)).alias(k)
+    ended = runs.where(F.col("status").isin("done", "failed")).join(costs, "id", "left")
+    usd = [F.coalesce(f"{k}_usd", F.lit(0.0)).alias(f"{k}_cost_usd") for k in ("whisper", "translation", "tts", "total")]
+    texts = [p(k) for k in ("target_language", "source_language", "style", "voice", "voiceover", "transcription_provider", "translation_provider", "tts_provider")]
+    return ended.select("id", F.col("started_at").alias("created_at"), "finished_at", "status", *texts, *MEASURES, *usd, (F.col("finished_at") - F.col("started_at")).cast("double").alias("duration_seconds"), "error")

@@ -126,3 +126,21 @@ def deep_merge(base: dict, override: dict) -> dict:
     for k, v in override.items():
         out[k] = deep_merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def job_meta(bodies: DataFrame) -> DataFrame:
+    """(id, status, created_at, error) from JSON bodies; unreadable ones and those without an id are skipped."""
+    parsed = bodies.select(F.from_json("body", "id string, status string, created_at bigint, error string").alias("m"))
+    return parsed.where("m.id is not null").select("m.*")
+
+
+def media_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modified) of the files under path; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def uploaded_inputs(files: DataFrame) -> DataFrame:
+    """(job_id, path): the first file named input.* in each job's folder."""
+    named = files.select("path", F.regexp_extract("path", r"([^/]+)/input\.[^/]*$", 1).alias("job_id")).where("job_id <> ''")
+    return named.groupBy("job_id").agg(F.min("path").alias("path"))

@@ -163,3 +163,40 @@ def test_voice_lookup(spark):
     assert got["Daniel"] == table.where("provider = 'elevenlabs' and name = 'Daniel'").orderBy("lang").first().voice_id
     native = {(r.provider, r.lang): (r.male, r.female) for r in catalogs.native_voices(table).collect()}
     assert native["openai", "en"] == ("onyx", "nova") and native["supertonic", "en"] == ("M1", "F1") and native["together", "tr"] == ("turkish narrator man", "turkish calm man")
+
+
+def test_settled_status_stream(spark, tmp_path):
+    e = spark.createDataFrame([("a", 1, "queued"), ("a", 2, "cancelled"), ("a", 3, "running"), ("b", 1, "queued"), ("b", 2, "running")], "job_id string, seq long, status string")
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = live.settled_status(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("settled").outputMode("update").start()
+    try:
+        q.processAllAvailable()
+        assert {r.job_id: r.status for r in spark.table("settled").collect()} == {"a": "cancelled", "b": "running"}
+    finally:
+        q.stop()
+
+
+def test_sources_and_rows(spark, tmp_path):
+    bodies = spark.createDataFrame([('{"id":"a","status":"done","created_at":5}',), ("{",), ('{"x":1}',), (None,)], "body string")
+    assert [tuple(r) for r in readers.job_meta(bodies).collect()] == [("a", "done", 5, None)]
+    for f in ("j1/input.mp4", "j1/input.wav", "j2/other.mp4"):
+        (tmp_path / f).parent.mkdir(exist_ok=True)
+        (tmp_path / f).write_bytes(b"abc")
+    files = readers.media_files(spark, str(tmp_path))
+    assert files.count() == 3 and [(r.job_id, r.path.endswith("input.mp4")) for r in readers.uploaded_inputs(files).collect()] == [("j1", True)]
+
+    def call(url):
+        if url == "bad":
+            raise OSError
+        return url.upper()
+
+    media = spark.createDataFrame([(1, "u"), (2, "bad")], "media_id long, url string")
+    assert [tuple(r) for r in providers.fetch_captions(media, call).collect()] == [(1, "U")]
+    runs = spark.createDataFrame([("a", "done", 10, 25, {"voice": "nova"}, 9, 1, 2, 3, 4, None), ("b", "cancelled", 1, 2, {}, 0, 0, 0, 0, 0, None)], "id string, status string, started_at long, finished_at long, params map<string,string>, audio_seconds long, segments_count long, tts_characters long, llm_input_tokens long, llm_output_tokens long, error string")
+    costs = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 6.0)], "id string, whisper_usd double, translation_usd double, tts_usd double, total_usd double")
+    row = jobs.job_rows(runs, costs).collect()
+    assert len(row) == 1 and (row[0].created_at, row[0].duration_seconds, row[0].voice, row[0].total_cost_usd, row[0].style) == (10, 15.0, "nova", 6.0, None)
+    v = catalogs.native_voices_for(spark.createDataFrame([("together", "xx"), ("together", "fr")], "provider string, lang string"), catalogs.voices(spark))
+    assert {r.lang: r.male for r in v.collect()} == {"xx": "tutorial man", "fr": "french narrator man"}
+    d = spark.createDataFrame([(None, "male", "F3"), ("mine", "male", "Q"), (None, "x", "M2")], "e string, g string, l string")
+    assert [tuple(r) for r in d.select(catalogs.default_voice(F.col("e"), F.col("g"), F.lit("m"), F.lit("f")).alias("v"), catalogs.local_voice(F.col("l")).alias("l")).collect()] == [("m", "F3"), ("mine", "M1"), ("f", "M2")]
