@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .zipping import zip_within
+
 
 @dataclass(frozen=True)
 class Timing:
@@ -46,7 +48,7 @@ def gaps(segments: DataFrame, media: DataFrame, min_gap_ms: int = 50) -> DataFra
 
 def timed(segments: DataFrame, tts: DataFrame, t: Timing = Timing()) -> DataFrame:
     """Segments with a synthesised length, and their speed, target, atempo, freeze (seconds), chunk and gap (microseconds)."""
-    s = segments.join(tts, ["media_id", "id"]).withColumn("orig", (F.col("end_ms") - F.col("start_ms")) / 1000.0).withColumn("said", F.col("tts_ms") / 1000.0)
+    s = zip_within(segments, tts).withColumn("orig", (F.col("end_ms") - F.col("start_ms")) / 1000.0).withColumn("said", F.col("tts_ms") / 1000.0)
     short = (F.col("orig") < t.least) | (F.col("said") < t.least)
     s = s.withColumn("speed", F.when(short, 1.0).otherwise(F.greatest(F.lit(t.speed_min), F.least(F.lit(t.speed_max), F.try_divide("orig", "said")))))
     s = s.withColumn("target", F.col("orig") / F.col("speed"))
