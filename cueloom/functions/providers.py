@@ -38,8 +38,9 @@ def translate(segments: DataFrame, call: Batch = upper_translator, single: Calla
 
     def run(frames):
         for f in frames:
-            if len(f):
-                f["text"] = [y for i in range(0, len(f), batch) for y in halving(call, one, f["text"].tolist()[i : i + batch])]
+            texts, keys = f["text"].tolist(), list(zip(f["media_id"], f["id"] // batch))
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            f["text"] = [y for a, b in zip(starts, [*starts[1:], len(keys)]) for y in halving(call, one, texts[a:b])]
             yield f
 
     keyed = segments.withColumn("__batch", F.floor(F.col("id") / batch))
