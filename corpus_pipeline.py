@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.llm import linededup, packing, quality, simhash, substring
-from cueloom.llm.common import table, written
+from cueloom.llm.common import release, table, tables_written, written
 from cueloom.llm.queries import VOCABULARY
 from cueloom.session import ship
 
@@ -72,9 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents."""
+    """Applies STAGES to documents. What a stage has written on the way goes when its result is written."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), set(tables_written())
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, [p for p in tables_written()[:-1] if p not in before])
     return STAGES[-1][1](spark, docs, sf_dir)

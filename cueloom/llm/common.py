@@ -35,18 +35,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+_paths: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and rereads it.
 
     This cuts the lineage like checkpoint() does, but the table is columnar and
-    compressed. Lost executors lose nothing of it.
+    compressed. Lost executors lose nothing of it. The table stays until
+    release() or until whoever keeps the folder removes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> list[str]:
+    """Paths that written() has made in this process and release() has not removed, oldest first."""
+    return list(_paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables of written(); what is computed from them must have been saved."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _paths:
+            _paths.remove(path)
+
+
 def text_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bounds the session's Arrow batches by bytes: whole texts may be long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

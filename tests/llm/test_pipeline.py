@@ -9,7 +9,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from cueloom.llm.common import written
+from cueloom.llm.common import tables_written, written
 from cueloom.llm.queries import VOCABULARY
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -146,8 +146,11 @@ def test_packing(stages):
         assert b"".join(bytes(p.ids) for p in sorted(parts[r.doc_id], key=lambda p: p.start)) == ids
 
 
-def test_run_applies_the_stages(spark, sf_dir, stages):
+def test_run_applies_the_stages_and_tidies_up(spark, sf_dir, stages):
+    before = tables_written()
     assert C.run(spark, sf_dir).count() == len(stages["packing"][1])
+    # The last stage's documents and its encoded ids are still read by the result.
+    assert len(tables_written()) == len(before) + 2
 
 
 def test_stages_take_odd_rows(spark, odd, sf_dir):
