@@ -18,6 +18,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 from .common import cached
 
 #: Characters for which the plain pattern needs no composition.
@@ -32,7 +34,7 @@ def _chars(kind: str) -> str:
 #: letters, single digits, runs of anything else but white space.
 WORD = re.compile(f"[{_chars('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_chars('N')}]|[^\\t-\\r\\x20\\x85\\xa0{_chars('L')}{_chars('N')}]+")
 #: Words kept per worker; the cache is emptied when it is full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -86,13 +88,12 @@ class WordEncoder(dict):
         size = self.tok.get_vocab_size()
         #: The id-to-piece table, and whether a piece ends a word.
         self.pieces = [self.tok.id_to_token(i) or "" for i in range(size)]
-        self.ends = [bool(suffix) and piece.endswith(suffix) for piece in self.pieces]
+        self.ends = np.array([bool(suffix) and piece.endswith(suffix) for piece in self.pieces])
 
-    def learn(self, new: set[str], everything) -> None:
-        """Encodes new words, each once; if the cache is full, it then holds the words of everything() alone."""
+    def learn(self, new: set[str]) -> None:
+        """Encodes new words, each once; a full cache is emptied first."""
         if len(self) + len(new) > self.cache_words:
             self.clear()
-            new = set(everything())
         ordered = list(new)
         for i in range(0, len(ordered), 4096):
             self.update(zip(ordered[i : i + 4096], self.ids_of(ordered[i : i + 4096])))
@@ -101,42 +102,54 @@ class WordEncoder(dict):
         """One call for many words, cut at the pieces that end a word where these tell the words apart."""
         special = self.splitter.specials
         plain = [w for w in words if w not in special]
-        ids, ends = self.tok.encode(" ".join(plain), add_special_tokens=False).ids, self.ends
-        cuts = [i + 1 for i, x in enumerate(ids) if ends[x]]
+        ids = np.array(self.tok.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(cuts) == len(plain):
-            packed = array("I", ids).tobytes()
+            packed = ids.tobytes()
             found = iter([packed[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)])
         else:
             found = iter([array("I", e.ids).tobytes() for e in self.tok.encode_batch(plain, add_special_tokens=False)])
         return [special[w].to_bytes(4, "little") if w in special else next(found) for w in words]
 
+    def _holes(self, found: list) -> list[int]:
+        """Where a word's ids are lacking."""
+        at, i = [], -1
+        try:
+            while True:
+                i = found.index(None, i + 1)
+                at.append(i)
+        except ValueError:
+            return at
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Each word's ids."""
         found = list(map(self.get, words))
-        if None in found:
-            self.learn({w for w, x in zip(words, found) if x is None}, lambda: words)
-            found = list(map(self.__getitem__, words))
+        if at := self._holes(found):
+            self.learn({words[i] for i in at})
+            for i in at:
+                found[i] = self[words[i]]
         return found
 
     def encode_many(self, texts) -> list[bytes]:
         """Each text's ids. Words that the cache lacks are encoded together."""
         split, get = self.splitter.words, self.get
         out: list[bytes] = []
-        lacking: dict[int, list[str]] = {}
+        lacking: list[tuple[int, list[str], list, list[int]]] = []
         new: set[str] = set()
         for text in texts:
             words = split(text)
             found = list(map(get, words))
-            if None in found:
-                new.update(w for w, x in zip(words, found) if x is None)
-                lacking[len(out)] = words
+            if at := self._holes(found):
+                new.update([words[i] for i in at])
+                lacking.append((len(out), words, found, at))
                 out.append(b"")
             else:
                 out.append(b"".join(found))
-        if lacking:
-            self.learn(new, lambda: (w for words in lacking.values() for w in words))
-            for i, words in lacking.items():
-                out[i] = b"".join(map(self.__getitem__, words))
+        self.learn(new)
+        for k, words, found, at in lacking:
+            for i in at:
+                found[i] = self[words[i]]
+            out[k] = b"".join(found)
         return out
 
 
