@@ -144,14 +144,25 @@ def tempo_chain(speed: Column) -> Column:
     return F.concat(peeled, F.array(speed * F.pow(F.lit(2.0), down) / F.pow(F.lit(2.0), up)))
 
 
+def bound(value: Column, use) -> Column:
+    """use(x) with x standing for value, which is evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def overlap_strip(previous: Column, fragment: Column) -> Column:
     """The fragment without the longest prefix (two characters or more) that ends the previous text."""
     prev = F.lower(F.regexp_replace(previous, r"[.!?。！？ ]+$", ""))
     frag = F.regexp_replace(fragment, r"(?U)^\s+", "")
-    most = F.least(F.length(prev), F.length(frag))
-    lengths = F.filter(F.sequence(F.lit(0), most), lambda n: (n >= 2) & F.endswith(prev, F.lower(F.substring(frag, F.lit(1), n))))
-    rest = F.regexp_replace(F.substring(frag, F.array_max(lengths) + 1, F.length(frag)), "^[ ,，;；]+", "")
-    return F.when((F.size(lengths) > 0) & (strip(rest) != ""), rest).otherwise(fragment)
+
+    def longest(x: Column) -> Column:
+        most = F.least(F.length(x["p"]), F.length(x["f"]))
+        return F.array_max(F.filter(F.sequence(F.lit(0), most), lambda n: (n >= 2) & F.endswith(x["p"], F.lower(F.substring(x["f"], F.lit(1), n)))))
+
+    def rest(x: Column) -> Column:
+        left = bound(longest(x), lambda n: F.regexp_replace(F.substring(x["f"], n + 1, F.length(x["f"])), "^[ ,，;；]+", ""))
+        return bound(left, lambda r: F.when(strip(r) != "", r))
+
+    return F.coalesce(bound(F.struct(prev.alias("p"), frag.alias("f")), rest), fragment)
 
 
 def clock(ms: Column, mark: str = ",") -> Column:

@@ -44,12 +44,12 @@ def sentences_from_words(words: DataFrame) -> DataFrame:
     return w.groupBy("media_id", F.col("sid").alias("id")).agg(F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), text.alias("text"))
 
 
-def _islands(df: DataFrame, starts: Column, fold) -> DataFrame:
-    """Folds each island's rows, an array of structs in order, to an array of structs."""
+def _islands(df: DataFrame, starts: Column, fold, *also: str) -> DataFrame:
+    """Folds each island's rows, an array of structs in order with the columns `also`, to an array of structs."""
     marked = df.withColumn("__new", F.when(starts, 1).otherwise(0)).withColumn("__island", F.sum("__new").over(_in_order()))
-    rows = F.array_sort(F.collect_list(F.struct("id", "start_ms", "end_ms", "text", "speaker")))
+    rows = F.array_sort(F.collect_list(F.struct("id", "start_ms", "end_ms", "text", "speaker", *also)))
     folded = marked.groupBy("media_id", "__island").agg(rows.alias("r")).select("media_id", F.explode(fold(F.col("r"))).alias("s"))
-    return renumber(folded.select("media_id", "s.*"), "id")
+    return renumber(folded.select("media_id", "s.*").drop(*also), "id")
 
 
 def merge_continuous(segments: DataFrame, max_gap_ms: int = 1000, max_duration_ms: int | None = 60000) -> DataFrame:
@@ -62,28 +62,43 @@ def merge_continuous(segments: DataFrame, max_gap_ms: int = 1000, max_duration_m
     """
     order = _in_order()
     lag = lambda c: F.lag(c).over(order)
+    # What depends on one row alone is found once a row, not once a step of the fold.
+    s = segments.withColumn("__ends", T.ends_sentence_simple(F.col("text"))).withColumn("__frag", T.is_fragment(F.col("text")))
     # The current segment's end and speaker are the previous row's, and so is its text's end if that row has any.
     cut = (
         lag("id").isNull()
         | (F.col("speaker") != lag("speaker"))
         | (F.col("start_ms") - lag("end_ms") > max_gap_ms)
-        | ((T.strip(lag("text")) != "") & T.ends_sentence_simple(lag("text")) & ~T.is_fragment(F.col("text")))
+        | ((T.strip(lag("text")) != "") & lag("__ends") & ~F.col("__frag"))
     )
 
     def step(acc: Column, s: Column) -> Column:
-        cur = F.element_at(acc, -1)
-        extends = (
-            (s["speaker"] == cur["speaker"])
-            & (s["start_ms"] - cur["end_ms"] <= max_gap_ms)
-            & (~T.ends_sentence_simple(cur["text"]) | T.is_fragment(s["text"]))
-            & (F.lit(True) if max_duration_ms is None else s["end_ms"] - cur["start_ms"] <= max_duration_ms)
-        )
-        added = F.when(T.is_fragment(s["text"]), T.overlap_strip(cur["text"], s["text"])).otherwise(s["text"])
-        joined = F.when(T.strip(added) != "", T.strip(F.concat(cur["text"], F.lit(" "), added))).otherwise(cur["text"])
-        longer = F.struct(cur["id"].alias("id"), cur["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms"), joined.alias("text"), cur["speaker"].alias("speaker"))
-        return F.when(extends, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
-
-    return _islands(segments, cut, lambda r: F.aggregate(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1), step))
+        def extended(cur: Column) -> Column:
+            extends = (
+                (s["speaker"] == cur["speaker"])
+                & (s["start_ms"] - cur["end_ms"] <= max_gap_ms)
+                & (~cur["__ends"] | s["__frag"])
+                & (F.lit(True) if max_duration_ms is None else s["end_ms"] - cur["start_ms"] <= max_duration_ms)
+            )
+
+            def longer(added: Column) -> Column:
+                some = T.strip(added) != ""
+                return F.struct(
+                    cur["id"].alias("id"),
+                    cur["start_ms"].alias("start_ms"),
+                    s["end_ms"].alias("end_ms"),
+                    F.when(some, T.strip(F.concat(cur["text"], F.lit(" "), added))).otherwise(cur["text"]).alias("text"),
+                    cur["speaker"].alias("speaker"),
+                    F.when(some, s["__ends"]).otherwise(cur["__ends"]).alias("__ends"),
+                    cur["__frag"].alias("__frag"),
+                )
+
+            added = F.when(s["__frag"], T.overlap_strip(cur["text"], s["text"])).otherwise(s["text"])
+            return F.when(extends, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(T.bound(added, longer)))).otherwise(F.concat(acc, F.array(s)))
+
+        return T.bound(F.element_at(acc, -1), extended)
+
+    return _islands(s, cut, lambda r: F.aggregate(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1), step), "__ends", "__frag")
 
 
 def dedup_overlap(segments: DataFrame) -> DataFrame:
