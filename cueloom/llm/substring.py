@@ -191,8 +191,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     Words are runs without ASCII white space. A window is `window` consecutive
     words of one document; it is repeated if the same words also start anywhere
     else, in the same document too. The text keeps its own white space between
-    kept words. Hashes have 64 bits for anchors and, apart from these, 64 bits
-    for windows; a wrong removal needs both to collide.
+    kept words. Anchors and windows are told apart by 64-bit hashes.
 
     A null text has no words and stays null; empty and shorter texts stay as
     they are. A repeated row is elsewhere, so both lose their windows. Other
