@@ -12,16 +12,17 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import linededup, packing, quality, simhash, substring
+from cueloom.llm import linededup, packing, quality, shinglesets, simhash, substring
 from cueloom.llm.common import release, table, tables_written, written
 from cueloom.llm.queries import VOCABULARY
 from cueloom.session import ship
 
-#: Near duplicates: a similarity of 0.8 or more on five-word shingles. Two sets of similarity 0.8 have a cosine of
-#: 1.6 / 1.8, so each fingerprint bit agrees with chance 0.848 and 39 of 256 bits differ on average, standard
-#: deviation 5.7. Up to 48 differing bits link; keys are drawn so that a pair at 0.8 meets with chance 0.999.
-SHINGLE, LANES, RADIUS = 5, 4, 48
-AGREE, RECALL = 1 - math.acos(1.6 / 1.8) / math.pi, 0.999
+#: Near duplicates: a Jaccard similarity of 0.8 or more of the whole sets of five-word shingles. Fingerprints only find
+#: candidates, which are then compared by these sets. Two sets of similarity 0.8 have a cosine of 1.6 / 1.8, so each
+#: fingerprint bit agrees with chance 0.848 and 39 of 256 bits differ on average, standard deviation 5.7. Of such pairs,
+#: by that model, 0.9994 differ in at most 58 bits and 0.998 also meet under one of the 99 keys of 14 random bits.
+SHINGLE, LANES, RADIUS, BITS = 5, 4, 58, 14
+AGREE, KEYS = 1 - math.acos(1.6 / 1.8) / math.pi, 0.99997
 
 
 def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,10 +42,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group. Rows that share an id are one document; rows without one stay."""
-    rows = docs.count()
-    bits = max(16, math.ceil(math.log2(max(rows, 2))) - 6)
-    masks = simhash.sampled(bits, LANES, AGREE, RECALL)
-    found = simhash.groups(docs, SHINGLE, RADIUS, LANES, masks)
+    bits = max(BITS, math.ceil(math.log2(max(docs.count(), 2))) - 6)
+    masks = simhash.sampled(bits, LANES, AGREE, KEYS)
+    found = shinglesets.groups(docs, SHINGLE, RADIUS, LANES, masks)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
