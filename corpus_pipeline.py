@@ -21,6 +21,7 @@ from cueloom.session import ship
 #: candidates, which are then compared by these sets. Two sets of similarity 0.8 have a cosine of 1.6 / 1.8, so each
 #: fingerprint bit agrees with chance 0.848 and 39 of 256 bits differ on average, standard deviation 5.7. Of such pairs,
 #: by that model, 0.9994 differ in at most 58 bits and 0.998 also meet under one of the 99 keys of 14 random bits.
+#: Neither depends on the number of rows.
 SHINGLE, LANES, RADIUS, BITS = 5, 4, 58, 14
 AGREE, KEYS = 1 - math.acos(1.6 / 1.8) / math.pi, 0.99997
 
@@ -42,8 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group. Rows that share an id are one document; rows without one stay."""
-    bits = max(BITS, math.ceil(math.log2(max(docs.count(), 2))) - 6)
-    masks = simhash.sampled(bits, LANES, AGREE, KEYS)
+    masks = simhash.sampled(BITS, LANES, AGREE, KEYS)
     found = shinglesets.groups(docs, SHINGLE, RADIUS, LANES, masks)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -89,3 +89,11 @@ def test_documents_against_all_pairs(spark, sf_dir):
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     assert {r.doc_id for r in C.near_dedup(spark, docs, sf_dir).collect()} == {rows[i].doc_id for i in range(len(rows)) if root[i] == i}
+
+
+def test_keys_do_not_depend_on_the_number_of_rows(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(shinglesets, "groups", lambda docs, shingle, radius, lanes, masks: drawn.append(masks) or docs.selectExpr("doc_id", "doc_id AS component_id"))
+    for rows in (2, 1 << 24):
+        C.near_dedup(spark, spark.range(rows).selectExpr("id AS doc_id", "'' AS text"), "")
+    assert drawn[0] == drawn[1]
