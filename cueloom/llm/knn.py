@@ -26,7 +26,7 @@ CELL = 8192
 BLOCK = 4096
 TREE = 2048
 LEAF = 64
-#: Quantised components below this keep every score within a long.
+#: Vectors with a quantised component of this or more meet the others apart, so that these keep their fast arithmetic.
 LARGEST = 1 << 26
 
 
@@ -104,13 +104,22 @@ def _matrix(column):
     return out
 
 
+def _most(rows) -> int:
+    return max(int(rows.max(initial=0)), -int(rows.min(initial=0)))
+
+
 def _exact(queries, rows):
-    """Both as doubles, where these hold every score exactly; else as they are."""
+    """The type that holds every score exactly: doubles, longs or else Python's integers."""
     import numpy as np
 
-    d = rows.shape[1]
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * d
-    return (queries.astype(np.float64), rows.astype(np.float64)) if most < 2**52 else (queries, rows)
+    most = _most(queries) * _most(rows) * rows.shape[1]
+    return np.float64 if most < 2**52 else np.int64 if most < 2**63 else object
+
+
+def _by_size(rows):
+    """Row numbers of the vectors under LARGEST, and of the others."""
+    large = ((rows >= LARGEST) | (rows <= -LARGEST)).any(1)
+    return [at for at in ((~large).nonzero()[0], large.nonzero()[0]) if len(at)]
 
 
 def _cell(left, right, k: int, schema):
@@ -124,13 +133,17 @@ def _cell(left, right, k: int, schema):
             if d not in cands:
                 continue
             at, rows = cands[d]
-            queries, rows = _exact(queries, rows)
             best: list[list] = [[] for _ in q_at]
-            for i in range(0, len(at), TREE):
-                tree = Tree(c_ids[at[i : i + TREE]], rows[i : i + TREE])
-                bounds = tree.bounds(queries)
-                for j, q in enumerate(q_at):
-                    tree.search(q_ids[q], queries[j], bounds[j], best[j], k)
+            for those, js in ((x, y) for x in _by_size(rows) for y in _by_size(queries)):
+                kind = _exact(queries[js], rows[those])
+                asked = queries[js].astype(kind)
+                for i in range(0, len(those), TREE):
+                    part = those[i : i + TREE]
+                    tree = Tree(c_ids[at[part]], rows[part])
+                    tree.rows, tree.low, tree.high = tree.rows.astype(kind), tree.low.astype(kind), tree.high.astype(kind)
+                    bounds = tree.bounds(asked)
+                    for n, j in enumerate(js.tolist()):
+                        tree.search(q_ids[q_at[j]], asked[n], bounds[n], best[j], k)
             out += [(int(q_ids[q]), -x, s) for j, q in enumerate(q_at) for s, x in best[j]]
     return pa.Table.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], schema=schema)
 
@@ -138,7 +151,7 @@ def _cell(left, right, k: int, schema):
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, v array<long>) of the vectors that take part."""
     raw = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("x"))
-    fits = F.forall("x", lambda c: F.coalesce(F.abs(c) * scale < LARGEST, F.lit(False)) & ~F.isnan(c))
+    fits = F.forall("x", lambda c: F.coalesce((c * scale >= -(2.0**63)) & (c * scale < 2.0**63), F.lit(False)) & ~F.isnan(c))
     return raw.where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(fits).select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
@@ -149,9 +162,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_col:
     Components become floor(scale * x); the score is the integer inner product;
     ties go to the smaller id.
 
-    A vector that is null, or has a null or non-finite component or one of
-    LARGEST / scale or more (whose scores a long can't hold), takes no part, nor
-    does a row without id. Vectors of different lengths don't meet. Rows with
+    A vector that is null, or has a null or non-finite component or one whose
+    floor a long can't hold, takes no part, nor does a row without id. A score
+    among the best that a long can't hold is an error. Vectors of different lengths don't meet. Rows with
     the query's own id are its own; other repeated rows count as often as they
     stand, and a query repeated with other values is asked once, with its
     smallest. Other columns are ignored. An empty table gives none.
