@@ -1,19 +1,16 @@
-"""SimHash near-duplicates through pivot distance tables.
-
-Reference fingerprints ("pivots") and their Hamming distances to each
-fingerprint do three things:
-
-* Index. The distances to a base pivot and to its one-bit neighbours differ by
-  +1 or -1 a bit; a set of bits is a segment of this table, and equal segments
-  are equal table rows. Fingerprints at most r bits apart agree on at least
-  s - r of s segments, so every choice of s - r segments gives a key and no link
-  is lost (`cover`). Where r is too large for that, keys are many random
-  segments, enough of them for a stated recall (`sampled`).
-* Discard. Inside a key, two fingerprints whose distances to any of REFERENCES
-  spread pivots differ by over r cannot be r bits apart (triangle inequality).
+"""SimHash near-duplicates by segment keys, pivot distances and comparison.
+
+* Index. Candidates come from segments of the fingerprints' bits, without any
+  distance. Fingerprints at most r bits apart agree on at least s - r of s
+  segments, so every choice of s - r segments gives a key and no link is lost
+  (`cover`). Where r is too large for that, keys are many random segments,
+  enough of them for a stated recall (`sampled`).
+* Discard. Reference fingerprints ("pivots") serve inside a key: two
+  fingerprints whose distances to any of REFERENCES spread pivots differ by over
+  r cannot be r bits apart (triangle inequality).
 * Verify. Survivors are compared bit by bit.
 
-Distances to spread pivots alone can't index 64-bit fingerprints: nearly all of
+Distances to pivots can't index 64-bit fingerprints: nearly all of
 them lie within a few bits of 32, so each range of them holds most of the table.
 
 Copies with equal fingerprints are one node. A key with more than CAP nodes is
