@@ -115,3 +115,15 @@ def own(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add under the same names."""
     have = {c.lower() for c in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in have])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these for working columns, none of which df has in any case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name in have:
+            name += "_"
+        have.add(name)
+        out.append(name)
+    return out

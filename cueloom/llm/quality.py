@@ -1,12 +1,18 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule is a boolean column that is true for a text to reject. On a sample of
-at most SAMPLE_ROWS rows each rule's share of rejected rows and its time are
-measured; the rules are put in the order of rejection per cost and become one
-CASE expression, whose later rules run only on rows that no earlier one
-rejected. The order changes the time alone: a text is kept if no rule rejects it.
-
-All of it is DataFrame expressions; nothing is shuffled.
+about SAMPLE_ROWS rows, drawn over the whole table, each rule's share of
+rejected rows and its time are measured; the rules are put in the order of
+rejection per cost and become one CASE expression, whose later rules run only on
+rows that no earlier one rejected. The base (too few words, too many in repeated
+windows) is two rules among the others. The order changes the time alone: a text
+is kept if no rule rejects it.
+
+`kept` computes in each rule what that rule needs and nothing else. `judge` also
+returns FEATURES of every row, so there the rules read what is computed already.
+
+All of it is DataFrame expressions; nothing is shuffled. The sample costs a scan
+of the text column and a count.
 """
 
 from __future__ import annotations
@@ -16,11 +22,12 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, own
+from .common import SPACE_CLASS, WORD_CLASS, fresh, own
 
-#: The sample's bound, and how often it is repeated so that its time can be read.
+#: Rows of the sample (twice as many at most), its seed, and how often it is repeated so that its time can be read.
 SAMPLE_ROWS = 256
-REPEATS = 12
+SAMPLE_SEED = 17
+REPEATS = 4
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20
@@ -32,88 +39,112 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def repeated_words(words: Column, n: Column, window: int = WINDOW) -> Column:
-    """Words in windows of `window` words found twice or more; windows are told apart by 64-bit hashes."""
-    hashes = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
+def words_of(text: Column) -> Column:
+    """The words of a text that isn't null; texts of spaces and line feeds alone are cut without a pattern."""
+    plain = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(line, " ")))
+    return F.array_remove(F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.split(text, f"{SPACE_CLASS}+")).otherwise(plain), "")
+
+
+def window_hashes(words: Column, n: Column, window: int = WINDOW) -> Column:
+    """64 bits for each of the n - window + 1 runs of words, from two shorter runs that make it up and may overlap."""
 
-    def covered(h: Column) -> Column:
-        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    def longer(h: Column, size: int) -> Column:
+        if size == window:
+            return F.slice(h, 1, n - window + 1)
+        step = min(size, window - size)
+        return longer_of(F.zip_with(h, F.slice(h, step + 1, n), lambda x, y: F.xxhash64(x, y)), size + step)
 
-        def starts(s: Column) -> Column:
-            twice = F.filter(s, lambda e, k: (e["h"] == F.get(s, k - 1)["h"]) | (e["h"] == F.get(s, k + 1)["h"]))
-            return F.sort_array(F.transform(twice, lambda e: e["i"]))
+    def longer_of(h: Column, size: int) -> Column:
+        return bound(h, lambda x: longer(x, size))
 
-        first = F.struct(F.lit(0).alias("total"), F.lit(-window).alias("last"))
-        step = lambda acc, x: F.struct((acc["total"] + F.least(F.lit(window), x - acc["last"])).alias("total"), x.alias("last"))
-        return F.aggregate(bound(ordered, starts), first, step, lambda acc: acc["total"])
+    return longer_of(F.transform(words, lambda w: F.xxhash64(w)), 1)
 
-    some = bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
-    return F.when(n > window, some).otherwise(F.lit(0))
 
+def _covered(hashes: Column, window: int) -> Column:
+    """Words that the windows standing twice cover."""
+    ordered = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-def features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with FEATURES (long) and the working columns __words, __text, __lines (lines with a word) and __row."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    base = own(df, *FEATURES).withColumn("__text", text)
-    base = base.withColumn("__words", F.regexp_extract_all("__text", F.lit(f"({WORD_CLASS})"), F.lit(1)))
-    base = base.withColumn("__lines", F.filter(F.split("__text", "\n", -1), lambda line: line.rlike(WORD_CLASS)))
-    words, n = F.col("__words"), F.size("__words")
-    return base.select(
-        "*",
-        # Not deterministic on purpose: a filter on what follows must not be pushed below this
-        # projection, where the optimizer would write every feature out once a use.
-        F.monotonically_increasing_id().alias("__row"),
-        n.cast("long").alias("n_words"),
-        F.length(F.regexp_replace("__text", f"{SPACE_CLASS}+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("__text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(words, n).cast("long").alias("n_repeat_words"),
-    )
+    def starts(s: Column) -> Column:
+        twice = F.filter(s, lambda e, k: (e["h"] == F.get(s, k - 1)["h"]) | (e["h"] == F.get(s, k + 1)["h"]))
+        return F.sort_array(F.transform(twice, lambda e: e["i"]))
 
+    first = F.struct(F.lit(0).alias("total"), F.lit(-window).alias("last"))
+    step = lambda acc, x: F.struct((acc["total"] + F.least(F.lit(window), x - acc["last"])).alias("total"), x.alias("last"))
+    return F.aggregate(bound(ordered, starts), first, step, lambda acc: acc["total"])
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+def repeated_words(words: Column, n: Column, window: int = WINDOW, over: int = 0) -> Column:
+    """Words in windows of `window` words found twice or more; windows are told apart by 64-bit hashes.
+
+    With `over`, a number of at most `over` percent of n may come back as 0. A
+    window class of c > 1 members has c <= 2 * (c - 1), so `windows - distinct`
+    bounds the members, and `window` times that the words: most texts need no sort.
+    """
+
+    def count(h: Column) -> Column:
+        extra = F.size(h) - F.size(F.array_distinct(h))
+        return bound(extra, lambda x: F.when(100 * 2 * window * x <= over * n, F.lit(0)).otherwise(_covered(h, window)))
+
+    return F.when(n > window, bound(window_hashes(words, n, window), count)).otherwise(F.lit(0))
+
+
+def measures(text: Column, words: Column, over: int = 0) -> dict[str, Column]:
+    """What the rules read, as expressions over a text that isn't null and its words."""
+    n = F.size(words)
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD_CLASS))
+    return {
+        "n_words": n,
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
+        "n_dup_lines": bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_lines": F.size(lines),
+        "n_repeat_words": repeated_words(words, n, over=over),
+    }
 
 
-def rules() -> dict[str, Column]:
-    """The verdict's rules over features(); true rejects. All thresholds are shares."""
-    n, text = F.col("n_words"), F.col("__text")
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+def rules(m: dict[str, Column], text: Column, words: Column) -> dict[str, Column]:
+    """The verdict's rules over measures(); true rejects. All thresholds but the number of words are shares."""
+    n = m["n_words"]
     upper = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
-    with_letter = F.size(F.filter("__words", lambda w: w.rlike(r"\p{L}")))
-    same_as_last = F.size(F.filter("__words", lambda w, i: (i > 0) & (w == F.get(F.col("__words"), i - 1))))
+    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
+    same = F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(n, F.lit(1))), lambda a, b: a == b), lambda x: x)
     return {
-        "symbols": 10 * F.col("n_symbols") > n,
-        "word_length": (2 * F.col("word_chars") < 5 * n) | (F.col("word_chars") > 12 * n),
-        "repeated_lines": 2 * F.col("n_dup_lines") > F.size("__lines"),
-        "few_letters": 10 * with_letter < 7 * n,
-        "upper_case": 10 * upper > 6 * letters,
-        "stuttering": 10 * same_as_last > 3 * n,
+        "few_words": n < MIN_WORDS,
+        "repetition": 100 * m["n_repeat_words"] > MAX_REPEATED * n,
+        "symbols": 10 * m["n_symbols"] > n,
+        "word_length": bound(m["word_chars"], lambda c: (2 * c < 5 * n) | (c > 12 * n)),
+        "repeated_lines": 2 * m["n_dup_lines"] > m["n_lines"],
+        "few_letters": 10 * F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) < 7 * n,
+        "upper_case": bound(upper, lambda u: F.when(u == 0, F.lit(False)).otherwise(10 * u > 6 * letters)),
+        "stuttering": 10 * F.size(same) > 3 * n,
     }
 
 
-def cost_and_selectivity(df: DataFrame, checks: dict[str, Column], sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> dict[str, tuple[float, float]]:
-    """name -> (seconds on the sample, share that it rejects), over the first sample_rows rows that Spark returns."""
-    spark = df.sparkSession
-    rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).take(sample_rows)
-    if not rows:
-        return {name: (1.0, 0.0) for name in checks}
-    sample = features(spark.createDataFrame(rows, "text string").coalesce(1)).select("__words", "__text", "__lines", *FEATURES)
-    sample = sample.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))).persist()
+def sampled(df: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """(text), about `rows` rows (twice as many at most) drawn over the whole table, on the driver."""
+    text = df.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    n = df.count()
+    drawn = text.sample(rows / n, SAMPLE_SEED) if n > rows else text
+    return df.sparkSession.createDataFrame(drawn.take(2 * rows), "text string")
+
+
+def cost_and_selectivity(sample: DataFrame, checks: dict[str, Column]) -> dict[str, tuple[float, float]]:
+    """name -> (seconds on the sample, share that it rejects)."""
+    held = sample.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))).coalesce(1).persist()
     try:
-        sample.count()
+        held.count()
         out = {}
         for name, reject in checks.items():
             best, share = None, 0.0
             for _ in range(2):
                 began = time.perf_counter()
-                share = sample.agg(F.avg(reject.cast("double"))).first()[0] or 0.0
+                share = held.agg(F.avg(reject.cast("double"))).first()[0] or 0.0
                 took = time.perf_counter() - began
                 best = took if best is None else min(best, took)
             out[name] = (best, share)
         return out
     finally:
-        sample.unpersist()
+        held.unpersist()
 
 
 def ordered(measured: dict[str, tuple[float, float]]) -> list[str]:
@@ -129,19 +160,54 @@ def cascade(checks: dict[str, Column], order: list[str]) -> Column:
     return out
 
 
+def rejected_by(text: Column, order: list[str]) -> Column:
+    """cascade() in that order as one expression over a text; a null text is empty."""
+
+    def of_text(t: Column) -> Column:
+        return bound(words_of(t), lambda w: cascade(rules(measures(t, w, MAX_REPEATED), t, w), order))
+
+    return bound(F.coalesce(text.cast("string"), F.lit("")), of_text)
+
+
+def kept(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of df that judge() would keep, with their columns alone.
+
+    Null, empty and blank texts go. Repeated rows agree. An empty table gives none.
+    """
+    text, words = F.col("text"), F.col("words")
+    sample = sampled(df, text_col, sample_rows).select("text", words_of(text).alias("words"))
+    order = ordered(cost_and_selectivity(sample, rules(measures(text, words, MAX_REPEATED), text, words)))
+    return df.where(rejected_by(F.col(f"`{text_col}`"), order).isNull())
+
+
 def judge(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """df with FEATURES, base_failed, rejected_by and kept.
+    """df with FEATURES (long), base_failed, rejected_by and kept.
 
     base_failed: under MIN_WORDS words, or over MAX_REPEATED percent of them in
-    repeated windows. kept: neither that nor any rule of rules() rejects it;
-    rejected_by names the base or the first rule in the measured order.
+    repeated windows. kept: no rule of rules(), these two among them, rejects
+    it; rejected_by names the first one in the measured order.
 
     Null, empty and blank texts have no words and fail the base. Each row is
-    judged by its own text, so repeated rows agree. Other columns pass through;
-    columns with the names above are replaced. An empty table gives none.
+    judged by its own whole text, however long, so repeated rows agree. Other
+    columns pass through, whatever their names; columns with the names above are
+    replaced. An empty table gives none.
     """
-    checks = rules()
-    order = ordered(cost_and_selectivity(df, checks, sample_rows, text_col))
-    out = features(own(df, "base_failed", "rejected_by", "kept"), text_col).withColumn("base_failed", base_failed())
-    out = out.withColumn("rejected_by", F.when(F.col("base_failed") & (F.col("__row") >= 0), F.lit("base")).otherwise(cascade(checks, order)))
-    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("__words", "__text", "__lines", "__row")
+    df = own(df, *FEATURES, "base_failed", "rejected_by", "kept")
+    work, row = fresh(df, "work", "row")
+
+    def with_features(rows: DataFrame, text: Column) -> DataFrame:
+        base = rows.withColumn(work, F.struct(text.alias("text"), words_of(text).alias("words")))
+        made = measures(F.col(f"{work}.text"), F.col(f"{work}.words"))
+        # The row's number isn't deterministic on purpose: a filter on what follows must not be pushed below
+        # this projection, where the optimizer would write every measure out once a use.
+        return base.select("*", F.monotonically_increasing_id().alias(row), *[made[k].cast("long").alias(k) for k in FEATURES])
+
+    def checks() -> dict[str, Column]:
+        text, words = F.col(f"{work}.text"), F.col(f"{work}.words")
+        return rules({"n_lines": measures(text, words)["n_lines"]} | {k: F.col(k) for k in FEATURES}, text, words)
+
+    order = ordered(cost_and_selectivity(with_features(sampled(df, text_col, sample_rows), F.col("text")), checks()))
+    out = with_features(df, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    base = checks()["few_words"] | checks()["repetition"]
+    out = out.withColumn("base_failed", base).withColumn("rejected_by", F.when(F.col(row) >= 0, cascade(checks(), order)))
+    return out.withColumn("kept", F.col("rejected_by").isNull()).drop(work, row)

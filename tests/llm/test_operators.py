@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -261,28 +262,60 @@ def test_shards(request, which):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def features_of(text):
+    w = words(text)
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    repeated = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    lines = [x for x in text.split("\n") if words(x)]
+    return w, len(repeated), lines, sum(c in "#*$%&|<>" for c in text)
+
+
+def rejected(text):
+    """The names of all rules that reject a text, each computed on its own."""
+    w, n_repeated, lines, n_symbols = features_of(text)
+    n, chars = len(w), sum(map(len, w))
+    letters, upper = (sum(unicodedata.category(c) in kinds for c in text) for kinds in (("Lu", "Ll", "Lt", "Lm", "Lo"), ("Lu",)))
+    found = {
+        "few_words": n < 10,
+        "repetition": 100 * n_repeated > 20 * n,
+        "symbols": 10 * n_symbols > n,
+        "word_length": 2 * chars < 5 * n or chars > 12 * n,
+        "repeated_lines": 2 * (len(lines) - len(set(lines))) > len(lines),
+        "few_letters": 10 * sum(any(unicodedata.category(c)[0] == "L" for c in x) for x in w) < 7 * n,
+        "upper_case": 10 * upper > 6 * letters,
+        "stuttering": 10 * sum(a == b for a, b in zip(w, w[1:])) > 3 * n,
+    }
+    return {k for k, v in found.items() if v}
+
+
 def test_quality(spark, odd, documents):
-    for docs in (odd, documents):
-        for r in quality.judge(docs).collect():
+    more = [(900 + i, t) for i, t in enumerate(["a b c d e f g h i j " * 3, "one two three four five six\nseven eight nine ten\televen", "WORD IN UPPER CASE THROUGHOUT ALL OF THE TEXT HERE", " ".join(f"x{i}" for i in range(40)) + " x0 x1 x2 x3 x4 x5", "# a * b $ c % d & e | f < g > h i j k l m n"])]
+    for docs in (odd.withColumnRenamed("n_words", "__work"), documents, spark.createDataFrame(more, "doc_id long, text string")):
+        got = quality.judge(docs).collect()
+        for r in got:
             t = r.text or ""
-            w = words(t)
-            windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-            repeated = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
-            lines = [x for x in t.split("\n") if words(x)]
-            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(repeated))
-            assert r.base_failed == (len(w) < 10 or 100 * len(repeated) > 20 * len(w))
-            assert not (r.base_failed and r.kept) and r.kept == (r.rejected_by is None)
+            w, n_repeated, lines, n_symbols = features_of(t)
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), n_symbols, len(lines) - len(set(lines)), n_repeated)
+            why = rejected(t)
+            assert r.base_failed == bool(why & {"few_words", "repetition"}) and r.kept == (not why) and (r.rejected_by in why if why else r.rejected_by is None)
+        assert Counter((r.doc_id, r.text) for r in quality.kept(docs).collect()) == Counter((r.doc_id, r.text) for r in got if r.kept)
+        assert quality.kept(docs).columns == docs.columns
 
 
 def test_quality_order_changes_no_verdict(documents):
-    checks = quality.rules()
-    f = quality.features(documents)
-    orders = [list(checks), list(reversed(checks))]
-    kept = [sorted(r.doc_id for r in f.where(quality.cascade(checks, o).isNull()).select("doc_id").collect()) for o in orders]
-    assert kept[0] == kept[1]
+    names = list(quality.rules(quality.measures(F.col("text"), F.array()), F.col("text"), F.array()))
+    kept = [sorted(r.doc_id for r in documents.where(quality.rejected_by(F.col("text"), o).isNull()).select("doc_id").collect()) for o in (names, names[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) > 0
     assert quality.ordered({"slow": (2.0, 0.5), "fast": (0.1, 0.1), "never": (0.1, 0.0)}) == ["fast", "slow", "never"]
 
 
+def test_quality_sample_is_drawn_over_the_table(spark):
+    rows = spark.range(20000).selectExpr("cast(id as string) AS text")
+    drawn = [int(r.text) for r in quality.sampled(rows, "text", 256).collect()]
+    assert 128 < len(drawn) <= 512 and min(drawn) < 2000 and max(drawn) > 18000
+    assert quality.sampled(rows.limit(5), "text", 256).count() == 5
+
+
 def test_quality_follows_the_labels(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     j = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).join(labels, "doc_id")
