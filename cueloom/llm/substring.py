@@ -5,14 +5,16 @@ which both p + k and q + k are cover positions modulo PERIOD, since the cover's
 differences give every residue. So only the ANCHOR words from cover positions
 are hashed (5 of 21), and any two equal windows share an aligned anchor.
 
-1. Each block of documents gives its distinct anchor hashes. An anchor that
-   stands twice in a block, or in two blocks, is shared.
-2. Shared anchors go back to their blocks and extend: each window around one is
-   hashed as a whole, and again a block gives its distinct hashes.
+1. Each block of documents gives its distinct anchor hashes (64 bits), cut into
+   pieces by ranges of hashes. An anchor that stands twice in a block, or in two
+   blocks, is shared; each piece gets a bit a hash back.
+2. Blocks extend their shared anchors: each window around one is hashed as a
+   whole (128 bits in two independent lanes), and the distinct hashes meet as before.
 3. Windows that stand twice are removed from their block's documents.
 
-A passage in a third of all documents is one row a block in both shuffles; no
-pairs are formed. All windows are judged on the input.
+Anchors only find windows, so their collisions cost time alone. A passage in a
+third of all documents is one entry a block in both shuffles; no pairs are
+formed. All windows are judged on the input.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, rows_of, written_blocks
-from .common import own
+from .blocks import BLOCK_BYTES, PIECES, distinct, parts_for, pieces, rows_of, twice, unpacked, written_blocks
+from .common import own, written
 
 WINDOW = 35
 #: A perfect difference set of 21 (all differences but 0 once).
@@ -32,20 +34,22 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes or words hashed in one go, and the length from which a word is hashed on its own.
 CHUNK, LONG = 1 << 16, 256
-#: The odd multiplier of the positional sums, and those of the final mixer.
-BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Each lane's odd multiplier of the positional sums and seed of its byte values, and the multipliers of the final mixer.
+LANES = ((0x9E3779B97F4A7C15, 20240229), (0xD1342543DE82EF95, 20240301))
+MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-@lru_cache(maxsize=1)
-def _tables():
-    """Powers of BASE, of its inverse, a random value for each byte, and which bytes are white space."""
+@lru_cache(maxsize=2)
+def _tables(lane: int):
+    """Powers of the lane's multiplier, of its inverse, a random value for each byte, and which bytes are white space."""
     import numpy as np
 
-    powers = [np.full(CHUNK + 1, x, np.uint64) for x in (BASE, pow(BASE, -1, 2**64))]
+    base, seed = LANES[lane]
+    powers = [np.full(CHUNK + 1, x, np.uint64) for x in (base, pow(base, -1, 2**64))]
     for p in powers:
         p[0] = 1
         np.cumprod(p, out=p)
-    values = np.random.default_rng(20240229).integers(1, 2**64, 256, np.uint64)
+    values = np.random.default_rng(seed).integers(1, 2**64, 256, np.uint64)
     space = np.zeros(256, bool)
     space[list(b" \t\n\x0b\x0c\r")] = True
     return *powers, values, space
@@ -62,44 +66,48 @@ def _mixed(h):
     return h
 
 
-def _sums(values):
+def _sums(values, lane: int):
     """(prefix sums of values weighted by position, inverse powers): any run's hash is a difference of two."""
     import numpy as np
 
-    power, inverse, *_ = _tables()
+    power, inverse, *_ = _tables(lane)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * power[: len(values)], out=total[1:])
     return total, inverse
 
 
-def _chunk_hashes(raw: bytes):
-    import numpy as np
+def _long_hash(word: bytes, lane: int) -> int:
     from xxhash import xxh3_64_intdigest
 
-    *_, values, space = _tables()
+    return xxh3_64_intdigest(word, LANES[lane][1])
+
+
+def _chunk_hashes(raw: bytes, lane: int):
+    import numpy as np
+
+    *_, values, space = _tables(lane)
     b = np.frombuffer(raw, np.uint8)
     word = np.zeros(len(b) + 2, np.int8)
     word[1:-1] = ~space[b]
     step = np.diff(word)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    total, inverse = _sums(values[b])
+    total, inverse = _sums(values[b], lane)
     h = (total[end] - total[start]) * inverse[start]
     size = end - start
     h = _mixed(h + size.astype(np.uint64))
     if len(size) and size.max() > LONG:
         for i in np.flatnonzero(size > LONG).tolist():
-            h[i] = xxh3_64_intdigest(raw[start[i] : end[i]])
+            h[i] = _long_hash(raw[start[i] : end[i]], lane)
     return h
 
 
-def word_hashes(text: str | None):
-    """A 64-bit hash of each word, the same wherever the word stands."""
+def word_hashes(text: str | None, lane: int = 0):
+    """A 64-bit hash of each word, the same wherever the word stands; lanes are independent."""
     import numpy as np
-    from xxhash import xxh3_64_intdigest
 
     raw = text.encode() if text else b""
     if len(raw) <= CHUNK:
-        return _chunk_hashes(raw)
+        return _chunk_hashes(raw, lane)
     out, at = [], 0
     cut = re.compile(rb"[\x20\x09-\x0D]")
     while at < len(raw):
@@ -109,17 +117,17 @@ def word_hashes(text: str | None):
             if last < 0:  # one word that is longer than a chunk
                 m = cut.search(raw, at + CHUNK)
                 end = m.start() if m else len(raw)
-                out.append(np.array([xxh3_64_intdigest(raw[at:end])], np.uint64))
+                out.append(np.array([_long_hash(raw[at:end], lane)], np.uint64))
                 at = end
                 continue
             part = part[: last + 1]
-        out.append(_chunk_hashes(part))
+        out.append(_chunk_hashes(part, lane))
         at += len(part)
     return np.concatenate(out)
 
 
-def rolled(h, width: int):
-    """A hash of each run of `width` words; h: the words' hashes."""
+def rolled(h, width: int, lane: int = 0):
+    """A hash of each run of `width` words; h: the words' hashes of that lane."""
     import numpy as np
 
     n = len(h) - width + 1
@@ -128,7 +136,7 @@ def rolled(h, width: int):
     out = []
     for i in range(0, n, CHUNK - width):
         part = h[i : i + CHUNK]
-        total, inverse = _sums(part)
+        total, inverse = _sums(part, lane)
         k = min(len(part) - width + 1, CHUNK - width)
         out.append(_mixed((total[width : width + k] - total[:k]) * inverse[:k] + np.uint64(width)))
     return out[0] if len(out) == 1 else np.concatenate(out)
@@ -152,29 +160,47 @@ def anchors(h, width: int):
     return at, runs[at]
 
 
-def candidates(h, shared, window: int):
-    """Starts of the windows that hold a shared anchor; shared: sorted hashes."""
+def around(at, shared, n_words: int, window: int):
+    """Starts of the windows that hold a shared anchor; at: the anchors' positions, shared: which of them are."""
     import numpy as np
 
-    n = len(h) - window + 1
-    if n < 1 or not len(shared):
-        return np.zeros(0, np.int64)
-    at, a = anchors(h, window - PERIOD + 1)
-    at = at[member(a, shared)]
-    mark = np.zeros(len(h) + 1, np.int32)
+    at = at[shared]
+    mark = np.zeros(n_words + 1, np.int32)
     np.add.at(mark, np.maximum(at - PERIOD + 1, 0), 1)
     np.add.at(mark, at + 1, -1)
-    return np.flatnonzero(np.cumsum(mark)[:n] > 0)
+    return np.flatnonzero(np.cumsum(mark)[: n_words - window + 1] > 0)
 
 
-def member(x, ordered):
-    import numpy as np
+class BlockWindows:
+    """The anchors of a block's texts, and the windows around the shared ones."""
 
-    if not len(ordered):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(ordered, x)
-    at[at == len(ordered)] = 0
-    return ordered[at] == x
+    def __init__(self, texts: list, window: int):
+        import numpy as np
+
+        self.texts, self.window = texts, window
+        self.words, self.at, parts = [], [], []
+        for t in texts:
+            h = word_hashes(t)
+            self.words.append(len(h))
+            at, a = anchors(h, window - PERIOD + 1) if len(h) >= window else (np.zeros(0, np.int64), h[:0])
+            self.at.append(at)
+            parts.append(a)
+        self.hashes, self.place, self.count = distinct([np.concatenate(parts) if parts else np.zeros(0, np.uint64)])
+
+    def extend(self, shared):
+        """(starts of each text's windows, their distinct hashes, places in these, counts); shared: which distinct anchors are."""
+        import numpy as np
+
+        starts, lanes, first = [], ([], []), 0
+        for t, n, at in zip(self.texts, self.words, self.at):
+            hit = shared[self.place[first : first + len(at)]]
+            first += len(at)
+            found = around(at, hit, n, self.window) if hit.any() else np.zeros(0, np.int64)
+            starts.append(found)
+            if len(found):
+                for lane in (0, 1):
+                    lanes[lane].append(rolled(word_hashes(t, lane), self.window, lane)[found])
+        return starts, *distinct([np.concatenate(x) if x else np.zeros(0, np.uint64) for x in lanes])
 
 
 def cut_out(text: str, removed) -> str:
@@ -191,7 +217,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     Words are runs without ASCII white space. A window is `window` consecutive
     words of one document; it is repeated if the same words also start anywhere
     else, in the same document too. The text keeps its own white space between
-    kept words. Anchors and windows are told apart by 64-bit hashes.
+    kept words. Windows are told apart by 128-bit hashes.
 
     A null text has no words and stays null; empty and shorter texts stay as
     they are. A repeated row is elsewhere, so both lose their windows. Other
@@ -204,49 +230,38 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     blocks = written_blocks(docs, "passages", block_bytes)
     i_text = docs.columns.index(text_col)
 
-    def texts(payload: bytes):
-        for rows in rows_of(payload):
-            yield from rows.column(i_text).to_pylist()
-
-    def distinct(block: int, parts: list):
-        """Batches of a block's distinct hashes; n is 2 if one stands twice there."""
-        import numpy as np
-        import pyarrow as pa
+    parts = parts_for(blocks)
 
-        h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for i in range(0, len(h), 200_000):
-            k = len(h[i : i + 200_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(h[i : i + k].view(np.int64)), pa.array(np.minimum(n[i : i + k], 2).astype(np.int32))], ["of", "h", "n"])
-
-    def anchor_rows(batches):
+    def block_of(payload: bytes) -> BlockWindows:
         from .common import working
 
         working("substring")
+        return BlockWindows([t for rows in rows_of(payload) for t in rows.column(i_text).to_pylist()], window)
+
+    def anchor_pieces(batches):
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                hs = (word_hashes(t) for t in texts(payload.as_py()))
-                yield from distinct(block, [anchors(h, window - PERIOD + 1)[1] for h in hs if len(h) >= window])
+                held = block_of(payload.as_py())
+                yield from pieces(block, held.hashes, held.count, parts)
 
-    def twice(rows: DataFrame) -> DataFrame:
-        return rows.select("of", "h", F.sum("n").over(Window.partitionBy("h")).alias("n")).where("n > 1").select("of", "h")
+    def bits_of(table, kind: int) -> dict[int, bytes]:
+        return {k: x for k, x, of in zip(table.column("bucket").to_pylist(), table.column("bits").to_pylist(), table.column("kind").to_pylist()) if of == kind}
 
-    def window_rows(left, right):
-        import numpy as np
+    def window_pieces(left, right):
         import pyarrow as pa
 
-        shared = np.sort(right.column("h").to_numpy().view(np.uint64))
-        parts = []
-        for payload in left.column("payload"):
-            for t in texts(payload.as_py()):
-                h = word_hashes(t)
-                if len(at := candidates(h, shared, window)):
-                    parts.append(rolled(h, window)[at])
-        found = list(distinct(left.column("block")[0].as_py(), parts)) if left.num_rows else []
-        return pa.Table.from_batches(found, pa.schema([("of", pa.int64()), ("h", pa.int64()), ("n", pa.int32())]))
+        schema = pa.schema([("bucket", pa.int64()), ("of", pa.int64()), ("h", pa.binary()), ("often", pa.binary())])
+        found = []
+        if right.num_rows:  # else the block has no shared anchor
+            for block, payload in zip(left.column("block").to_pylist(), left.column("payload")):
+                held = block_of(payload.as_py())
+                _, hashes, _, count = held.extend(unpacked(held.hashes[0], parts, bits_of(right, 0)))
+                found += pieces(block, hashes, count, parts)
+        return pa.Table.from_batches(found, schema)
 
-    shared = twice(blocks.mapInArrow(anchor_rows, "of long, h long, n int"))
-    windows = blocks.groupBy("block").cogroup(shared.groupBy("of")).applyInArrow(window_rows, "of long, h long, n int")
-    repeated = twice(windows)
+    shared = written(twice(blocks.mapInArrow(anchor_pieces, PIECES), 1), "anchors").withColumn("kind", F.lit(0))
+    windows = blocks.groupBy("block").cogroup(shared.groupBy("of")).applyInArrow(window_pieces, PIECES)
+    repeated = shared.unionByName(twice(windows, 2).withColumn("kind", F.lit(1)))
 
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -258,15 +273,26 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     def rewrite(left, right):
         import numpy as np
 
-        gone = np.sort(right.column("h").to_numpy().view(np.uint64))
+        anchor_bits, window_bits = bits_of(right, 0), bits_of(right, 1)
         out = []
         for payload in left.column("payload"):
-            for rows in rows_of(payload.as_py()):
+            payload = payload.as_py()
+            gone = None
+            if window_bits:
+                held = block_of(payload)
+                starts, hashes, place, _ = held.extend(unpacked(held.hashes[0], parts, anchor_bits))
+                gone = unpacked(hashes[0], parts, window_bits)[place]
+            k = first = 0
+            for rows in rows_of(payload):
                 kept, n_words, n_removed = [], [], []
                 for t in rows.column(i_text).to_pylist():
-                    h = word_hashes(t) if len(gone) else None
-                    n = len(t.encode().split()) if h is None and t else 0 if h is None else len(h)
-                    hit = np.flatnonzero(member(rolled(h, window), gone)) if h is not None and n >= window else ()
+                    hit = ()
+                    if gone is None:
+                        n = len(WORDS.findall(t.encode())) if t else 0
+                    else:
+                        n, found = held.words[k], starts[k]
+                        hit = found[gone[first : first + len(found)]]
+                        k, first = k + 1, first + len(found)
                     n_words.append(n)
                     if not len(hit):
                         n_removed.append(0)
