@@ -1,8 +1,9 @@
 """Sharding: a reproducible shuffle with computable shard and slot.
 
-Rows get global numbers 0..n-1 in the order of their key's hash: a fixed number
-of hash buckets is counted, their sizes are summed up, and a row's number is its
-bucket's first number plus its rank there. A keyed Feistel network permutes the
+Rows get global numbers 0..n-1 in the order of their key's hash: the hash's first
+bits make buckets, about one for BUCKET_ROWS rows, their sizes are summed up, and
+a row's number is its bucket's first number plus its rank there. Buckets follow
+the order of the hash, so numbers don't depend on how many there are. A keyed Feistel network permutes the
 numbers. Its two halves are numbers below a = ceil(sqrt(n)), so its domain a * a
 exceeds n by at most 2 * sqrt(n) + 1; a result of n or more is walked along its
 cycle until it falls below n. Row at place p of the permutation goes to shard
@@ -17,25 +18,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own
+from .common import fresh, own
 
 SHARDS = 24
 SEED = 20240229
 ROUNDS = 6
-BUCKETS = 4096
+#: Rows of a bucket, and the least and most bits of its number: 2 ** 18 sizes of some 20 bytes are broadcast at most.
+BUCKET_ROWS, MIN_BITS, MAX_BITS = 1 << 16, 8, 18
 #: Steps of a cycle: up to 900 rows none is longer than 62; beyond that each further step has a chance of 2 / sqrt(n).
 WALK = 64
 
 
 def feistel(x: Column, a: Column, seed: int = SEED, rounds: int = ROUNDS) -> Column:
     """A permutation of 0..a*a-1."""
+
+    def turned(k: int):
+        return lambda s: F.struct(s["r"].alias("l"), F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], F.lit(seed), F.lit(k)), a), a).alias("r"))
+
     state = F.struct(F.floor(x / a).cast("long").alias("l"), (x % a).alias("r"))
     for k in range(rounds):
         # A one-element array binds the round's state, so that it isn't written out twice a round.
-        state = F.transform(
-            F.array(state),
-            lambda s, k=k: F.struct(s["r"].alias("l"), F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], F.lit(seed), F.lit(k)), a), a).alias("r")),
-        )[0]
+        state = F.transform(F.array(state), turned(k))[0]
     return F.transform(F.array(state), lambda s: s["l"] * a + s["r"])[0]
 
 
@@ -51,24 +54,33 @@ def permuted(x: Column, n: Column, a: Column, seed: int = SEED, rounds: int = RO
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda y, _: F.when(y < n, y).otherwise(feistel(y, a, seed, rounds)))
 
 
-def numbered(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """df with __number (0..n-1 in the order of the keys' hash, then the keys) and __n."""
-    h = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
-    hashed = df.withColumn("__h", h).withColumn("__bucket", F.pmod(F.shiftright("__h", 20), F.lit(buckets)).cast("int"))
-    sizes = hashed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__c"))
-    every = Window.orderBy("__at")
-    # At most `buckets` rows, whatever the input; broadcast for that reason.
-    offsets = sizes.select(F.col("__bucket").alias("__at"), "__c").select(
-        "__at",
-        (F.sum("__c").over(every) - F.col("__c")).alias("__first"),
-        F.sum("__c").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__n"),
+def bucket_bits(rows: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, (rows // BUCKET_ROWS).bit_length()))
+
+
+def numbered(df: DataFrame, keys: list[str], number: str, total: str, bits: int | None = None) -> DataFrame:
+    """df with the columns number (0..n-1 in the order of the keys' hash, then the keys) and total (n).
+
+    Without `bits` the rows are counted for the number of buckets.
+    """
+    h, bucket, at, rank, first, size = fresh(df, "h", "bucket", "at", "rank", "first", "size")
+    bits = bucket_bits(df.count()) if bits is None else bits
+    hashed = df.withColumn(h, F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
+    hashed = hashed.withColumn(bucket, (F.shiftright(h, 64 - bits) if bits else F.lit(0)).cast("int"))
+    sizes = hashed.groupBy(bucket).agg(F.count(F.lit(1)).alias(size))
+    every = Window.orderBy(at)
+    # At most 2 ** MAX_BITS rows, whatever the input; broadcast for that reason.
+    offsets = sizes.select(F.col(bucket).alias(at), size).select(
+        at,
+        (F.sum(size).over(every) - F.col(size)).alias(first),
+        F.sum(size).over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total),
     )
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__h", *[F.col(f"`{k}`") for k in keys]))
-    ranked = hashed.withColumn("__rank", rank)
-    return ranked.join(F.broadcast(offsets), F.col("__bucket") == F.col("__at")).withColumn("__number", F.col("__first") + F.col("__rank") - 1).drop("__h", "__bucket", "__c", "__at", "__first", "__rank")
+    ranked = hashed.withColumn(rank, F.row_number().over(Window.partitionBy(bucket).orderBy(h, *[F.col(f"`{k}`") for k in keys])))
+    met = ranked.join(F.broadcast(offsets), F.col(bucket) == F.col(at))
+    return met.withColumn(number, F.col(first) + F.col(rank) - 1).drop(h, bucket, at, first, rank)
 
 
-def assign(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+def assign(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED, rounds: int = ROUNDS, bits: int | None = None) -> DataFrame:
     """df with shard (int) and slot (long); shards hold equally many rows, to one.
 
     keys: columns that tell rows apart. Rows that agree on all keys get
@@ -76,8 +88,8 @@ def assign(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEE
     keys like any other. Columns named shard or slot are replaced; others pass
     through. An empty table gives none.
     """
-    rows = numbered(own(df, "shard", "slot"), keys)
-    a = F.transform(F.array(F.col("__n")), root_above)[0]
-    place = permuted(F.col("__number"), F.col("__n"), F.col("__a"), seed, rounds)
-    placed = rows.withColumn("__a", a).withColumn("__place", place)
-    return placed.withColumn("shard", F.pmod("__place", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("__place") / shards).cast("long")).drop("__number", "__n", "__a", "__place")
+    df = own(df, "shard", "slot")
+    number, total, side, place = fresh(df, "number", "total", "side", "place")
+    rows = numbered(df, keys, number, total, bits).withColumn(side, F.transform(F.array(F.col(total)), root_above)[0])
+    placed = rows.withColumn(place, permuted(F.col(number), F.col(total), F.col(side), seed, rounds))
+    return placed.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col(place) / shards).cast("long")).drop(number, total, side, place)
