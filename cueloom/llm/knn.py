@@ -5,8 +5,13 @@ each cell meets each block once. A cell cuts its candidates into trees: median
 splits on the widest component, each node with its tight bounding box. A query
 goes through a tree best first: the box bound (per component the better of its
 two ends) orders the nodes, and the search ends when no open node's bound
-reaches the query's kth score, which is carried from tree to tree. A bound equal
-to the kth score is still opened, since ties go to the smaller id.
+reaches the query's kth score. A bound equal to the kth score is still opened,
+since ties go to the smaller id.
+
+The kth score is carried on twice: from tree to tree in a cell, and from a first
+round, in which each query meets one cell, to all the others. A query's kth best
+there is at most its kth best of all, so the other cells drop what lies below it
+before anything is shuffled.
 
 Per cell and query at most k rows are shuffled on.
 """
@@ -18,7 +23,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, written
 
 K = 10
 SCALE = 1024
@@ -65,12 +70,13 @@ class Tree:
 
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, q_id, query, bound, best: list, k: int) -> None:
-        """Adds this tree's vectors to best, a heap of (score, -id) of at most k entries."""
+    def search(self, q_id, query, bound, best: list, k: int, floor: int | None) -> None:
+        """Adds this tree's vectors to best, a heap of (score, -id) of at most k entries, none below the floor."""
         opened = [(-bound[0], 0)]
         while opened:
             most, node = heapq.heappop(opened)
-            if len(best) == k and -most < best[0][0]:
+            least = best[0][0] if len(best) == k and (floor is None or best[0][0] > floor) else floor
+            if least is not None and -most < least:
                 return
             left, right, a, b = self.nodes[node]
             if left >= 0:
@@ -78,7 +84,7 @@ class Tree:
                 heapq.heappush(opened, (-bound[right], right))
                 continue
             scores = self.rows[a:b] @ query
-            rows = range(a, b) if len(best) < k else ((scores >= best[0][0]).nonzero()[0] + a).tolist()
+            rows = range(a, b) if least is None else ((scores >= least).nonzero()[0] + a).tolist()
             for i in rows:
                 entry = (int(scores[i - a]), -int(self.ids[i]))
                 if -entry[1] == q_id:
@@ -127,7 +133,7 @@ def _cell(left, right, k: int, schema):
 
     out: list[tuple[int, int, int]] = []
     if left.num_rows and right.num_rows:
-        c_ids, q_ids = left.column("c_id").to_numpy(), right.column("q_id").to_numpy()
+        c_ids, q_ids, floors = left.column("c_id").to_numpy(), right.column("q_id").to_numpy(), right.column("floor").to_pylist()
         cands, asks = _matrix(left.column("c_vec")), _matrix(right.column("q_vec"))
         for d, (q_at, queries) in asks.items():
             if d not in cands:
@@ -143,7 +149,7 @@ def _cell(left, right, k: int, schema):
                     tree.rows, tree.low, tree.high = tree.rows.astype(kind), tree.low.astype(kind), tree.high.astype(kind)
                     bounds = tree.bounds(asked)
                     for n, j in enumerate(js.tolist()):
-                        tree.search(q_ids[q_at[j]], asked[n], bounds[n], best[j], k)
+                        tree.search(q_ids[q_at[j]], asked[n], bounds[n], best[j], k, floors[q_at[j]])
             out += [(int(q_ids[q]), -x, s) for j, q in enumerate(q_at) for s, x in best[j]]
     return pa.Table.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], schema=schema)
 
@@ -175,21 +181,26 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_col:
     asked = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
     n, q = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query(F.col("id")), 1))).first()
     cells, parts = max(1, -(-n // CELL)), max(1, -(-q // BLOCK))
-    cands = rows.select(
-        F.col("id").alias("c_id"),
-        F.col("v").alias("c_vec"),
-        F.pmod(F.xxhash64("id", "v"), F.lit(cells)).cast("long").alias("cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-    )
-    queries = asked.select(
-        F.col("id").alias("q_id"),
-        F.col("v").alias("q_vec"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("q_cell"),
-        F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("q_part"),
-    )
+    cell = F.pmod(F.xxhash64("id", "v"), F.lit(cells)).cast("long").alias("cell")
+    # A query's first cell and its block of queries.
+    home, part = F.pmod(F.xxhash64(F.lit("home"), F.col("id")), F.lit(cells)).cast("long"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     text_batches(vectors.sparkSession)
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
-    met = cands.groupBy("cell", "part").cogroup(queries.groupBy("q_cell", "q_part")).applyInArrow(lambda a, b: _cell(a, b, k, schema), "query_id long, id long, score long")
+
+    def meet(cands: DataFrame, queries: DataFrame) -> DataFrame:
+        return cands.groupBy("cell", "part").cogroup(queries.groupBy("q_cell", "q_part")).applyInArrow(lambda a, b: _cell(a, b, k, schema), "query_id long, id long, score long")
+
+    cands = rows.select(F.col("id").alias("c_id"), F.col("v").alias("c_vec"), cell)
+    queries = asked.select(F.col("id").alias("q_id"), F.col("v").alias("q_vec"), home.alias("home"), part.alias("q_part"))
+    no_floor = F.lit(None).cast("long").alias("floor")
+    # Queries of one cell only, so the candidates aren't copied; a cell's queries are a share of all of them.
+    first = written(meet(cands.withColumn("part", F.lit(0)), queries.select("q_id", "q_vec", no_floor, F.col("home").alias("q_cell"), F.lit(0).alias("q_part"))), "top-k")
+    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")), lambda c: c != F.col("home"))).alias("q_cell")
+    again = queries.join(floors, F.col("q_id") == F.col("query_id"), "left").select("q_id", "q_vec", "floor", others, "q_part")
+    met = first
+    if cells > 1:
+        met = first.unionByName(meet(cands.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), again))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
     best = met.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
