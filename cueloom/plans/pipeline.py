@@ -11,6 +11,7 @@ from ..functions import providers
 from ..operators import segments as S
 from ..operators import timeline as TL
 from ..sources import readers, writers
+from ..storage import written
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,9 @@ def from_transcribed(merged: DataFrame, media: DataFrame, opts: Options = Option
         writers.write_checkpoint(merged, opts.checkpoint, "transcribed")
         writers.write_checkpoint(translated, opts.checkpoint, "translated")
         translated = merged.sparkSession.read.parquet(opts.checkpoint).where("stage = 'translated'").drop("stage")
+    else:
+        # What a provider said is used several times below; asked again it might say something else.
+        translated = written(translated, "translated")
     sentences = S.split_sentences(S.merge_continuous(translated, opts.max_gap_ms, None), opts.max_subtitle_chars)
     return from_translated(sentences, media, opts, merged)
 
