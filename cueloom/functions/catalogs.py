@@ -151,7 +151,7 @@ ELEVENLABS = [
     ("ar", "Ashraf", "QfMIySsRuJWjZPZCnDQp", "male", "egyptian"),
     ("ar", "Sawsan", "mS4cERRqrNy5Kmlx8Udf", "female", "egyptian"),
 ]
-VOICE_SCHEMA = "provider string, lang string, pos int, name string, voice_id string, gender string, accent string, description string"
+VOICE_SCHEMA = "provider string, lang string, lang_pos int, pos int, name string, voice_id string, gender string, accent string, description string"
 
 
 def language_code(name: Column) -> Column:
@@ -168,16 +168,23 @@ def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRICES, "provider string, per_minute double, per_m_chars double, per_m_in double, per_m_out double")
 
 
-def voices(spark: SparkSession) -> DataFrame:
+def voice_rows() -> list[tuple]:
+    """The catalog as rows of VOICE_SCHEMA; lang_pos and pos are the catalog's order of languages and of voices in them."""
     pos: dict = {}
+    langs: dict = {}
+    listed = [(p, lang, name, name, gender, None, text) for p, lang, name, gender, text in VOICES]
+    listed += [("elevenlabs", lang, name, voice_id, gender, accent, f"{gender}, {accent} accent") for lang, name, voice_id, gender, accent in ELEVENLABS]
     rows = []
-    for provider, lang, name, gender, text in VOICES:
+    for provider, lang, *rest in listed:
+        known = langs.setdefault(provider, {})
+        at = known.setdefault(lang, len(known))
         pos[provider, lang] = pos.get((provider, lang), -1) + 1
-        rows.append((provider, lang, pos[provider, lang], name, name, gender, None, text))
-    for lang, name, voice_id, gender, accent in ELEVENLABS:
-        pos["elevenlabs", lang] = pos.get(("elevenlabs", lang), -1) + 1
-        rows.append(("elevenlabs", lang, pos["elevenlabs", lang], name, voice_id, gender, accent, f"{gender} — {accent}"))
-    return spark.createDataFrame(rows, VOICE_SCHEMA)
+        rows.append((provider, lang, at, pos[provider, lang], *rest))
+    return rows
+
+
+def voices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(voice_rows(), VOICE_SCHEMA)
 
 
 def native_voices(table: DataFrame) -> DataFrame:
@@ -190,37 +197,52 @@ def native_voices(table: DataFrame) -> DataFrame:
 
 
 def voice_of(probe: DataFrame, table: DataFrame) -> DataFrame:
-    """probe (provider, voice) with voice_id: the first voice of the name by language and position, else the name."""
-    order = Window.partitionBy("provider", "name").orderBy("lang", "pos")
-    first = table.withColumn("__k", F.row_number().over(order)).where("__k = 1").select("provider", F.col("name").alias("voice"), F.col("voice_id").alias("__id"))
+    """probe (provider, voice) with voice_id: the first voice of the name in the catalog's order of languages, else the name."""
+    first = table.groupBy("provider", F.col("name").alias("voice")).agg(F.min_by("voice_id", F.struct("lang_pos", "pos")).alias("__id"))
     return probe.join(first, ["provider", "voice"], "left").withColumn("voice_id", F.coalesce("__id", "voice")).drop("__id")
 
 
+def described(table: DataFrame, texts: DataFrame) -> DataFrame:
+    """The catalog with descriptions from texts (provider, lang, name, text) after what is known of a voice."""
+    t = texts.select("provider", "lang", "name", F.col("text").alias("__t"))
+    return table.join(t, ["provider", "lang", "name"], "left").withColumn("description", F.concat_ws(" — ", "description", "__t")).select(*table.columns)
+
+
 def voice_catalog(table: DataFrame, target: str) -> DataFrame:
-    """(provider, catalog): the target language's block first, then the others by code; one line a voice."""
-    line = F.when(F.col("description") == F.col("name"), F.concat(F.lit("- "), "name")).otherwise(F.concat(F.lit("- "), "name", F.lit(" — "), "description"))
+    """(provider, catalog): the target language's voices under their own heading, then the others by code; one line a voice.
+
+    A description that only repeats the name is left out.
+    """
+    line = F.when(F.coalesce("description", F.lit("")).isin("") | (F.col("description") == F.col("name")), F.concat(F.lit("  - "), "name")).otherwise(F.concat(F.lit("  - "), "name", F.lit(" — "), "description"))
     blocks = table.withColumn("line", line).groupBy("provider", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("v"))
-    text = F.concat(F.lit("["), "lang", F.lit("]\n"), F.array_join("v.line", "\n"))
-    ordered = blocks.select("provider", F.struct((F.col("lang") != target).alias("other"), "lang", text.alias("text")).alias("b"))
-    return ordered.groupBy("provider").agg(F.array_join(F.array_sort(F.collect_list("b"))["text"], "\n\n").alias("catalog"))
+    mine = F.col("lang") == target
+    head = F.when(mine, F.concat(F.lit("== Voices for target language ("), "lang", F.lit(") =="))).otherwise(F.concat(F.lit("== "), F.when(F.col("lang") == "multi", "All voices (multilingual)").otherwise(F.col("lang")), F.lit(" ==")))
+    text = F.concat(head, F.lit("\n"), F.array_join("v.line", "\n"), F.when(mine, "\n").otherwise(""))
+    ordered = blocks.select("provider", F.struct((~mine).alias("other"), "lang", text.alias("text")).alias("b"))
+    return ordered.groupBy("provider").agg(F.array_join(F.array_sort(F.collect_list("b"))["text"], "\n").alias("catalog"))
 
 
 def voice_candidates(answers: DataFrame, table: DataFrame, k: int = 3) -> DataFrame:
-    """(answer_id, rank, name): up to k known voices that a model's answer names, in its order.
+    """(answer_id, rank, name, explanation): up to k known voices that a model's answer names, in its order.
 
-    The answer may have thinking tags, code fences and text around a JSON array
-    of strings or of objects with a name; unreadable answers give no rows.
+    The answer may have thinking tags, code fences and text around a JSON array of
+    strings or of objects with `voice` and `explanation`, or be one such object;
+    unreadable answers give no rows. Names are matched without case and outer blanks.
     """
     bare = F.regexp_replace(F.regexp_replace("answer", r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    found = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
-    names = F.coalesce(F.from_json(found, "array<string>"), F.array().cast("array<string>"))
+    array = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    one = F.regexp_extract(bare, r"(?s)^\s*(\{.*\})\s*$", 1)
+    names = F.coalesce(F.from_json(F.when(array != "", array).otherwise(F.concat(F.lit("["), one, F.lit("]"))), "array<string>"), F.array().cast("array<string>"))
     items = answers.select("answer_id", F.posexplode(names).alias("at", "item"))
-    name = F.coalesce(F.get_json_object("item", "$.name"), F.get_json_object("item", "$.voice"), F.get_json_object("item", "$.id"), F.col("item"))
-    asked = items.select("answer_id", "at", F.lower(F.btrim(name)).alias("key"))
-    known = table.groupBy(F.lower(F.btrim("name")).alias("key")).agg(F.min("name").alias("name"))
-    hit = asked.join(F.broadcast(known), "key").groupBy("answer_id", "name").agg(F.min("at").alias("at"))
+    is_object = F.coalesce(F.col("item").startswith("{"), F.lit(False))
+    name = F.when(is_object, F.get_json_object("item", "$.voice")).otherwise(F.col("item"))
+    why = F.coalesce(F.when(is_object, F.get_json_object("item", "$.explanation")), F.lit(""))
+    asked = items.select("answer_id", "at", F.lower(F.btrim(name)).alias("key"), why.alias("why"))
+    known = table.groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name"))
+    # A catalog of a few hundred names; the optimizer broadcasts it while it is that small.
+    hit = asked.join(known, "key").groupBy("answer_id", "name").agg(F.min("at").alias("at"), F.min_by("why", "at").alias("explanation"))
     rank = F.row_number().over(Window.partitionBy("answer_id").orderBy("at"))
-    return hit.withColumn("rank", rank).where(F.col("rank") <= k).select("answer_id", "rank", "name")
+    return hit.withColumn("rank", rank).where(F.col("rank") <= k).select("answer_id", "rank", "name", "explanation")
 
 
 def native_voices_for(probe: DataFrame, table: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 #: The environment variable that holds each provider's key; local providers have none.
 KEYS = {"together": "TOGETHER_API_KEY", "openai": "OPENAI_API_KEY", "elevenlabs": "ELEVENLABS_API_KEY", "ollama": "OLLAMA_API_KEY"}
-LOCAL = {"faster_whisper", "local", "supertonic"}
+LOCAL = {"faster-whisper", "faster_whisper", "local", "supertonic"}
 SPEECH = {"together", "openai", "elevenlabs", "supertonic"}
 
 
@@ -40,3 +40,50 @@ def device_and_type(device: str = "auto", compute: str = "auto") -> tuple[str, s
 def corrections_block(pairs: dict[str, str]) -> str:
     """The prompt's block of known recognition errors; empty without any."""
     return "\n".join(["Known recognition errors:", *[f"- {wrong!r} means {right!r}" for wrong, right in pairs.items()]]) if pairs else ""
+
+
+def client_settings(config: dict, stage: str, environment: dict, overrides: dict | None = None) -> dict:
+    """What a stage's client needs: provider, model, base_url (null: the provider's own) and key; a missing key is an error.
+
+    overrides: keys by provider, as a caller brings them; they go before the environment.
+    """
+    provider, model = provider_and_model((config.get("models") or {}).get(stage))
+    if stage == "tts":
+        speech_provider(provider)
+    name = None if provider in LOCAL else KEYS.get(provider)
+    key = (overrides or {}).get(provider) or (environment.get(name) if name else None)
+    if name and not key:
+        raise ValueError(f"{name} is not set")
+    return {"provider": provider, "model": model, "base_url": (config.get("base_urls") or {}).get(provider), "key": key}
+
+
+def request_options(provider: str) -> dict:
+    """Further options of a request: the default provider's models are asked not to think aloud."""
+    return {"extra_body": {"chat_template_kwargs": {"enable_thinking": False}}} if provider == "together" else {}
+
+
+def read_yaml(*paths: str) -> dict:
+    """One configuration of several files on the driver; later ones override earlier ones, nested keys by themselves."""
+    import yaml
+
+    from ..sources.readers import deep_merge
+
+    out: dict = {}
+    for path in paths:
+        with open(path, encoding="utf-8") as f:
+            out = deep_merge(out, yaml.safe_load(f) or {})
+    return out
+
+
+def read_prompt(path: str, key: str) -> str:
+    """A prompt template of a YAML file, stripped; `text.filled` fills it row by row."""
+    return read_yaml(path)[key].strip()
+
+
+def flattened(config: dict, above: str = "") -> list[tuple[str, str | None]]:
+    """(dotted key, value as text) of a configuration, in the order of its keys."""
+    out: list[tuple[str, str | None]] = []
+    for k, v in config.items():
+        name = f"{above}.{k}" if above else str(k)
+        out += flattened(v, name) if isinstance(v, dict) else [(name, None if v is None else str(v))]
+    return out

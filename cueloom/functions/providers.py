@@ -6,41 +6,74 @@ so write them (write_checkpoint) before they are used twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Batch = Callable[[list[str]], list[str] | None]
+#: Seconds before a repeated call of recognition.
+RECOGNITION_WAITS = (5, 15, 30)
 
 
 def upper_translator(texts: list[str]) -> list[str]:
     return [t.upper() for t in texts]
 
 
+def attempted(call: Callable, *args, attempts: int = 3, waits: Sequence[float] | Callable[[int], float] = lambda k: 2.0**k, accept: Callable = lambda x: True, sleep: Callable[[float], None] = time.sleep):
+    """call(*args), repeated after an exception or an answer that isn't accepted.
+
+    Before repetition k = 1, 2, ... it waits waits(k), or waits[k - 1] (the last
+    one again and again). The last exception is raised; a last answer that isn't
+    accepted gives None.
+    """
+    for k in range(1, attempts + 1):
+        try:
+            found = call(*args)
+            if accept(found):
+                return found
+        except Exception:  # noqa: BLE001  whatever a remote call raises
+            if k == attempts:
+                raise
+        if k < attempts:
+            sleep(waits(k) if callable(waits) else waits[min(k, len(waits)) - 1])
+    return None
+
+
+def batch_of(n: int) -> Callable:
+    """Whether an answer is a list of n texts."""
+    return lambda found: isinstance(found, (list, tuple)) and len(found) == n and all(isinstance(x, str) for x in found)
+
+
 def halving(call: Batch, single: Callable[[str], str], texts: list[str]) -> list[str]:
     """A batch's answers; a refused or miscounted batch is halved, a refused single text goes to `single`."""
     try:
         found = call(texts)
     except Exception:  # noqa: BLE001  any failure of a remote call means: try smaller
         found = None
-    if found is not None and len(found) == len(texts):
-        return found
+    if batch_of(len(texts))(found):
+        return list(found)
     if len(texts) == 1:
         return [single(texts[0])]
     mid = len(texts) // 2
     return halving(call, single, texts[:mid]) + halving(call, single, texts[mid:])
 
 
-def translate(segments: DataFrame, call: Batch = upper_translator, single: Callable[[str], str] | None = None, batch: int = 64, preserve_speaker: bool = False) -> DataFrame:
-    """Segments with translated texts. Batches are a medium's runs of `batch` ids; by default speakers are reset."""
-    one = single or (lambda t: (call([t]) or [t])[0])
+def translate(segments: DataFrame, call: Batch = upper_translator, single: Callable[[str], str] | None = None, batch: int = 64, preserve_speaker: bool = False, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Segments with translated texts. Batches are a medium's runs of `batch` ids; by default speakers are reset.
+
+    A batch is asked for up to `retries` times, 2, 4, ... seconds apart, until its
+    answer has a text for each of its own; then it is halved.
+    """
+    asked = lambda texts: attempted(call, texts, attempts=retries, accept=batch_of(len(texts)), sleep=sleep)
+    one = single or (lambda t: (asked([t]) or [t])[0])
 
     def run(frames):
         for f in frames:
             texts, keys = f["text"].tolist(), list(zip(f["media_id"], f["id"] // batch))
             starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            f["text"] = [y for a, b in zip(starts, [*starts[1:], len(keys)]) for y in halving(call, one, texts[a:b])]
+            f["text"] = [y for a, b in zip(starts, [*starts[1:], len(keys)]) for y in halving(asked, one, texts[a:b])]
             yield f
 
     keyed = segments.withColumn("__batch", F.floor(F.col("id") / batch))
@@ -56,41 +89,129 @@ def synthesize(segments: DataFrame, voice_map: DataFrame | None, default_voice:
     """
     from .text import tail_silence_ms
 
-    s = segments.join(voice_map, "speaker", "left") if voice_map is not None else segments.withColumn("voice", F.lit(None).cast("string"))
+    s = speaker_voices(segments, voice_map, default_voice)
     n = F.length("text")
-    return s.select("media_id", "id", F.coalesce("voice", F.lit(default_voice)).alias("voice"), (n * ms_per_char + tail_silence_ms(F.col("text"))).cast("long").alias("tts_ms"), n.alias("characters"))
+    return s.select("media_id", "id", "voice", (n * ms_per_char + tail_silence_ms(F.col("text"))).cast("long").alias("tts_ms"), n.alias("characters"))
+
+
+def is_rate_limit(error: BaseException) -> bool:
+    text = str(error).lower()
+    return getattr(error, "status_code", None) == 429 or any(x in text for x in ("429", "rate_limit", "rate limit"))
+
+
+def speaker_voices(segments: DataFrame, voice_map: DataFrame | None, default_voice: str) -> DataFrame:
+    """Segments with the voice of their speaker, else the default one. voice_map: (speaker, voice), one row a speaker."""
+    s = segments.join(voice_map, "speaker", "left") if voice_map is not None else segments.withColumn("voice", F.lit(None).cast("string"))
+    return s.withColumn("voice", F.coalesce("voice", F.lit(default_voice)))
+
+
+def speak(segments: DataFrame, call: Callable[[str, str], int], default_voice: str, voice_map: DataFrame | None = None, speed: Column | None = None, emotion: Column | None = None, workers: int = 8, retries: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(media_id, id, voice, file, tts_ms, characters) of a speech provider; call(text with tags, voice) gives a length in milliseconds.
+
+    `workers` tasks call at a time. A call that meets a rate limit is left for
+    the end of its task and repeated there one by one, 1, 2, 4, ... seconds apart;
+    any other failure fails the task. Characters are those of the untagged text.
+    """
+    from .text import ssml
+
+    none = F.lit(None).cast("string")
+    s = speaker_voices(segments, voice_map, default_voice)
+    s = s.select("media_id", "id", "voice", ssml(F.col("text"), none if speed is None else speed, none if emotion is None else emotion).alias("tagged"), F.length("text").cast("long").alias("characters"))
+
+    def run(frames):
+        import pandas as pd
+
+        cols = ["media_id", "id", "voice", "file", "tts_ms", "characters"]
+        late = []
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                try:
+                    rows.append((r.media_id, r.id, r.voice, f"seg_{r.id:05d}.wav", call(r.tagged, r.voice), r.characters))
+                except Exception as e:  # noqa: BLE001  the provider's own classes
+                    if not is_rate_limit(e):
+                        raise
+                    late.append(r)
+            yield pd.DataFrame(rows, columns=cols)
+        again = [(r.media_id, r.id, r.voice, f"seg_{r.id:05d}.wav", attempted(call, r.tagged, r.voice, attempts=retries, waits=lambda k: 2.0 ** (k - 1), sleep=sleep), r.characters) for r in late]
+        yield pd.DataFrame(again, columns=cols)
+
+    return s.repartition(workers, "media_id", "id").mapInPandas(run, "media_id long, id long, voice string, file string, tts_ms long, characters long")
 
 
-def recognise(media: DataFrame, call: Callable[[str], list[dict]], retries: int = 3) -> DataFrame:
+def recognise(media: DataFrame, call: Callable[[str], list[dict]], retries: int = 3, sleep: Callable[[float], None] = time.sleep, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
     """(media_id, id, start_ms, end_ms, text, no_speech_prob): `call` gives a path's segments; it is tried up to `retries` times.
 
-    media: (media_id, path). A medium that keeps failing fails its task, and Spark tries that again.
+    media: (media_id, path); keys: the columns (longs) that name what is recognised.
+    What keeps failing fails its task, and Spark tries that again.
     """
 
     def run(frames):
         import pandas as pd
 
-        cols = ["media_id", "id", "start_ms", "end_ms", "text", "no_speech_prob"]
+        cols = [*keys, "id", "start_ms", "end_ms", "text", "no_speech_prob"]
         for f in frames:
             rows = []
-            for m, path in zip(f["media_id"], f["path"]):
-                for attempt in range(retries):
-                    try:
-                        found = call(path)
-                        break
-                    except Exception:  # noqa: BLE001  whatever a remote call raises
-                        if attempt == retries - 1:
-                            raise
-                rows += [(m, i, s["start_ms"], s["end_ms"], s["text"], s.get("no_speech_prob")) for i, s in enumerate(found)]
+            for *key, path in zip(*[f[k] for k in keys], f["path"]):
+                found = attempted(call, path, attempts=retries, waits=RECOGNITION_WAITS, sleep=sleep)
+                rows += [(*key, i, s["start_ms"], s["end_ms"], s["text"], s.get("no_speech_prob")) for i, s in enumerate(found)]
             yield pd.DataFrame(rows, columns=cols)
 
-    return media.mapInPandas(run, "media_id long, id long, start_ms long, end_ms long, text string, no_speech_prob double")
+    return media.select(*keys, "path").mapInPandas(run, ", ".join(f"{k} long" for k in keys) + ", id long, start_ms long, end_ms long, text string, no_speech_prob double")
+
+
+def recognise_chunks(chunks: DataFrame, call: Callable[[str], list[dict]], retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """A medium's segments from its audio chunks (media_id, chunk, offset_ms, path), recognised apart and stitched together."""
+    from ..operators.segments import stitched
+
+    rows = recognise(chunks, call, retries, sleep, ("media_id", "chunk")).drop("no_speech_prob").withColumn("speaker", F.lit("SPEAKER_00"))
+    return stitched(rows, chunks.select("media_id", "chunk", "offset_ms"))
+
+
+def answered(prompts: DataFrame, call: Callable[[str], str], retries: int = 1, accept: Callable = lambda x: True, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """prompts with `answer`: call(prompt), repeated until accepted; null if it never is or keeps failing."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for p in f["prompt"]:
+                try:
+                    out.append(attempted(call, p, attempts=retries, waits=(0.0,), accept=accept, sleep=sleep))
+                except Exception:  # noqa: BLE001  whatever a remote call raises
+                    out.append(None)
+            f["answer"] = out
+            yield f
+
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in prompts.schema)
+    return prompts.mapInPandas(run, f"{fields}, answer string")
+
+
+def match_voice(requests: DataFrame, table: DataFrame, template: str, call: Callable[[str], str], target: str, attempts: int = 3) -> DataFrame:
+    """(answer_id, rank, name, explanation): voices that a model picks from the catalog for requests (answer_id, provider, description).
+
+    It is asked up to `attempts` times until its answer names a known voice.
+    """
+    from .catalogs import voice_candidates, voice_catalog
+    from .text import filled
+
+    asked = requests.join(voice_catalog(table, target), "provider")
+    prompts = asked.select("answer_id", filled(template, {"catalog": F.col("catalog"), "description": F.col("description")}).alias("prompt"))
+    known = sorted({r.name.lower() for r in table.select("name").distinct().toLocalIterator()})  # a catalog of a few hundred names
+    names = lambda found: bool(found) and any(n in found.lower() for n in known)
+    return voice_candidates(answered(prompts, call, attempts, names), table)
+
+
+def audio_path(value) -> str:
+    """The path of what a recogniser is given: a path, an open file, or a pair (name, either of them)."""
+    if isinstance(value, tuple):
+        value = value[1]
+    return str(getattr(value, "name", value))
 
 
 def restore_punctuation(chunked: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
     """Sentences of unpunctuated words (media_id, chunk, seq, text, start_ms, end_ms): a chunk's text goes to `call`.
 
-    A chunk whose call fails keeps its own words as its text, as one segment.
+    A chunk whose call fails or says nothing keeps its own words as its text, as one segment.
     """
     from ..operators.segments import align, renumber
 
@@ -102,13 +223,14 @@ def restore_punctuation(chunked: DataFrame, call: Callable[[str], str | None]) -
             out = []
             for t in f["text"]:
                 try:
-                    out.append(call(t) or t)
+                    out.append(call(t))
                 except Exception:  # noqa: BLE001  a failed call leaves the words as they are
-                    out.append(t)
+                    out.append(None)
             f["text"] = out
             yield f
 
-    said = raw.mapInPandas(run, raw.schema)
+    # A text may be null here, unlike in raw.
+    said = raw.mapInPandas(run, f"media_id {raw.schema['media_id'].dataType.simpleString()}, chunk {raw.schema['chunk'].dataType.simpleString()}, text string")
     return renumber(align(chunked, said), "chunk", "sentence").select("media_id", "id", "start_ms", "end_ms", "text")
 
 
@@ -127,3 +249,11 @@ def fetch_captions(media: DataFrame, call: Callable[[str], str | None]) -> DataF
             yield f[["media_id", "body"]]
 
     return media.select("media_id", "url").mapInPandas(run, "media_id long, body string").where("body is not null")
+
+
+def fetch_source_captions(info: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
+    """(media_id, kind, lang, body) of the best caption track of (media_id, src, subtitles, automatic); any failure leaves a medium out."""
+    from ..sources.readers import select_track
+
+    tracks = select_track(info)
+    return fetch_captions(tracks, call).join(tracks.select("media_id", "kind", "lang"), "media_id").select("media_id", "kind", "lang", "body")

@@ -64,9 +64,23 @@ def is_fragment(text: Column) -> Column:
     return strip(text).rlike(FRAGMENT_START)
 
 
+#: Letters whose case folding is not their lower case: one letter for one by rule, and the Latin ones that fold to several.
+FOLDED = {c: f for c in map(chr, range(0x80, 0x2000)) if len(f := c.casefold()) == 1 and f != c.lower()}
+UNFOLDED = {c: c.casefold() for c in "ßẞŉﬀﬁﬂﬃﬄﬅﬆ"}
+
+
+def casefold(text: Column) -> Column:
+    """Case is ignored as by Unicode case folding, for letters below U+2000 and Latin ligatures."""
+    out = F.translate(F.lower(text), "".join(FOLDED), "".join(FOLDED.values()))
+    plain = out
+    for c, several in UNFOLDED.items():
+        out = F.replace(out, F.lit(c), F.lit(several))
+    return F.when(plain.rlike("[" + "".join(UNFOLDED) + "]"), out).otherwise(plain)
+
+
 def token_key(token: Column) -> Column:
-    """A token without punctuation at its ends, lower-cased."""
-    return F.lower(F.regexp_replace(F.regexp_replace(token, r"(?U)^[\W_]+", ""), r"(?U)[\W_]+$", ""))
+    """A token without punctuation at its ends, case-folded."""
+    return casefold(F.regexp_replace(F.regexp_replace(token, r"(?U)^[\W_]+", ""), r"(?U)[\W_]+$", ""))
 
 
 def redact(text: Column) -> Column:
@@ -187,6 +201,11 @@ def duration_seconds(report: Column) -> Column:
     return part(1) * 3600 + part(2) * 60 + part(3)
 
 
+def media_seconds(frames: Column, rate: Column, report: Column) -> Column:
+    """A header's frames by its rate, else the report's duration."""
+    return F.coalesce(F.try_divide(frames.cast("double"), rate.cast("double")), duration_seconds(report))
+
+
 def frame_rate(report: Column, default: float = 30.0) -> Column:
     return F.coalesce(F.regexp_extract(report, r"(\d+(?:\.\d+)?)\s*fps", 1).try_cast("double"), F.lit(default))
 

@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def context_window(probes: DataFrame, segments: DataFrame, around_ms: int = 30000) -> DataFrame:
+def context_window(probes: DataFrame, segments: DataFrame, around_ms: int = 30000, stretch_ms: int = 60000) -> DataFrame:
     """(media_id, t_ms, window_start_ms, window_end_ms, ids, text): segments that overlap the time around t_ms.
 
     The window reaches to the first such segment's start and the last one's end,
     first and last by id. A probe without any has its plain window and no ids.
+    Probes and segments meet by medium and stretch of stretch_ms, not by medium alone.
     """
     p = probes.select("media_id", "t_ms").distinct().withColumn("ws", F.greatest(F.lit(0), F.col("t_ms") - around_ms)).withColumn("we", F.col("t_ms") + around_ms)
-    s = segments.select(F.col("media_id").alias("m"), "id", "start_ms", "end_ms", "text")
-    hit = p.join(s, (F.col("media_id") == F.col("m")) & (F.col("end_ms") >= F.col("ws")) & (F.col("start_ms") <= F.col("we")), "left")
-    lines = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "text"))))
-    g = hit.groupBy("media_id", "t_ms", "ws", "we").agg(F.min_by("start_ms", "id").alias("s"), F.max_by("end_ms", "id").alias("e"), lines.alias("lines"))
+    at = lambda c: F.floor(F.col(c) / stretch_ms)
+    spread = lambda df, a, b: df.withColumn("first", at(a)).withColumn("stretch", F.explode(F.sequence(F.col("first"), F.greatest("first", at(b)))))
+    asked = spread(p, "ws", "we").select("media_id", "t_ms", "ws", "we", "stretch", F.col("first").alias("p_first"))
+    s = spread(segments.where("start_ms is not null and end_ms is not null"), "start_ms", "end_ms").select("media_id", "stretch", "id", "start_ms", "end_ms", "text", F.col("first").alias("s_first"))
+    # Both lie in several stretches; the pair counts in the first that they have in common.
+    met = asked.join(s, ["media_id", "stretch"]).where((F.col("end_ms") >= F.col("ws")) & (F.col("start_ms") <= F.col("we")) & (F.col("stretch") == F.greatest("p_first", "s_first")))
+    lines = F.array_sort(F.collect_list(F.struct("id", "text")))
+    hit = met.groupBy("media_id", "t_ms").agg(F.min_by("start_ms", "id").alias("s"), F.max_by("end_ms", "id").alias("e"), lines.alias("lines"))
+    none = F.array().cast("array<struct<id:bigint,text:string>>")
+    g = p.join(hit, ["media_id", "t_ms"], "left").withColumn("lines", F.coalesce("lines", none))
     return g.select(
         "media_id",
         "t_ms",
@@ -53,3 +60,24 @@ def chat_prompt(windows: DataFrame, questions: DataFrame, template: str) -> Data
     asked = questions.join(windows, ["media_id", "t_ms"])
     values = {"subtitles": F.col("text"), "question": F.col("question"), "current_time": F.col("t_ms") / 1000, "window_start": F.col("window_start_ms") / 1000, "window_end": F.col("window_end_ms") / 1000}
     return asked.select("media_id", "t_ms", "question", filled(template, values).alias("prompt"))
+
+
+def chat_messages(probes: DataFrame, segments: DataFrame, media: DataFrame, questions: DataFrame, history: DataFrame, system: str, user: str) -> DataFrame:
+    """(media_id, t_ms, prompt): the messages that a model with eyes gets, as a JSON array of role and content.
+
+    The system text, the last messages of the medium's conversation (conv_id is
+    the medium), then the question filled into `user` with the subtitle lines
+    around the position and the number of frames there.
+    """
+    from ..functions.text import filled
+
+    windows = context_window(probes, segments)
+    frames = frame_times(windows, media).groupBy("media_id", "t_ms").agg(F.count(F.lit(1)).alias("frames"))
+    past = chat_history(history).groupBy(F.col("conv_id").alias("media_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("past"))
+    asked = windows.join(questions, ["media_id", "t_ms"]).join(frames, ["media_id", "t_ms"], "left").join(past, "media_id", "left")
+    seconds = lambda c: F.format_string("%.2f", F.col(c) / 1000)
+    lines = F.when(F.col("text") == "", "(no subtitle lines found in this window)").otherwise(F.col("text"))
+    values = {"current_time": seconds("t_ms"), "window_start": seconds("window_start_ms"), "window_end": seconds("window_end_ms"), "transcript_block": lines, "num_frames": F.coalesce("frames", F.lit(0)), "question": F.col("question")}
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    before = F.coalesce(F.transform("past", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))), F.array().cast("array<struct<role:string,content:string>>"))
+    return asked.select("media_id", "t_ms", F.to_json(F.concat(F.array(message("system", F.lit(system))), before, F.array(message("user", filled(user, values))))).alias("prompt"))

@@ -139,3 +139,73 @@ def job_rows(runs: DataFrame, costs: DataFrame) -> DataFrame:
     usd = [F.coalesce(f"{k}_usd", F.lit(0.0)).alias(f"{k}_cost_usd") for k in ("whisper", "translation", "tts", "total")]
     texts = [p(k) for k in ("target_language", "source_language", "style", "voice", "voiceover", "transcription_provider", "translation_provider", "tts_provider")]
     return ended.select("id", F.col("started_at").alias("created_at"), "finished_at", "status", *texts, *MEASURES, *usd, (F.col("finished_at") - F.col("started_at")).cast("double").alias("duration_seconds"), "error")
+
+
+def job_created(requests: DataFrame, now: int) -> DataFrame:
+    """(id, at, seq, status, created_at, error): the first row of each job's record, from requests (id)."""
+    none = F.lit(None)
+    return requests.select("id", F.lit(now).cast("long").alias("at"), F.lit(0).cast("long").alias("seq"), F.lit("queued").alias("status"), F.lit(now).cast("long").alias("created_at"), none.cast("string").alias("error"))
+
+
+def job_updated(changes: DataFrame) -> DataFrame:
+    """Rows of changes (id, at, seq, status, error) for a job's record; keys in the error are redacted."""
+    from ..functions.text import redact
+
+    return changes.select("id", "at", "seq", "status", F.lit(None).cast("long").alias("created_at"), redact(F.col("error")).alias("error"))
+
+
+def job_record(rows: DataFrame) -> DataFrame:
+    """(id, status, created_at, error): a job's record from its appended rows; a change without an error leaves the last one."""
+    at = F.struct("at", "seq")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    return rows.groupBy("id").agg(last("status"), last("created_at"), last("error"))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """rows of jobs that are not deleted; gone: (key)."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def history(jobs: DataFrame, limit: int = 100) -> DataFrame:
+    """The latest jobs for a list of past ones; equal times by id."""
+    return recent_jobs(jobs, limit)
+
+
+def usage_counters(calls: DataFrame) -> DataFrame:
+    """(run, llm_calls, llm_input_tokens, llm_output_tokens, tts_calls, tts_characters) of calls (run, kind, input_tokens, output_tokens, text)."""
+    llm, tts = F.col("kind") == "llm", F.col("kind") == "tts"
+    total = lambda when, c: F.coalesce(F.sum(F.when(when, F.coalesce(c, F.lit(0)))), F.lit(0))
+    return calls.groupBy("run").agg(
+        F.count(F.when(llm, 1)).alias("llm_calls"),
+        total(llm, F.col("input_tokens")).alias("llm_input_tokens"),
+        total(llm, F.col("output_tokens")).alias("llm_output_tokens"),
+        F.count(F.when(tts, 1)).alias("tts_calls"),
+        total(tts, F.length("text").cast("long")).alias("tts_characters"),
+    )
+
+
+def cost_summary(steps: DataFrame, costs: DataFrame) -> DataFrame:
+    """(run, body): a line a step with minutes, seconds and share, the total time, a line a cost and the total.
+
+    steps: (run, pos, step, elapsed); costs: (run, whisper_usd, translation_usd, tts_usd, total_usd).
+    """
+    time = lambda s: F.format_string("%dm%04.1fs", F.floor(s / 60).cast("long"), s - 60 * F.floor(s / 60))
+    line = F.concat(F.rpad("step", 30, " "), F.lit(" "), time(F.col("elapsed")), F.format_string("  (%4.1f%%)", F.col("share")))
+    g = step_share(steps).withColumn("line", line).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"), F.sum("elapsed").alias("total"))
+    usd = lambda name, c: F.format_string(f"{name:<22}$%8.4f", F.coalesce(F.col(c), F.lit(0.0)))
+    rows = F.concat(F.col("l.line"), F.array(F.concat(F.rpad(F.lit("Total wall time"), 30, " "), F.lit(" "), time(F.col("total"))), usd("Transcription", "whisper_usd"), usd("Translation", "translation_usd"), usd("TTS", "tts_usd"), usd("TOTAL API COST", "total_usd")))
+    return g.join(costs, "run", "left").select("run", F.array_join(rows, "\n").alias("body"))
+
+
+def orphan_files(files: DataFrame, now: int, max_age_s: int = 3600) -> DataFrame:
+    """Scratch files (path, modified_at) older than max_age_s; with 0, as when a service starts, all of them."""
+    return files.where(F.lit(max_age_s <= 0) | (F.col("modified_at") < now - max_age_s))
+
+
+def dispatch(jobs: DataFrame, workers: int) -> DataFrame:
+    """(id, worker, turn): waiting jobs (id, created_at) dealt to `workers` in the order of their creation.
+
+    Ranks come from one window over the waiting jobs: a service's queue, not its history.
+    """
+    n = F.row_number().over(Window.orderBy("created_at", "id")) - 1
+    return jobs.select("id", (n % workers).cast("int").alias("worker"), F.floor(n / workers).cast("long").alias("turn"))

@@ -1,8 +1,9 @@
 """Operators on ordered segments: (media_id, id, start_ms, end_ms, text, speaker).
 
 Folds whose state depends on what was kept run inside islands: stretches that no
-earlier row can reach, found with one window. A fold's array is then a sentence
-or an overlap, not a whole medium, however long or popular that is.
+earlier row can reach, found with one window. A fold's array is then what is said
+without a sentence end, pause or change of speaker, or one overlap; only a medium
+that has none of these from end to end is a single island.
 """
 
 from __future__ import annotations
@@ -26,12 +27,18 @@ def valid_segments(asr: DataFrame) -> DataFrame:
     return asr.where(T.is_valid_segment(F.col("text"), F.col("start_ms"), F.col("end_ms"), F.col("no_speech_prob")))
 
 
-def words_in_valid(words: DataFrame, valid: DataFrame) -> DataFrame:
-    """Words whose start lies in a valid segment, both ends included; media without any keep all words."""
-    ranges = valid.select(F.col("media_id").alias("m"), F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))
-    some = ranges.select("m").distinct()
+#: Range joins meet by medium and stretches of this many milliseconds, so a long medium is many keys.
+STRETCH_MS = 60_000
+
+
+def words_in_valid(words: DataFrame, valid: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
+    """Words whose start lies in a valid segment, both ends included; media without any keep all words. A null start is 0."""
+    at = lambda c: F.floor(c / stretch_ms)
+    ranges = valid.select(F.col("media_id").alias("m"), F.col("start_ms").alias("rs"), F.col("end_ms").alias("re")).where("rs <= re")
+    ranges = ranges.select("m", "rs", "re", F.explode(F.sequence(at(F.col("rs")), at(F.col("re")))).alias("stretch"))
+    some = valid.select(F.col("media_id").alias("m")).distinct()
     start = F.coalesce(F.col("start_ms"), F.lit(0))
-    inside = words.join(ranges, (F.col("media_id") == F.col("m")) & start.between(F.col("rs"), F.col("re")), "left_semi")
+    inside = words.join(ranges, (F.col("media_id") == F.col("m")) & (at(start) == F.col("stretch")) & start.between(F.col("rs"), F.col("re")), "left_semi")
     return inside.unionByName(words.join(some, F.col("media_id") == F.col("m"), "left_anti"))
 
 
@@ -123,7 +130,7 @@ def rolling_dedup(words: DataFrame, within_ms: int = 100) -> DataFrame:
     one's text, so a change of text starts an island.
     """
     order = _in_order("seq")
-    key = F.lower("text")
+    key = T.casefold(F.col("text"))
     w = words.withColumn("__new", F.when(F.lag(key).over(order).isNull() | (F.lag(key).over(order) != key) | (F.col("start_ms") - F.lag("start_ms").over(order) >= within_ms), 1).otherwise(0))
     w = w.withColumn("__island", F.sum("__new").over(order))
     rows = F.array_sort(F.collect_list(F.struct("seq", "text", "start_ms")))
@@ -153,23 +160,43 @@ def align(words: DataFrame, punctuated: DataFrame, max_mismatch: float = 0.15) -
 
     words: (media_id, chunk, seq, text, start_ms, end_ms); punctuated:
     (media_id, chunk, text). A token with letters or digits takes the next word;
-    extra tokens have none, extra words are left. A chunk whose counts differ by
-    more than max_mismatch of its words gives its text as one segment.
+    others and those beyond the last word take none, words beyond the last token
+    are left, and sentences without a word are dropped. A chunk is one segment
+    of its whole time if the number of all its tokens differs from that of its
+    words by over max_mismatch of these, or if no sentence has a word; its text is
+    then the punctuated one, or the words where that is null or blank or missing.
+
+    A chunk's words and tokens are gathered in one row: chunks are bounded by
+    chunk_words().
     """
     keys = ["media_id", "chunk"]
-    order = Window.partitionBy(*keys).orderBy("pos")
-    tokens = punctuated.where(T.strip(F.col("text")) != "").select(*keys, F.posexplode(F.split(T.strip(F.col("text")), r"(?U)\s+")).alias("pos", "token"))
-    tokens = tokens.withColumn("real", (T.token_key(F.col("token")) != "").cast("int")).withColumn("k", F.sum("real").over(order))
-    tokens = tokens.withColumn("sentence", F.coalesce(F.sum(T.ends_sentence(F.col("token")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    timed = words.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("seq")).alias("k"), "start_ms", "end_ms")
-    whole = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min_by("start_ms", "seq").alias("ws"), F.max_by("end_ms", "seq").alias("we"))
-    near = tokens.groupBy(*keys).agg(F.sum("real").alias("r")).join(whole, keys).withColumn("fits", F.abs(F.col("r") - F.col("n")) <= max_mismatch * F.col("n"))
-    hit = tokens.join(timed.withColumn("real", F.lit(1)), [*keys, "k", "real"], "left").groupBy(*keys, "sentence").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.array_sort(F.collect_list(F.struct("pos", "token")))["token"], " ").alias("text")
-    )
-    good = hit.where("start_ms is not null").join(near.where("fits").select(*keys), keys, "left_semi")
-    single = near.where(~F.col("fits")).join(punctuated, keys).select(*keys, F.lit(0).cast("long").alias("sentence"), F.col("ws").alias("start_ms"), F.col("we").alias("end_ms"), "text")
-    return good.select(*keys, "sentence", "start_ms", "end_ms", "text").unionByName(single)
+    gathered = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms", "text"))).alias("w"))
+    said = punctuated.groupBy(*keys).agg(F.min(T.strip(F.col("text"))).alias("said"))
+    rows = gathered.join(said, keys, "left").withColumn("said", F.when(F.col("said") != "", F.col("said"))).withColumn("n", F.size("w"))
+    tokens = F.transform(F.split("said", r"(?U)\s+"), lambda t: F.struct(t.alias("text"), (T.token_key(t) != "").alias("real"), T.ends_sentence(t).alias("ends")))
+    rows = rows.withColumn("t", F.coalesce(tokens, F.array().cast("array<struct<text:string,real:boolean,ends:boolean>>")))
+
+    # Sentences as places: tokens after `a` up to `b` (from 0), words after `ka` up to `kb`.
+    place = "struct<a:int,b:int,ka:int,kb:int>"
+    state = F.struct(F.array().cast(f"array<{place}>").alias("out"), *[F.lit(0).alias(x) for x in ("a", "b", "ka", "kb")])
+
+    def closed(s: Column) -> Column:
+        one = F.struct(*[s[x].alias(x) for x in ("a", "b", "ka", "kb")])
+        return F.when(s["kb"] > s["ka"], F.concat(s["out"], F.array(one))).otherwise(s["out"])
+
+    def step(s: Column, token: Column) -> Column:
+        def after(x: Column) -> Column:
+            return F.when(token["ends"], F.struct(closed(x).alias("out"), x["b"].alias("a"), x["b"].alias("b"), x["kb"].alias("ka"), x["kb"].alias("kb"))).otherwise(x)
+
+        took = (token["real"] & (s["kb"] < F.col("n"))).cast("int")
+        return T.bound(F.struct(s["out"].alias("out"), s["a"].alias("a"), (s["b"] + 1).alias("b"), s["ka"].alias("ka"), (s["kb"] + took).alias("kb")), after)
+
+    near = F.abs(F.size("t") - F.col("n")) <= max_mismatch * F.col("n")
+    rows = rows.withColumn("s", F.when(near, F.aggregate("t", state, step, closed)).otherwise(F.array().cast(f"array<{place}>")))
+    words_text = F.array_join(F.transform("w", lambda w: w["text"]), " ")
+    whole = F.struct(F.get("w", F.lit(0))["start_ms"].alias("start_ms"), F.element_at("w", -1)["end_ms"].alias("end_ms"), F.coalesce("said", T.strip(words_text)).alias("text"))
+    aligned = F.transform("s", lambda x: F.struct(F.get("w", x["ka"])["start_ms"].alias("start_ms"), F.get("w", x["kb"] - 1)["end_ms"].alias("end_ms"), F.array_join(F.transform(F.slice("t", x["a"] + 1, x["b"] - x["a"]), lambda t: t["text"]), " ").alias("text")))
+    return rows.select(*keys, F.posexplode(F.when(F.size("s") > 0, aligned).otherwise(F.array(whole))).alias("sentence", "x")).select(*keys, F.col("sentence").cast("long").alias("sentence"), "x.*")
 
 
 def split_sentences(segments: DataFrame, max_chars: int = 0) -> DataFrame:

@@ -131,3 +131,35 @@ def voiceover_volumes(mode: Column, volume: Column, default: float = 0.35) -> Co
     gap = F.least(F.lit(1.0), 2 * v)
     three = lambda a, b, c: F.struct(a.alias("mix"), b.alias("original"), c.alias("gap"))
     return F.when(mode == "bake", three(v, F.lit(0.0), gap)).when(mode == "separate", three(F.lit(0.0), F.lit(1.0), gap)).otherwise(three(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+
+
+#: Sample rates of recognition and of the rendered tracks.
+SPEECH_RATE, TRACK_RATE = 16000, 44100
+
+
+def extract_plan(media: DataFrame) -> DataFrame:
+    """(media_id, source, target, codec, rate, channels): the recogniser's audio of media (media_id, path)."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return media.select("media_id", F.col("path").alias("source"), F.concat(stem, F.lit("_audio.wav")).alias("target"), F.lit("pcm_s16le").alias("codec"), F.lit(SPEECH_RATE).alias("rate"), F.lit(1).alias("channels"))
+
+
+def concat_plan(plan: DataFrame) -> DataFrame:
+    """(media_id, track, n, list): the files of a track's rows in their order, as a list to be joined."""
+    name = F.concat(F.lit("file '"), F.col("track"), F.lit("_"), F.format_string("%05d", F.col("ord")), F.when(F.col("track") == "main", ".ts").otherwise(".wav"), F.lit("'"))
+    return plan.groupBy("media_id", "track").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", name.alias("f")))), lambda x: x["f"]), "\n").alias("list"))
+
+
+def mux_plan(concats: DataFrame) -> DataFrame:
+    """(media_id, step, video, audio, video_codec, audio_codec, rate): join the pictures, then add the sound, encoded once."""
+    joined = concats.where("track = 'main'").select("media_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("step"), F.lit("concat").alias("video"), F.lit(None).cast("string").alias("audio"), F.lit("copy").alias("video_codec"), F.lit(None).cast("string").alias("audio_codec"), F.lit(None).cast("int").alias("rate")),
+        F.struct(F.lit(1).alias("step"), F.lit("video_only.ts").alias("video"), F.lit("video_audio.wav").alias("audio"), F.lit("copy").alias("video_codec"), F.lit("aac").alias("audio_codec"), F.lit(TRACK_RATE).alias("rate")),
+    )).alias("s"))
+    return joined.select("media_id", "s.*")
+
+
+def pad_plan(speech: DataFrame) -> DataFrame:
+    """(media_id, id, file, pad_ms, rate): the silence after each synthesised file of segments (media_id, id, text)."""
+    from ..functions.text import tail_silence_ms
+
+    return speech.select("media_id", "id", F.format_string("seg_%05d.wav", F.col("id")).alias("file"), tail_silence_ms(F.col("text")).cast("long").alias("pad_ms"), F.lit(TRACK_RATE).alias("rate"))

@@ -144,3 +144,20 @@ def uploaded_inputs(files: DataFrame) -> DataFrame:
     """(job_id, path): the first file named input.* in each job's folder."""
     named = files.select("path", F.regexp_extract("path", r"([^/]+)/input\.[^/]*$", 1).alias("job_id")).where("job_id <> ''")
     return named.groupBy("job_id").agg(F.min("path").alias("path"))
+
+
+def segments_of(media: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(media_id, n, segments): each medium's stored segments as an array by id; none where its body is missing or unreadable."""
+    parsed = bodies.select("media_id", F.from_json("body", SEGMENTS).alias("segments"))
+    none = F.array().cast(SEGMENTS)
+    j = media.select("media_id").join(parsed, "media_id", "left").withColumn("segments", F.array_sort(F.coalesce("segments", none)))
+    return j.select("media_id", F.size("segments").alias("n"), "segments")
+
+
+def languages_by_code(table: DataFrame) -> DataFrame:
+    return table.orderBy("code")
+
+
+def style_list(table: DataFrame) -> DataFrame:
+    """The fields of styles that are shown, by name."""
+    return table.select("name", "description", F.col("speed").alias("tts_speed"), F.col("emotion").alias("tts_emotion")).orderBy("name")

@@ -54,3 +54,12 @@ def segments_json(segments: DataFrame) -> DataFrame:
 
 def append_progress(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
+
+
+def append_usage(events: DataFrame, path: str) -> None:
+    """Appends (ip) rows; usage_counted() sums them up, so writers never rewrite a counter."""
+    events.select("ip").write.mode("append").parquet(path)
+
+
+def usage_counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
