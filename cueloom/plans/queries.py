@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogs
-from ..functions import providers
 from ..functions import text as T
 from ..operators import context, jobs
 from ..operators import segments as S
@@ -139,7 +138,7 @@ def valid_segments(spark, d):
 
 
 def valid_word_range(spark, d):
-    c = X.asr_segments(X.cues(spark, d)).where(F.col("media_id") % 3 > 0)
+    c = X.asr_segments(X.cues(spark, d))
     return S.words_in_valid(X.words(spark, d), S.valid_segments(c)).select("media_id", "seq")
 
 
@@ -166,13 +165,17 @@ def chat_history(spark, d):
     return context.chat_history(X.table(spark, d, "conversations").withColumn("role", F.when(F.col("turn") % 5 == 4, "system").otherwise(F.col("role")))).select("conv_id", "turn", "role", "text")
 
 
-def track_select(spark, d):
+def track_info(spark, d) -> DataFrame:
+    """(media_id, src, subtitles, automatic): every kind of choice among caption tracks occurs."""
     m = X.table(spark, d, "conversations").select(F.col("conv_id").alias("media_id")).distinct()
     i = F.col("media_id")
     body = F.when(i % 5 == 0, '{"en-US":[{"ext":"vtt","url":"v"},{"ext":"json3","url":"m-us"}],"de":[{"ext":"json3","url":"m-de"}]}').when(i % 5 == 1, '{"en":[{"ext":"json3","url":"m-en"}]}').when(i % 5 == 2, '{"vi":[{"ext":"json3","url":"m-vi"}]}').otherwise("{}")
     auto = F.when(i % 2 == 0, '{"en":[{"ext":"json3","url":"a-en"}],"aa-en":[{"ext":"json3","url":"a-aa"}]}').otherwise('{"fr":[{"ext":"json3","url":"a-fr"}]}')
-    info = m.select("media_id", F.when(i % 3 > 0, "en").alias("src"), F.from_json(body, readers.TRACKS).alias("subtitles"), F.from_json(auto, readers.TRACKS).alias("automatic"))
-    return readers.select_track(info)
+    return m.select("media_id", F.when(i % 3 > 0, "en").alias("src"), F.from_json(body, readers.TRACKS).alias("subtitles"), F.from_json(auto, readers.TRACKS).alias("automatic"))
+
+
+def track_select(spark, d):
+    return readers.select_track(track_info(spark, d))
 
 
 def caption_parse(spark, d):
@@ -189,9 +192,13 @@ def captions_or_asr(spark, d):
 
 
 def align(spark, d):
+    """Texts of some chunks are refused: with a dash after every other word, with none at all, or blank; dashes in others are few."""
     w = S.chunk_words(X.words(spark, d), 120, 2000)
-    t = w.groupBy("media_id", "chunk").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "text")))["text"], " — ").alias("text"))
-    return S.align(w, t)
+    k = F.col("media_id") + F.col("chunk")
+    every = F.when(k % 4 == 0, 2).when(k % 4 == 1, 16).otherwise(1000)
+    token = F.when(F.col("seq") % every == 1, F.concat("text", F.lit(" —"))).otherwise(F.col("text"))
+    t = w.withColumn("token", token).groupBy("media_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]), " ").alias("text"))
+    return S.align(w, t.withColumn("text", F.when(k % 4 == 3, "  ").otherwise(F.col("text"))).where(k % 8 != 2))
 
 
 def speech_tags(spark, d):
@@ -201,7 +208,7 @@ def speech_tags(spark, d):
 
 
 def breath_tags(spark, d):
-    return X.table(spark, d, "conversations").select("conv_id", "turn", T.breath_tag(F.substring_index("text", ".", 1)).alias("tagged"))
+    return X.table(spark, d, "conversations").select("conv_id", "turn", T.breath_tag(F.col("text")).alias("tagged"))
 
 
 def batches(spark, d):
@@ -217,10 +224,6 @@ def audio_chunks(spark, d):
     return S.audio_chunks(X.media(X.cues(spark, d)), 120000, 1000)
 
 
-def native_voices(spark, d):
-    return catalogs.native_voices(catalogs.voices(spark))
-
-
 def missing_files(spark, d):
     c = X.cues(spark, d).select("media_id", "id")
     have = c.where(F.col("id") % 10 > 0).select("media_id", F.format_string("seg_%05d.wav", F.col("id")).alias("name"))
@@ -243,20 +246,23 @@ def localise(spark, d):
     from .pipeline import localise as run
 
     c = X.cues(spark, d)
-    out = run(c.limit(0), c, X.media(c))
+    captions = c.where("media_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" so")))
+    out = run(captions, c, X.media(c))
     return out.aligned.select("media_id", "id", "start_us", "end_us", "text")
 
 
 NAMES = (
     "stats_summary stats_by_language recent_jobs queue_position usage_quota cost_breakdown step_share ttl_sweep stats_upsert_latest settled_status gap_detect retime audio_plan srt_cues "
     "srt_round_trip rescale word_ends chunk_words rolling_dedup overlap_dedup sentences_from_words merge_continuous sentence_split split_segments soft_split valid_segments valid_word_range "
-    "redact context_window frame_times chat_history track_select caption_parse auto_caption_words captions_or_asr align speech_tags breath_tags batches lang_code audio_chunks native_voices "
+    "redact context_window frame_times chat_history track_select caption_parse auto_caption_words captions_or_asr align speech_tags breath_tags batches lang_code audio_chunks "
     "missing_files upload_gate tempo_chain localise"
 ).split()
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in NAMES}
+    from . import service_queries
+
+    return {n: globals()[n] for n in NAMES} | service_queries.queries()
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,15 +17,16 @@ CUES = WORDS + r""",
 parts AS (SELECT media_id, turn, pos // 8 AS part, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY pos) AS text, min(speaker) AS speaker FROM words GROUP BY ALL),
 cues AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY turn, part) - 1 AS id, start_ms, end_ms, text, speaker FROM parts),
 media AS (SELECT media_id, max(end_ms) + 1500 AS total_ms FROM cues GROUP BY 1)"""
-TTS = CUES + r""",
-tts AS (SELECT media_id, id, CAST(floor((end_ms - start_ms) * [30, 80, 100, 150, 205, 230, 350][id % 7 + 1] / 100) AS BIGINT) AS tts_ms FROM cues),
-t1 AS (SELECT c.*, (end_ms - start_ms) / 1000.0::DOUBLE AS orig, tts_ms / 1000.0::DOUBLE AS said_s, lag(end_ms, 1, 0) OVER (PARTITION BY media_id ORDER BY id) AS prev FROM cues c JOIN tts USING (media_id, id)),
+TIMED = r"""t1 AS (SELECT c.*, (end_ms - start_ms) / 1000.0::DOUBLE AS orig, tts_ms / 1000.0::DOUBLE AS said_s, lag(end_ms, 1, 0) OVER (PARTITION BY media_id ORDER BY id) AS prev FROM {cues} c JOIN {tts} USING (media_id, id)),
 t2 AS (SELECT *, CASE WHEN orig < 0.01 OR said_s < 0.01 THEN 1.0::DOUBLE ELSE greatest(0.5::DOUBLE, least(2.5::DOUBLE, orig / said_s)) END AS speed FROM t1),
 t3 AS (SELECT *, orig / speed AS target FROM t2),
 t4 AS (SELECT *, CASE WHEN said_s - target <= 0.2::DOUBLE THEN 1.0::DOUBLE ELSE least(said_s / (target + 0.2::DOUBLE), 1.3::DOUBLE) END AS atempo FROM t3),
 t5 AS (SELECT *, greatest(0::DOUBLE, said_s / atempo - target) AS over_s FROM t4),
 t6 AS (SELECT *, CASE WHEN over_s < 0.001 THEN 0::DOUBLE ELSE over_s END AS frozen FROM t5),
 timed AS (SELECT *, CASE WHEN start_ms - prev > 50 THEN (start_ms - prev) * 1000 ELSE 0 END AS gap_us, CAST(floor((target + frozen) * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS chunk_us FROM t6)"""
+TTS = CUES + r""",
+tts AS (SELECT media_id, id, CAST(floor((end_ms - start_ms) * [30, 80, 100, 150, 205, 230, 350][id % 7 + 1] / 100) AS BIGINT) AS tts_ms FROM cues),
+""" + TIMED.replace("{cues}", "cues").replace("{tts}", "tts")
 JOBS = r"""
 used AS (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS k FROM lineitem GROUP BY 1),
 job_stats AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS created_at, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'failed' ELSE 'queued' END AS status,
@@ -34,6 +35,8 @@ job_stats AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS cre
   FROM orders LEFT JOIN used ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)"""
 EVENT_WORDS = r"""
 ew AS (SELECT user_id AS media_id, event_type AS text, epoch_us(ts) // 1000 AS start_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) - 1 AS seq FROM events)"""
+TRACKS = r"""m AS (SELECT DISTINCT conv_id AS media_id, conv_id % 5 AS k, conv_id % 3 > 0 AS known FROM conversations),
+t AS (SELECT media_id, CASE WHEN known THEN CASE WHEN k = 1 THEN 'manual,en,m-en' WHEN k = 0 THEN 'manual,en-US,m-us' WHEN media_id % 2 = 0 THEN 'auto,en,a-en' END ELSE CASE k WHEN 0 THEN 'manual,de,m-de' WHEN 1 THEN 'manual,en,m-en' WHEN 2 THEN 'manual,vi,m-vi' END END AS t FROM m)"""
 SINCE = f"created_at >= {NOW - DAYS * 86400}"
 ENDS = r"""CASE WHEN regexp_matches(rtrim({w}), '[!?。！？]$') THEN true WHEN rtrim({w}) LIKE '%.' THEN list_extract(string_split_regex(lower(rtrim({w})), '\s+'), -1) NOT IN
  ('mr.','mrs.','ms.','dr.','prof.','sr.','jr.','st.','u.s.','u.s.a.','u.k.','e.u.','etc.','vs.','i.e.','e.g.','approx.','incl.','cf.','ca.','inc.','ltd.','corp.','co.','no.','vol.','fig.','eq.','ref.','ed.','p.m.','a.m.') ELSE false END"""
@@ -42,32 +45,46 @@ FRAGMENT = r"regexp_matches(trim({t}), '^[a-z]|^[A-Z][\s一-鿿]')"
 STRIPPED = r"""(CASE WHEN len(list_filter(range(2, least(length(rtrim({p}, '.!?。！？ ')), length(ltrim({f}))) + 1), lambda n: ends_with(lower(rtrim({p}, '.!?。！？ ')), lower(substring(ltrim({f}), 1, n))))) > 0
  AND trim(ltrim(substring(ltrim({f}), list_max(list_filter(range(2, least(length(rtrim({p}, '.!?。！？ ')), length(ltrim({f}))) + 1), lambda n: ends_with(lower(rtrim({p}, '.!?。！？ ')), lower(substring(ltrim({f}), 1, n))))) + 1), ' ,，;；')) <> ''
  THEN ltrim(substring(ltrim({f}), list_max(list_filter(range(2, least(length(rtrim({p}, '.!?。！？ ')), length(ltrim({f}))) + 1), lambda n: ends_with(lower(rtrim({p}, '.!?。！？ ')), lower(substring(ltrim({f}), 1, n))))) + 1), ' ,，;；') ELSE {f} END)"""
-MERGE = (
-    CUES
-    + r""",
-walk AS (
-  SELECT media_id, id, id AS first, start_ms, end_ms, text, speaker, false AS grown FROM cues WHERE id = 0
+
+
+def merge_ctes(source: str, walk: str, merged: str, longest: int | None) -> str:
+    """The fold over source (media_id, id, start_ms, end_ms, text, speaker) as a recursive CTE `walk`, and its result `merged`."""
+    within = "true" if longest is None else f"c.end_ms - w.start_ms <= {longest}"
+    return (
+        f"""
+{walk} AS (
+  SELECT media_id, id, id AS first, start_ms, end_ms, text, speaker, false AS grown FROM {source} WHERE id = 0
   UNION ALL
   SELECT media_id, id, CASE WHEN grows THEN first ELSE id END, CASE WHEN grows THEN cs ELSE start_ms END, end_ms, CASE WHEN NOT grows THEN text WHEN trim(added) <> '' THEN trim(ct || ' ' || added) ELSE ct END, speaker, grows
   FROM (SELECT *, CASE WHEN frag THEN """
-    + STRIPPED.format(p="ct", f="text")
-    + r""" ELSE text END AS added FROM (
+        + STRIPPED.format(p="ct", f="text")
+        + """ ELSE text END AS added FROM (
     SELECT c.*, w.first, w.start_ms AS cs, w.text AS ct, """
-    + FRAGMENT.format(t="c.text")
-    + r""" AS frag, c.speaker = w.speaker AND c.start_ms - w.end_ms <= 1000 AND (NOT """
-    + SIMPLE_END.format(t="w.text")
-    + " OR "
-    + FRAGMENT.format(t="c.text")
-    + r""") AND c.end_ms - w.start_ms <= 60000 AS grows
-    FROM walk w JOIN cues c ON c.media_id = w.media_id AND c.id = w.id + 1))),
-merged0 AS (SELECT * FROM walk QUALIFY id = max(id) OVER (PARTITION BY media_id, first)),
-merged AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY first) - 1 AS id, start_ms, end_ms, text, speaker FROM merged0)"""
-)
+        + FRAGMENT.format(t="c.text")
+        + """ AS frag, c.speaker = w.speaker AND c.start_ms - w.end_ms <= 1000 AND (NOT """
+        + SIMPLE_END.format(t="w.text")
+        + " OR "
+        + FRAGMENT.format(t="c.text")
+        + f""") AND {within} AS grows
+    FROM {walk} w JOIN {source} c ON c.media_id = w.media_id AND c.id = w.id + 1))),
+{merged}_last AS (SELECT * FROM {walk} QUALIFY id = max(id) OVER (PARTITION BY media_id, first)),
+{merged} AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY first) - 1 AS id, start_ms, end_ms, text, speaker FROM {merged}_last)"""
+    )
+
+
+MERGE = CUES + "," + merge_ctes("cues", "walk", "merged", 60000)
 #: Parts of a text; a period between word characters doesn't end one. RE2 has no look-around, so what follows a mark is matched.
 SPLIT = r"""list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace({t}, '([\p{{L}}\p{{N}}_])\.([\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g'), '([\p{{L}}\p{{N}}_])\.([\p{{L}}\p{{N}}_])', '\1' || chr(1) || '\2', 'g'),
  '[^.!?。！？]*(?:[.!?。！？]+[0-9][^.!?。！？]*)*[.!?。！？]+\s*|[^.!?。！？]+$'), lambda p: regexp_replace(replace(p, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda p: p <> '')"""
 
 
+def timed_parts(source: str, name: str) -> str:
+    """CTE `name`: the texts p of source (media_id, id, start_ms, end_ms, p) with the segment's time shared by characters."""
+    return f"""{name}_n AS (SELECT *, list_sum(list_transform(p, lambda x: length(x))) AS n, unnest(range(1, len(p) + 1)) AS k FROM {source}),
+            {name}_b AS (SELECT *, coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x))), 0) AS before FROM {name}_n),
+            {name} AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY id, k) - 1 AS id, CAST(start_ms + (end_ms - start_ms) * before // n AS BIGINT) AS start_ms, CAST(CASE WHEN len(p) = 1 THEN end_ms ELSE start_ms + (end_ms - start_ms) * (before + length(p[k])) // n END AS BIGINT) AS end_ms, p[k] AS text FROM {name}_b)"""
+
+
 def _recursive(ctes: str, rest: str) -> str:
     return f"WITH RECURSIVE {ctes} {rest}"
 
@@ -117,15 +134,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT media_id, CAST(id AS BIGINT) AS id, arg_min(start_ms, seq) AS start_ms, arg_max(end_ms, seq) AS end_ms, string_agg(text, ' ' ORDER BY seq) AS text FROM s GROUP BY 1, 2"""),
         "merge_continuous": _recursive(MERGE, "SELECT media_id, id, start_ms, end_ms, text, speaker FROM merged"),
         "sentence_split": r"WITH s AS (SELECT doc_id, " + SPLIT.format(t="text") + r" AS p FROM documents) SELECT doc_id, CAST(unnest(range(len(p))) AS BIGINT) AS k, unnest(p) AS part FROM s",
-        "split_segments": _recursive(MERGE + r""", s0 AS (SELECT *, """ + SPLIT.format(t="text") + r""" AS p0 FROM merged), s1 AS (SELECT media_id, id, start_ms, end_ms, CASE WHEN len(p0) <= 1 THEN [text] ELSE p0 END AS p FROM s0), s2 AS (SELECT *, list_sum(list_transform(p, lambda x: length(x))) AS n, unnest(range(1, len(p) + 1)) AS k FROM s1),
-            s3 AS (SELECT *, coalesce(list_sum(list_transform(p[1:k - 1], lambda x: length(x))), 0) AS before FROM s2)""", r"""SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY id, k) - 1 AS id, CAST(start_ms + (end_ms - start_ms) * before // n AS BIGINT) AS start_ms, CAST(CASE WHEN len(p) = 1 THEN end_ms ELSE start_ms + (end_ms - start_ms) * (before + length(p[k])) // n END AS BIGINT) AS end_ms, p[k] AS text FROM s3"""),
+        "split_segments": _recursive(MERGE + ", s0 AS (SELECT *, " + SPLIT.format(t="text") + " AS p0 FROM merged), s1 AS (SELECT media_id, id, start_ms, end_ms, CASE WHEN len(p0) <= 1 THEN [text] ELSE p0 END AS p FROM s0), " + timed_parts("s1", "parted"), "SELECT media_id, id, start_ms, end_ms, text FROM parted"),
         "valid_segments": w(CUES, r"""SELECT media_id, id FROM cues WHERE end_ms - start_ms >= 800 AND length(trim(text)) >= 4 AND (id % 10) / 10.0::DOUBLE <= 0.6::DOUBLE AND NOT regexp_matches(trim(text), '(?i)^\s*[\[\(\*]|^\s*$|\bmusic\b|\bapplause\b|\blaughter\b|\bsilence\b|\binaudible\b|\buntranscribed\b')"""),
         "redact": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text || CASE doc_id % 4 WHEN 0 THEN ' sk-' || repeat('aB3', 7) WHEN 1 THEN ' sk_' || repeat('x_9', 8) WHEN 2 THEN ' ' || repeat('0aF', 16) ELSE ' ' || repeat('a', 47) END || ' end', 'sk-[A-Za-z0-9_-]{20,}', '***', 'g'), 'sk_[A-Za-z0-9_-]{20,}', '***', 'g'), '\b[A-Fa-f0-9]{48,}\b', '***', 'g')) AS text_md5 FROM documents""",
         "chat_history": "WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'system' ELSE role END AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, turn, role, text FROM c WHERE n <= 8 AND role IN ('user', 'assistant')",
         "caption_parse": w(WORDS, "SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY turn) - 1 AS id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY pos) AS text FROM words GROUP BY media_id, turn"),
         "captions_or_asr": w(CUES, "SELECT media_id, CASE WHEN media_id % 2 = 0 THEN 'captions' ELSE 'asr' END AS source, count(*) AS n FROM cues GROUP BY 1, 2"),
         "speech_tags": w(CUES, r"""SELECT media_id, id, CASE WHEN id % 3 = 0 THEN '<speed ratio="0.95"/> ' ELSE '' END || CASE WHEN id % 2 = 0 THEN '<emotion value="calm"/> ' ELSE '' END || text AS ssml, CAST(CASE WHEN """ + SIMPLE_END.format(t="text") + " THEN 250 ELSE 120 END AS BIGINT) AS tail_ms, " + ENDS.format(w="text") + " AS ends, " + FRAGMENT.format(t="text") + " AS fragment FROM cues"),
-        "breath_tags": r"""WITH s AS (SELECT conv_id, turn, string_split(text, '.')[1] AS t FROM conversations), m AS (SELECT *, list_filter(range(1, length(t) + 1), lambda i: list_contains([',', '，', ';', '；', ':', '：'], substring(t, i, 1))) AS marks FROM s), b AS (SELECT *, list_min(list_transform(marks, lambda i: abs(2 * i - length(t)) * 1000000 + i)) % 1000000 AS mid FROM m)
+        "breath_tags": r"""WITH s AS (SELECT conv_id, turn, text AS t FROM conversations), m AS (SELECT *, list_filter(range(1, length(t) + 1), lambda i: list_contains([',', '，', ';', '；', ':', '：'], substring(t, i, 1))) AS marks FROM s), b AS (SELECT *, list_min(list_transform(marks, lambda i: abs(2 * i - length(t)) * 1000000 + i)) % 1000000 AS mid FROM m)
             SELECT conv_id, turn, CASE WHEN length(t) >= 90 AND mid IS NOT NULL AND NOT regexp_matches(substring(t, mid + 1), '^\s*<') THEN substring(t, 1, mid) || ' <breath>' || substring(t, mid + 1) ELSE t END AS tagged FROM b""",
         "lang_code": r"""WITH n AS (SELECT n_nationkey, ['English', 'GERMAN', 'klingon', 'zh'][n_nationkey % 4 + 1] AS name FROM nation) SELECT n_nationkey, name, CASE lower(name) WHEN 'english' THEN 'en' WHEN 'german' THEN 'de' ELSE substring(lower(name), 1, 2) END AS code, CASE WHEN substring(lower(name), 1, 2) IN ('en') THEN 'en' ELSE 'na' END AS local_code FROM n""",
         "audio_chunks": w(CUES, r""", n AS (SELECT media_id, total_ms, CAST(unnest(range(CASE WHEN total_ms <= 120000 THEN 1 ELSE (total_ms + 119999) // 120000 END)) AS BIGINT) AS chunk FROM media) SELECT media_id, chunk, chunk * 120000 AS offset_ms, CASE WHEN total_ms <= 120000 THEN total_ms ELSE least(121000, total_ms - chunk * 120000) END AS length_ms FROM n"""),
@@ -134,21 +150,64 @@ def oracle_sql() -> dict[str, str]:
     }
     chunked = WORDS + r""", s0 AS (SELECT *, sum(CASE WHEN start_ms - prev > 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY seq) AS session FROM (SELECT *, lag(end_ms) OVER (PARTITION BY media_id ORDER BY seq) AS prev FROM words)),
         s1 AS (SELECT *, (row_number() OVER (PARTITION BY media_id, session ORDER BY seq) - 1) // 120 AS part FROM s0), s2 AS (SELECT *, dense_rank() OVER (PARTITION BY media_id ORDER BY session, part) - 1 AS chunk FROM s1)"""
-    out["align"] = w(chunked, ", e AS (SELECT *, " + ENDS.format(w="text") + r""" AS ends FROM s2), f AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY media_id, chunk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM e)
-        SELECT media_id, chunk, CAST(sentence AS BIGINT) AS sentence, min(start_ms) AS start_ms, max(end_ms) AS end_ms, CASE WHEN sentence > 0 THEN '— ' ELSE '' END || string_agg(text, ' — ' ORDER BY seq) AS text FROM f GROUP BY media_id, chunk, sentence""")
+    out["align"] = w(chunked, r""", f AS (SELECT *, (media_id + chunk) % 8 AS k, seq % CASE (media_id + chunk) % 4 WHEN 0 THEN 2 WHEN 1 THEN 16 ELSE 1000 END = 1 AS dash FROM s2),
+        g AS (SELECT media_id, chunk, any_value(k) AS k, count(*) AS n, count(*) FILTER (dash) AS extra, min(start_ms) AS s, max(end_ms) AS e, string_agg(text, ' ' ORDER BY seq) AS raw, string_agg(CASE WHEN dash THEN text || ' —' ELSE text END, ' ' ORDER BY seq) AS said FROM f GROUP BY 1, 2),
+        fits AS (SELECT *, k <> 2 AND k % 4 <> 3 AND extra <= 0.15 * n AS good FROM g),
+        e AS (SELECT f.*, """ + ENDS.format(w="text") + r""" AS ends FROM f JOIN fits USING (media_id, chunk) WHERE good),
+        c AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY media_id, chunk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place,
+          coalesce(lag(ends AND dash) OVER (PARTITION BY media_id, chunk ORDER BY seq), false) AS led FROM e),
+        n AS (SELECT media_id, chunk, dense_rank() OVER (PARTITION BY media_id, chunk ORDER BY place) - 1 AS sentence, seq, start_ms, end_ms, CASE WHEN led THEN '— ' ELSE '' END || text || CASE WHEN dash AND NOT ends THEN ' —' ELSE '' END AS piece FROM c)
+        SELECT media_id, chunk, sentence, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(piece, ' ' ORDER BY seq) AS text FROM n GROUP BY 1, 2, 3
+        UNION ALL SELECT media_id, chunk, 0, s, e, CASE WHEN k = 2 OR k % 4 = 3 THEN raw ELSE said END FROM fits WHERE NOT good""")
+    cut = "list_filter(range(1, length(text) + 1), lambda i: substring(text, i, 1) IN (',', '，', ';', '；', '、'))"
+    out["soft_split"] = _recursive(
+        CUES
+        + ", s0 AS (SELECT *, "
+        + SPLIT.format(t="text")
+        + r""" AS p0 FROM cues), r0 AS (SELECT media_id, id, CAST(unnest(range(len(p0))) AS BIGINT) AS k, unnest(p0) AS text FROM s0),
+        halves AS (SELECT media_id, id, k, '' AS path, text FROM r0 UNION ALL SELECT media_id, id, k, path || side, CASE side WHEN '0' THEN l ELSE r END FROM (SELECT *, rtrim(substring(text, 1, e)) AS l, ltrim(substring(text, e + 1)) AS r FROM (SELECT *, """
+        + f"list_min(list_transform({cut}, lambda i: abs(2 * i - length(text)) * 1000000 + i)) % 1000000 AS e FROM halves WHERE length(text) > 20 AND len({cut}) > 0"
+        + r""")), (VALUES ('0'), ('1')) v(side) WHERE l <> '' AND r <> ''),
+        leaves AS (SELECT * FROM halves h WHERE NOT EXISTS (SELECT 1 FROM halves x WHERE x.media_id = h.media_id AND x.id = h.id AND x.k = h.k AND x.path = h.path || '0')),
+        s2 AS (SELECT media_id, id, list(text ORDER BY k, path) AS p FROM leaves GROUP BY 1, 2),
+        s1 AS (SELECT c.media_id, c.id, start_ms, end_ms, CASE WHEN coalesce(len(p), 0) <= 1 THEN [text] ELSE p END AS p FROM cues c LEFT JOIN s2 USING (media_id, id)), """
+        + timed_parts("s1", "parted"),
+        "SELECT media_id, id, start_ms, end_ms, text FROM parted",
+    )
+    out["localise"] = _recursive(
+        CUES
+        + ", chosen AS (SELECT media_id, id, start_ms, end_ms, CASE WHEN media_id % 2 = 0 THEN text || ' so' ELSE text END AS text, speaker FROM cues),"
+        + merge_ctes("chosen", "walk", "merged", 60000)
+        + ", said1 AS (SELECT media_id, id, start_ms, end_ms, upper(replace(text, 'ß', 'ss')) AS text, 'SPEAKER_00' AS speaker FROM merged),"
+        + merge_ctes("said1", "walk2", "merged2", None)
+        + ", s0 AS (SELECT *, "
+        + SPLIT.format(t="text")
+        + " AS p0 FROM merged2), s1 AS (SELECT media_id, id, start_ms, end_ms, CASE WHEN len(p0) <= 1 THEN [text] ELSE p0 END AS p FROM s0), "
+        + timed_parts("s1", "parted")
+        + ", spoken AS (SELECT media_id, id, 60 * length(text) + CASE WHEN "
+        + SIMPLE_END.format(t="text")
+        + " THEN 250 ELSE 120 END AS tts_ms FROM parted), "
+        + TIMED.replace("{cues}", "parted").replace("{tts}", "spoken"),
+        "SELECT media_id, id, CAST(sum(gap_us + chunk_us) OVER o - chunk_us AS BIGINT) AS start_us, CAST(sum(gap_us + chunk_us) OVER o AS BIGINT) AS end_us, text FROM timed WINDOW o AS (PARTITION BY media_id ORDER BY id)",
+    )
     out["auto_caption_words"] = w(WORDS, "SELECT media_id, seq, text, start_ms, greatest(start_ms, coalesce(lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq), start_ms + 300)) AS end_ms FROM words")
     out["batches"] = w(CUES, r"""SELECT media_id, id // 64 AS batch, count(*) AS n, md5(string_agg('[' || (id % 64 + 1) || ']: "' || text || '"', chr(10) ORDER BY id)) AS prompt_md5 FROM cues GROUP BY 1, 2""")
-    out["tempo_chain"] = w(TTS, r""", r AS (SELECT c.media_id, c.id, tts_ms::DOUBLE / (end_ms - start_ms)::DOUBLE AS r FROM cues c JOIN tts USING (media_id, id))
-        SELECT media_id, id, CAST(greatest(ceil(log2(r)) - 1, 0) + greatest(ceil(-log2(r)) - 1, 0) + 1 AS BIGINT) AS n, CAST(floor(r * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS product, true AS within FROM r""")
-    out["track_select"] = r"""WITH m AS (SELECT DISTINCT conv_id AS media_id, conv_id % 5 AS k, conv_id % 3 > 0 AS known FROM conversations),
-        t AS (SELECT media_id, CASE WHEN known THEN CASE WHEN k = 1 THEN 'manual,en,m-en' WHEN k = 0 THEN 'manual,en-US,m-us' WHEN media_id % 2 = 0 THEN 'auto,en,a-en' END ELSE CASE k WHEN 0 THEN 'manual,de,m-de' WHEN 1 THEN 'manual,en,m-en' WHEN 2 THEN 'manual,vi,m-vi' END END AS t FROM m)
-        SELECT media_id, string_split(t, ',')[1] AS kind, string_split(t, ',')[2] AS lang, string_split(t, ',')[3] AS url FROM t WHERE t IS NOT NULL"""
+    # Peeled one factor after the other, as long as the rest is out of range.
+    out["tempo_chain"] = _recursive(
+        TTS
+        + r""", r AS (SELECT c.media_id, c.id, tts_ms::DOUBLE / (end_ms - start_ms)::DOUBLE AS r FROM cues c JOIN tts USING (media_id, id)),
+        peel AS (SELECT media_id, id, r AS rest, 1.0::DOUBLE AS peeled, 0 AS n FROM r UNION ALL SELECT media_id, id, CASE WHEN rest > 2 THEN rest / 2 ELSE rest / 0.5::DOUBLE END, CASE WHEN rest > 2 THEN peeled * 2 ELSE peeled * 0.5::DOUBLE END, n + 1 FROM peel WHERE rest > 2 OR rest < 0.5::DOUBLE)""",
+        "SELECT media_id, id, CAST(n + 1 AS BIGINT) AS n, CAST(floor(peeled * rest * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS product, rest >= 0.5::DOUBLE AND rest <= 2 AS within FROM peel WHERE rest <= 2 AND rest >= 0.5::DOUBLE",
+    )
+    out["track_select"] = w(TRACKS, "SELECT media_id, string_split(t, ',')[1] AS kind, string_split(t, ',')[2] AS lang, string_split(t, ',')[3] AS url FROM t WHERE t IS NOT NULL")
     probes = r""", probes AS (SELECT DISTINCT media_id, unnest([0, total_ms // 4, total_ms // 2, total_ms]) AS t_ms FROM media), win AS (SELECT *, greatest(0, t_ms - 30000) AS ws, t_ms + 30000 AS we FROM probes),
         ctx AS (SELECT p.media_id, p.t_ms, least(ws, coalesce(arg_min(c.start_ms, c.id), ws)) AS window_start_ms, greatest(we, coalesce(arg_max(c.end_ms, c.id), we)) AS window_end_ms, coalesce(string_agg(c.id::VARCHAR, ',' ORDER BY c.id), '') AS ids, coalesce(string_agg(c.text, chr(10) ORDER BY c.id), '') AS text
           FROM win p LEFT JOIN cues c ON c.media_id = p.media_id AND c.end_ms >= ws AND c.start_ms <= we GROUP BY p.media_id, p.t_ms, ws, we)"""
     out["context_window"] = w(CUES + probes, "SELECT media_id, t_ms, window_start_ms, window_end_ms, ids, text FROM ctx")
     out["frame_times"] = w(CUES + probes, r""", f AS (SELECT media_id, t_ms, total_ms, window_start_ms, unnest(range(least(6, (window_end_ms - window_start_ms) // 5000 + 1))) AS n FROM ctx JOIN media USING (media_id))
         SELECT media_id, t_ms, CAST(n AS BIGINT) AS n, (least(window_start_ms + n * 5000, greatest(0, total_ms - 100)) + 5) // 10 * 10 AS frame_ms FROM f""")
-    valid = r""", ok AS (SELECT media_id, start_ms, end_ms FROM cues WHERE media_id % 3 > 0 AND end_ms - start_ms >= 800 AND length(trim(text)) >= 4 AND (id % 10) / 10.0::DOUBLE <= 0.6::DOUBLE AND NOT regexp_matches(trim(text), '(?i)^\s*[\[\(\*]|\bmusic\b|\bapplause\b|\blaughter\b|\bsilence\b|\binaudible\b|\buntranscribed\b'))"""
+    valid = r""", ok AS (SELECT media_id, start_ms, end_ms FROM cues WHERE end_ms - start_ms >= 800 AND length(trim(text)) >= 4 AND (id % 10) / 10.0::DOUBLE <= 0.6::DOUBLE AND NOT regexp_matches(trim(text), '(?i)^\s*[\[\(\*]|\bmusic\b|\bapplause\b|\blaughter\b|\bsilence\b|\binaudible\b|\buntranscribed\b'))"""
     out["valid_word_range"] = w(CUES + valid, "SELECT media_id, seq FROM words w WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.media_id = w.media_id) OR EXISTS (SELECT 1 FROM ok WHERE ok.media_id = w.media_id AND w.start_ms BETWEEN ok.start_ms AND ok.end_ms)")
-    return out
+    from . import service_sql
+
+    return out | service_sql.oracle_sql()

@@ -116,10 +116,15 @@ def test_catalogs(spark):
     answer = '<think>hm</think>```json\n["Nova", "onyx", "nova", "nobody", "echo", "fable"]\n```'
     got = catalogs.voice_candidates(spark.createDataFrame([(1, answer), (2, "none")], "answer_id long, answer string"), table).orderBy("rank").collect()
     assert [r.name for r in got] == ["nova", "onyx", "echo"]
-    objects = '[{"name": "echo"}, {"voice": "onyx"}]'
-    assert [r.name for r in catalogs.voice_candidates(spark.createDataFrame([(1, objects)], "answer_id long, answer string"), table).orderBy("rank").collect()] == ["echo", "onyx"]
-    text = {r.provider: r.catalog for r in catalogs.voice_catalog(table, "fr").collect()}["together"]
-    assert text.startswith("[fr]\n- french narrator man\n") and text.index("[de]") < text.index("[en]")
+    objects = 'Take these: [{"name": "echo"}, {"voice": " ONYX", "explanation": "deep"}, {"voice": "nova"}] or not'
+    one = '{"voice": "alloy"}'
+    found = catalogs.voice_candidates(spark.createDataFrame([(1, objects), (2, one), (3, "[1, null]"), (4, None)], "answer_id long, answer string"), table)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, "onyx", "deep"), (1, 2, "nova", ""), (2, 1, "alloy", "")]
+    text = {r.provider: r.catalog for r in catalogs.voice_catalog(table, "fr").collect()}
+    assert text["together"].startswith("== Voices for target language (fr) ==\n  - french narrator man\n  - french narrator lady\n\n== ar ==\n") and text["together"].index("== de ==") < text["together"].index("== en ==")
+    assert "  - Lior — male, french accent\n" in text["elevenlabs"]
+    more = catalogs.described(table, spark.createDataFrame([("elevenlabs", "fr", "Lior", "Soft")], "provider string, lang string, name string, text string"))
+    assert "  - Lior — male, french accent — Soft\n" in {r.provider: r.catalog for r in catalogs.voice_catalog(more, "fr").collect()}["elevenlabs"]
     styles = readers.styles(spark, {"standard": {"description": "d"}, "kids": {"tts": {"emotion": "excited"}}})
     assert [r.name for r in styles.collect()] == ["kids", "standard"]
     with pytest.raises(Exception, match="kids, standard"):
@@ -134,12 +139,123 @@ def test_punctuation_and_recognition(spark):
         raise OSError
 
     assert [(r.start_ms, r.end_ms, r.text) for r in providers.restore_punctuation(w, lambda t: "A few years.").collect()] == [(0, 3000, "A few years.")]
-    assert [(r.start_ms, r.end_ms, r.text) for r in providers.restore_punctuation(w, fail).collect()] == [(0, 3000, "a few years")]
+    for silent in (fail, lambda text: " ", lambda text: "", lambda text: None):
+        assert [(r.start_ms, r.end_ms, r.text) for r in providers.restore_punctuation(w, silent).collect()] == [(0, 3000, "a few years")]
     heard = providers.recognise(spark.createDataFrame([(1, "x.wav")], "media_id long, path string"), lambda p: [{"start_ms": 0, "end_ms": 900, "text": p}])
     assert [tuple(r) for r in heard.collect()] == [(1, 0, 0, 900, "x.wav", None)]
 
 
-def test_config_and_readiness(spark):
+def test_attempts_and_their_pauses():
+    waits, calls = [], []
+
+    def third(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise OSError("429")
+        return x
+
+    assert providers.attempted(third, "a", waits=providers.RECOGNITION_WAITS, sleep=waits.append) == "a" and waits == [5, 15]
+    waits.clear()
+    with pytest.raises(ValueError):
+        providers.attempted(lambda: int("x"), sleep=waits.append)
+    assert waits == [2.0, 4.0]
+    waits.clear()
+    assert providers.attempted(lambda: ["one"], accept=providers.batch_of(2), attempts=4, waits=(5, 15), sleep=waits.append) is None and waits == [5, 15, 15]
+    assert not providers.batch_of(1)("x") and not providers.batch_of(1)([1]) and not providers.batch_of(1)(None) and providers.batch_of(2)(["a", "b"])
+
+
+def test_speech_after_a_rate_limit(spark, tmp_path):
+    s = spark.createDataFrame([(1, i, f"text {i}", "A" if i % 2 else "B") for i in range(12)], "media_id long, id long, text string, speaker string")
+
+    def call(tagged, voice):
+        from pathlib import Path
+
+        seen = Path(tmp_path, tagged.split()[-1])
+        if not seen.exists():
+            seen.touch()
+            raise RuntimeError("Rate limit reached")
+        return len(tagged)
+
+    got = providers.speak(s, call, "nova", spark.createDataFrame([("A", "onyx")], "speaker string, voice string"), workers=2, sleep=lambda seconds: None).orderBy("id").collect()
+    assert [(r.id, r.voice, r.file, r.tts_ms, r.characters) for r in got] == [(i, "onyx" if i % 2 else "nova", f"seg_{i:05d}.wav", len(f"text {i}"), len(f"text {i}")) for i in range(12)]
+
+    def broken(tagged, voice):
+        raise RuntimeError("no such voice")
+
+    with pytest.raises(Exception, match="no such voice"):
+        providers.speak(s, broken, "nova", sleep=lambda seconds: None).collect()
+
+
+def test_answers_and_voice_match(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "n long, prompt string")
+    assert {r.n: r.answer for r in providers.answered(asked, lambda p: p * 2, accept=lambda a: a != "bb").collect()} == {1: "aa", 2: None}
+    assert providers.audio_path("a.wav") == "a.wav" and providers.audio_path(("n", "b.wav")) == "b.wav"
+    with open(__file__) as f:
+        assert providers.audio_path(f) == __file__ and providers.audio_path(("x", f)) == __file__
+    assert providers.is_rate_limit(RuntimeError("HTTP 429")) and not providers.is_rate_limit(RuntimeError("HTTP 500"))
+
+
+def test_a_sqlite_table_is_read_in_ranges(spark, tmp_path):
+    import sqlite3
+
+    from cueloom.sources.sqlite import read_sqlite
+
+    con = sqlite3.connect(tmp_path / "jobs.db")
+    con.execute('CREATE TABLE jobs (id TEXT PRIMARY KEY, created_at INTEGER, audio_seconds REAL, "odd name" TEXT)')
+    con.executemany("INSERT INTO jobs VALUES (?, ?, ?, ?)", [(f"j{i}", i, i / 2, None if i % 2 else "x") for i in range(100)])
+    con.execute("CREATE TABLE no_jobs (id INTEGER)")
+    con.commit()
+    con.close()
+    rows = read_sqlite(spark, str(tmp_path / "jobs.db"), "jobs", 3)
+    assert rows.schema.simpleString() == "struct<id:string,created_at:bigint,audio_seconds:double,odd name:string>"
+    assert sorted(tuple(r) for r in rows.collect()) == sorted((f"j{i}", i, i / 2, None if i % 2 else "x") for i in range(100))
+    assert rows.rdd.getNumPartitions() == 3 and read_sqlite(spark, str(tmp_path / "jobs.db"), "no_jobs").count() == 0
+    with pytest.raises(Exception, match="no table"):
+        read_sqlite(spark, str(tmp_path / "jobs.db"), "absent").count()
+
+
+def test_shared_folder_of_a_cluster(spark, monkeypatch):
+    from cueloom import storage
+
+    assert storage.shared_dir(spark)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("sc", (), {"getCheckpointDir": staticmethod(lambda: type("none", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Cluster)
+    kept = storage.written(spark.range(3), "three")
+    path = storage.tables_written()[-1]
+    assert kept.count() == 3
+    storage.release(spark, [path])
+    assert path not in storage.tables_written()
+
+
+def test_providers_are_asked_once(spark, sf_dir, tmp_path):
+    """What a translator says is written before it is used: asking it again would give other texts."""
+    c = fixtures.cues(spark, sf_dir).where("media_id < 3")
+
+    def counting(texts):
+        import uuid
+        from pathlib import Path
+
+        for _ in texts:
+            Path(tmp_path, uuid.uuid4().hex).touch()
+        return [t.upper() for t in texts]
+
+    out = pipeline.localise(c.limit(0), c, fixtures.media(c), translator=counting)
+    out.aligned.count(), out.plan.count(), out.subtitles.count()
+    assert len(list(tmp_path.iterdir())) == out.transcribed.count()
+
+
+def test_config_and_readiness(spark, tmp_path):
     from cueloom.functions import config
 
     cfg = {"models": {"transcription": {"provider": "faster_whisper"}, "translation": "a-model", "tts": {"provider": "elevenlabs", "model": "v3"}}}
@@ -147,6 +263,12 @@ def test_config_and_readiness(spark):
     assert config.missing_keys(cfg, {"TOGETHER_API_KEY": "x"}) == ["ELEVENLABS_API_KEY"]
     with pytest.raises(ValueError, match="edge"):
         config.speech_provider("edge")
+    with pytest.raises(ValueError, match="ELEVENLABS_API_KEY"):
+        config.client_settings(cfg, "tts", {})
+    assert config.client_settings(cfg, "transcription", {})["key"] is None
+    (tmp_path / "a.yaml").write_text("x: {y: 1, z: 2}\nprompt: ' Say {what} '\n")
+    (tmp_path / "b.yaml").write_text("x: {y: 3}\n")
+    assert config.read_yaml(str(tmp_path / "a.yaml"), str(tmp_path / "b.yaml"))["x"] == {"y": 3, "z": 2} and config.read_prompt(str(tmp_path / "a.yaml"), "prompt") == "Say {what}"
     known = spark.createDataFrame([("a", "done"), ("b", "running")], "id string, status string")
     got = jobs.readiness(spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string"), known)
     assert {r.job_id: r.code for r in got.collect()} == {"a": 200, "b": 409, "c": 404}
@@ -160,7 +282,9 @@ def test_voice_lookup(spark):
     probe = spark.createDataFrame([("elevenlabs", "Daniel"), ("elevenlabs", "mine"), ("openai", "nova")], "provider string, voice string")
     got = {r.voice: r.voice_id for r in catalogs.voice_of(probe, table).collect()}
     assert got["mine"] == "mine" and got["nova"] == "nova"
-    assert got["Daniel"] == table.where("provider = 'elevenlabs' and name = 'Daniel'").orderBy("lang").first().voice_id
+    # The catalog lists English before German, whatever the order of their codes.
+    first = {n: table.where(f"provider = 'elevenlabs' and lang = '{lang}' and name = '{n}'").first().voice_id for n, lang in (("Daniel", "en"), ("Peter", "nl"))}
+    assert got["Daniel"] == first["Daniel"] and first["Peter"] == catalogs.voice_of(spark.createDataFrame([("elevenlabs", "Peter")], "provider string, voice string"), table).first().voice_id
     native = {(r.provider, r.lang): (r.male, r.female) for r in catalogs.native_voices(table).collect()}
     assert native["openai", "en"] == ("onyx", "nova") and native["supertonic", "en"] == ("M1", "F1") and native["together", "tr"] == ("turkish narrator man", "turkish calm man")
 

@@ -4,9 +4,10 @@ import re
 
 import pytest
 
+from cueloom.operators import segments
 from cueloom.plans import queries
 
-PYTHON = {"soft_split", "localise"}
+PYTHON = {"soft_split", "localise", "source_captions", "voice_match", "translated", "spoken", "recognised_chunks", "punctuated", "chat_messages"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def planned(spark, sf_dir):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", queries.NAMES)
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_no_nested_loops_and_no_needless_python(planned, name):
     plan = planned(name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -32,6 +33,18 @@ def test_exchanges(planned, name, most):
     assert len(re.findall("Exchange hashpartitioning", planned(name))) <= most
 
 
+@pytest.mark.parametrize("name", ["valid_word_range", "context_window"])
+def test_range_joins_have_a_stretch_in_their_key(planned, name):
+    assert re.search(r"SortMergeJoin \[media_id#\d+L?, (stretch|FLOOR)", planned(name)) or re.search(r"SortMergeJoin \[[^\]]*stretch", planned(name)) or re.search(r"SortMergeJoin \[media_id[^\]]*, FLOOR", planned(name), re.I)
+
+
+def test_alignment_gathers_a_chunk_once(spark, planned):
+    """Words and texts meet by medium and chunk: an exchange each, and no window."""
+    w = spark.range(9).selectExpr("id AS media_id", "id AS chunk", "id AS seq", "'a' AS text", "id AS start_ms", "id AS end_ms")
+    plan = segments.align(w, w.select("media_id", "chunk", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and len(re.findall("Exchange hashpartitioning", plan)) == 2
+
+
 def test_scans_are_pruned_and_filters_pushed(planned):
     plan = planned("stats_by_language")
     assert "o_totalprice" not in plan and "l_extendedprice" not in plan

@@ -32,29 +32,56 @@ def by_media(rows):
     return out
 
 
-def strip_overlap(prev, frag):
-    p, f = prev.rstrip(".!?。！？ "), frag.lstrip()
-    for n in range(min(len(p), len(f)), 1, -1):
-        if p.lower().endswith(f[:n].lower()):
-            rest = f[n:].lstrip(" ,，;；")
-            return rest if rest.strip() else frag
-    return frag
+def overlaps(before, after):
+    """Every length of two characters or more at which `after` begins with what `before` ends with, case aside."""
+    b, a = before.lower(), after.lower()
+    return {n for n in range(2, len(a) + 1) if b[-n:] == a[:n]}
+
+
+def new_part(before, after):
+    """What `after` adds to `before`: all of it if the two overlap nowhere, or if nothing would be left."""
+    tail = before.rstrip(".!?。！？ ")
+    start = after.lstrip()
+    cut = max(overlaps(tail, start), default=0)
+    left = start[cut:].lstrip(" ,，;；") if cut else ""
+    return left if left.strip() else after
+
+
+class Speech:
+    """One merged segment, grown row by row."""
+
+    def __init__(self, row):
+        self.media, _, self.start, self.end, self.text, self.who = row
+
+    def takes(self, row, gap, longest):
+        _, _, start, end, text, who = row
+        closed = re.search(r"[.!?。！？]\s*\Z", self.text) is not None
+        lowercase_or_initial = re.match(r"[a-z]|[A-Z][\s一-鿿]", text.strip()) is not None
+        checks = [who == self.who, start - self.end <= gap, lowercase_or_initial or not closed, longest is None or end - self.start <= longest]
+        return all(checks), lowercase_or_initial
+
+    def grow(self, row, fragment):
+        more = new_part(self.text, row[4]) if fragment else row[4]
+        self.text = f"{self.text} {more}".strip() if more.strip() else self.text
+        self.end = row[3]
 
 
 def merged(rows, gap=1000, longest=60000):
-    out = []
-    for m, _, s, e, t, who in rows:
-        frag = bool(re.match("[a-z]|[A-Z][\\s一-鿿]", t.strip()))
-        if out:
-            c = out[-1]
-            if c[4] == who and s - c[2] <= gap and (not re.search(r"[.!?。！？]\s*$", c[3]) or frag) and (longest is None or e - c[1] <= longest):
-                add = strip_overlap(c[3], t) if frag else t
-                c[2] = e
-                if add.strip():
-                    c[3] = (c[3] + " " + add).strip()
-                continue
-        out.append([m, s, e, t, who])
-    return [(m, i, *x) for i, (m, *x) in enumerate(out)]
+    """Rows of one medium as runs: a row that its run doesn't take starts the next one."""
+    runs = []
+    for row in rows:
+        fits, fragment = runs[-1].takes(row, gap, longest) if runs else (False, False)
+        if fits:
+            runs[-1].grow(row, fragment)
+        else:
+            runs.append(Speech(row))
+    return [(r.media, i, r.start, r.end, r.text, r.who) for i, r in enumerate(runs)]
+
+
+def test_models_on_literal_rows():
+    assert new_part("it has the 120B.", "B model") == "B model" and new_part("with the 120 b model.", "b model is") == "is" and new_part("the end", "end") == "end"
+    said = merged([(1, 0, 0, 900, "We go", "A"), (1, 1, 1000, 1500, "on. Then", "A"), (1, 2, 1600, 1900, "stop.", "A"), (1, 3, 2000, 2500, "New one", "A"), (1, 4, 2600, 2700, "and b", "B")])
+    assert said == [(1, 0, 0, 1900, "We go on. Then stop.", "A"), (1, 1, 2000, 2500, "New one", "A"), (1, 2, 2600, 2700, "and b", "B")]
 
 
 def test_merge_is_the_fold(spark):
@@ -109,10 +136,42 @@ def test_chunks_and_alignment(spark):
     assert [(r.start_ms, r.end_ms, r.text) for r in S.align(two, off).collect()] == [(0, 2000, "one two three four five six seven eight.")]
 
 
+def align_one(spark, words, said, step=1000):
+    w = spark.createDataFrame([(1, 0, i, t, i * step, i * step + step) for i, t in enumerate(words)], "media_id long, chunk long, seq long, text string, start_ms long, end_ms long")
+    p = spark.createDataFrame([(1, 0, said)] if said is not ... else [], "media_id long, chunk long, text string")
+    return [(r.start_ms, r.end_ms, r.text) for r in S.align(w, p).orderBy("sentence").collect()]
+
+
+def test_alignment_counts_all_tokens(spark):
+    # Two dashes on three words are over 15 % of them, though the five tokens have three with letters.
+    assert align_one(spark, ["a", "b", "c"], "a — b — c.") == [(0, 3000, "a — b — c.")]
+    ten = [f"w{i}" for i in range(10)]
+    assert align_one(spark, ten, "w0 w1 w2. — w3 w4 w5 w6 w7 w8 w9.") == [(0, 3000, "w0 w1 w2."), (3000, 10000, "— w3 w4 w5 w6 w7 w8 w9.")]
+    # An extra token takes no word, and a sentence without a word is dropped; a word too many is left.
+    assert align_one(spark, ten, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9. more.") == [(0, 10000, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9.")]
+    assert align_one(spark, ten, "w0 w1 w2 w3. w4 w5 w6 w7 w8") == [(0, 4000, "w0 w1 w2 w3."), (4000, 9000, "w4 w5 w6 w7 w8")]
+
+
+def test_alignment_falls_back_to_the_words(spark):
+    for said in ("", "  \n", None, ...):
+        assert align_one(spark, ["a", "b"], said) == [(0, 2000, "a b")]
+    assert align_one(spark, ["a", "b"], "— —") == [(0, 2000, "— —")]
+
+
 def test_words_without_valid_ranges_stay(spark):
-    w = spark.createDataFrame([(1, 0, "a", 0, 1), (1, 1, "b", 5, 6), (2, 0, "c", 9, 10)], "media_id long, seq long, text string, start_ms long, end_ms long")
-    valid = spark.createDataFrame([(1, 5, 6)], "media_id long, start_ms long, end_ms long")
-    assert sorted((r.media_id, r.seq) for r in S.words_in_valid(w, valid).collect()) == [(1, 1), (2, 0)]
+    w = spark.createDataFrame([(1, 0, "a", 0, 1), (1, 1, "b", 5, 6), (1, 2, "c", 130_000, 130_001), (1, 3, "d", None, 9), (2, 0, "c", 9, 10), (3, 0, "x", 200_000, 200_001)], "media_id long, seq long, text string, start_ms long, end_ms long")
+    valid = spark.createDataFrame([(1, 5, 6), (1, 5, 130_000), (3, 9, 3)], "media_id long, start_ms long, end_ms long")
+    # A range over several stretches, both ends, a null start as 0, and media without ranges. A range that ends before it starts holds nothing.
+    assert sorted((r.media_id, r.seq) for r in S.words_in_valid(w, valid).collect()) == [(1, 1), (1, 2), (2, 0)]
+
+
+def test_context_over_stretches(spark):
+    from cueloom.operators import context
+
+    rows = [(1, 0, 0, 200_000, "long", "A"), (1, 1, 70_000, 71_000, "b", "A"), (1, 2, 119_000, 121_000, "c", "A"), (1, 3, 500_000, 500_001, "far", "A")]
+    probes = spark.createDataFrame([(1, 100_000), (1, 400_000), (2, 5)], "media_id long, t_ms long")
+    got = {(r.media_id, r.t_ms): (r.window_start_ms, r.window_end_ms, r.ids, r.text) for r in context.context_window(probes, spark.createDataFrame(rows, SEG)).collect()}
+    assert got == {(1, 100_000): (0, 130_000, "0,1,2", "long\nb\nc"), (1, 400_000): (370_000, 430_000, "", ""), (2, 5): (0, 30_005, "", "")}
 
 
 def test_split_keeps_time(spark):

@@ -42,7 +42,9 @@ def test_overlap_strip(spark):
 
 
 def test_tokens_and_codes(spark):
-    assert values(spark, ["«Hello»,", "--", "it's", "_x_"], T.token_key) == ["hello", "", "it's", "x"]
+    assert values(spark, ["«Hello»,", "--", "it's", "_x_", "Straße!", "ΟΔΟΣ"], T.token_key) == ["hello", "", "it's", "x", "strasse", "οδοσ"]
+    folded = ["ŒUVRE", "ﬁn", "ıI", "ΣΑΣ", "Ǆ"]
+    assert values(spark, folded, T.casefold) == [x.casefold() for x in folded]
     assert values(spark, ["English", "ENGLISH", "Klingon", "zh"], catalogs.language_code) == ["en", "en", "kl", "zh"]
     assert values(spark, ["English", "zh", "", None], T.local_tts_code) == ["en", "na", "en", "en"]
 
