@@ -37,8 +37,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     least min_docs documents keeps its lines only in the row of the largest id
     that holds it. Hashes have 128 bits.
 
-    A null or empty text is one empty line, and a null comes back as empty. A
-    row is a document: repeated rows with the largest id all keep the line. A
+    A null or empty text is one empty line, and a null comes back as empty. Very
+    long texts and lines are read whole. A row is a document: repeated rows with the largest id all keep the line. A
     null id is smaller than any other. Other columns pass through, except that
     columns named n_lines or n_dropped are replaced. An empty table gives none.
     """

@@ -2,10 +2,11 @@
 
 Pass one encodes each document once and keeps, in the order of its input
 partition, the number of ids before it there. The partition totals (one row a
-task) are summed up to global offsets. Pass two is plain column arithmetic:
-a document covers the windows from start // length to its last id's window,
-and each window it touches gives one boundary record. No text or id is
-shuffled; one row a task is gathered.
+task) are summed up to global offsets, which are broadcast up to MAX_PARTS tasks
+and joined beyond that. Pass two is plain column arithmetic: a document covers
+the windows from start // length to its last id's window, and each window it
+touches gives one boundary record. No text or id is shuffled; one row a task is
+gathered.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import own, text_batches, written
 
 LENGTH = 4096
 END_ID = 2
+#: Task totals that are broadcast, of 16 bytes each.
+MAX_PARTS = 1 << 20
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,11 +56,13 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"part int, before long, id {kind}, n long, ids binary")
 
 
-def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut(tokens: DataFrame, length: int = LENGTH, max_parts: int = MAX_PARTS) -> DataFrame:
     """Cuts the written result of encoded() into windows of `length` ids."""
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     # One row a task of pass one, which the driver's scheduler holds anyway.
-    first = F.broadcast(totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("first")))
+    first = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("first"))
+    if (tokens.agg(F.max("part")).first()[0] or 0) < max_parts:
+        first = F.broadcast(first)
     at = F.col("first") + F.col("before")
     placed = tokens.join(first, "part").select("id", "n", "ids", at.alias("at"))
     seq = F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("n") - 1) / length))).alias("sequence_id")
@@ -82,7 +87,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
     (binary, little-endian unsigned 32-bit). Every id lies in exactly one piece
     and each sequence but the last is full, so only the last one is padded.
 
-    Null and empty texts give end_id alone. Repeated rows are documents of
+    Null and empty texts give end_id alone. Very long texts are encoded whole
+    and cut over as many sequences as they fill. Repeated rows are documents of
     their own. An empty table gives no rows. Other columns are ignored,
     whatever their names. A null id is kept as null.
     """

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own, text_batches
+from .common import fresh, own, text_batches
 
 MAX_TRIE_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,8 +86,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: s
     block. Without a fitting rule `rule` is null and the verdict is `default`.
 
     Null urls and urls without ``://`` have empty host and path, which only a
-    rule without a host or path could fit. Each row is judged alone. Other
-    columns pass through; columns with the names above are replaced.
+    rule without a host or path could fit. Each row is judged alone, by its whole
+    url, however long; repeated rows agree and an empty table gives none. Other
+    columns pass through, whatever their names; columns with the names above are
+    replaced.
     """
     host, path = url_parts(F.col(f"`{url_col}`"))
     out = own(pages, "host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
@@ -108,8 +110,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: s
         trie = _trie(held)
         return pd.DataFrame([trie.find(h, p) for h, p in zip(hosts, paths)], columns=["rule", "verdict"], dtype=object)
 
-    found = out.withColumn("__found", find("host", "path"))
-    return found.withColumn("rule", F.col("__found.rule")).withColumn("verdict", F.coalesce("__found.verdict", F.lit(default))).drop("__found")
+    (got,) = fresh(out, "found")
+    found = out.withColumn(got, find("host", "path"))
+    return found.withColumn("rule", F.col(f"{got}.rule")).withColumn("verdict", F.coalesce(f"{got}.verdict", F.lit(default))).drop(got)
 
 
 _built: dict = {"rules": None, "trie": None}
@@ -129,16 +132,16 @@ def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     r_path = F.when(slash > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise(F.lit(""))
     best = F.min_by(F.struct("rule", "verdict"), F.when(F.col("verdict") == "block", 0).otherwise(1))
     table = rules.select("rule", "verdict", r_host.alias("r_host"), r_path.alias("r_path")).groupBy("r_host", "r_path").agg(best.alias("r"))
-    # One row: the lengths that rule paths have, at most the longest path's.
-    lengths = table.agg(F.collect_set(F.length("r_path")).alias("lengths"))
+    # The lengths that rule paths have: no more numbers than the longest path has characters.
+    lengths = F.array(*[F.lit(r[0]) for r in table.select(F.length("r_path")).distinct().collect()])
     asked = parts.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, -k, k), ".")))
-    keys = asked.join(F.broadcast(lengths)).select("host", "path", "lengths", F.posexplode(suffixes).alias("depth", "s_host"))
-    keys = keys.select("host", "path", "depth", "s_host", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    keys = asked.select("host", "path", F.posexplode(suffixes).alias("depth", "s_host"))
+    keys = keys.select("host", "path", "depth", "s_host", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("n"))
     keys = keys.withColumn("s_path", F.expr("substring(path, 1, n)"))
     hit = keys.join(table, (F.col("s_host") == F.col("r_host")) & (F.col("s_path") == F.col("r_path")))
-    won = hit.groupBy("host", "path").agg(F.max_by("r", F.struct("depth", "n")).alias("__r"))
-    won = won.toDF("__host", "__path", "__r")
-    out = parts.join(won, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-    return out.withColumn("rule", F.col("__r.rule")).withColumn("verdict", F.coalesce("__r.verdict", F.lit(default))).drop("__host", "__path", "__r")
+    won = hit.groupBy("host", "path").agg(F.max_by("r", F.struct("depth", "n")).alias("r"))
+    w_host, w_path, w_rule = fresh(parts, "host", "path", "rule")
+    out = parts.join(won.toDF(w_host, w_path, w_rule), (F.col("host") == F.col(w_host)) & (F.col("path") == F.col(w_path)), "left")
+    return out.withColumn("rule", F.col(f"{w_rule}.rule")).withColumn("verdict", F.coalesce(f"{w_rule}.verdict", F.lit(default))).drop(w_host, w_path, w_rule)
