@@ -1,15 +1,14 @@
-"""Shared folder, written tables, Arrow batch size and ASCII word rules of the operators."""
+"""Tables, Arrow batch size, working columns and ASCII word rules of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import release, shared_dir, tables_written, written
+
+__all__ = ["release", "shared_dir", "tables_written", "written"]
+
 #: The white space of the contracts, as bytes and as a Java class.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -22,52 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests) an own one."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    made = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get().rstrip("/")
-    path = tempfile.mkdtemp(prefix="cueloom-")
-    atexit.register(shutil.rmtree, path, True)
-    spark.sparkContext.setCheckpointDir(f"file://{path}")
-    return f"file://{path}"
-
-
-_paths: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it.
+def text_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bounds the session's Arrow batches by bytes: whole texts may be long.
 
-    This cuts the lineage like checkpoint() does, but the table is columnar and
-    compressed. Lost executors lose nothing of it. The table stays until
-    release() or until whoever keeps the folder removes it.
+    Plans are lazy, so the setting has to stay with the session; a smaller one is kept.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def tables_written() -> list[str]:
-    """Paths that written() has made in this process and release() has not removed, oldest first."""
-    return list(_paths)
-
-
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Removes tables of written(); what is computed from them must have been saved."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _paths:
-            _paths.remove(path)
-
-
-def text_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Bounds the session's Arrow batches by bytes: whole texts may be long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     found = spark.conf.get(key)
     if not found.isdigit() or int(found) > size:
@@ -79,7 +37,9 @@ def text_bytes(col: Column) -> Column:
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
 
 
-_working: dict = {"on": None, "caches": []}
+_working: dict = {"on": None, "caches": [], "bytes": 0}
+#: Bytes of text after which a task of many groups gives memory back.
+EASE_BYTES = 64 << 20
 
 
 def cached(clear) -> None:
@@ -96,6 +56,14 @@ def working(on: str) -> None:
     _working["on"] = on
 
 
+def eased(size: int) -> None:
+    """Called after `size` bytes of text have been worked on: now and then freed memory goes back to the system."""
+    _working["bytes"] += size
+    if _working["bytes"] > EASE_BYTES:
+        _working["bytes"] = 0
+        trim()
+
+
 def trim() -> None:
     """Returns freed memory to the system, which the allocators keep otherwise."""
     import ctypes

@@ -1,17 +1,17 @@
-"""SimHash near-duplicates by segment keys, pivot distances and comparison.
-
-* Index. Candidates come from segments of the fingerprints' bits, without any
-  distance. Fingerprints at most r bits apart agree on at least s - r of s
-  segments, so every choice of s - r segments gives a key and no link is lost
-  (`cover`). Where r is too large for that, keys are many random segments,
-  enough of them for a stated recall (`sampled`).
-* Discard. Reference fingerprints ("pivots") serve inside a key: two
-  fingerprints whose distances to any of REFERENCES spread pivots differ by over
-  r cannot be r bits apart (triangle inequality).
+"""SimHash near-duplicates: candidate keys, tables of distances to references, comparison.
+
+* Keys. Only rows under a common key can become a pair. For fingerprints at most
+  r bits apart, every choice of s - r of s segments of the bits is a key and no
+  link is lost (`segment_keys`); other users bring keys of their own.
+* Discard. In a key each fingerprint's Hamming distances to REFERENCES reference
+  fingerprints ("pivots") are computed once. A pair whose distances to any of
+  them differ by over r cannot be r bits apart (triangle inequality), so the
+  largest coordinate difference discards it.
 * Verify. Survivors are compared bit by bit.
 
-Distances to pivots can't index 64-bit fingerprints: nearly all of
-them lie within a few bits of 32, so each range of them holds most of the table.
+The distance tables alone can't find the pairs: distances of 64-bit fingerprints
+to a reference lie within a few bits of 32, so each range of 2 r + 1 of them holds
+a large part of the table (the README has figures).
 
 Copies with equal fingerprints are one node. A key with more than CAP nodes is
 dealt out in cells, block against block, so no task holds a hot key and all its
@@ -21,19 +21,19 @@ all pairs.
 
 from __future__ import annotations
 
-import math
-import random
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import own, shared_dir, text_batches, written
 
 SHINGLE = 4
 RADIUS = 4
-REFERENCES = 6
+REFERENCES = 16
 CAP = 4096
+#: Parts of a hot fingerprint's rows.
+SALTS = 64
 #: Hot keys that are broadcast, of 16 bytes each.
 MAX_HOT = 1 << 20
 #: The seed of a shingle's XXH64, and the multipliers of the 64-bit mixer of further lanes.
@@ -61,7 +61,7 @@ def majority(h, lanes: int) -> list[int]:
     """The fingerprint's lanes as unsigned integers: a bit is set if over half the hashes have it."""
     import numpy as np
 
-    out = []
+    wide = np.empty((len(h), lanes), np.uint64)
     for lane in range(lanes):
         x = h
         if lane:
@@ -69,11 +69,12 @@ def majority(h, lanes: int) -> list[int]:
             x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX1)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
             x = x ^ (x >> np.uint64(31))
-        count = np.zeros(64, np.int64)
-        for i in range(0, len(x), 1 << 15):
-            count += np.unpackbits(x[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(count * 2 > len(x)).tobytes(), "big"))
-    return out
+        wide[:, lane] = x
+    raw = wide.astype(">u8").view(np.uint8).reshape(len(h), 8 * lanes)
+    count = np.zeros(64 * lanes, np.int64)
+    for i in range(0, len(h), 1 << 15):  # counts of a part fit 16 bits
+        count += np.add.reduce(np.unpackbits(raw[i : i + (1 << 15)], axis=1), axis=0, dtype=np.uint16)
+    return [int.from_bytes(x.tobytes(), "big") for x in np.packbits(count * 2 > len(h)).reshape(lanes, 8)]
 
 
 def lane_names(lanes: int) -> list[str]:
@@ -88,13 +89,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, lanes: int = 1, id_col
         import numpy as np
         import pyarrow as pa
 
-        from .common import working
+        from .common import trim, working
 
         working("simhash")
         for b in batches:
             rows = [majority(shingle_hashes(t, shingle), lanes) for t in b.column(1).to_pylist()]
             fps = np.array(rows, np.uint64).reshape(len(rows), lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, i].copy()) for i in range(lanes)]], [id_col, *lane_names(lanes)])
+        trim()
 
     text_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{x} long" for x in lane_names(lanes)))
@@ -107,11 +109,9 @@ def cover(radius: int, segments: int) -> list[int]:
     return [sum(c) for c in combinations(parts, segments - radius)]
 
 
-def sampled(bits: int, lanes: int, agree: float, recall: float) -> list[int]:
-    """Masks of `bits` random bits, as many as find a pair that agrees on each bit with chance `agree` with chance `recall`."""
-    n = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
-    rng = random.Random(bits)
-    return [sum(1 << b for b in rng.sample(range(64 * lanes), bits)) for _ in range(n)]
+def segment_keys(masks: list[int]) -> Column:
+    """A key for each mask over the column fp0."""
+    return F.array(*[F.xxhash64(F.lit(t), F.col("fp0").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
 
 
 def _signed(x: int) -> int:
@@ -127,10 +127,10 @@ def _pieces(found, lanes: int, radius: int):
     from .common import working
 
     working("simhash")
-    pivots = np.random.default_rng(SEED).integers(0, 2**64, (REFERENCES, lanes), np.uint64)
+    references = np.random.default_rng(SEED).integers(0, 2**64, (REFERENCES, lanes), np.uint64)
 
     def links(group, node, fps):
-        table = np.stack([np.bitwise_count(fps ^ p).sum(1, dtype=np.int16) for p in pivots], 1)
+        table = np.stack([np.bitwise_count(fps ^ p).sum(1, dtype=np.int16) for p in references], 1)
         a_out, b_out = [], []
 
         def near(a, b):
@@ -197,19 +197,14 @@ def _emit(cols, links):
     yield links(group, cols[:, 3], np.ascontiguousarray(cols[:, 4:]).view(np.uint64))
 
 
-def links(nodes: DataFrame, masks: list[int], radius: int, lanes: int = 1, cap: int = CAP) -> DataFrame:
-    """(a, b) links between rows of nodes (node long, fp0, ...) at most radius bits apart.
+def links(nodes: DataFrame, radius: int, lanes: int = 1, cap: int = CAP) -> DataFrame:
+    """(a, b) links between rows of nodes (node long, fp0, ..., keys array<long>) under a common key, at most radius bits apart.
 
     Under each key the links connect what is connected; pairs that other links
     join already may be left out.
     """
     names = lane_names(lanes)
-    base = 2**63 - 1
-    keys = []
-    for t, mask in enumerate(masks):
-        held = [(n, _signed(m)) for i, n in enumerate(names) if (m := (mask >> (64 * i)) & (2**64 - 1))]
-        keys.append(F.xxhash64(F.lit(t), *[F.col(n).bitwiseXOR(F.lit(_signed(base))).bitwiseAND(F.lit(m)) for n, m in held]))
-    rows = nodes.select("node", *names, F.explode(F.array(*keys)).alias("key"))
+    rows = nodes.select("node", *names, F.explode("keys").alias("key"))
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
     split = written(hot.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / (cap // 2)).cast("int").alias("nb")), "hot-keys")
     if split.count() <= MAX_HOT:  # else the rows are shuffled to them
@@ -233,19 +228,19 @@ def links(nodes: DataFrame, masks: list[int], radius: int, lanes: int = 1, cap:
     return lists.select(F.explode(thin).alias("e")).select("e.a", "e.b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
-    Large-star and small-star steps, each cut by checkpoint(): neighbours are
-    only ever reduced to their smallest, so a hub is a sum, not a list.
+    Large-star and small-star steps until nothing changes, each cut by checkpoint():
+    neighbours are only ever reduced to their smallest, so a hub is a sum, not a
+    list.
     """
     shared_dir(edges.sparkSession)
-    now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    now = now.checkpoint()
+    now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "w")
         large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
@@ -254,38 +249,44 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = down.join(least, F.col("u") == F.col("w"))
         small = small.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("w").alias("b"))).where("a <> b").distinct()
         now = small.checkpoint()
-        # Settled when each node has one edge and no root has one above it.
+        # Settled when a round leaves the same edges.
         after = now.agg(F.count(F.lit(1)), F.countDistinct("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.union(roots.select("root", "root").distinct())
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, lanes: int = 1, masks: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
-    """(id_col, fp0, ..., component_id) for each row: component_id is the smallest id that links reach.
+def spread(rows: DataFrame, named: DataFrame, key: str, of: str, salts: int = SALTS) -> DataFrame:
+    """rows left-joined to named (one row a key `of`) on key = of; keys with many rows are salted.
 
-    Rows link when their fingerprints differ in at most radius bits. Without
-    `masks` the keys are an exact cover of one lane.
+    A key is hot with over 1 / (4 * salts) of all rows, so there are fewer than 4 * salts hot keys.
+    """
+    n = rows.count()
+    hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * 4 * salts > max(n, 4 * salts)).select("__hot")
+    hot = F.broadcast(hot)
+    salted = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int")).drop("__hot")
+    copies = named.join(hot, F.col(of) == F.col("__hot"), "left").withColumn("__of_salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return salted.join(copies, (F.col(key) == F.col(of)) & (F.col("__salt") == F.col("__of_salt")), "left").drop("__salt", "__of_salt")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
+    """(id_col, fp0, component_id) for each row: component_id is the smallest id that links reach.
 
-    Null, empty and blank texts have fingerprint zero and link like any other.
+    Rows link when their 64-bit fingerprints differ in at most radius bits; no link is lost.
+
+    Null, empty and blank texts have fingerprint zero and link like any other;
+    very long ones are read whole.
     Repeated rows have the same component. A row whose id is null takes no part
     in linking and has a null component. Other columns are ignored, whatever
     their names. An empty table gives none. Ids are integers.
     """
-    if lanes > 1 and not masks:
-        raise ValueError("more than one lane needs masks")
-    names = lane_names(lanes)
     docs = own(docs, *[c for c in docs.columns if c not in (id_col, text_col)])
-    fps = written(fingerprints(docs, shingle, lanes, id_col, text_col), "fingerprints")
-    nodes = fps.where(F.col(id_col).isNotNull()).groupBy(*names).agg(F.min(id_col).cast("long").alias("node"))
-    found = links(nodes, masks or cover(radius, radius + 2), radius, lanes, cap)
-    roots = components(found)
-    named = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*[F.col(n).alias(f"of_{n}") for n in names], F.coalesce("root", "node").alias("component"))
-    same = [F.col(n) == F.col(f"of_{n}") for n in names]
-    out = fps.join(named, same, "left").select(id_col, *names, "component")
+    fps = written(fingerprints(docs, shingle, 1, id_col, text_col), "fingerprints")
+    nodes = fps.where(F.col(id_col).isNotNull()).groupBy("fp0").agg(F.min(id_col).cast("long").alias("node"))
+    roots = components(links(nodes.withColumn("keys", segment_keys(cover(radius, radius + 2))), radius, 1, cap))
+    named = nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("fp0").alias("of_fp0"), F.coalesce("root", "node").alias("component"))
+    out = spread(fps, named, "fp0", "of_fp0").select(id_col, "fp0", "component")
     kind = fps.schema[id_col].dataType
-    return out.select(id_col, *names, F.when(F.col(id_col).isNotNull(), F.col("component")).cast(kind).alias("component_id"))
+    return out.select(id_col, "fp0", F.when(F.col(id_col).isNotNull(), F.col("component")).cast(kind).alias("component_id"))

@@ -25,10 +25,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, PIECES, distinct, parts_for, pieces, rows_of, twice, unpacked, written_blocks
+from .blocks import PIECES, distinct, parts_for, pieces, rows_of, twice, unpacked, written_blocks
 from .common import own, written
 
 WINDOW = 35
+#: A block's text; the arrays of its words and windows take some ten times as much.
+BLOCK_BYTES = 8 << 20
 #: A perfect difference set of 21 (all differences but 0 once).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -103,9 +105,13 @@ def _chunk_hashes(raw: bytes, lane: int):
 
 def word_hashes(text: str | None, lane: int = 0):
     """A 64-bit hash of each word, the same wherever the word stands; lanes are independent."""
+    return byte_word_hashes(text.encode() if text else b"", lane)
+
+
+def byte_word_hashes(raw: bytes, lane: int = 0):
+    """word_hashes() of a text's UTF-8 bytes."""
     import numpy as np
 
-    raw = text.encode() if text else b""
     if len(raw) <= CHUNK:
         return _chunk_hashes(raw, lane)
     out, at = [], 0
@@ -233,9 +239,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     parts = parts_for(blocks)
 
     def block_of(payload: bytes) -> BlockWindows:
-        from .common import working
+        from .common import eased, working
 
         working("substring")
+        eased(block_bytes)
         return BlockWindows([t for rows in rows_of(payload) for t in rows.column(i_text).to_pylist()], window)
 
     def anchor_pieces(batches):

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cueloom.llm.common import written
 from cueloom.llm import bpe, knn, licenses, linededup, packing, quality, queries, sharding, simhash, substring, urlfilter
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -85,12 +86,30 @@ def test_bpe_equals_the_library(request, tok, which):
     assert got == want
 
 
-def test_bpe_survives_other_blocks(spark, documents, tok, monkeypatch):
-    """A block whose words don't fit its pieces encodes them in place."""
-    monkeypatch.setattr(bpe, "checksum", lambda w: 0)
-    assert bpe.checksum(["a"]) == 0
-    r = bpe.encode_decode(documents.limit(5), VOCABULARY).collect()
-    assert all(r_.n_tokens * 4 == len(r_.ids) for r_ in r)
+@pytest.mark.parametrize("fault", ["none", "words differ", "pieces lost", "other blocks"])
+def test_bpe_survives_other_blocks(documents, odd, tok, fault):
+    """A block whose words don't fit its pieces encodes them in place, with the library's ids."""
+    for docs in (documents, odd):
+        named = docs.select(F.col("doc_id").alias("id"), "text").coalesce(2)
+        pieces = bpe.block_words(named, VOCABULARY, 8, 40_000)
+        table = bpe.word_ids(pieces, VOCABULARY)
+        # Ids of other words stand where the checksum is wrong, so using them would show.
+        table = {
+            "none": table,
+            "words differ": table.withColumn("check", F.col("check") + 1).withColumn("ids", F.lit(None).cast("binary")),
+            "pieces lost": table.where("(of + bucket) % 2 = 0"),
+            "other blocks": table.withColumn("of", F.col("of") + 1),
+        }[fault]
+        got = bpe.rejoined(bpe.blocked(named, 40_000), table, VOCABULARY, 8, named.schema["id"].dataType)
+        want = Counter((i, x.tobytes(), tok.decode(x.tolist(), skip_special_tokens=False)) for i, t in texts_of(docs) for x in [ids_of(tok, t)])
+        assert Counter((r.id, bytes(r.ids), r.decoded) for r in got.collect()) == want
+
+
+def test_bpe_encodes_each_word_of_a_bucket_once(spark, documents):
+    """The table's pieces of a bucket stand together in a task, in which its words are kept."""
+    pieces = bpe.block_words(documents.select("doc_id", "text"), VOCABULARY, 8, 40_000)
+    plan = bpe.word_ids(pieces, VOCABULARY)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[bucket", plan) and "hashpartitioning(bucket" in plan
 
 
 def key_of(line):
@@ -195,9 +214,9 @@ def test_hot_keys_lose_no_link(spark):
             found.add(x)
     fps = sorted(found)
     want = roots(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
-    nodes = spark.createDataFrame([(i, simhash._signed(x)) for i, x in enumerate(fps)], "node long, fp0 long")
+    nodes = spark.createDataFrame([(i, simhash._signed(x)) for i, x in enumerate(fps)], "node long, fp0 long").withColumn("keys", simhash.segment_keys(simhash.cover(4, 6)))
     for cap in (40, 4096):
-        got = {r.node: r.root for r in simhash.components(simhash.links(nodes, simhash.cover(4, 6), 4, 1, cap)).collect()}
+        got = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, 1, cap)).collect()}
         assert [got.get(i, i) for i in range(len(fps))] == want
 
 
@@ -207,7 +226,7 @@ def test_components_of_a_chain_and_none(spark):
     assert simhash.components(chain.limit(0)).count() == 0
 
 
-def test_top_k(spark, sf_dir):
+def test_top_k(spark, sf_dir, monkeypatch):
     raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     bad = [(9001, None), (9002, [1.0, None]), (9003, [float("nan")] * 64), (9004, [float("inf")] * 64), (9100, [0.5, 0.25]), (9005, [1.0, 2.0]), (9006, [-1e300] * 64), (None, [0.1] * 64)]
     ties = [(9200, [0.5] * 64), (9201, [0.5] * 64), (9202, [0.5] * 64)]
@@ -220,6 +239,43 @@ def test_top_k(spark, sf_dir):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert knn.top_k(rows.limit(0), lambda i: i % 100 == 0).count() == 0
+    # Many cells and blocks: the first round's kth score prunes the others.
+    monkeypatch.setattr(knn, "CELL", 20)
+    monkeypatch.setattr(knn, "BLOCK", 2)
+    assert sorted(tuple(r) for r in knn.top_k(rows, lambda i: i % 100 == 0).collect()) == sorted(want)
+
+
+def test_packing_offsets_beyond_a_broadcast(odd):
+    tokens = written(packing.encoded(odd.select("doc_id", "text"), VOCABULARY), "pack")
+    key = lambda df: Counter((r.id, r.start, r.length, r.sequence_id, r.offset, bytes(r.ids)) for r in df.collect())
+    assert key(packing.cut(tokens, 256)) == key(packing.cut(tokens, 256, 0))
+
+
+def test_packing_query(spark, sf_dir, tok):
+    """The query at its own length: pieces' checksums, gapless sequences, every id once."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = {i: np.append(ids_of(tok, t), 2).astype("<u4").tobytes() for i, t in docs.items()}
+    seqs, seen = defaultdict(list), Counter()
+    for r in queries.op1_packing(spark, sf_dir).collect():
+        part = ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]
+        assert (r.ids_crc32, r.doc_tokens, len(part)) == (zlib.crc32(part), len(ids[r.doc_id]) // 4, 4 * r.length)
+        seqs[r.sequence_id].append((r.offset, r.length))
+        seen[r.doc_id] += r.length
+    assert seen == {i: len(x) // 4 for i, x in ids.items()}
+    ends = {s: [a + n for a, n in sorted(v)] for s, v in seqs.items()}
+    assert all([0, *e[:-1]] == [a for a, _ in sorted(seqs[s])] and e[-1] <= 4096 for s, e in ends.items())
+    assert [e[-1] for _, e in sorted(ends.items())][:-1] == [4096] * (len(ends) - 1)
+
+
+def test_clashing_working_columns(spark, odd):
+    """Columns named like the operators' own working columns pass through unchanged."""
+    names = ["__work", "__row", "__found", "__host", "__path", "__rule", "__h", "__bucket", "__number", "__place", "__side", "of", "block", "payload", "h", "id", "bucket", "key", "node", "part"]
+    docs = odd.select("doc_id", "text", *[F.lit(f"kept {n}").alias(n) for n in names])
+    for out in (quality.judge(docs), linededup.dedup_lines(docs), substring.dedup_substrings(docs), sharding.assign(docs, ["doc_id", "text"]), urlfilter.judge(docs.withColumn("url", F.col("text")), queries.URL_RULES), urlfilter.judge(docs.withColumn("url", F.col("text")), queries.URL_RULES, max_trie_bytes=0)):
+        rows = out.collect()
+        assert len(rows) == 24 and all(r[n] == f"kept {n}" for r in rows for n in names)
+    for out in (packing.pack(docs, VOCABULARY), bpe.encode_decode(docs, VOCABULARY), simhash.groups(docs), licenses.scan(docs.withColumn("path", F.lit("a/b")))):
+        assert out.count() >= 24
 
 
 def test_url_filter(spark, sf_dir):
@@ -249,12 +305,47 @@ def test_permutation_is_one(spark):
         assert sorted(r.p for r in rows) == list(range(n)) and {r.a for r in rows} == {a}
 
 
+def xxh(seed, *numbers):
+    """XXH64 of each number's little-endian bytes, (value, width) each, with the hash before it as seed; signed."""
+    for value, width in numbers:
+        seed = xxhash.xxh64_intdigest(value.to_bytes(width, "little", signed=True), seed % 2**64)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_places(ids, shards):
+    """id -> (shard, slot) by plain integers: ids in the order of their hashes, a network over a square, cycles walked."""
+    n = len(ids)
+    a = math.isqrt(n - 1) + 1
+
+    def network(x):
+        left, right = divmod(x, a)
+        for k in range(sharding.ROUNDS):
+            left, right = right, (left + xxh(42, (right, 8), (sharding.SEED, 4), (k, 4))) % a
+        return left * a + right
+
+    out = {}
+    for number, i in enumerate(sorted(ids, key=lambda i: xxh(42, (i, 8)))):
+        place = network(number)
+        while place >= n:
+            place = network(place)
+        out[i] = (place % shards, place // shards)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 23, 24, 500, 5000])
+def test_shards_by_brute_force(spark, n):
+    rows = spark.range(n).select((F.col("id") * 7 - 3).alias("doc_id"))
+    want = brute_places([7 * i - 3 for i in range(n)], 24)
+    for bits in (None, 0, 3, 16):
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.assign(rows, ["doc_id"], bits=bits).collect()} == want
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_shards(request, which):
-    docs = request.getfixturevalue(which)
+    docs = request.getfixturevalue(which).withColumn("__h", F.lit(1)).withColumn("__bucket", F.lit("x"))
     first, again = (sharding.assign(d, ["doc_id", "text"], 7).collect() for d in (docs, docs.repartition(2)))
     key = lambda rows: Counter((r.doc_id, r.text, r.shard, r.slot) for r in rows)
-    assert key(first) == key(again)
+    assert key(first) == key(again) and first[0]["__h"] == 1
     slots = defaultdict(list)
     for r in first:
         slots[r.shard].append(r.slot)
@@ -324,15 +415,68 @@ def test_quality_follows_the_labels(spark, sf_dir):
     assert bad.where("kept").count() <= 0.05 * bad.count() and good.where("not kept").count() == 0
 
 
-def test_licenses(spark, odd, documents):
+def brute_license(text, templates, df, n, threshold=0.6):
+    """All units against all templates, with dictionaries and no bound."""
+    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in {w for ts in templates.values() for t in ts for w in licenses.terms(t)}}
+    weigh = lambda ws: {w: k * idf.get(w, math.log(n + 1) + 1) for w, k in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(name, v, norm(v)) for name, ts in sorted(templates.items()) for t in ts for v in [weigh(licenses.terms(t))]]
+    lines = (text or "").split("\n")
+    best = lambda unit: max(((round(sum(x * u.get(w, 0) for w, x in v.items()) / nv / norm(u), 9), -j) for u in [weigh(unit)] for j, (_, v, nv) in enumerate(vectors)), default=(0, 0)) if unit else (0, 0)
+    found = [licenses.terms(x) for x in lines]
+    units = [(i, u) for i, u in enumerate(found)] + [(i, licenses.terms(x)) for i, line in enumerate(lines) for x in re.split(r"(?<=[.!?;])\s+", line)] + [(0, [w for u in found for w in u])]
+    start = None
+    for i, line in enumerate([*lines, ""]):
+        if line.strip():
+            start = i if start is None else start
+        elif start is not None:
+            units.append((start, [w for u in found[start:i] for w in u]))
+            start = None
+    top = max((s, -i, j) for i, u in units for s, j in [best(u)])
+    return (vectors[-top[2]][0], top[0], -top[1]) if top[0] >= threshold else (None, 0.0, -1)
+
+
+@pytest.mark.parametrize("which", ["documents", "odd", "written"])
+def test_licenses_against_all_units(request, spark, which):
+    templates = licenses.standard_templates()
+    mit, bsd = templates["MIT"][-1], templates["BSD-3-Clause"][-2]
+    wrapped = "\n".join("# " + " ".join(mit.split()[i : i + 2]) for i in range(0, len(mit.split()), 2))
+    texts = [
+        "Licensed under the MIT License zeta eta theta iota kappa lambda", "Licensed under the ISC License", "GNU General Public License, version 2", "licensed under the GNU Lesser General Public License, version 2.1",
+        mit, "Copyright Someone Unknown\n\n" + wrapped + "\n\ncode = here", bsd.replace(". ", ".\n"), "SPDX-License-Identifier: MPL-2.0", "zeta eta theta", "a word or two", "prose first. Released under CC0 1.0. prose after it",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string") if which == "written" else request.getfixturevalue(which).where(F.length("text") < 20000).select("doc_id", "text")
+    rows = texts_of(docs)
+    known = {w for ts in templates.values() for t in ts for w in licenses.terms(t)}
+    df = Counter(w for _, t in rows for w in known.intersection(licenses.terms(t or "")))
+    got = Counter((r.doc_id, r.own_license, round(r.score, 7), r.line) for r in licenses.scan(docs.withColumn("path", F.lit("a/b")).withColumn("line", F.lit("clash"))).collect())
+    want = Counter((i, name, round(score, 7), line) for i, t in rows for name, score, line in [brute_license(t, templates, df, len(rows))])
+    if which == "written":
+        # Runs of lines that could match by themselves are units of the operator alone; a paragraph or the whole text holds these here.
+        by_id = {i: name for i, name, *_ in got}
+        assert [by_id[i] for i in range(1, 11)] == ["ISC", "GPL-2.0", "LGPL-2.1", "MIT", "MIT", "BSD-3-Clause", "MPL-2.0", None, None, "CC0-1.0"]
+        assert len(wrapped.split("\n")) > 80
+    assert got == want
+
+
+def test_a_license_among_more_unknown_terms(spark):
+    """Five known and six unknown terms: under half of them known, yet over the threshold where licenses are rare."""
+    one = spark.createDataFrame([(-1, "Licensed under the MIT License zeta eta theta iota kappa lambda")], "doc_id long, text string")
+    files = one.unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("filler"), "id").alias("text"))).withColumn("path", F.lit("x"))
+    assert [(r.doc_id, r.own_license) for r in licenses.scan(files).where("own_license is not null").collect()] == [(-1, "MIT")]
+
+
+def test_licenses(spark, odd, documents, tmp_path):
     wanted = {i for i, t in texts_of(documents) if re.search("licensed under|released under the mit", (t or "").lower())}
     files = documents.withColumn("path", F.concat(F.lit("a/b/"), "doc_id", F.lit(".txt")))
     assert {r.doc_id for r in licenses.scan(files).where("own_license is not null").collect()} == wanted
+    (tmp_path / "House.txt").write_text("Members of the house may read this. Others may not.")
+    assert licenses.read_templates(spark, str(tmp_path)) == {"House": ["Members of the house may read this. Others may not."]}
     tree = [(1, "LICENSE", "Released under the MIT License."), (2, "a/LICENSE.txt", "words\nLicensed under the Apache License, Version 2.0."), (3, "a/b/c.py", "code"), (4, "x/y.py", None), (5, "z.py", ""), (6, None, "x"), (7, "a/b/d.py", "# Licensed under CC BY-NC 4.0."), (8, "a/COPYING", "Licensed under CC BY 4.0. see"), (3, "a/b/c.py", "code")]
     got = {r.doc_id: (r.own_license, r.license, r.license_dir) for r in licenses.scan(spark.createDataFrame(tree, "doc_id long, path string, text string").withColumn("line", F.lit("clash"))).collect()}
     assert got == {1: ("MIT", "MIT", None), 2: ("Apache-2.0",) * 2 + (None,), 3: (None, "CC-BY-4.0", "a"), 4: (None, "MIT", ""), 5: (None, "MIT", ""), 6: (None, None, None), 7: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 8: ("CC-BY-4.0", "CC-BY-4.0", None)}
     assert licenses.scan(files.limit(0)).count() == 0
-    inside = spark.createDataFrame([(1, "f", "Some words go first, as they do. Licensed under the Apache License, Version 2.0. More of them follow after it."), (2, "g", "the license of the software is the software and to use")], "doc_id long, path string, text string")
+    inside = spark.createDataFrame([(1, "f", "Some words go first, as they do. Licensed under the Apache License, Version 2.0. More of them follow after it."), (2, "g", "the weather of the town is the talk of the day and of the evening")], "doc_id long, path string, text string")
     assert {r.doc_id: r.own_license for r in licenses.scan(inside).collect()} == {1: "Apache-2.0", 2: None}
 
 
