@@ -7,23 +7,19 @@ columns of `documents`; n_chars follows the text.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import linededup, packing, quality, shinglesets, simhash, substring
+from cueloom.llm import linededup, packing, quality, shinglesets, substring
 from cueloom.llm.common import release, table, tables_written, written
 from cueloom.llm.queries import VOCABULARY
 from cueloom.session import ship
 
-#: Near duplicates: a Jaccard similarity of 0.8 or more of the whole sets of five-word shingles. Fingerprints only find
-#: candidates, which are then compared by these sets. Two sets of similarity 0.8 have a cosine of 1.6 / 1.8, so each
-#: fingerprint bit agrees with chance 0.848 and 39 of 256 bits differ on average, standard deviation 5.7. Of such pairs,
-#: by that model, 0.9994 differ in at most 58 bits and 0.998 also meet under one of the 99 keys of 14 random bits.
-#: Neither depends on the number of rows.
-SHINGLE, LANES, RADIUS, BITS = 5, 4, 58, 14
-AGREE, KEYS = 1 - math.acos(1.6 / 1.8) / math.pi, 0.99997
+#: Near duplicates: a Jaccard similarity of 0.8 or more of the whole sets of five-word shingles. Pairs under a common key
+#: are discarded by fingerprints of 128 bits, and what is left is compared by these sets. Two sets of similarity 0.8 have a
+#: cosine of 1.6 / 1.8, so each fingerprint bit agrees with chance 0.848 and 19.5 of 128 bits differ on average, standard
+#: deviation 4.1: by that model 0.999998 of such pairs differ in at most 38 bits. None of it depends on the number of rows.
+SHINGLE, LANES, RADIUS = 5, 2, 38
 
 
 def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -33,7 +29,7 @@ def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects. Null, empty and blank texts are rejected."""
-    return quality.judge(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.kept(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group. Rows that share an id are one document; rows without one stay."""
-    masks = simhash.sampled(BITS, LANES, AGREE, KEYS)
-    found = shinglesets.groups(docs, SHINGLE, RADIUS, LANES, masks)
+    found = shinglesets.groups(docs, SHINGLE, RADIUS, LANES)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
