@@ -178,8 +178,9 @@ def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int)
     blocks = lambda count, size: F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
     sized = roots.join(nodes.groupBy("node").agg(F.max("size").alias("size")), "node")
     dealt = sized.groupBy("root").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("nb"))
-    members = sized.join(dealt, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    members = written(members, "near-members")
+    # Rows without texts, salted where a component is large; texts only ever meet by node and by block.
+    members = spread(sized, dealt.withColumnRenamed("root", "of"), "root", "of").drop("of")
+    members = written(members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")), "near-members")
     every = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     texts = written(every.join(members, "node").dropDuplicates(["node", "text"]), "near-texts")
     leaders = texts.where("node = root").select("root", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("own"), "text")
@@ -189,15 +190,16 @@ def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int)
     first = led.where("near").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     # A component's todo nodes are dealt to `tb` blocks and all of its nodes to `nb`; each todo block meets each block of all.
-    todo = led.where("not near").select("node", "root")
-    rest = texts.join(todo.select("root").distinct(), "root", "left_semi").join(todo.select("node").distinct().select("node", F.lit(True).alias("todo")), "node", "left").withColumn("todo", F.coalesce("todo", F.lit(False)))
-    counts = sized.join(todo.select("node").distinct(), "node").groupBy("root").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("tb"))
-    rest = rest.join(counts, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tb")).cast("int"))
-    as_any = F.transform(F.sequence(F.lit(0), F.col("tb") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("todo")))
-    as_todo = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"), F.lit(True).alias("todo")))
+    todo = led.where("not near").select("node").distinct()
+    counts = members.join(todo, "node").groupBy(F.col("root").alias("of")).agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("tb"))
+    rest = spread(members, counts, "root", "of").where("tb is not null").select("node", "root", "nb", "own", "tb")
+    rest = rest.join(todo.withColumn("todo", F.lit(True)), "node", "left").withColumn("todo", F.coalesce("todo", F.lit(False))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tb")).cast("int"))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("tb") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    as_todo = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j")))
     # A todo node that is also among the cell's block of all stands there once, as todo.
     cells = F.when(F.col("todo"), F.concat(as_todo, F.filter(as_any, lambda c: c["i"] != F.col("mine")))).otherwise(as_any)
-    met = rest.select("root", "node", "text", F.col("todo").alias("open"), F.explode(cells).alias("c")).select("root", "c.i", "c.j", "node", "text", F.col("open").alias("todo"))
+    met = texts.select("node", "text").join(rest.select("node", "root", "todo", cells.alias("cells")), "node")
+    met = met.select("root", "node", "text", "todo", F.explode("cells").alias("c")).select("root", "c.i", "c.j", "node", "text", "todo")
     links_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     second = met.groupBy("root", "i", "j").applyInArrow(lambda t: _verify(t, shingle, links_schema), "a long, b long")
     return first.unionByName(second).distinct()
