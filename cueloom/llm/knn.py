@@ -194,12 +194,12 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_col:
     queries = asked.select(F.col("id").alias("q_id"), F.col("v").alias("q_vec"), home.alias("home"), part.alias("q_part"))
     no_floor = F.lit(None).cast("long").alias("floor")
     # Queries of one cell only, so the candidates aren't copied; a cell's queries are a share of all of them.
-    first = written(meet(cands.withColumn("part", F.lit(0)), queries.select("q_id", "q_vec", no_floor, F.col("home").alias("q_cell"), F.lit(0).alias("q_part"))), "top-k")
-    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")), lambda c: c != F.col("home"))).alias("q_cell")
-    again = queries.join(floors, F.col("q_id") == F.col("query_id"), "left").select("q_id", "q_vec", "floor", others, "q_part")
-    met = first
+    met = meet(cands.withColumn("part", F.lit(0)), queries.select("q_id", "q_vec", no_floor, F.col("home").alias("q_cell"), F.lit(0).alias("q_part")))
     if cells > 1:
+        first = written(met, "top-k")
+        floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")), lambda c: c != F.col("home"))).alias("q_cell")
+        again = queries.join(floors, F.col("q_id") == F.col("query_id"), "left").select("q_id", "q_vec", "floor", others, "q_part")
         met = first.unionByName(meet(cands.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), again))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
     best = met.withColumn("rank", rank).where(F.col("rank") <= k)
