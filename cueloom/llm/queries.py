@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, licenses, linededup, packing, quality, sharding, simhash, sql, substring, urlfilter
+from . import bpe, kmeans, knn, licenses, linededup, packing, quality, sharding, simhash, sql, substring, urlfilter
 from .common import SPACE_CLASS, table, text_bytes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.with_inertia(kmeans.cluster(table(spark, sf_dir, "embeddings"), 40, 5, 64, 256))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -87,6 +91,7 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,
+        "op11_centroid_clustering": op11_centroid_clustering,
     }
 
 

@@ -56,5 +56,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 10 * len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) > 3 * n_words) AS kept FROM b"""
 
 
+def _op11(k: int = 40, rounds: int = 5) -> str:
+    """The rounds one after another: cN are the centroids, aN each vector's nearest of cN."""
+    out = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, e) - 1 AS INTEGER) AS k, e FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        out.append(f"""a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(ve) AS e, min((d, k)) AS best FROM (
+        SELECT v.r, v.vec_id, v.e AS ve, c.k, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS BIGINT) AS d FROM v, c{n} c) GROUP BY r)""")
+        if n < rounds:
+            out.append(f"""c{n + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.e, o.e) AS e FROM c{n} o LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM (
+        SELECT a.best[2] AS k, i, sum(a.e[i]) AS s, count(*) AS n FROM a{n} a, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY k) m USING (k))""")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, best[2] AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.k = best[2]"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3, "op4_substring_dedup": OP4, "op5_url_filter": OP5, "op7_line_dedup": OP7, "op10_quality_rules": OP10}
+    return {"op3_exact_top_k": OP3, "op4_substring_dedup": OP4, "op5_url_filter": OP5, "op7_line_dedup": OP7, "op10_quality_rules": OP10, "op11_centroid_clustering": _op11()}
