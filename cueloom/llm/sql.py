@@ -74,5 +74,43 @@ SELECT vec_id, best[2] AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (
   sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.k = best[2]"""
 
 
+def _least(*of: str) -> str:
+    return f"list_min([{', '.join(of)}])"
+
+
+def _edit(state: str, cost: str, letter: str, when: str = "true") -> str:
+    return f"{{'c': {state}.c + CASE WHEN {when} THEN {cost} ELSE 1000000000 END, 'p': {state}.p || '{letter}'}}"
+
+
+#: The Viterbi search as a recursion over a conversation's rows; e, s, u, a are the grammar's states with least cost and audit.
+OP13 = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS b, t FROM conversations, t),
+c AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS how FROM h),
+d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM c JOIN (VALUES (0), (1)) k(k) ON k = 0 OR how = 3 WHERE how <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, rtrim(text, {BLANKS}) AS said, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+g AS MATERIALIZED (SELECT conv_id, i, turn, role, text, left(role, 1) AS r, said = '' AS blank, said <> '' AND nth > 1 AS dup, said <> '' AND nth = 1 AND right(said, 1) NOT IN ('.', '!', '?') AS cut,
+      lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
+m AS (SELECT DISTINCT conv_id FROM conversations),
+v(conv_id, i, e, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'p': ''}}, {{'c': 1000000000::BIGINT, 'p': ''}}, {{'c': 2::BIGINT, 'p': 'I'}}, {{'c': 4::BIGINT, 'p': 'II'}} FROM m
+  UNION ALL
+  SELECT conv_id, i, e, s, u, {_least("a", _edit("u", "2", "I"))} FROM (SELECT conv_id, i, e, s, {_least("u", _edit("e", "2", "I"), _edit("s", "2", "I"), _edit("a", "2", "I"))} AS u, a FROM (
+    SELECT v.conv_id, g.i, {_edit("e", "3", "D")} AS e,
+      {_least(_edit("s", "3", "D"), _edit("e", "cut::BIGINT", "K", "ok AND r = 's'"))} AS s,
+      {_least(_edit("u", "3", "D"), *[_edit(x, "cut::BIGINT", "K", "ok AND r = 'u'") for x in "esa"], *[_edit(x, "2 + cut::BIGINT", "R", "ok") for x in "esa"])} AS u,
+      {_least(_edit("a", "3", "D"), _edit("u", "cut::BIGINT", "K", "ok AND r = 'a'"), _edit("u", "2 + cut::BIGINT", "R", "ok"))} AS a
+    FROM v JOIN (SELECT *, NOT (blank OR dup) AS ok FROM g) g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i + 1))),
+best AS (SELECT conv_id, {_least("e", "a")} AS b FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+edits AS (SELECT conv_id, j, edit, sum((edit <> 'I')::INT) OVER w AS i, sum((edit <> 'D')::INT) OVER w AS place, sum((edit <> 'D')::INT) OVER (PARTITION BY conv_id) AS n
+          FROM (SELECT conv_id, unnest(string_split(b.p, '')) AS edit, unnest(range(length(b.p))) AS j FROM best) WHERE edit <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+lines AS (SELECT x.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - 1 - n % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body
+          FROM edits x LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.i = x.i WHERE edit <> 'D' GROUP BY 1),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+          count(*) FILTER (WHERE before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1)
+SELECT m.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.c AS cost, b.p AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM m LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM m.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM m.conv_id LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM m.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3, "op4_substring_dedup": OP4, "op5_url_filter": OP5, "op7_line_dedup": OP7, "op10_quality_rules": OP10, "op11_centroid_clustering": _op11()}
+    return {"op3_exact_top_k": OP3, "op4_substring_dedup": OP4, "op5_url_filter": OP5, "op7_line_dedup": OP7, "op10_quality_rules": OP10, "op11_centroid_clustering": _op11(), "op13_conversation_repair": OP13}
