@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, convrepair, kmeans, knn, licenses, linededup, packing, quality, sharding, simhash, sql, substring, urlfilter
+from . import bpe, convrepair, kmeans, knn, licenses, linededup, packing, quality, sharding, simhash, sql, substring, toxicity, urlfilter
 from .common import SPACE_CLASS, table, text_bytes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.with_inertia(kmeans.cluster(table(spark, sf_dir, "embeddings"), 40, 5, 64, 256))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = table(spark, sf_dir, "conversations")
     rows = convrepair.damaged(whole)
@@ -98,6 +104,7 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_quality_rules": op10_quality_rules,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_toxicity": op12_toxicity,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
