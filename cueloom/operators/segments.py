@@ -1,9 +1,8 @@
 """Operators on ordered segments: (media_id, id, start_ms, end_ms, text, speaker).
 
-Folds whose state depends on what was kept run inside islands: stretches that no
-earlier row can reach, found with one window. A fold's array is then what is said
-without a sentence end, pause or change of speaker, or one overlap; only a medium
-that has none of these from end to end is a single island.
+Folds whose state depends on what was kept (merging and both kinds of
+de-duplication) are rules of folds.runs(), which cuts a medium into stretches of
+bounded length and joins their summaries.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import ALWAYS, NEVER, STRETCH, Rule, runs
 
 
 def _in_order(*by: str):
@@ -51,92 +51,93 @@ def sentences_from_words(words: DataFrame) -> DataFrame:
     return w.groupBy("media_id", F.col("sid").alias("id")).agg(F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), text.alias("text"))
 
 
-def _islands(df: DataFrame, starts: Column, fold, *also: str) -> DataFrame:
-    """Folds each island's rows, an array of structs in order with the columns `also`, to an array of structs."""
-    marked = df.withColumn("__new", F.when(starts, 1).otherwise(0)).withColumn("__island", F.sum("__new").over(_in_order()))
-    rows = F.array_sort(F.collect_list(F.struct("id", "start_ms", "end_ms", "text", "speaker", *also)))
-    folded = marked.groupBy("media_id", "__island").agg(rows.alias("r")).select("media_id", F.explode(fold(F.col("r"))).alias("s"))
-    return renumber(folded.select("media_id", "s.*").drop(*also), "id")
+def _merging(max_gap_ms: int, max_duration_ms: int | None) -> Rule:
+    """A segment starts anew where another speaker, a pause, a sentence end before no fragment, or the longest duration says so.
 
+    A run's value is its start. While all its texts are blank (fresh) it has no
+    sentence end; else the last text that isn't blank has it or not.
+    """
+
+    def limits(before, row):
+        start, end, speaker, _, fragment, _ = row
+        last, who, closed = before
+        if None in (start, end, speaker, last, who) or speaker != who or start - last > max_gap_ms:
+            return ALWAYS, ALWAYS, ALWAYS
+        long = NEVER if max_duration_ms is None else end - max_duration_ms - 1
+        return ALWAYS if closed and not fragment else long, long, ALWAYS
+
+    def after(before, row):
+        _, end, speaker, closed, _, blank = row
+        return end, speaker, (before[2] if before else None) if blank else closed
 
-def merge_continuous(segments: DataFrame, max_gap_ms: int = 1000, max_duration_ms: int | None = 60000) -> DataFrame:
+    return Rule(
+        ("start_ms", "end_ms", "speaker", "__ends", "__frag", "__blank"), limits, lambda row: row[0] or 0, lambda row: row[5], after,
+        lambda before, tail: (*tail[:2], before[2] if tail[2] is None and before else tail[2]),
+    )
+
+
+def merge_continuous(segments: DataFrame, max_gap_ms: int = 1000, max_duration_ms: int | None = 60000, stretch: int = STRETCH) -> DataFrame:
     """Joins what a speaker goes on saying within a sentence.
 
     A segment extends the current one if the speaker is the same, the gap is at
     most max_gap_ms, the current text has no sentence end or the segment is a
     fragment, and the whole stays within max_duration_ms (None: no limit). A
-    fragment first loses what the current text ends with.
+    fragment first loses what the current text ends with. A segment without
+    times or speaker stands alone; a null text is a blank one.
+
+    What is gathered is one merged segment at a time.
     """
-    order = _in_order()
-    lag = lambda c: F.lag(c).over(order)
-    # What depends on one row alone is found once a row, not once a step of the fold.
-    s = segments.withColumn("__ends", T.ends_sentence_simple(F.col("text"))).withColumn("__frag", T.is_fragment(F.col("text")))
-    # The current segment's end and speaker are the previous row's, and so is its text's end if that row has any.
-    cut = (
-        lag("id").isNull()
-        | (F.col("speaker") != lag("speaker"))
-        | (F.col("start_ms") - lag("end_ms") > max_gap_ms)
-        | ((T.strip(lag("text")) != "") & lag("__ends") & ~F.col("__frag"))
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        def extended(cur: Column) -> Column:
-            extends = (
-                (s["speaker"] == cur["speaker"])
-                & (s["start_ms"] - cur["end_ms"] <= max_gap_ms)
-                & (~cur["__ends"] | s["__frag"])
-                & (F.lit(True) if max_duration_ms is None else s["end_ms"] - cur["start_ms"] <= max_duration_ms)
-            )
-
-            def longer(added: Column) -> Column:
-                some = T.strip(added) != ""
-                return F.struct(
-                    cur["id"].alias("id"),
-                    cur["start_ms"].alias("start_ms"),
-                    s["end_ms"].alias("end_ms"),
-                    F.when(some, T.strip(F.concat(cur["text"], F.lit(" "), added))).otherwise(cur["text"]).alias("text"),
-                    cur["speaker"].alias("speaker"),
-                    F.when(some, s["__ends"]).otherwise(cur["__ends"]).alias("__ends"),
-                    cur["__frag"].alias("__frag"),
-                )
-
-            added = F.when(s["__frag"], T.overlap_strip(cur["text"], s["text"])).otherwise(s["text"])
-            return F.when(extends, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(T.bound(added, longer)))).otherwise(F.concat(acc, F.array(s)))
-
-        return T.bound(F.element_at(acc, -1), extended)
-
-    return _islands(s, cut, lambda r: F.aggregate(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1), step), "__ends", "__frag")
-
-
-def dedup_overlap(segments: DataFrame) -> DataFrame:
-    """Drops a segment of which over half lies before the end of the last kept one."""
-    order = _in_order()
-    # No earlier end reaches the segment: it is kept, and what came before no longer matters.
-    reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = reach.isNull() | (F.col("start_ms") >= reach)
-
-    def step(acc: Column, s: Column) -> Column:
-        over = F.greatest(F.lit(0), F.element_at(acc, -1)["end_ms"] - s["start_ms"])
-        dur = s["end_ms"] - s["start_ms"]
-        return F.when((dur > 0) & (2 * over > dur), acc).otherwise(F.concat(acc, F.array(s)))
-
-    return _islands(segments, cut, lambda r: F.aggregate(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1), step))
-
-
-def rolling_dedup(words: DataFrame, within_ms: int = 100) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    s = segments.withColumn("__ends", T.ends_sentence_simple(text)).withColumn("__frag", T.is_fragment(text)).withColumn("__blank", T.strip(text) == "")
+    rows = runs(s, _merging(max_gap_ms, max_duration_ms), stretch)
+    parts = F.array_sort(F.collect_list(F.struct("id", F.col("text").alias("t"), F.col("__frag").alias("frag"), F.col("__blank").alias("blank"))))
+    met = rows.groupBy("media_id", "run").agg(F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("end_ms"), parts.alias("p"), F.min_by("speaker", "id").alias("speaker"))
+
+    def longer(acc: Column, x: Column) -> Column:
+        added = F.when(x["frag"], T.overlap_strip(acc, x["t"])).otherwise(x["t"])
+        return F.when(x["blank"], acc).otherwise(T.strip(F.concat(F.coalesce(acc, F.lit("")), F.lit(" "), added)))
+
+    whole = F.aggregate(F.slice("p", 2, F.size("p")), F.get("p", F.lit(0))["t"], longer)
+    return renumber(met.select("media_id", F.col("run").alias("id"), "start_ms", "end_ms", whole.alias("text"), "speaker"), "id")
+
+
+def _overlapping() -> Rule:
+    """A segment is kept if the last kept end lies at its middle or before; it is then the last kept one."""
+
+    def limits(before, row):
+        start, end = row
+        if start is None or end is None or end <= start:
+            return ALWAYS, ALWAYS, ALWAYS
+        return (start + end) // 2, (start + end) // 2, ALWAYS
+
+    return Rule(("start_ms", "end_ms"), limits, lambda row: NEVER + 1 if row[1] is None else row[1])
+
+
+def dedup_overlap(segments: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Drops a segment of which over half lies before the end of the last kept one. One without times or length stays."""
+    kept = runs(segments, _overlapping(), stretch).where("id = run")
+    return renumber(kept.select("media_id", "id", "start_ms", "end_ms", "text", "speaker"), "id")
+
+
+def _rolling(within_ms: int) -> Rule:
+    """A word is kept if its text isn't the one before it, or if the last kept word starts within_ms away or further."""
+
+    def limits(before, row):
+        key, start = row
+        if before is None or key is None or start is None or key != before[0]:
+            return ALWAYS, ALWAYS, ALWAYS
+        return start - within_ms, start - within_ms, start + within_ms
+
+    return Rule(("__key", "start_ms"), limits, lambda row: row[1] or 0, after=lambda before, row: row[:1])
+
+
+def rolling_dedup(words: DataFrame, within_ms: int = 100, stretch: int = STRETCH) -> DataFrame:
     """Drops a word equal to the last kept one, case aside, that starts under within_ms from it.
 
-    words: (media_id, seq, text, start_ms). A dropped word has the last kept
-    one's text, so a change of text starts an island.
+    words: (media_id, seq, text, start_ms). Words without a text or a start stay.
     """
-    order = _in_order("seq")
-    key = T.casefold(F.col("text"))
-    w = words.withColumn("__new", F.when(F.lag(key).over(order).isNull() | (F.lag(key).over(order) != key) | (F.col("start_ms") - F.lag("start_ms").over(order) >= within_ms), 1).otherwise(0))
-    w = w.withColumn("__island", F.sum("__new").over(order))
-    rows = F.array_sort(F.collect_list(F.struct("seq", "text", "start_ms")))
-    step = lambda acc, s: F.when(F.abs(s["start_ms"] - F.element_at(acc, -1)["start_ms"]) < within_ms, acc).otherwise(F.concat(acc, F.array(s)))
-    kept = w.groupBy("media_id", "__island").agg(rows.alias("r")).select("media_id", F.explode(F.aggregate(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1), step)).alias("s"))
-    return kept.select("media_id", "s.*")
+    w = words.select("media_id", F.col("seq").alias("id"), "text", "start_ms").withColumn("__key", T.casefold(F.col("text")))
+    return runs(w, _rolling(within_ms), stretch).where("id = run").select("media_id", F.col("id").alias("seq"), "text", "start_ms")
 
 
 def word_ends(words: DataFrame, last_ms: int = 300) -> DataFrame:

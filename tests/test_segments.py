@@ -87,8 +87,8 @@ def test_models_on_literal_rows():
 def test_merge_is_the_fold(spark):
     for seed in range(4):
         rows = random_segments(seed)
-        for longest in (60000, 4000, None):
-            got = sorted(tuple(r) for r in S.merge_continuous(spark.createDataFrame(rows, SEG), 1000, longest).select("media_id", "id", "start_ms", "end_ms", "text", "speaker").collect())
+        for longest, stretch in ((60000, 4096), (4000, 4096), (None, 4096), (4000, 7), (2600, 1), (4000, 2), (None, 3)):
+            got = sorted(tuple(r) for r in S.merge_continuous(spark.createDataFrame(rows, SEG), 1000, longest, stretch).select("media_id", "id", "start_ms", "end_ms", "text", "speaker").collect())
             want = [x for part in by_media(rows).values() for x in merged(part, longest=longest)]
             assert got == sorted(want)
 
@@ -105,8 +105,9 @@ def test_overlap_dedup_is_the_fold(spark):
                     continue
                 kept.append(r)
             want += [(r[0], i, r[2], r[3]) for i, r in enumerate(kept)]
-        got = sorted(tuple(r) for r in S.dedup_overlap(spark.createDataFrame(rows, SEG)).select("media_id", "id", "start_ms", "end_ms").collect())
-        assert got == sorted(want)
+        for stretch in (4096, 1, 3, 8):
+            got = sorted(tuple(r) for r in S.dedup_overlap(spark.createDataFrame(rows, SEG), stretch).select("media_id", "id", "start_ms", "end_ms").collect())
+            assert got == sorted(want)
 
 
 def test_rolling_dedup_is_the_fold(spark):
@@ -121,8 +122,9 @@ def test_rolling_dedup_is_the_fold(spark):
             if last is None or last[0] != w.lower() or abs(t - last[1]) >= 100:
                 last = (w.lower(), t)
                 want.append((m, i))
-    got = sorted((r.media_id, r.seq) for r in S.rolling_dedup(spark.createDataFrame(rows, "media_id long, seq long, text string, start_ms long")).collect())
-    assert got == want
+    for stretch in (4096, 1, 2, 7):
+        got = sorted((r.media_id, r.seq) for r in S.rolling_dedup(spark.createDataFrame(rows, "media_id long, seq long, text string, start_ms long"), stretch=stretch).collect())
+        assert got == want
 
 
 def test_chunks_and_alignment(spark):
