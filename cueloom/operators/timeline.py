@@ -1,4 +1,9 @@
-"""Gaps, re-timing and audio plans of a whole timeline, by windows over a medium's segments.
+"""Gaps, re-timing and audio plans of a whole timeline, by blocked scans over a medium's segments.
+
+A medium is cut into stretches of ids. Windows run inside a stretch; what it adds
+up to is one row, a window over a medium's stretches carries these rows' sums and
+last ends on, and the carried values are added back. So a long medium is many
+tasks, and what one task scans for a medium is a row for each STRETCH segments.
 
 Times in are whole milliseconds; times that come from divisions are whole
 microseconds, rounded once a row, so that sums don't depend on their order.
@@ -26,29 +31,59 @@ class Timing:
     least: float = 0.01
 
 
-def _order():
-    return Window.partitionBy("media_id").orderBy("id")
+#: Ids of one stretch.
+STRETCH = 1 << 15
+
+
+def _stretch(size: int) -> Column:
+    return F.floor(F.col("id") / size).cast("long").alias("stretch")
+
+
+def _inside():
+    return Window.partitionBy("media_id", "stretch").orderBy("id")
+
+
+def _over():
+    return Window.partitionBy("media_id").orderBy("stretch")
 
 
 def micros(seconds: Column) -> Column:
     return F.floor(seconds * 1e6 + 0.5).cast("long")
 
 
-def gaps(segments: DataFrame, media: DataFrame, min_gap_ms: int = 50) -> DataFrame:
+def _ends(segments: DataFrame) -> DataFrame:
+    """(media_id, stretch, id, start_ms, last): the first segment of each stretch and the end of its last one."""
+    return segments.groupBy("media_id", "stretch").agg(F.min("id").alias("id"), F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("last"))
+
+
+def _tails(segments: DataFrame, media: DataFrame) -> DataFrame:
+    """(media_id, s, e): what follows the last segment of each medium."""
+    last = segments.groupBy("media_id").agg(F.max_by("end_ms", "id").alias("s"))
+    return media.join(last, "media_id", "left").select("media_id", F.coalesce("s", F.lit(0)).alias("s"), F.col("total_ms").alias("e"))
+
+
+def gaps(segments: DataFrame, media: DataFrame, min_gap_ms: int = 50, stretch: int = STRETCH) -> DataFrame:
     """(media_id, id, start_ms, end_ms): stretches over min_gap_ms before each segment and, with id null, after the last.
 
     A gap begins at the previous row's end, even if an earlier row ends later.
     """
-    before = F.lag("end_ms", 1, 0).over(_order())
-    inner = segments.select("media_id", "id", before.alias("s"), F.col("start_ms").alias("e"))
-    last = segments.groupBy("media_id").agg(F.max_by("end_ms", "id").alias("s"))
-    tail = media.join(last, "media_id", "left").select("media_id", F.lit(None).cast("long").alias("id"), F.coalesce("s", F.lit(0)).alias("s"), F.col("total_ms").alias("e"))
-    return inner.unionByName(tail).where(F.col("e") - F.col("s") > min_gap_ms).select("media_id", "id", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+    dealt = segments.select("media_id", "id", "start_ms", "end_ms", _stretch(stretch)).repartition("media_id", "stretch")
+    first = F.lag("id").over(_inside()).isNull()
+    inner = dealt.select("media_id", "id", F.lag("end_ms").over(_inside()).alias("s"), F.col("start_ms").alias("e"), first.alias("first")).where("not first").drop("first")
+    between = _ends(dealt).select("media_id", "id", F.lag("last", 1, 0).over(_over()).alias("s"), F.col("start_ms").alias("e"))
+    tail = _tails(segments, media).select("media_id", F.lit(None).cast("long").alias("id"), "s", "e")
+    every = inner.unionByName(between).unionByName(tail)
+    return every.where(F.col("e") - F.col("s") > min_gap_ms).select("media_id", "id", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+
 
+def _gap_us(start: Column, before: Column, t: Timing) -> Column:
+    return F.when(start - before > t.min_gap_ms, (start - before) * 1000).otherwise(0).cast("long")
 
-def timed(segments: DataFrame, tts: DataFrame, t: Timing = Timing()) -> DataFrame:
-    """Segments with a synthesised length, and their speed, target, atempo, freeze (seconds), chunk and gap (microseconds)."""
-    s = zip_within(segments, tts).withColumn("orig", (F.col("end_ms") - F.col("start_ms")) / 1000.0).withColumn("said", F.col("tts_ms") / 1000.0)
+
+def sized(segments: DataFrame, tts: DataFrame, t: Timing = Timing(), stretch: int = STRETCH) -> DataFrame:
+    """Segments with a synthesised length, and their stretch, speed, target, atempo, freeze (seconds) and chunk (microseconds)."""
+    s = zip_within(segments.select("*", _stretch(stretch)), tts.select("*", _stretch(stretch)), "media_id", "stretch")
+    s = s.withColumn("orig", (F.col("end_ms") - F.col("start_ms")) / 1000.0).withColumn("said", F.col("tts_ms") / 1000.0)
     short = (F.col("orig") < t.least) | (F.col("said") < t.least)
     s = s.withColumn("speed", F.when(short, 1.0).otherwise(F.greatest(F.lit(t.speed_min), F.least(F.lit(t.speed_max), F.try_divide("orig", "said")))))
     s = s.withColumn("target", F.col("orig") / F.col("speed"))
@@ -56,53 +91,77 @@ def timed(segments: DataFrame, tts: DataFrame, t: Timing = Timing()) -> DataFram
     s = s.withColumn("atempo", F.when(F.col("said") - F.col("target") <= t.max_freeze, 1.0).otherwise(fast))
     s = s.withColumn("over", F.greatest(F.lit(0.0), F.col("said") / F.col("atempo") - F.col("target")))
     s = s.withColumn("freeze", F.when(F.col("over") < 0.001, 0.0).otherwise(F.col("over")))
-    gap = F.col("start_ms") - F.lag("end_ms", 1, 0).over(_order())
-    s = s.withColumn("gap_us", F.when(gap > t.min_gap_ms, gap * 1000).otherwise(0).cast("long"))
     return s.withColumn("chunk_us", micros(F.col("target") + F.col("freeze"))).drop("over")
 
 
-def retime(segments: DataFrame, tts: DataFrame, t: Timing = Timing()) -> DataFrame:
+#: Running sums of a timeline: the new time in microseconds, gaps, rows and freezes up to and with a segment.
+SUMS = ("run_us", "gaps", "rows", "freezes")
+
+
+def timed(segments: DataFrame, tts: DataFrame, t: Timing = Timing(), stretch: int = STRETCH) -> DataFrame:
+    """sized() with gap_us, the gap before a segment, and the running SUMS of its medium."""
+    s = sized(segments, tts, t, stretch)
+    gap = F.when(F.lag("id").over(_inside()).isNull(), 0).otherwise(_gap_us(F.col("start_ms"), F.lag("end_ms").over(_inside()), t))
+    s = s.withColumn("gap_us", gap.cast("long"))  # of the first in a stretch: not yet
+    adds = {"run_us": F.col("gap_us") + F.col("chunk_us"), "gaps": (F.col("gap_us") > 0).cast("long"), "rows": F.lit(1).cast("long"), "freezes": (F.col("freeze") > 0).cast("long")}
+    ends = s.groupBy("media_id", "stretch").agg(F.min("id").alias("__first"), F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("last"), *[F.sum(x).alias(f"all_{n}") for n, x in adds.items()])
+    ends = ends.withColumn("__gap", _gap_us(F.col("start_ms"), F.lag("last", 1, 0).over(_over()), t))
+    before = _over().rowsBetween(Window.unboundedPreceding, -1)
+    own = {"run_us": F.col("__gap"), "gaps": (F.col("__gap") > 0).cast("long")}
+    carried = [(F.coalesce(F.sum(F.col(f"all_{n}") + own.get(n, F.lit(0))).over(before), F.lit(0)) + own.get(n, F.lit(0))).alias(f"__{n}") for n in SUMS]
+    carry = ends.select("media_id", "stretch", "__first", "__gap", *carried)
+    s = s.select("*", *[F.sum(x).over(_inside()).alias(n) for n, x in adds.items()])
+    # From the left, so that null media stay and both readers of the dealt rows have the same exchange; a null medium has no carry.
+    s = s.join(carry, ["media_id", "stretch"], "left")
+    s = s.withColumns({n: F.col(n) + F.coalesce(f"__{n}", F.lit(0)) for n in SUMS})
+    return s.withColumn("gap_us", F.when(F.col("id") == F.col("__first"), F.col("__gap")).otherwise(F.col("gap_us"))).drop("__first", "__gap", *[f"__{n}" for n in SUMS])
+
+
+def retime(segments: DataFrame, tts: DataFrame, t: Timing = Timing(), stretch: int = STRETCH) -> DataFrame:
     """(media_id, id, text, speaker, start_us, end_us) on the new timeline."""
-    end = F.sum(F.col("gap_us") + F.col("chunk_us")).over(_order())
-    return timed(segments, tts, t).select("media_id", "id", "text", "speaker", (end - F.col("chunk_us")).alias("start_us"), end.alias("end_us"))
+    return timed(segments, tts, t, stretch).select("media_id", "id", "text", "speaker", (F.col("run_us") - F.col("chunk_us")).alias("start_us"), F.col("run_us").alias("end_us"))
 
 
-def audio_plan(segments: DataFrame, tts: DataFrame, media: DataFrame, t: Timing = Timing(), keep_gap_audio: bool = True, mix: float = 0.0, gap_volume: float = 1.0) -> DataFrame:
+def audio_plan(segments: DataFrame, tts: DataFrame, media: DataFrame, t: Timing = Timing(), keep_gap_audio: bool = True, mix: float = 0.0, gap_volume: float = 1.0, stretch: int = STRETCH) -> DataFrame:
     """(media_id, track, ord, kind, id, start_us, end_us, duration_us, speed, atempo, volume) rows to render.
 
     track `main`: gaps as original sound or silence, then speech, alone or mixed
     with the original. track `original`: gaps, speech at its speed, and silence
-    for a freeze. ord orders a medium's rows.
+    for a freeze. ord orders a medium's rows; it comes from the running numbers
+    of gaps, segments and freezes.
     """
-    s = timed(segments, tts, t)
+    s = timed(segments, tts, t, stretch)
     no, sec = F.lit(None).cast("long"), lambda c: micros(F.col(c))
+    start, end = F.col("start_ms") * 1000, F.col("end_ms") * 1000
+    has_gap, has_freeze = F.col("gap_us") > 0, F.col("freeze") > 0
+    gap_kind = "orig_gap" if keep_gap_audio else "silence"
+    last = {"main": F.col("rows") + F.col("gaps") - 1, "original": F.col("rows") + F.col("gaps") + F.col("freezes") - 1}  # a segment's last row
 
-    def row(when, track, k, kind, start, end, duration, speed, atempo, volume):
+    def row(when, track, back, kind, start, end, duration, speed, atempo, volume):
         d = F.lit(None).cast("double")
-        made = F.struct(F.lit(track).alias("track"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), start.alias("start_us"), end.alias("end_us"), duration.cast("long").alias("duration_us"), (d if speed is None else speed).alias("speed"), (d if atempo is None else atempo).alias("atempo"), (d if volume is None else F.lit(float(volume))).alias("volume"))
+        made = F.struct(F.lit(track).alias("track"), (last[track] - back).alias("ord"), F.lit(kind).alias("kind"), start.alias("start_us"), end.alias("end_us"), duration.cast("long").alias("duration_us"), (d if speed is None else speed).alias("speed"), (d if atempo is None else atempo).alias("atempo"), (d if volume is None else F.lit(float(volume))).alias("volume"))
         return F.when(when, made)
 
-    start, end = F.col("start_ms") * 1000, F.col("end_ms") * 1000
-    has_gap, has_freeze = F.col("gap_us") > 0, F.col("freeze") > 0
-    gap_kind = "orig_gap" if keep_gap_audio else "silence"
+    frozen = has_freeze.cast("long")
     rows = F.array(
-        row(has_gap, "main", 0, gap_kind, start - F.col("gap_us"), start, F.col("gap_us"), None, None, gap_volume if keep_gap_audio else None),
-        row(F.lit(True), "main", 1, "tts_mixed" if mix > 0 else "tts", start, end, F.col("chunk_us"), None, F.col("atempo"), mix if mix > 0 else None),
-        row(has_gap, "original", 0, "speech", start - F.col("gap_us"), start, F.col("gap_us"), F.lit(1.0), None, None),
-        row(F.lit(True), "original", 1, "speech", start, end, sec("target"), F.col("speed"), None, None),
-        row(has_freeze, "original", 2, "silence", no, no, sec("freeze"), None, None, None),
+        row(has_gap, "main", 1, gap_kind, start - F.col("gap_us"), start, F.col("gap_us"), None, None, gap_volume if keep_gap_audio else None),
+        row(F.lit(True), "main", 0, "tts_mixed" if mix > 0 else "tts", start, end, F.col("chunk_us"), None, F.col("atempo"), mix if mix > 0 else None),
+        row(has_gap, "original", 1 + frozen, "speech", start - F.col("gap_us"), start, F.col("gap_us"), F.lit(1.0), None, None),
+        row(F.lit(True), "original", frozen, "speech", start, end, sec("target"), F.col("speed"), None, None),
+        row(has_freeze, "original", 0, "silence", no, no, sec("freeze"), None, None, None),
     )
     plan = s.select("media_id", "id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("media_id", "id", "r.*")
-    tail = gaps(segments, media, t.min_gap_ms).where("id is null")
-    after = tail.select("media_id", F.lit(None).cast("long").alias("id"), F.explode(F.array(F.lit("main"), F.lit("original"))).alias("track"), F.lit(0).alias("k"), (F.col("start_ms") * 1000).alias("start_us"), (F.col("end_ms") * 1000).alias("end_us"))
+    # What follows the last segment comes after as many rows as the medium has.
+    counts = s.groupBy("media_id").agg(F.max(F.col("rows") + F.col("gaps")).alias("n_main"), F.max(F.col("rows") + F.col("gaps") + F.col("freezes")).alias("n_original"))
+    tail = _tails(segments, media).where(F.col("e") - F.col("s") > t.min_gap_ms).join(counts, "media_id", "left")
+    track = lambda name: F.struct(F.lit(name).alias("track"), F.coalesce(f"n_{name}", F.lit(0)).alias("ord"))
+    after = tail.select("media_id", F.lit(None).cast("long").alias("id"), F.explode(F.array(track("main"), track("original"))).alias("x"), (F.col("s") * 1000).alias("start_us"), (F.col("e") * 1000).alias("end_us")).select("media_id", "id", "x.*", "start_us", "end_us")
     main = F.col("track") == "main"
     after = after.select(
-        "media_id", "id", "track", "k", F.when(main, gap_kind).otherwise("speech").alias("kind"), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"),
+        "media_id", "id", "track", "ord", F.when(main, gap_kind).otherwise("speech").alias("kind"), "start_us", "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"),
         F.when(~main, 1.0).alias("speed"), F.lit(None).cast("double").alias("atempo"), F.when(main & F.lit(keep_gap_audio), float(gap_volume)).alias("volume"),
     )
-    every = plan.unionByName(after)
-    order = Window.partitionBy("media_id", "track").orderBy(F.col("id").asc_nulls_last(), "k")
-    return every.withColumn("ord", F.row_number().over(order) - 1).drop("k")
+    return plan.unionByName(after)
 
 
 def command_plan(plan: DataFrame, pad_us: int = 2_000_000) -> DataFrame:
@@ -116,13 +175,17 @@ def command_plan(plan: DataFrame, pad_us: int = 2_000_000) -> DataFrame:
     )
 
 
-def rescale(segments: DataFrame, media: DataFrame, slack_ms: int = 500) -> DataFrame:
-    """Shrinks all times to the medium's length where the last end exceeds it by over slack_ms; times in microseconds."""
-    last = F.max("end_ms").over(Window.partitionBy("media_id"))
-    s = segments.join(media, "media_id").withColumn("last", last)
+def rescale(segments: DataFrame, media: DataFrame, slack_ms: int = 500, stretch: int = STRETCH) -> DataFrame:
+    """Shrinks all times to the medium's length where the last end exceeds it by over slack_ms; times in microseconds.
+
+    The factor is found once a medium and meets its stretches, so that a long one isn't one task.
+    """
+    s = segments.select("*", _stretch(stretch))
+    ends = s.groupBy("media_id", "stretch").agg(F.max("end_ms").alias("last")).withColumn("last", F.max("last").over(Window.partitionBy("media_id")))
     factor = F.when(F.col("last") > F.col("total_ms") + slack_ms, F.col("total_ms") / F.col("last")).otherwise(1.0)
-    at = lambda c: F.floor(F.col(c) * 1000 * factor + 0.5).cast("long")
-    return s.select("media_id", "id", at("start_ms").alias("start_us"), at("end_ms").alias("end_us"), "text", "speaker")
+    factors = ends.join(media, "media_id").select("media_id", "stretch", factor.alias("factor"))
+    at = lambda c: F.floor(F.col(c) * 1000 * F.col("factor") + 0.5).cast("long")
+    return s.join(factors, ["media_id", "stretch"]).select("media_id", "id", at("start_ms").alias("start_us"), at("end_ms").alias("end_us"), "text", "speaker")
 
 
 def voiceover_volumes(mode: Column, volume: Column, default: float = 0.35) -> Column:

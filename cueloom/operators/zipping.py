@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def zip_within(left: DataFrame, right: DataFrame, part: str = "media_id", key: str = "id") -> DataFrame:
-    """Rows of both sides with equal (part, key), which are unique on either side; rows without a partner go.
+def zip_within(left: DataFrame, right: DataFrame, *parts: str, key: str = "id") -> DataFrame:
+    """Rows of both sides with equal parts and key, which are unique on either side; rows without a partner go.
 
-    A join on both columns would deal both sides by them and what follows by
-    `part` again. Here the sides are put together, dealt by `part` once and met
-    in an aggregate, whose partitions and order a window over `part` by `key`
+    A join on all columns would deal both sides by them and what follows by the
+    parts again. Here the sides are put together, dealt by the parts once and met
+    in an aggregate, whose partitions and order a window over the parts by `key`
     takes over: one exchange and one sort in place of three.
     """
-    l_cols, r_cols = ([c for c in df.columns if c not in (part, key)] for df in (left, right))
+    parts = parts or ("media_id",)
+    l_cols, r_cols = ([c for c in df.columns if c not in (*parts, key)] for df in (left, right))
     lt, rt = (df.select(F.struct(*cols).alias("x")).schema["x"].dataType for df, cols in ((left, l_cols), (right, r_cols)))
-    both = left.select(part, key, F.struct(*l_cols).alias("__l"), F.lit(None).cast(rt).alias("__r")).unionByName(
-        right.select(part, key, F.lit(None).cast(lt).alias("__l"), F.struct(*r_cols).alias("__r"))
+    both = left.select(*parts, key, F.struct(*l_cols).alias("__l"), F.lit(None).cast(rt).alias("__r")).unionByName(
+        right.select(*parts, key, F.lit(None).cast(lt).alias("__l"), F.struct(*r_cols).alias("__r"))
     )
-    met = both.repartition(part).groupBy(part, key).agg(F.max("__l").alias("__l"), F.max("__r").alias("__r"))
-    return met.where("__l is not null and __r is not null").select(part, key, "__l.*", "__r.*")
+    met = both.repartition(*parts).groupBy(*parts, key).agg(F.max("__l").alias("__l"), F.max("__r").alias("__r"))
+    return met.where("__l is not null and __r is not null").select(*parts, key, "__l.*", "__r.*")

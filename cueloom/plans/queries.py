@@ -237,7 +237,7 @@ def upload_gate(spark, d):
 
 def tempo_chain(spark, d):
     c = X.cues(spark, d)
-    s = TL.timed(c, X.tts(c)).select("media_id", "id", T.tempo_chain(F.col("tts_ms") / (F.col("end_ms") - F.col("start_ms"))).alias("f"))
+    s = TL.sized(c, X.tts(c)).select("media_id", "id", T.tempo_chain(F.col("tts_ms") / (F.col("end_ms") - F.col("start_ms"))).alias("f"))
     product = F.aggregate("f", F.lit(1.0), lambda a, x: a * x)
     return s.select("media_id", "id", F.size("f").cast("long").alias("n"), F.floor(product * 1e6 + 0.5).cast("long").alias("product"), F.forall("f", lambda x: (x >= 0.5) & (x <= 2.0)).alias("within"))
 
