@@ -208,18 +208,23 @@ def described(table: DataFrame, texts: DataFrame) -> DataFrame:
     return table.join(t, ["provider", "lang", "name"], "left").withColumn("description", F.concat_ws(" — ", "description", "__t")).select(*table.columns)
 
 
-def voice_catalog(table: DataFrame, target: str) -> DataFrame:
-    """(provider, catalog): the target language's voices under their own heading, then the others by code; one line a voice.
+def voice_catalogs(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """(provider, target, catalog) of asked (provider, target): a provider's voices of the target language under a heading of their own, then the others by code.
 
-    A description that only repeats the name is left out.
+    A voice is a line; a description that only repeats the name is left out.
     """
     line = F.when(F.coalesce("description", F.lit("")).isin("") | (F.col("description") == F.col("name")), F.concat(F.lit("  - "), "name")).otherwise(F.concat(F.lit("  - "), "name", F.lit(" — "), "description"))
-    blocks = table.withColumn("line", line).groupBy("provider", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("v"))
-    mine = F.col("lang") == target
+    blocks = table.withColumn("line", line).groupBy("provider", "lang").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("lines"))
+    mine = F.col("lang") == F.col("target")
     head = F.when(mine, F.concat(F.lit("== Voices for target language ("), "lang", F.lit(") =="))).otherwise(F.concat(F.lit("== "), F.when(F.col("lang") == "multi", "All voices (multilingual)").otherwise(F.col("lang")), F.lit(" ==")))
-    text = F.concat(head, F.lit("\n"), F.array_join("v.line", "\n"), F.when(mine, "\n").otherwise(""))
-    ordered = blocks.select("provider", F.struct((~mine).alias("other"), "lang", text.alias("text")).alias("b"))
-    return ordered.groupBy("provider").agg(F.array_join(F.array_sort(F.collect_list("b"))["text"], "\n").alias("catalog"))
+    text = F.concat(head, F.lit("\n"), "lines", F.when(mine, "\n").otherwise(""))
+    ordered = asked.select("provider", "target").distinct().join(blocks, "provider").select("provider", "target", F.struct((~mine).alias("other"), "lang", text.alias("text")).alias("b"))
+    return ordered.groupBy("provider", "target").agg(F.array_join(F.array_sort(F.collect_list("b"))["text"], "\n").alias("catalog"))
+
+
+def voice_catalog(table: DataFrame, target: str) -> DataFrame:
+    """(provider, catalog): voice_catalogs of every provider for one target language."""
+    return voice_catalogs(table, table.select("provider", F.lit(target).alias("target"))).drop("target")
 
 
 def voice_candidates(answers: DataFrame, table: DataFrame, k: int = 3) -> DataFrame:

@@ -1,17 +1,25 @@
-"""Driver-side configuration: providers, models, keys, styles. None of it is a DataFrame."""
+"""Configuration: providers, models, keys, styles. What is asked once is a dict on the driver; what is asked row by row are columns."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 #: The environment variable that holds each provider's key; local providers have none.
 KEYS = {"together": "TOGETHER_API_KEY", "openai": "OPENAI_API_KEY", "elevenlabs": "ELEVENLABS_API_KEY", "ollama": "OLLAMA_API_KEY"}
 LOCAL = {"faster-whisper", "faster_whisper", "local", "supertonic"}
 SPEECH = {"together", "openai", "elevenlabs", "supertonic"}
 
 
+#: An older name of a speech provider, which means the default one.
+OLDER = {"cartesia": "together"}
+
+
 def provider_and_model(entry) -> tuple[str, str | None]:
     """A stage's provider and model: a dict of both, or an older bare model name, which means the default provider."""
     if isinstance(entry, dict):
-        return str(entry.get("provider") or "together").lower(), entry.get("model")
+        name = str(entry.get("provider") or "together").lower()
+        return OLDER.get(name, name), entry.get("model")
     return "together", entry or None
 
 
@@ -42,6 +50,14 @@ def corrections_block(pairs: dict[str, str]) -> str:
     return "\n".join(["Known recognition errors:", *[f"- {wrong!r} means {right!r}" for wrong, right in pairs.items()]]) if pairs else ""
 
 
+def corrections_blocks(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, block): corrections_block of each key's rows (key, wrong, right), in the order of `wrong`."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    line = F.concat(F.lit("- "), quoted(F.col("wrong")), F.lit(" means "), quoted(F.col("right")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("wrong", line.alias("line")))), lambda x: x["line"])
+    return pairs.groupBy(key).agg(F.concat(F.lit("Known recognition errors:\n"), F.array_join(lines, "\n")).alias("block"))
+
+
 def client_settings(config: dict, stage: str, environment: dict, overrides: dict | None = None) -> dict:
     """What a stage's client needs: provider, model, base_url (null: the provider's own) and key; a missing key is an error.
 
@@ -62,6 +78,42 @@ def request_options(provider: str) -> dict:
     return {"extra_body": {"chat_template_kwargs": {"enable_thinking": False}}} if provider == "together" else {}
 
 
+def device_columns(device: Column, compute: Column) -> tuple[Column, Column]:
+    """device_and_type row by row; nulls are auto."""
+    on = F.when(F.coalesce(device, F.lit("auto")) == "auto", "cpu").otherwise(device)
+    kind = F.coalesce(compute, F.lit("auto"))
+    return on, F.when(kind != "auto", kind).when(on == "cpu", "int8").otherwise("float16")
+
+
+def _named(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key) if table else F.lit(None).cast("string")
+
+
+def clients(stages: DataFrame, environment: dict[str, str], base_urls: dict[str, str] | None = None) -> DataFrame:
+    """stages (stage, provider, model, own_key, ...) with what each client needs: provider, key_name, key, base_url, extra and refused.
+
+    A null provider is the default one, and so is an older name of it. The
+    caller's own key goes before the environment's; local providers need none.
+    extra: whether the request carries the default provider's options. refused:
+    why there is no client: an unknown speech provider, or a missing key; null if there is one.
+    """
+    name = F.lower(F.coalesce(F.when(F.col("provider") != "", F.col("provider")), F.lit("together")))
+    s = stages.withColumn("provider", F.coalesce(_named(OLDER, name), name))
+    needed = F.when(~F.col("provider").isin(*sorted(LOCAL)), _named(KEYS, F.col("provider")))
+    s = s.withColumn("key_name", needed)
+    given = {k: v for k, v in environment.items() if v}
+    s = s.withColumn("key", F.coalesce(F.when(F.col("own_key") != "", F.col("own_key")), _named(given, F.col("key_name"))))
+    s = s.withColumn("base_url", _named(base_urls or {}, F.col("provider"))).withColumn("extra", F.col("provider") == "together")
+    unknown = (F.col("stage") == "tts") & ~F.col("provider").isin(*sorted(SPEECH))
+    return s.withColumn("refused", F.when(unknown, "provider").when(F.col("key_name").isNotNull() & F.col("key").isNull(), F.col("key_name")))
+
+
+def keys_of(found: DataFrame, by: str) -> DataFrame:
+    """(by, required, missing): the sorted key names that the clients of each `by` need, and those of them that nobody gives."""
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return found.groupBy(by).agg(names(F.col("key_name")).alias("required"), names(F.when(F.col("key").isNull(), F.col("key_name"))).alias("missing"))
+
+
 def read_yaml(*paths: str) -> dict:
     """One configuration of several files on the driver; later ones override earlier ones, nested keys by themselves."""
     import yaml

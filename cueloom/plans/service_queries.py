@@ -17,14 +17,14 @@ from ..operators import context, jobs
 from ..operators import segments as S
 from ..operators import timeline as TL
 from ..sources import readers, writers
-from ..storage import shared_dir
+from ..sources.stats_store import StatsStore
+from ..storage import drop_at_exit, shared_dir
 from ..streaming import live
 from . import fixtures as X
 from .queries import NOW, track_info
 
 STYLES = {"standard": {"description": "Plain"}, "kids": {"description": "For children", "translation": {"directives": "Be simple", "temperature": 0.5}, "tts": {"speed": 1.25, "emotion": "excited"}}}
-BASE = {"models": {"translation": {"provider": "together", "model": "m1"}, "tts": {"provider": "elevenlabs", "model": "v3"}, "chat": "m2"}, "tts": {"workers": 8}}
-OVERRIDE = {"models": {"translation": {"model": "m9"}, "transcription": {"provider": "faster-whisper", "model": "small"}}, "output": {"fps": None}}
+ENVIRONMENT, BASE_URLS = {"TOGETHER_API_KEY": "k1", "OPENAI_API_KEY": ""}, {"together": "https://host.invalid/v1"}
 TEMPLATE = "Say {name} in {region}; {{kept}} {unknown}"
 
 
@@ -116,30 +116,6 @@ def source_captions(spark, d):
     return readers.manual_captions(found).join(found.select("media_id", "kind"), "media_id").select("media_id", "kind", "text", "end_ms")
 
 
-def config_merge(spark, d):
-    return spark.createDataFrame(config.flattened(readers.deep_merge(BASE, OVERRIDE)), "key string, value string")
-
-
-def client_settings(spark, d):
-    cfg = readers.deep_merge(BASE, OVERRIDE) | {"base_urls": {"together": "https://host.invalid/v1"}}
-    keys = {"TOGETHER_API_KEY": "k1", "ELEVENLABS_API_KEY": "k2"}
-    rows = []
-    for stage in ("transcription", "translation", "chat", "tts"):
-        x = config.client_settings(cfg, stage, keys, {"elevenlabs": "mine"})
-        rows.append((stage, x["provider"], x["model"], x["base_url"], x["key"], bool(config.request_options(x["provider"]))))
-    return spark.createDataFrame(rows, "stage string, provider string, model string, base_url string, key string, extra boolean")
-
-
-def provider_keys(spark, d):
-    cfg = readers.deep_merge(BASE, OVERRIDE)
-    return spark.createDataFrame([(k, k in config.missing_keys(cfg, {"TOGETHER_API_KEY": "x"})) for k in config.required_keys(cfg)], "name string, missing boolean")
-
-
-def device_types(spark, d):
-    rows = [(a, b, *config.device_and_type(a, b)) for a in ("auto", "cpu", "cuda") for b in ("auto", "float32")]
-    return spark.createDataFrame(rows, "asked string, asked_type string, device string, compute string")
-
-
 def prompt_fill(spark, d):
     n, r = X.table(spark, d, "nation"), X.table(spark, d, "region")
     j = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -147,8 +123,9 @@ def prompt_fill(spark, d):
 
 
 def corrections_prompt(spark, d):
-    pairs = X.table(spark, d, "nation").where("n_nationkey < 3").orderBy("n_nationkey").collect()  # three rows: configuration
-    return spark.createDataFrame([(0, config.corrections_block({})), (1, config.corrections_block({r.n_name.lower(): r.n_name for r in pairs}))], "n long, block string")
+    """Each region's known errors: its nations' names in small letters."""
+    n = X.table(spark, d, "nation")
+    return config.corrections_blocks(n.select("n_regionkey", F.lower("n_name").alias("wrong"), F.col("n_name").alias("right")), "n_regionkey")
 
 
 def style_lookup(spark, d):
@@ -156,16 +133,6 @@ def style_lookup(spark, d):
     return readers.style_of(j, readers.styles(spark, STYLES)).select("conv_id", "turn", "style", "description", "directives", milli(F.col("temperature"), "temperature"), milli(F.col("speed"), "speed"), "emotion")
 
 
-def catalog_views(spark, d):
-    langs = readers.languages_by_code(catalogs.languages(spark)).select(F.lit("language").alias("kind"), "name", F.col("code").alias("value"))
-    styles = readers.style_list(readers.styles(spark, STYLES)).select(F.lit("style").alias("kind"), "name", F.concat_ws("|", "description", F.col("tts_speed").cast("string"), "tts_emotion").alias("value"))
-    return langs.unionByName(styles)
-
-
-def native_voices(spark, d):
-    return catalogs.native_voices(catalogs.voices(spark))
-
-
 def native_voices_for(spark, d):
     n = X.table(spark, d, "nation").select("n_nationkey", pick(F.col("n_nationkey"), "openai", "elevenlabs", "together").alias("provider"), pick(F.col("n_nationkey"), "en", "fr", "xx", "sv").alias("lang"))
     return catalogs.native_voices_for(n, catalogs.voices(spark)).select("n_nationkey", "provider", "lang", "male", "female")
@@ -183,10 +150,6 @@ def voice_defaults(spark, d):
     return c.select("c_custkey", catalogs.default_voice(F.col("own"), F.col("gender"), F.lit("onyx"), F.lit("nova")).alias("voice"), catalogs.local_voice(F.col("style")).alias("local_style"))
 
 
-def voice_catalog(spark, d):
-    return catalogs.voice_catalog(catalogs.voices(spark), "fr")
-
-
 def pick_voices(prompt: str) -> str:
     """The offline model that picks voices: some answers are objects, some are fenced, some name nobody."""
     n = int(prompt.rsplit(" ", 1)[1])
@@ -201,7 +164,7 @@ def voice_match(spark, d):
 
 def uploaded_inputs(spark, d):
     o = orders(spark, d)
-    files = o.select(F.explode(F.array(F.concat(F.lit("/jobs/"), "k", F.lit("/input.mp4")), F.concat(F.lit("/jobs/"), "k", F.lit("/input.wav")), F.concat(F.lit("/jobs/"), F.col("k") + 1, F.lit("/output.mp4")))).alias("path"), "k").where("k % 3 > 0").select("path")
+    files = o.select(F.explode(F.array(F.concat(F.lit("/jobs/"), "k", F.lit("/input.mp4")), F.concat(F.lit("/jobs/"), "k", F.lit("/input.wav")), F.concat(F.lit("/jobs/"), F.col("k") + 1, F.lit("/output.mp4")))).alias("path"))
     return readers.uploaded_inputs(files)
 
 
@@ -443,12 +406,68 @@ def joined_sets(spark, d):
     return mark(two.union(three), "union all").unionByName(mark(two.intersect(three), "intersect")).unionByName(mark(two.exceptAll(three), "except"))
 
 
+def _stats_store(spark, d) -> StatsStore:
+    """Jobs stored as queued, then every second as it ended, compacted, then every third."""
+    j = X.job_stats(spark, d).drop("owner", "provider")
+    path = f"{shared_dir(spark)}/stats-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    store = StatsStore(spark, path, j.schema)
+    zero = {m: F.lit(0).cast(j.schema[m].dataType) for m in jobs.MEASURES}
+    store.append(j.withColumns({"status": F.lit("queued"), **zero}))
+    store.append(j.where("id % 2 = 0"))
+    store.compact()
+    store.append(j.where("id % 3 = 0"))
+    return store
+
+
+def _clients(spark, d):
+    """Four stages a job; some name a provider by an older name, a local one, or one that doesn't speak."""
+    o, i = orders(spark, d), F.col("k") + F.col("at")
+    s = o.select("k", F.posexplode(F.array(*map(F.lit, ("transcription", "translation", "chat", "tts")))).alias("at", "stage"))
+    s = s.select("k", "stage", pick(i, "Together", "openai", "cartesia", "faster-whisper", None, "elevenlabs", "ollama").cast("string").alias("provider"), F.concat(F.lit("m"), i % 3).alias("model"), F.when(i % 5 == 0, "mine").alias("own_key"))
+    return config.clients(s, ENVIRONMENT, BASE_URLS)
+
+
+def stage_clients(spark, d):
+    return _clients(spark, d).select("k", "stage", "provider", "model", "key_name", "key", "base_url", "extra", "refused")
+
+
+def job_keys(spark, d):
+    return config.keys_of(_clients(spark, d), "k")
+
+
+def job_devices(spark, d):
+    i = F.col("k")
+    device, compute = config.device_columns(F.col("asked"), F.col("asked_type"))
+    return orders(spark, d).select("k", pick(i, "auto", "cpu", "cuda", None).cast("string").alias("asked"), pick(F.floor(i / 4), "auto", "float32", None).cast("string").alias("asked_type")).select("k", device.alias("device"), compute.alias("compute"))
+
+
+def voice_catalogs(spark, d):
+    """The catalog that each nation's customers are shown, by provider and language."""
+    i = F.col("n_nationkey")
+    asked = X.table(spark, d, "nation").select(pick(i, "openai", "elevenlabs", "together", "supertonic").alias("provider"), pick(F.floor(i / 2), "en", "fr", "ar", "xx").alias("target"))
+    return catalogs.voice_catalogs(catalogs.voices(spark), asked)
+
+
+def stats_store_rows(spark, d):
+    return _stats_store(spark, d).read().select("id", "created_at", "status", "target_language", "audio_seconds")
+
+
+def stats_store_summary(spark, d):
+    return _stats_store(spark, d).summary(NOW, 1000)
+
+
+def stats_store_by_language(spark, d):
+    return _stats_store(spark, d).by_language(NOW, 1000)
+
+
 NAMES = (
-    "checkpoint_scan progress_scan latest_progress job_meta_scan stored_segments usage_scan usage_append media_probe extract_plan source_captions config_merge client_settings provider_keys "
-    "device_types prompt_fill corrections_prompt style_lookup catalog_views native_voices native_voices_for voice_lookup voice_defaults voice_catalog voice_match uploaded_inputs subtitle_bodies "
+    "checkpoint_scan progress_scan latest_progress job_meta_scan stored_segments usage_scan usage_append media_probe extract_plan source_captions "
+    "prompt_fill corrections_prompt style_lookup native_voices_for voice_lookup voice_defaults voice_match uploaded_inputs subtitle_bodies "
     "checkpoint_round_trip progress_round_trip job_record segments_round_trip timings cost_summary usage_counters job_rows jobs_after_delete job_history orphan_files dispatch readiness mix_cache "
     "concat_plan mux_plan pad_plan voiceover_volumes speed_gates source_language subtitle_choice client_ip rate_limits translated speaker_voices spoken recognised_chunks punctuated gap_sessions "
-    "chat_messages joined_sets"
+    "chat_messages joined_sets stats_store_rows stats_store_summary stats_store_by_language "
+    "stage_clients job_keys job_devices voice_catalogs"
 ).split()
 
 

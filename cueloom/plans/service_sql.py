@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.catalogs import LANGUAGES, voice_rows
 from .queries import NOW
-from .service_queries import BASE, OVERRIDE, STYLES
+from .service_queries import STYLES
 from .sql import CUES, ENDS, JOBS, SIMPLE_END, TRACKS, TTS, WORDS
 
 
@@ -25,19 +25,6 @@ MILLI = "CAST(floor({0} * 1000::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
 TAIL = "CASE WHEN " + SIMPLE_END.format(t="text") + " THEN 250 ELSE 120 END"
 
 
-def _leaves(tree: dict, above: str = "") -> list:
-    out = []
-    for k, x in tree.items():
-        out += _leaves(x, f"{above}{k}.") if isinstance(x, dict) else [(above + k, x)]
-    return out
-
-
-def _config_rows() -> list:
-    """Keys of either side; where both have a leaf the override's counts."""
-    merged = dict(_leaves(BASE)) | dict(_leaves(OVERRIDE))
-    return [(k, None if x is None else str(x)) for k, x in merged.items()]
-
-
 def oracle_sql() -> dict[str, str]:
     w = lambda ctes, rest: f"WITH {ctes} {rest}"
     out = {
@@ -51,28 +38,15 @@ def oracle_sql() -> dict[str, str]:
         "media_probe": w(CUES, "SELECT media_id, CASE media_id % 3 WHEN 0 THEN CAST(total_ms // 10 * 10 AS BIGINT) WHEN 1 THEN total_ms END AS length_ms, CAST(CASE WHEN media_id % 3 <> 2 AND media_id % 2 = 0 THEN 29970 ELSE 30000 END AS BIGINT) AS milli_fps FROM media"),
         "extract_plan": w(CUES, "SELECT media_id, '/in/video.' || media_id || '.mp4' AS source, 'video.' || media_id || '_audio.wav' AS target, 'pcm_s16le' AS codec, CAST(16000 AS BIGINT) AS rate, CAST(1 AS BIGINT) AS channels FROM media"),
         "source_captions": w(TRACKS, "SELECT media_id, string_split(t, ',')[1] AS kind, string_split(t, ',')[3] AS text, CAST(900 AS BIGINT) AS end_ms FROM t WHERE t IS NOT NULL AND string_split(t, ',')[3] <> 'm-de'"),
-        "config_merge": f"SELECT * FROM {values(_config_rows())} t(key, value)",
-        "client_settings": """SELECT * FROM (VALUES ('transcription', 'faster-whisper', 'small', NULL::VARCHAR, NULL::VARCHAR, false), ('translation', 'together', 'm9', 'https://host.invalid/v1', 'k1', true),
-            ('chat', 'together', 'm2', 'https://host.invalid/v1', 'k1', true), ('tts', 'elevenlabs', 'v3', NULL, 'mine', false)) t(stage, provider, model, base_url, key, extra)""",
-        "provider_keys": "SELECT * FROM (VALUES ('ELEVENLABS_API_KEY', true), ('TOGETHER_API_KEY', false)) t(name, missing)",
-        "device_types": """SELECT a AS asked, b AS asked_type, CASE a WHEN 'auto' THEN 'cpu' ELSE a END AS device, CASE WHEN b <> 'auto' THEN b WHEN a = 'cuda' THEN 'float16' ELSE 'int8' END AS compute
-            FROM (VALUES ('auto'), ('cpu'), ('cuda')) x(a), (VALUES ('auto'), ('float32')) y(b)""",
         "prompt_fill": "SELECT n_nationkey, 'Say ' || n_name || ' in ' || r_name || '; {kept} {unknown}' AS prompt FROM nation JOIN region ON n_regionkey = r_regionkey",
-        "corrections_prompt": """SELECT CAST(0 AS BIGINT) AS n, '' AS block UNION ALL SELECT 1, 'Known recognition errors:' || string_agg(chr(10) || '- ''' || lower(n_name) || ''' means ''' || n_name || '''', '' ORDER BY n_nationkey) FROM nation WHERE n_nationkey < 3""",
         "style_lookup": """SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'kids' ELSE 'standard' END AS style, CASE WHEN conv_id % 2 = 0 THEN 'For children' ELSE 'Plain' END AS description, CASE WHEN conv_id % 2 = 0 THEN 'Be simple' ELSE '' END AS directives,
             CASE WHEN conv_id % 2 = 0 THEN CAST(500 AS BIGINT) END AS temperature, CASE WHEN conv_id % 2 = 0 THEN CAST(1250 AS BIGINT) END AS speed, CASE WHEN conv_id % 2 = 0 THEN 'excited' END AS emotion FROM conversations""",
-        "catalog_views": f"SELECT 'language' AS kind, name, value FROM {values(LANGUAGES.items())} t(name, value) UNION ALL SELECT 'style', name, value FROM {values([('kids', STYLES['kids']['description'] + '|1.25|excited'), ('standard', STYLES['standard']['description'])])} t(name, value)",
-        "native_voices": w(NATIVE, "SELECT provider, lang, male, female FROM nat"),
         "native_voices_for": w(NATIVE, """, n AS (SELECT n_nationkey, ['openai', 'elevenlabs', 'together'][n_nationkey % 3 + 1] AS provider, ['en', 'fr', 'xx', 'sv'][n_nationkey % 4 + 1] AS lang FROM nation)
             SELECT n_nationkey, n.provider, n.lang, coalesce(a.male, e.male) AS male, coalesce(a.female, e.female) AS female FROM n LEFT JOIN nat a ON a.provider = n.provider AND a.lang = n.lang LEFT JOIN nat e ON e.provider = n.provider AND e.lang = 'en'"""),
         "voice_lookup": w(VOICES, """, p AS (SELECT c_custkey, ['elevenlabs', 'openai', 'together'][c_custkey % 3 + 1] AS provider, ['Daniel', 'Peter', 'nova', 'Olivia', 'dutch man', 'mine'][c_custkey // 3 % 6 + 1] AS voice FROM customer)
             SELECT c_custkey, provider, voice, coalesce((SELECT voice_id FROM v WHERE v.provider = p.provider AND v.name = p.voice ORDER BY lang_pos, pos LIMIT 1), voice) AS voice_id FROM p"""),
         "voice_defaults": """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'own' || c_custkey WHEN c_custkey % 3 = 0 THEN 'onyx' ELSE 'nova' END AS voice, CASE WHEN c_custkey % 3 = 0 THEN 'M3' ELSE 'M1' END AS local_style FROM customer""",
-        "voice_catalog": w(VOICES, """, l AS (SELECT provider, lang, string_agg('  - ' || name || CASE WHEN coalesce(description, '') IN ('', name) THEN '' ELSE ' — ' || description END, chr(10) ORDER BY pos) AS lines FROM v GROUP BY 1, 2),
-            b AS (SELECT provider, lang, CASE WHEN lang = 'fr' THEN '== Voices for target language (fr) ==' ELSE '== ' || lang || ' ==' END || chr(10) || lines || CASE WHEN lang = 'fr' THEN chr(10) ELSE '' END AS block FROM l)
-            SELECT provider, string_agg(block, chr(10) ORDER BY lang <> 'fr', lang) AS catalog FROM b GROUP BY 1"""),
         "voice_match": """SELECT c_custkey AS answer_id, CAST(rank AS BIGINT) AS rank, name, explanation FROM customer, (VALUES (0, 1, 'nova', ''), (0, 2, 'onyx', ''), (0, 3, 'echo', ''), (1, 1, 'echo', 'calm'), (3, 1, 'M1', ''), (3, 2, 'alloy', 'x')) a(k, rank, name, explanation) WHERE c_custkey % 4 = k""",
-        "uploaded_inputs": w(ORDERS, "SELECT k::VARCHAR AS job_id, '/jobs/' || k || '/input.mp4' AS path FROM o WHERE k % 3 > 0"),
         "subtitle_bodies": w(CUES, r"""SELECT media_id, 'txt' AS format, md5(string_agg(text || chr(10), '' ORDER BY id)) AS body_md5 FROM cues GROUP BY 1 UNION ALL
             SELECT media_id, 'vtt', md5('WEBVTT' || chr(10) || chr(10) || string_agg(printf('%02d:%02d:%02d.%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) || ' --> ' || printf('%02d:%02d:%02d.%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) || chr(10) || text || chr(10), chr(10) ORDER BY id)) FROM cues GROUP BY 1"""),
         "checkpoint_round_trip": w(CUES, "SELECT media_id, id, start_ms, end_ms, text, speaker, 'transcribed' AS stage FROM cues"),

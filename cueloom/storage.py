@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 _paths: list[str] = []
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """What lies at path goes with the application."""
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
