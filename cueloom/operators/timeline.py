@@ -51,27 +51,38 @@ def micros(seconds: Column) -> Column:
     return F.floor(seconds * 1e6 + 0.5).cast("long")
 
 
-def _ends(segments: DataFrame) -> DataFrame:
-    """(media_id, stretch, id, start_ms, last): the first segment of each stretch and the end of its last one."""
-    return segments.groupBy("media_id", "stretch").agg(F.min("id").alias("id"), F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("last"))
+def _summed(dealt: DataFrame, *also: Column) -> DataFrame:
+    """(media_id, stretch, id, start_ms, last, ...): a stretch's first segment, the end of its last one, and sums.
+
+    The keys come out as aggregates: a join on them then puts no filter before
+    the exchange, and the stretches' rows and their sums read the same one.
+    """
+    keys = [F.min(c).alias(f"__{c}") for c in ("media_id", "stretch")]
+    out = dealt.groupBy("media_id", "stretch").agg(*keys, F.min("id").alias("id"), F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("last"), *also)
+    return out.drop("media_id", "stretch").withColumnsRenamed({"__media_id": "media_id", "__stretch": "stretch"})
 
 
-def _tails(segments: DataFrame, media: DataFrame) -> DataFrame:
-    """(media_id, s, e): what follows the last segment of each medium."""
-    last = segments.groupBy("media_id").agg(F.max_by("end_ms", "id").alias("s"))
+def _tails(ends: DataFrame, media: DataFrame) -> DataFrame:
+    """(media_id, s, e): what follows the last segment of each medium, by the sums of its stretches."""
+    last = ends.groupBy("media_id").agg(F.max_by("last", "stretch").alias("s"))
     return media.join(last, "media_id", "left").select("media_id", F.coalesce("s", F.lit(0)).alias("s"), F.col("total_ms").alias("e"))
 
 
+def _dealt(segments: DataFrame, stretch: int) -> DataFrame:
+    return segments.select("media_id", "id", "start_ms", "end_ms", _stretch(stretch)).repartition("media_id", "stretch")
+
+
 def gaps(segments: DataFrame, media: DataFrame, min_gap_ms: int = 50, stretch: int = STRETCH) -> DataFrame:
     """(media_id, id, start_ms, end_ms): stretches over min_gap_ms before each segment and, with id null, after the last.
 
     A gap begins at the previous row's end, even if an earlier row ends later.
     """
-    dealt = segments.select("media_id", "id", "start_ms", "end_ms", _stretch(stretch)).repartition("media_id", "stretch")
+    dealt = _dealt(segments, stretch)
+    ends = _summed(dealt)
     first = F.lag("id").over(_inside()).isNull()
     inner = dealt.select("media_id", "id", F.lag("end_ms").over(_inside()).alias("s"), F.col("start_ms").alias("e"), first.alias("first")).where("not first").drop("first")
-    between = _ends(dealt).select("media_id", "id", F.lag("last", 1, 0).over(_over()).alias("s"), F.col("start_ms").alias("e"))
-    tail = _tails(segments, media).select("media_id", F.lit(None).cast("long").alias("id"), "s", "e")
+    between = ends.select("media_id", "id", F.lag("last", 1, 0).over(_over()).alias("s"), F.col("start_ms").alias("e"))
+    tail = _tails(ends, media).select("media_id", F.lit(None).cast("long").alias("id"), "s", "e")
     every = inner.unionByName(between).unionByName(tail)
     return every.where(F.col("e") - F.col("s") > min_gap_ms).select("media_id", "id", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
 
@@ -100,21 +111,27 @@ SUMS = ("run_us", "gaps", "rows", "freezes")
 
 def timed(segments: DataFrame, tts: DataFrame, t: Timing = Timing(), stretch: int = STRETCH) -> DataFrame:
     """sized() with gap_us, the gap before a segment, and the running SUMS of its medium."""
+    return _timed(segments, tts, t, stretch)[0]
+
+
+def _timed(segments: DataFrame, tts: DataFrame, t: Timing, stretch: int) -> tuple[DataFrame, DataFrame]:
+    """timed(), and what each stretch adds to the SUMS."""
     s = sized(segments, tts, t, stretch)
     gap = F.when(F.lag("id").over(_inside()).isNull(), 0).otherwise(_gap_us(F.col("start_ms"), F.lag("end_ms").over(_inside()), t))
     s = s.withColumn("gap_us", gap.cast("long"))  # of the first in a stretch: not yet
     adds = {"run_us": F.col("gap_us") + F.col("chunk_us"), "gaps": (F.col("gap_us") > 0).cast("long"), "rows": F.lit(1).cast("long"), "freezes": (F.col("freeze") > 0).cast("long")}
-    ends = s.groupBy("media_id", "stretch").agg(F.min("id").alias("__first"), F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("last"), *[F.sum(x).alias(f"all_{n}") for n, x in adds.items()])
+    ends = _summed(s, *[F.sum(x).alias(f"all_{n}") for n, x in adds.items()]).withColumnRenamed("id", "__first")
     ends = ends.withColumn("__gap", _gap_us(F.col("start_ms"), F.lag("last", 1, 0).over(_over()), t))
     before = _over().rowsBetween(Window.unboundedPreceding, -1)
     own = {"run_us": F.col("__gap"), "gaps": (F.col("__gap") > 0).cast("long")}
-    carried = [(F.coalesce(F.sum(F.col(f"all_{n}") + own.get(n, F.lit(0))).over(before), F.lit(0)) + own.get(n, F.lit(0))).alias(f"__{n}") for n in SUMS]
+    ends = ends.withColumns({f"all_{n}": F.col(f"all_{n}") + x for n, x in own.items()})
+    carried = [(F.coalesce(F.sum(f"all_{n}").over(before), F.lit(0)) + own.get(n, F.lit(0))).alias(f"__{n}") for n in SUMS]
     carry = ends.select("media_id", "stretch", "__first", "__gap", *carried)
     s = s.select("*", *[F.sum(x).over(_inside()).alias(n) for n, x in adds.items()])
     # From the left, so that null media stay and both readers of the dealt rows have the same exchange; a null medium has no carry.
     s = s.join(carry, ["media_id", "stretch"], "left")
     s = s.withColumns({n: F.col(n) + F.coalesce(f"__{n}", F.lit(0)) for n in SUMS})
-    return s.withColumn("gap_us", F.when(F.col("id") == F.col("__first"), F.col("__gap")).otherwise(F.col("gap_us"))).drop("__first", "__gap", *[f"__{n}" for n in SUMS])
+    return s.withColumn("gap_us", F.when(F.col("id") == F.col("__first"), F.col("__gap")).otherwise(F.col("gap_us"))).drop("__first", "__gap", *[f"__{n}" for n in SUMS]), ends
 
 
 def retime(segments: DataFrame, tts: DataFrame, t: Timing = Timing(), stretch: int = STRETCH) -> DataFrame:
@@ -130,7 +147,7 @@ def audio_plan(segments: DataFrame, tts: DataFrame, media: DataFrame, t: Timing
     for a freeze. ord orders a medium's rows; it comes from the running numbers
     of gaps, segments and freezes.
     """
-    s = timed(segments, tts, t, stretch)
+    s, ends = _timed(segments, tts, t, stretch)
     no, sec = F.lit(None).cast("long"), lambda c: micros(F.col(c))
     start, end = F.col("start_ms") * 1000, F.col("end_ms") * 1000
     has_gap, has_freeze = F.col("gap_us") > 0, F.col("freeze") > 0
@@ -152,8 +169,9 @@ def audio_plan(segments: DataFrame, tts: DataFrame, media: DataFrame, t: Timing
     )
     plan = s.select("media_id", "id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("media_id", "id", "r.*")
     # What follows the last segment comes after as many rows as the medium has.
-    counts = s.groupBy("media_id").agg(F.max(F.col("rows") + F.col("gaps")).alias("n_main"), F.max(F.col("rows") + F.col("gaps") + F.col("freezes")).alias("n_original"))
-    tail = _tails(segments, media).where(F.col("e") - F.col("s") > t.min_gap_ms).join(counts, "media_id", "left")
+    n = F.sum("all_rows") + F.sum("all_gaps")
+    counts = ends.groupBy("media_id").agg(n.alias("n_main"), (n + F.sum("all_freezes")).alias("n_original"))
+    tail = _tails(_summed(_dealt(segments, stretch)), media).where(F.col("e") - F.col("s") > t.min_gap_ms).join(counts, "media_id", "left")
     track = lambda name: F.struct(F.lit(name).alias("track"), F.coalesce(f"n_{name}", F.lit(0)).alias("ord"))
     after = tail.select("media_id", F.lit(None).cast("long").alias("id"), F.explode(F.array(track("main"), track("original"))).alias("x"), (F.col("s") * 1000).alias("start_us"), (F.col("e") * 1000).alias("end_us")).select("media_id", "id", "x.*", "start_us", "end_us")
     main = F.col("track") == "main"

@@ -25,6 +25,18 @@ MILLI = "CAST(floor({0} * 1000::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
 TAIL = "CASE WHEN " + SIMPLE_END.format(t="text") + " THEN 250 ELSE 120 END"
 
 
+#: Four stages a job with their clients.
+CLIENTS = ORDERS + """, g AS (SELECT k, unnest(['transcription', 'translation', 'chat', 'tts']) AS stage, unnest([0, 1, 2, 3]) + k AS i FROM o),
+b AS (SELECT k, stage, i, ['together', 'openai', 'together', 'faster-whisper', 'together', 'elevenlabs', 'ollama'][i % 7 + 1] AS provider FROM g),
+n AS (SELECT *, CASE provider WHEN 'together' THEN 'TOGETHER_API_KEY' WHEN 'openai' THEN 'OPENAI_API_KEY' WHEN 'elevenlabs' THEN 'ELEVENLABS_API_KEY' WHEN 'ollama' THEN 'OLLAMA_API_KEY' END AS key_name FROM b),
+c AS (SELECT k, stage, provider, 'm' || i % 3 AS model, key_name, CASE WHEN i % 5 = 0 THEN 'mine' WHEN provider = 'together' THEN 'k1' END AS key, CASE WHEN provider = 'together' THEN 'https://host.invalid/v1' END AS base_url,
+  provider = 'together' AS extra, CASE WHEN stage = 'tts' AND provider IN ('faster-whisper', 'ollama') THEN 'provider' WHEN key_name IS NOT NULL AND i % 5 <> 0 AND provider <> 'together' THEN key_name END AS refused FROM n)"""
+MEASURES = "segments_count audio_seconds tts_characters llm_input_tokens llm_output_tokens".split()
+SUMS = ", ".join(f"CAST(coalesce(sum({m}), 0) AS BIGINT) AS {m}" for m in MEASURES)
+#: The table after its appends: jobs with an id divisible by 2 or 3 have their rows, others are queued.
+STORED = JOBS + ", st AS (SELECT id, created_at, target_language, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN status ELSE 'queued' END AS status, " + ", ".join(f"CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN {m} ELSE 0 END AS {m}" for m in MEASURES) + " FROM job_stats)"
+
+
 def oracle_sql() -> dict[str, str]:
     w = lambda ctes, rest: f"WITH {ctes} {rest}"
     out = {
@@ -38,6 +50,19 @@ def oracle_sql() -> dict[str, str]:
         "media_probe": w(CUES, "SELECT media_id, CASE media_id % 3 WHEN 0 THEN CAST(total_ms // 10 * 10 AS BIGINT) WHEN 1 THEN total_ms END AS length_ms, CAST(CASE WHEN media_id % 3 <> 2 AND media_id % 2 = 0 THEN 29970 ELSE 30000 END AS BIGINT) AS milli_fps FROM media"),
         "extract_plan": w(CUES, "SELECT media_id, '/in/video.' || media_id || '.mp4' AS source, 'video.' || media_id || '_audio.wav' AS target, 'pcm_s16le' AS codec, CAST(16000 AS BIGINT) AS rate, CAST(1 AS BIGINT) AS channels FROM media"),
         "source_captions": w(TRACKS, "SELECT media_id, string_split(t, ',')[1] AS kind, string_split(t, ',')[3] AS text, CAST(900 AS BIGINT) AS end_ms FROM t WHERE t IS NOT NULL AND string_split(t, ',')[3] <> 'm-de'"),
+        "corrections_prompt": """SELECT n_regionkey, 'Known recognition errors:' || string_agg(chr(10) || '- ''' || lower(n_name) || ''' means ''' || n_name || '''', '' ORDER BY lower(n_name)) AS block FROM nation GROUP BY 1""",
+        "uploaded_inputs": w(ORDERS, "SELECT k::VARCHAR AS job_id, '/jobs/' || k || '/input.mp4' AS path FROM o"),
+        "stage_clients": w(CLIENTS, "SELECT k, stage, provider, model, key_name, key, base_url, extra, refused FROM c"),
+        "job_keys": w(CLIENTS, "SELECT k, coalesce(string_agg(DISTINCT key_name, ',' ORDER BY key_name), '') AS required, coalesce(string_agg(DISTINCT key_name, ',' ORDER BY key_name) FILTER (WHERE key IS NULL), '') AS missing FROM c GROUP BY 1"),
+        "job_devices": w(ORDERS, """, x AS (SELECT k, ['auto', 'cpu', 'cuda', NULL][k % 4 + 1] AS a, ['auto', 'float32', NULL][k // 4 % 3 + 1] AS b FROM o), y AS (SELECT k, CASE WHEN a = 'cuda' THEN a ELSE 'cpu' END AS device, b FROM x)
+            SELECT k, device, CASE WHEN b = 'float32' THEN b WHEN device = 'cpu' THEN 'int8' ELSE 'float16' END AS compute FROM y"""),
+        "voice_catalogs": w(VOICES, """, a AS (SELECT DISTINCT ['openai', 'elevenlabs', 'together', 'supertonic'][n_nationkey % 4 + 1] AS provider, ['en', 'fr', 'ar', 'xx'][n_nationkey // 2 % 4 + 1] AS target FROM nation),
+            l AS (SELECT provider, lang, string_agg('  - ' || name || CASE WHEN coalesce(description, '') IN ('', name) THEN '' ELSE ' — ' || description END, chr(10) ORDER BY pos) AS lines FROM v GROUP BY 1, 2),
+            b AS (SELECT provider, lang, target, CASE WHEN lang = target THEN '== Voices for target language (' || lang || ') ==' WHEN lang = 'multi' THEN '== All voices (multilingual) ==' ELSE '== ' || lang || ' ==' END || chr(10) || lines || CASE WHEN lang = target THEN chr(10) ELSE '' END AS block FROM l JOIN a USING (provider))
+            SELECT provider, target, string_agg(block, chr(10) ORDER BY lang <> target, lang) AS catalog FROM b GROUP BY 1, 2"""),
+        "stats_store_rows": w(STORED, "SELECT id, created_at, status, target_language, audio_seconds FROM st"),
+        "stats_store_summary": w(STORED, f"SELECT count(*) AS jobs, CAST(sum(CASE WHEN status = 'done' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed, {SUMS} FROM st WHERE created_at >= {NOW - 1000 * 86400}"),
+        "stats_store_by_language": w(STORED, f"SELECT target_language, count(*) AS n, CAST(coalesce(sum(audio_seconds), 0) AS BIGINT) AS audio_seconds FROM st WHERE created_at >= {NOW - 1000 * 86400} AND target_language IS NOT NULL GROUP BY 1"),
         "prompt_fill": "SELECT n_nationkey, 'Say ' || n_name || ' in ' || r_name || '; {kept} {unknown}' AS prompt FROM nation JOIN region ON n_regionkey = r_regionkey",
         "style_lookup": """SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'kids' ELSE 'standard' END AS style, CASE WHEN conv_id % 2 = 0 THEN 'For children' ELSE 'Plain' END AS description, CASE WHEN conv_id % 2 = 0 THEN 'Be simple' ELSE '' END AS directives,
             CASE WHEN conv_id % 2 = 0 THEN CAST(500 AS BIGINT) END AS temperature, CASE WHEN conv_id % 2 = 0 THEN CAST(1250 AS BIGINT) END AS speed, CASE WHEN conv_id % 2 = 0 THEN 'excited' END AS emotion FROM conversations""",

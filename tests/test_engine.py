@@ -32,9 +32,8 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert mine == sorted((tuple(row[i] for i in at) for row in r.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.NAMES) - set(SQL)))
-def test_other_queries_run(spark, sf_dir, name):
-    assert queries.queries()[name](spark, sf_dir).count() > 0
+def test_every_query_has_its_sql():
+    assert set(queries.queries()) == set(SQL)
 
 
 def test_each_timing_branch_occurs(spark, sf_dir):
