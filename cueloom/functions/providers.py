@@ -1,7 +1,7 @@
 """Providers of recognition, translation and speech: plain functions, called a batch at a time.
 
 The fakes are deterministic and offline. Results of real ones aren't repeatable,
-so write them (write_checkpoint) before they are used twice.
+so what uses an answer twice writes it first (storage.written).
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of a voice catalog at most: all of them go to the model and to each task.
+MAX_NAMES = 10_000
 Batch = Callable[[list[str]], list[str] | None]
 #: Seconds before a repeated call of recognition.
 RECOGNITION_WAITS = (5, 15, 30)
@@ -109,8 +111,11 @@ def speak(segments: DataFrame, call: Callable[[str, str], int], default_voice: s
     """(media_id, id, voice, file, tts_ms, characters) of a speech provider; call(text with tags, voice) gives a length in milliseconds.
 
     `workers` tasks call at a time. A call that meets a rate limit is left for
-    the end of its task and repeated there one by one, 1, 2, 4, ... seconds apart;
-    any other failure fails the task. Characters are those of the untagged text.
+    the end of its task and repeated there one by one, 1, 2, 4, ... seconds apart.
+    What fails for good, then or otherwise, is a row without a length and with its
+    error, so that one bad call doesn't make Spark repeat the paid calls of a whole
+    task; see unspoken(). Files are named by medium. Characters are those of the
+    untagged text.
     """
     from .text import ssml
 
@@ -121,22 +126,39 @@ def speak(segments: DataFrame, call: Callable[[str, str], int], default_voice: s
     def run(frames):
         import pandas as pd
 
-        cols = ["media_id", "id", "voice", "file", "tts_ms", "characters"]
+        def row(r, length, error=None):
+            return (r.media_id, r.id, r.voice, None if error else f"{r.media_id}/seg_{r.id:05d}.wav", length, r.characters, error)
+
+        def table(rows):
+            out = pd.DataFrame(rows, columns=["media_id", "id", "voice", "file", "tts_ms", "characters", "error"])
+            return out.astype({"tts_ms": "Int64"})
+
         late = []
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
                 try:
-                    rows.append((r.media_id, r.id, r.voice, f"seg_{r.id:05d}.wav", call(r.tagged, r.voice), r.characters))
+                    rows.append(row(r, call(r.tagged, r.voice)))
                 except Exception as e:  # noqa: BLE001  the provider's own classes
-                    if not is_rate_limit(e):
-                        raise
-                    late.append(r)
-            yield pd.DataFrame(rows, columns=cols)
-        again = [(r.media_id, r.id, r.voice, f"seg_{r.id:05d}.wav", attempted(call, r.tagged, r.voice, attempts=retries, waits=lambda k: 2.0 ** (k - 1), sleep=sleep), r.characters) for r in late]
-        yield pd.DataFrame(again, columns=cols)
+                    if is_rate_limit(e):
+                        late.append(r)
+                    else:
+                        rows.append(row(r, None, str(e) or type(e).__name__))
+            yield table(rows)
+        again = []
+        for r in late:
+            try:
+                again.append(row(r, attempted(call, r.tagged, r.voice, attempts=retries, waits=lambda k: 2.0 ** (k - 1), sleep=sleep)))
+            except Exception as e:  # noqa: BLE001
+                again.append(row(r, None, str(e) or type(e).__name__))
+        yield table(again)
+
+    return s.repartition(workers, "media_id", "id").mapInPandas(run, "media_id long, id long, voice string, file string, tts_ms long, characters long, error string")
 
-    return s.repartition(workers, "media_id", "id").mapInPandas(run, "media_id long, id long, voice string, file string, tts_ms long, characters long")
+
+def unspoken(rows: DataFrame) -> DataFrame:
+    """The segments of speak() that failed for good, to be asked for again or to fail the run."""
+    return rows.where("error is not null")
 
 
 def recognise(media: DataFrame, call: Callable[[str], list[dict]], retries: int = 3, sleep: Callable[[float], None] = time.sleep, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
@@ -164,7 +186,11 @@ def recognise_chunks(chunks: DataFrame, call: Callable[[str], list[dict]], retri
     """A medium's segments from its audio chunks (media_id, chunk, offset_ms, path), recognised apart and stitched together."""
     from ..operators.segments import stitched
 
-    rows = recognise(chunks, call, retries, sleep, ("media_id", "chunk")).drop("no_speech_prob").withColumn("speaker", F.lit("SPEAKER_00"))
+    from ..storage import written
+
+    # Stitching reads the answers more than once, and chunks may come from a costly plan: both are written, and a chunk is asked for once.
+    chunks = written(chunks.select("media_id", "chunk", "offset_ms", "path"), "chunks")
+    rows = written(recognise(chunks, call, retries, sleep, ("media_id", "chunk")), "recognised").drop("no_speech_prob").withColumn("speaker", F.lit("SPEAKER_00"))
     return stitched(rows, chunks.select("media_id", "chunk", "offset_ms"))
 
 
@@ -196,7 +222,10 @@ def match_voice(requests: DataFrame, table: DataFrame, template: str, call: Call
 
     asked = requests.join(voice_catalog(table, target), "provider")
     prompts = asked.select("answer_id", filled(template, {"catalog": F.col("catalog"), "description": F.col("description")}).alias("prompt"))
-    known = sorted({r.name.lower() for r in table.select("name").distinct().toLocalIterator()})  # a catalog of a few hundred names
+    found = table.select(F.lower("name").alias("name")).distinct().limit(MAX_NAMES + 1).collect()
+    if len(found) > MAX_NAMES:
+        raise ValueError(f"a voice catalog of over {MAX_NAMES} names")
+    known = sorted(r.name for r in found if r.name)
     names = lambda found: bool(found) and any(n in found.lower() for n in known)
     return voice_candidates(answered(prompts, call, attempts, names), table)
 
@@ -234,8 +263,8 @@ def restore_punctuation(chunked: DataFrame, call: Callable[[str], str | None]) -
     return renumber(align(chunked, said), "chunk", "sentence").select("media_id", "id", "start_ms", "end_ms", "text")
 
 
-def fetch_captions(media: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
-    """(media_id, body) of the media (media_id, url) whose caption body `call` gets; any failure leaves a medium out."""
+def fetch_captions(media: DataFrame, call: Callable[[str], str | None], also: tuple[str, ...] = ()) -> DataFrame:
+    """(media_id, also..., body) of the media (media_id, url, also...) whose caption body `call` gets; any failure leaves a medium out. also: columns of texts."""
 
     def run(frames):
         for f in frames:
@@ -246,14 +275,17 @@ def fetch_captions(media: DataFrame, call: Callable[[str], str | None]) -> DataF
                 except Exception:  # noqa: BLE001  without captions the medium is recognised
                     out.append(None)
             f["body"] = out
-            yield f[["media_id", "body"]]
+            yield f[["media_id", *also, "body"]]
 
-    return media.select("media_id", "url").mapInPandas(run, "media_id long, body string").where("body is not null")
+    return media.select("media_id", "url", *also).mapInPandas(run, f"media_id long, {''.join(f'{c} string, ' for c in also)}body string").where("body is not null")
 
 
 def fetch_source_captions(info: DataFrame, call: Callable[[str], str | None]) -> DataFrame:
-    """(media_id, kind, lang, body) of the best caption track of (media_id, src, subtitles, automatic); any failure leaves a medium out."""
+    """(media_id, kind, lang, body) of the best caption track of (media_id, src, subtitles, automatic); any failure leaves a medium out.
+
+    Answers are written at once, so that each track is asked for once however often they are read.
+    """
     from ..sources.readers import select_track
+    from ..storage import written
 
-    tracks = select_track(info)
-    return fetch_captions(tracks, call).join(tracks.select("media_id", "kind", "lang"), "media_id").select("media_id", "kind", "lang", "body")
+    return written(fetch_captions(select_track(info), call, ("kind", "lang")), "captions").select("media_id", "kind", "lang", "body")

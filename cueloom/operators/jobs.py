@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 DAY = 86400
 MEASURES = ("segments_count", "audio_seconds", "tts_characters", "llm_input_tokens", "llm_output_tokens")
 
@@ -30,14 +32,15 @@ def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def queue_position(jobs: DataFrame) -> DataFrame:
-    """(id, queue_position): other jobs of the queue created before a queued one, else 0.
+    """(queue, id, queue_position): other jobs of the queue created before a queued one, else 0.
 
     jobs: (queue, id, status, created_at). Jobs without a time count for none.
+    One queue may hold all jobs: positions come from counts by time, see ranks.
     """
-    waiting = F.col("status").isin("queued", "running") & (F.coalesce("created_at", F.lit(0)) != 0)
-    before = F.count(F.when(waiting, 1)).over(Window.partitionBy("queue").orderBy("created_at").rangeBetween(Window.unboundedPreceding, -1))
-    mine = (F.col("status") == "queued") & (F.coalesce("created_at", F.lit(0)) != 0)
-    return jobs.select("queue", "id", F.when(mine, before).otherwise(0).alias("queue_position"))
+    has_time = F.coalesce("created_at", F.lit(0)) != 0
+    before = ranks.earlier(jobs.where(F.col("status").isin("queued", "running") & has_time & F.col("queue").isNotNull()), "queue", at="created_at")
+    mine = (F.col("status") == "queued") & has_time
+    return jobs.join(before, ["queue", "created_at"], "left").select("queue", "id", F.when(mine, F.coalesce("offset", F.lit(0))).otherwise(0).alias("queue_position"))
 
 
 def usage(events: DataFrame, by: str) -> DataFrame:
@@ -83,11 +86,11 @@ def cost_breakdown(used: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds the dollars of recognition, translation and synthesis, and their total.
 
     Providers without a price of their own have the first row's. prices holds
-    one row a provider and is broadcast.
+    one row a provider; whether it is broadcast is the optimizer's choice by its size.
     """
     p = prices.select(F.col("provider").alias("__p"), *[c for c in prices.columns if c != "provider"])
     first = {k: F.lit(v) for k, v in prices.first().asDict().items() if k != "provider"}
-    j = used.join(F.broadcast(p), F.col("provider") == F.col("__p"), "left")
+    j = used.join(p, F.col("provider") == F.col("__p"), "left")
     rate = lambda c: F.coalesce(F.col(c), first[c])
     out = j.withColumn("whisper_usd", F.col("audio_seconds") / 60.0 * rate("per_minute"))
     out = out.withColumn("translation_usd", F.col("llm_input_tokens") / 1e6 * rate("per_m_in") + F.col("llm_output_tokens") / 1e6 * rate("per_m_out"))
@@ -184,17 +187,32 @@ def usage_counters(calls: DataFrame) -> DataFrame:
     )
 
 
-def cost_summary(steps: DataFrame, costs: DataFrame) -> DataFrame:
-    """(run, body): a line a step with minutes, seconds and share, the total time, a line a cost and the total.
+def cost_summary(steps: DataFrame, costs: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """(run, body): a line a step with minutes, seconds and share, the total time, a line a cost with what it is for, and the total.
 
-    steps: (run, pos, step, elapsed); costs: (run, whisper_usd, translation_usd, tts_usd, total_usd).
+    steps: (run, pos, step, elapsed); costs: (run, whisper_usd, translation_usd,
+    tts_usd, total_usd); used: usage_counters() with audio_seconds and the
+    translation's provider, which then stand before the dollars.
     """
     time = lambda s: F.format_string("%dm%04.1fs", F.floor(s / 60).cast("long"), s - 60 * F.floor(s / 60))
     line = F.concat(F.rpad("step", 30, " "), F.lit(" "), time(F.col("elapsed")), F.format_string("  (%4.1f%%)", F.col("share")))
     g = step_share(steps).withColumn("line", line).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"), F.sum("elapsed").alias("total"))
+    j = g.join(costs, "run", "left")
     usd = lambda name, c: F.format_string(f"{name:<22}$%8.4f", F.coalesce(F.col(c), F.lit(0.0)))
-    rows = F.concat(F.col("l.line"), F.array(F.concat(F.rpad(F.lit("Total wall time"), 30, " "), F.lit(" "), time(F.col("total"))), usd("Transcription", "whisper_usd"), usd("Translation", "translation_usd"), usd("TTS", "tts_usd"), usd("TOTAL API COST", "total_usd")))
-    return g.join(costs, "run", "left").select("run", F.array_join(rows, "\n").alias("body"))
+    said = [usd("Transcription", "whisper_usd"), usd("Translation", "translation_usd"), usd("TTS", "tts_usd")]
+    total = usd("TOTAL API COST", "total_usd")
+    if used is not None:
+        j = j.join(used, "run", "left")
+        n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+        cost = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        said = [
+            F.format_string(f"{'Transcription':<22} %7.1f min          $%8.4f", F.coalesce(F.col("audio_seconds"), F.lit(0)) / 60.0, cost("whisper_usd")),
+            F.format_string("%-22s %,7d in / %,7d out  $%8.4f  (%d calls)", F.concat(F.lit("Translation ("), F.coalesce("translation", F.lit("-")), F.lit(")")), n("llm_input_tokens"), n("llm_output_tokens"), cost("translation_usd"), n("llm_calls")),
+            F.format_string(f"{'TTS':<22} %,7d chars        $%8.4f  (%d calls)", n("tts_characters"), cost("tts_usd"), n("tts_calls")),
+        ]
+        total = F.format_string(f"{'TOTAL API COST':<22}{'':<21}$%8.4f", cost("total_usd"))
+    rows = F.concat(F.col("l.line"), F.array(F.concat(F.rpad(F.lit("Total wall time"), 30, " "), F.lit(" "), time(F.col("total"))), *said, total))
+    return j.select("run", F.array_join(rows, "\n").alias("body"))
 
 
 def orphan_files(files: DataFrame, now: int, max_age_s: int = 3600) -> DataFrame:
@@ -203,9 +221,6 @@ def orphan_files(files: DataFrame, now: int, max_age_s: int = 3600) -> DataFrame
 
 
 def dispatch(jobs: DataFrame, workers: int) -> DataFrame:
-    """(id, worker, turn): waiting jobs (id, created_at) dealt to `workers` in the order of their creation.
-
-    Ranks come from one window over the waiting jobs: a service's queue, not its history.
-    """
-    n = F.row_number().over(Window.orderBy("created_at", "id")) - 1
-    return jobs.select("id", (n % workers).cast("int").alias("worker"), F.floor(n / workers).cast("long").alias("turn"))
+    """(id, worker, turn): waiting jobs (id, created_at) dealt to `workers` in the order of their creation, equal times by id (whole numbers)."""
+    n = F.col("__n")
+    return ranks.numbered(jobs.select("id", "created_at"), "created_at", "id", "__n").select("id", (n % workers).cast("int").alias("worker"), F.floor(n / workers).cast("long").alias("turn"))

@@ -27,19 +27,31 @@ def valid_segments(asr: DataFrame) -> DataFrame:
     return asr.where(T.is_valid_segment(F.col("text"), F.col("start_ms"), F.col("end_ms"), F.col("no_speech_prob")))
 
 
-#: Range joins meet by medium and stretches of this many milliseconds, so a long medium is many keys.
-STRETCH_MS = 60_000
+#: Milliseconds of a stretch in which words and ranges are put in order.
+STRETCH_MS = 600_000
 
 
 def words_in_valid(words: DataFrame, valid: DataFrame, stretch_ms: int = STRETCH_MS) -> DataFrame:
-    """Words whose start lies in a valid segment, both ends included; media without any keep all words. A null start is 0."""
-    at = lambda c: F.floor(c / stretch_ms)
-    ranges = valid.select(F.col("media_id").alias("m"), F.col("start_ms").alias("rs"), F.col("end_ms").alias("re")).where("rs <= re")
-    ranges = ranges.select("m", "rs", "re", F.explode(F.sequence(at(F.col("rs")), at(F.col("re")))).alias("stretch"))
-    some = valid.select(F.col("media_id").alias("m")).distinct()
-    start = F.coalesce(F.col("start_ms"), F.lit(0))
-    inside = words.join(ranges, (F.col("media_id") == F.col("m")) & (at(start) == F.col("stretch")) & start.between(F.col("rs"), F.col("re")), "left_semi")
-    return inside.unionByName(words.join(some, F.col("media_id") == F.col("m"), "left_anti"))
+    """Words whose start lies in a valid segment, both ends included; media without any keep all words. A null start is 0.
+
+    A word is inside if the furthest end of the ranges that began before it
+    reaches it. So a range is one row however long it is: words and ranges are put
+    in order by stretches of time, and each stretch is told the furthest end before it.
+    """
+    w = words.select("media_id", F.coalesce("start_ms", F.lit(0)).cast("long").alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast("long").alias("__end"), F.struct(*words.columns).alias("__w"))
+    r = valid.select("media_id", F.coalesce("start_ms", F.lit(0)).cast("long").alias("__t"), F.lit(0).alias("__k"), F.when(F.col("start_ms").isNotNull(), F.col("end_ms")).cast("long").alias("__end"))
+    both = w.unionByName(r, allowMissingColumns=True).withColumn("__s", F.floor(F.col("__t") / stretch_ms))
+    dealt = both.repartition("media_id", "__s")
+    # As in timeline: keys that come out as aggregates, so that both readers have one exchange.
+    keys = [F.min(c).alias(f"{c}_") for c in ("media_id", "__s")]
+    ends = dealt.groupBy("media_id", "__s").agg(*keys, F.max("__end").alias("__top"), F.min("__k").alias("__any"), F.count("__w").alias("__words")).drop("media_id", "__s").withColumnsRenamed({"media_id_": "media_id", "__s_": "__s"})
+    medium = Window.partitionBy("media_id")
+    reach = F.max("__top").over(medium.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("media_id", "__s", "__words", reach.alias("__reach"), (F.min("__any").over(medium) == 0).alias("__some")).where("__words > 0").drop("__words")
+    here = F.max("__end").over(Window.partitionBy("media_id", "__s").orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = dealt.withColumn("__here", here).where("__k = 1").join(carried, ["media_id", "__s"], "left")
+    inside = F.coalesce(F.greatest("__here", "__reach") >= F.col("__t"), F.lit(False))
+    return met.where(inside | ~F.coalesce("__some", F.lit(False))).select("__w.*")
 
 
 def sentences_from_words(words: DataFrame) -> DataFrame:

@@ -219,7 +219,9 @@ def timings(spark, d):
 def cost_summary(spark, d):
     steps = _steps(spark, d).withColumn("pos", F.col("step"))
     costs = steps.select("run").distinct().select("run", F.lit(0.25).alias("whisper_usd"), F.lit(0.5).alias("translation_usd"), F.lit(1.0).alias("tts_usd"), F.lit(1.75).alias("total_usd"))
-    return jobs.cost_summary(steps, costs)
+    e, n = X.table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.count(F.lit(1)).alias("n")), F.col("n")
+    used = e.select("run", (n * 30).alias("audio_seconds"), n.alias("llm_calls"), (n * 1234).alias("llm_input_tokens"), (n * 567).alias("llm_output_tokens"), (n * 2).alias("tts_calls"), (n * 89).alias("tts_characters"), pick(F.col("run"), "together", "openai").alias("translation"))
+    return jobs.cost_summary(steps, costs, used)
 
 
 def usage_counters(spark, d):
@@ -349,7 +351,7 @@ def spoken_length(tagged: str, voice: str) -> int:
 
 def spoken(spark, d):
     voices = spark.createDataFrame([("user", "onyx")], "speaker string, voice string")
-    return providers.speak(X.cues(spark, d), spoken_length, "nova", voices, speed=F.when(F.col("id") % 3 == 0, F.lit("0.95")), emotion=F.when(F.col("id") % 2 == 0, F.lit("calm")))
+    return providers.speak(X.cues(spark, d), spoken_length, "nova", voices, speed=F.when(F.col("id") % 3 == 0, F.lit("0.95")), emotion=F.when(F.col("id") % 2 == 0, F.lit("calm"))).drop("error")
 
 
 def heard(path: str) -> list[dict]:

@@ -80,9 +80,11 @@ def oracle_sql() -> dict[str, str]:
         "segments_round_trip": w(CUES, "SELECT media_id, id, start_ms, end_ms, text, speaker FROM cues"),
         "timings": w(STEPS, f"SELECT run, {MILLI.format('sum(elapsed)')} AS total, string_agg(step || '=' || elapsed::BIGINT, ',' ORDER BY step || '=' || elapsed::BIGINT) AS steps, CASE WHEN run % 2 = 0 THEN {MILLI.format('(run * 0.5::DOUBLE)')} END AS cost FROM s GROUP BY run"),
         "cost_summary": w(STEPS, r""", u AS (SELECT *, sum(elapsed) OVER (PARTITION BY run) AS total FROM s), x AS (SELECT *, CAST(floor(CASE WHEN total > 0 THEN elapsed / total * 100 ELSE 0 END * 10 + 0.5) AS BIGINT) AS tenth FROM u),
-            c AS (SELECT run, total, 'x' AS g, rpad(step, 30, ' ') || ' ' || floor(elapsed / 60)::BIGINT || 'm' || lpad((elapsed % 60)::BIGINT || '.0', 4, '0') || 's  (' || lpad((tenth // 10) || '.' || (tenth % 10), 4, ' ') || '%)' AS line, step FROM x)
+            c AS (SELECT run, total, 'x' AS g, rpad(step, 30, ' ') || ' ' || floor(elapsed / 60)::BIGINT || 'm' || lpad((elapsed % 60)::BIGINT || '.0', 4, '0') || 's  (' || lpad((tenth // 10) || '.' || (tenth % 10), 4, ' ') || '%)' AS line, step, n FROM x JOIN (SELECT user_id AS run, count(*) AS n FROM events GROUP BY 1) USING (run))
             SELECT run, string_agg(line, chr(10) ORDER BY step) || chr(10) || rpad('Total wall time', 30, ' ') || ' ' || floor(any_value(total) / 60)::BIGINT || 'm' || lpad((any_value(total) % 60)::BIGINT || '.0', 4, '0') || 's' || chr(10) ||
-              'Transcription         $  0.2500' || chr(10) || 'Translation           $  0.5000' || chr(10) || 'TTS                   $  1.0000' || chr(10) || 'TOTAL API COST        $  1.7500' AS body FROM c GROUP BY run"""),
+              rpad('Transcription', 22, ' ') || ' ' || lpad((any_value(n) * 5 // 10)::BIGINT || '.' || any_value(n) * 5 % 10, 7, ' ') || ' min          $  0.2500' || chr(10) ||
+              rpad('Translation (' || ['together', 'openai'][run % 2 + 1] || ')', 22, ' ') || ' ' || lpad(format('{:,}', any_value(n) * 1234), 7, ' ') || ' in / ' || lpad(format('{:,}', any_value(n) * 567), 7, ' ') || ' out  $  0.5000  (' || any_value(n) || ' calls)' || chr(10) ||
+              rpad('TTS', 22, ' ') || ' ' || lpad(format('{:,}', any_value(n) * 89), 7, ' ') || ' chars        $  1.0000  (' || any_value(n) * 2 || ' calls)' || chr(10) || rpad('TOTAL API COST', 43, ' ') || '$  1.7500' AS body FROM c GROUP BY run"""),
         "usage_counters": """SELECT conv_id AS run, count(*) FILTER (role = 'user') AS llm_calls, CAST(coalesce(sum(length(text)) FILTER (role = 'user'), 0) AS BIGINT) AS llm_input_tokens, CAST(coalesce(sum(CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END) FILTER (role = 'user'), 0) AS BIGINT) AS llm_output_tokens,
             count(*) FILTER (role <> 'user') AS tts_calls, CAST(coalesce(sum(length(text)) FILTER (role <> 'user'), 0) AS BIGINT) AS tts_characters FROM conversations GROUP BY 1""",
         "job_rows": w(ORDERS, """SELECT k::VARCHAR AS id, t AS created_at, t + k % 100 AS finished_at, status, 'l' || (c % 5) AS target_language, NULL::VARCHAR AS source_language, 'nova' AS voice, k AS segments_count, CAST(CASE WHEN k % 2 = 0 THEN 1000 ELSE 0 END AS BIGINT) AS total_milli, k % 100 * 1000 AS duration_ms
@@ -108,7 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "rate_limits": "SELECT event_id, event_id % 5 = 0 OR event_id % 6 IN (1, 2, 3) AS limited FROM events",
         "translated": w(CUES, "SELECT media_id, id, start_ms, end_ms, upper(replace(text, 'ß', 'ss')) AS text, 'SPEAKER_00' AS speaker FROM cues"),
         "speaker_voices": w(CUES, f"SELECT media_id, id, CASE WHEN speaker = 'user' THEN 'onyx' ELSE 'nova' END AS voice, CAST(60 * length(text) + {TAIL} AS BIGINT) AS tts_ms, length(text) AS characters FROM cues"),
-        "spoken": w(CUES, """SELECT media_id, id, CASE WHEN speaker = 'user' THEN 'onyx' ELSE 'nova' END AS voice, printf('seg_%05d.wav', id) AS file, CAST(4 + 10 * (length(text) + CASE WHEN id % 3 = 0 THEN length('<speed ratio="0.95"/> ') ELSE 0 END + CASE WHEN id % 2 = 0 THEN length('<emotion value="calm"/> ') ELSE 0 END) AS BIGINT) AS tts_ms, length(text) AS characters FROM cues"""),
+        "spoken": w(CUES, """SELECT media_id, id, CASE WHEN speaker = 'user' THEN 'onyx' ELSE 'nova' END AS voice, media_id || '/' || printf('seg_%05d.wav', id) AS file, CAST(4 + 10 * (length(text) + CASE WHEN id % 3 = 0 THEN length('<speed ratio="0.95"/> ') ELSE 0 END + CASE WHEN id % 2 = 0 THEN length('<emotion value="calm"/> ') ELSE 0 END) AS BIGINT) AS tts_ms, length(text) AS characters FROM cues"""),
         # Each chunk is heard from 0, 1 and 59.5 s for 1.5 s; a chunk's first lies half over the last of the chunk before, which is no more than half, and its second after it.
         "recognised_chunks": w(CUES, r""", ch AS (SELECT media_id, CAST(unnest(range(CASE WHEN total_ms <= 60000 THEN 1 ELSE (total_ms + 59999) // 60000 END)) AS BIGINT) AS chunk, total_ms <= 60000 AS one FROM media),
             h AS (SELECT media_id, chunk, one, a, chunk * 60000 + a AS start_ms, chunk * 60000 + a + 1500 AS end_ms, printf('chunk_%04d', chunk) || ' ' || a AS text, k FROM ch, (VALUES (0, 0), (1000, 1), (59500, 2)) v(a, k)),
@@ -135,6 +137,6 @@ def oracle_sql() -> dict[str, str]:
           FROM p LEFT JOIN cues c ON c.media_id = p.media_id AND c.end_ms >= ws AND c.start_ms <= we GROUP BY 1, 2),
         h AS (SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8),
         past AS (SELECT conv_id, string_agg('{"role":"' || role || '","content":"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') || '"},', '' ORDER BY turn) AS past, count(*) AS n FROM h WHERE role IN ('user', 'assistant') GROUP BY 1)
-        SELECT media_id, t_ms, md5('[{"role":"system","content":"Answer."},' || coalesce(past, '') || '{"role":"user","content":"At ' || printf('%d.%02d', t_ms // 1000, CAST(round(t_ms % 1000 / 10.0, 0) AS BIGINT)) || ' from ' || printf('%d.%02d', a // 1000, a % 1000 // 10) || ' to ' || printf('%d.%02d', b // 1000, b % 1000 // 10) || ', ' || least(6, (b - a) // 5000 + 1) || ' frames:\n' || replace(CASE WHEN lines = '' THEN '(no subtitle lines found in this window)' ELSE lines END, '"', '\"') || '\nWhat is at ' || t_ms || '?"}]') AS prompt_md5, (coalesce(n, 0) + 2) || ' messages' AS answer
+        SELECT media_id, t_ms, md5('[{"role":"system","content":"Answer."},' || coalesce(past, '') || '{"role":"user","content":[{"type":"text","text":"At ' || printf('%d.%02d', t_ms // 1000, CAST(round(t_ms % 1000 / 10.0, 0) AS BIGINT)) || ' from ' || printf('%d.%02d', a // 1000, a % 1000 // 10) || ' to ' || printf('%d.%02d', b // 1000, b % 1000 // 10) || ', ' || least(6, (b - a) // 5000 + 1) || ' frames:\n' || replace(CASE WHEN lines = '' THEN '(no subtitle lines found in this window)' ELSE lines END, '"', '\"') || '\nWhat is at ' || t_ms || '?"}' || array_to_string(list_transform(list_transform(range(least(6, (b - a) // 5000 + 1)), lambda k: (least(greatest(a + 5000 * k, 0), greatest(0, total_ms - 100)) + 5) // 10), lambda f: ',{"type":"image_url","image_url":{"url":"' || media_id || '@' || printf('%d.%02d', f // 100, f % 100) || '"}}'), '') || ']}]') AS prompt_md5, (coalesce(n, 0) + 2) || ' messages' AS answer
         FROM x LEFT JOIN past ON conv_id = media_id""")
     return out

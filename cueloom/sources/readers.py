@@ -113,9 +113,10 @@ def styles(spark: SparkSession, profiles: dict[str, dict]) -> DataFrame:
 
 
 def style_of(jobs: DataFrame, table: DataFrame) -> DataFrame:
-    """jobs with their style's columns; an unknown style raises an error that lists the known ones."""
-    known = ", ".join(r.name for r in table.select("name").orderBy("name").collect())  # a catalog of a few rows
-    j = jobs.join(F.broadcast(table.withColumnRenamed("name", "__s")), F.col("style") == F.col("__s"), "left")
+    """jobs with their style's columns; an unknown style raises an error that lists the (first hundred) known ones."""
+    first = [r.name for r in table.select("name").orderBy("name").limit(101).collect()]
+    known = ", ".join(first[:100]) + (", ..." if len(first) > 100 else "")
+    j = jobs.join(table.withColumnRenamed("name", "__s"), F.col("style") == F.col("__s"), "left")
     checked: Column = F.when(F.col("__s").isNull(), F.raise_error(F.concat(F.lit("unknown style "), "style", F.lit(f"; known: {known}"))).cast("string")).otherwise(F.col("style"))
     return j.withColumn("style", checked).drop("__s")
 

@@ -176,13 +176,48 @@ def test_speech_after_a_rate_limit(spark, tmp_path):
         return len(tagged)
 
     got = providers.speak(s, call, "nova", spark.createDataFrame([("A", "onyx")], "speaker string, voice string"), workers=2, sleep=lambda seconds: None).orderBy("id").collect()
-    assert [(r.id, r.voice, r.file, r.tts_ms, r.characters) for r in got] == [(i, "onyx" if i % 2 else "nova", f"seg_{i:05d}.wav", len(f"text {i}"), len(f"text {i}")) for i in range(12)]
+    assert [(r.id, r.voice, r.file, r.tts_ms, r.characters) for r in got] == [(i, "onyx" if i % 2 else "nova", f"1/seg_{i:05d}.wav", len(f"text {i}"), len(f"text {i}")) for i in range(12)]
 
     def broken(tagged, voice):
         raise RuntimeError("no such voice")
 
-    with pytest.raises(Exception, match="no such voice"):
-        providers.speak(s, broken, "nova", sleep=lambda seconds: None).collect()
+    rows = providers.speak(s, broken, "nova", sleep=lambda seconds: None)
+    assert {(r.file, r.tts_ms, r.error) for r in providers.unspoken(rows).collect()} == {(None, None, "no such voice")}
+
+    def busy(tagged, voice):
+        Path(tmp_path, "calls").open("a").write("x")
+        raise RuntimeError("429")
+
+    from pathlib import Path
+
+    rows = providers.speak(s.where("id = 0"), busy, "nova", retries=3, sleep=lambda seconds: None).collect()
+    assert [(r.id, r.error) for r in rows] == [(0, "429")] and len(Path(tmp_path, "calls").read_text()) == 4  # no task is repeated for it
+
+
+def test_answers_are_asked_for_once(spark, sf_dir, tmp_path):
+    """However often the answers are read, each track and each chunk is one call."""
+    from pathlib import Path
+
+    from cueloom.plans import service_queries
+
+    def counted(name, call):
+        def run(x):
+            with Path(tmp_path, name).open("a") as f:
+                f.write("x\n")
+            return call(x)
+
+        return run
+
+    info = queries.track_info(spark, sf_dir)
+    found = providers.fetch_source_captions(info, counted("tracks", service_queries.caption_body))
+    both = readers.manual_captions(found).join(found.select("media_id", "kind"), "media_id")
+    assert both.count() == found.count() > 0 and {r.kind for r in both.collect()} <= {"manual", "auto"}
+    assert len(Path(tmp_path, "tracks").read_text().split()) == readers.select_track(info).count()
+
+    chunks = spark.createDataFrame([(m, k, 60_000 * k, f"{m}-{k}") for m in range(3) for k in range(4)], "media_id long, chunk long, offset_ms long, path string").repartition(2)
+    heard = providers.recognise_chunks(chunks, counted("chunks", service_queries.heard), sleep=lambda seconds: None)
+    assert heard.count() > 0 and heard.agg(F.max("end_ms")).first()[0] > 0
+    assert len(Path(tmp_path, "chunks").read_text().split()) == 12
 
 
 def test_answers_and_voice_match(spark):

@@ -29,7 +29,7 @@ def test_no_nested_loops_and_no_needless_python(planned, name):
     assert name in PYTHON or not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize(("name", "most"), [("chunk_words", 1), ("sentences_from_words", 1), ("queue_position", 1), ("word_ends", 1), ("stats_upsert_latest", 1), ("sentence_split", 0), ("redact", 0)])
+@pytest.mark.parametrize(("name", "most"), [("chunk_words", 1), ("sentences_from_words", 1), ("word_ends", 1), ("stats_upsert_latest", 1), ("sentence_split", 0), ("redact", 0)])
 def test_exchanges(planned, name, most):
     assert len(re.findall("Exchange hashpartitioning", planned(name))) <= most
 
@@ -43,9 +43,15 @@ def test_scans_by_stretches_deal_the_rows_once(planned, name, rows, sums):
     assert not any("Window [" in x and "lag(" in x and "stretch" not in x for x in plan.splitlines() if name in ("retime", "gap_detect"))
 
 
+@pytest.mark.parametrize("name", ["dispatch", "queue_position"])
+def test_ranks_have_no_window_over_everything(planned, name):
+    windows = [x for x in planned(name).splitlines() if "Window [" in x]
+    assert windows and not any(re.search(r"\], \[[^\]]*\]$", x) is None or "], []," in x for x in windows)
+
+
 @pytest.mark.parametrize("name", ["valid_word_range", "context_window"])
 def test_range_joins_have_a_stretch_in_their_key(planned, name):
-    assert re.search(r"SortMergeJoin \[media_id#\d+L?, (stretch|FLOOR)", planned(name)) or re.search(r"SortMergeJoin \[[^\]]*stretch", planned(name)) or re.search(r"SortMergeJoin \[media_id[^\]]*, FLOOR", planned(name), re.I)
+    assert re.search(r"SortMergeJoin \[media_id#\d+L?, (__s|level)", planned(name)) or re.search(r"SortMergeJoin \[[^\]]*stretch", planned(name)) or re.search(r"SortMergeJoin \[media_id[^\]]*, FLOOR", planned(name), re.I)
 
 
 def test_alignment_gathers_a_chunk_once(spark, planned):

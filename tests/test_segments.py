@@ -225,3 +225,33 @@ def test_zip_within(spark):
     b = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (3, 0, 7)], "media_id long, id long, y long")
     assert sorted(tuple(r) for r in zip_within(a, b).collect()) == [(1, 0, "a", 5), (1, 1, None, 6)]
     assert zip_within(a.limit(0), b).count() == 0
+
+
+def test_ranges_by_stretches(spark):
+    """Long, nested, empty and reversed ranges; words before, between and at both ends; several lengths of a stretch."""
+    rnd = random.Random(8)
+    words = [(m, i, "w", rnd.choice([None, *range(0, 5000, 7)]), 0) for m in range(4) for i in range(80)]
+    ranges = [(m, i, a, a + rnd.choice([-5, 0, 3, 40, 2000]), "t") for m in range(3) for i in range(6) for a in [rnd.randrange(5000)]] + [(0, 9, None, 4000, "t"), (1, 9, 10, None, "t")]
+    some = {m for m, *_ in ranges}
+    want = sorted((m, i) for m, i, _, t, _ in words if m not in some or any(r[0] == m and None not in r[2:4] and r[2] <= (t or 0) <= r[3] for r in ranges))
+    w = spark.createDataFrame(words, "media_id long, seq long, text string, start_ms long, end_ms long").repartition(3)
+    r = spark.createDataFrame(ranges, "media_id long, id long, start_ms long, end_ms long, text string")
+    for stretch in (10, 700, 1 << 40):
+        got = S.words_in_valid(w, r, stretch)
+        assert sorted((x.media_id, x.seq) for x in got.collect()) == want and got.columns == w.columns
+
+
+def test_a_segment_of_hours_is_two_rows(spark):
+    from cueloom.operators import context
+
+    hour, year = 3_600_000, 365 * 24 * 3_600_000
+    rows = [(1, 0, 0, 5 * hour, "long", "A"), (1, 1, 70_000, 71_000, "short", "A"), (1, 2, 0, 3 * year, "years", "A"), (1, 3, 2 * hour, 2 * hour, "point", "A"), (1, 4, 59_000, 61_000, "edge", "A"), (1, 5, 9_000_000, 8_000_000, "back", "A")]
+    seg = spark.createDataFrame(rows, SEG)
+    probes = spark.createDataFrame([(1, t) for t in (0, 60_000, 2 * hour, 4 * hour, year, 4 * year)], "media_id long, t_ms long")
+    got = {r.t_ms: r.ids for r in context.context_window(probes, seg).collect()}
+    for t in got:
+        ws, we = max(0, t - 30_000), t + 30_000
+        assert got[t] == ",".join(str(i) for _, i, s, e, _, _ in rows if e >= ws and s <= we)
+    sizes = context.F.array(*[context.F.struct(context.F.lit(k).alias("level"), context.F.lit(v).cast("long").alias("size")) for k, v in enumerate(context.LEVELS)])
+    binned = context._binned(probes.withColumns({"ws": context.F.col("t_ms") - 30_000, "we": context.F.col("t_ms") + 30_000}), "ws", "we", sizes)
+    assert binned.groupBy("t_ms").count().agg(context.F.max("count")).first()[0] <= 13
