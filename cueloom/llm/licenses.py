@@ -171,12 +171,16 @@ class Scanner:
         self.names = [name for name, _ in flat]
         self.at = {w: i for i, w in enumerate(sorted({w for _, c in flat for w in c}))}
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in self.at}
-        #: term by template, each template's column of length 1
-        self.matrix = np.zeros((len(self.at), len(flat)))
+        #: Postings: of term i the templates that have it, starts[i] to starts[i + 1], with weights that make each template's length 1.
+        entries = []
         for j, (_, count) in enumerate(flat):
-            for w, k in count.items():
-                self.matrix[self.at[w], j] = k * self.idf[w]
-        self.matrix /= np.maximum(np.sqrt((self.matrix**2).sum(0)), 1e-300)
+            weights = {w: k * self.idf[w] for w, k in count.items()}
+            length = max(math.sqrt(sum(x * x for x in weights.values())), 1e-300)
+            entries += [(self.at[w], j, x / length) for w, x in weights.items()]
+        entries.sort()
+        self.starts = np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(self.at) + 1))
+        self.of = np.array([e[1] for e in entries], np.int64)
+        self.weights = np.array([e[2] for e in entries])
         self.least = threshold**2 / max(1 - threshold**2, 1e-300)
 
     def possible(self, unit: list[str]) -> bool:
@@ -201,7 +205,9 @@ class Scanner:
         outside = unknown * self.unseen**2
         if not inside or inside * (1 + 1e-9) < self.least * outside:
             return 0.0, 0
-        scores = np.round(np.array(known) @ self.matrix[rows] / math.sqrt(inside + outside), 9)
+        parts = [(self.of[self.starts[i] : self.starts[i + 1]], x * self.weights[self.starts[i] : self.starts[i + 1]]) for i, x in zip(rows, known)]
+        scores = np.bincount(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), len(self.names))
+        scores = np.round(scores / math.sqrt(inside + outside), 9)
         j = int(scores.argmax())
         return float(scores[j]), j
 
