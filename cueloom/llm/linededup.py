@@ -1,19 +1,22 @@
 """Line dedup: hash normalised lines, count documents per hash, drop, reassemble.
 
 Each block of documents is reduced to its distinct line hashes with the number
-of its documents and the largest id that holds the line. These rows alone are
-shuffled by hash, so a line in a third of all documents gives one row a block.
-The hashes over the threshold go back to their blocks, which are rewritten.
+of its documents and the largest id that holds the line. Counts and largest ids
+are summed up by hash, which combines before the shuffle, so a line that stands
+everywhere is a row a task. The hashes over the threshold go back to the blocks
+that hold them, the commonest ones by salted keys, and the blocks are rewritten.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, rows_of, written_blocks
-from .common import SPACE_BYTES, own
+from .common import SPACE_BYTES, own, written
 
+#: A hash is common with over 1 / (4 * SALTS) of all (block, hash) rows, so there are fewer than 4 * SALTS common ones; each goes to SALTS tasks.
+SALTS = 32
 MIN_CHARS = 20
 MIN_DOCS = 3
 
@@ -30,6 +33,16 @@ def _long_key(line: bytes, min_chars: int) -> bytes | None:
     return key
 
 
+def _to_blocks(held: DataFrame, verdicts: DataFrame, n: int, salts: int = SALTS) -> DataFrame:
+    """(of, h, top): the verdicts (h, top, blocks) for the n rows held (of, h)."""
+    common = verdicts.where(F.col("blocks") * 4 * salts > n).select(F.col("h").alias("c"))
+    common = F.broadcast(common)  # fewer than 4 * salts hashes
+    salt = lambda yes, no: F.when(F.col("c").isNotNull(), yes).otherwise(no)
+    rows = held.join(common, F.col("h") == F.col("c"), "left").select("of", "h", salt(F.pmod("of", F.lit(salts)), F.lit(0)).cast("int").alias("salt"))
+    copies = verdicts.join(common, F.col("h") == F.col("c"), "left").select("h", "top", F.explode(salt(F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0)))).alias("salt"))
+    return rows.join(copies, ["h", "salt"]).select("of", "h", "top")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the lines dropped from text_col, and n_lines and n_dropped.
 
@@ -38,7 +51,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     that holds it. Hashes have 128 bits.
 
     A null or empty text is one empty line, and a null comes back as empty. Very
-    long texts and lines are read whole. A row is a document: repeated rows with the largest id all keep the line. A
+    long texts and lines are read whole. A row is a document: repeated rows with the largest id (ties) all keep the line. A
     null id is smaller than any other. Other columns pass through, except that
     columns named n_lines or n_dropped are replaced. An empty table gives none.
     """
@@ -77,9 +90,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                         ["of", "h", "n", "top"],
                     )
 
-    held = blocks.mapInArrow(keys, "of long, h binary, n long, top long")
-    every = Window.partitionBy("h")
-    frequent = held.select("of", "h", F.sum("n").over(every).alias("n"), F.max("top").over(every).alias("top")).where(F.col("n") >= min_docs).select("of", "h", "top")
+    held = written(blocks.mapInArrow(keys, "of long, h binary, n long, top long"), "line-hashes")
+    counted = held.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.count(F.lit(1)).alias("blocks"))
+    verdicts = written(counted.where(F.col("n") >= min_docs).select("h", "top", "blocks"), "frequent-lines")
+    frequent = _to_blocks(held.select("of", "h"), verdicts, held.count())
 
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -502,3 +502,33 @@ def test_contract_columns(spark, sf_dir):
         assert r.kept_sha256 == hashlib.sha256(" ".join(words(docs[r.doc_id])).encode()).hexdigest()
     for r in q["op8_simhash"](spark, sf_dir).collect():
         assert re.fullmatch("[0-9a-f]{16}", r.fingerprint) and r.component_id <= r.doc_id
+
+
+def test_common_lines_go_to_many_tasks(spark):
+    """A hash of a third of all rows is salted; each block gets its verdicts all the same."""
+    held = spark.createDataFrame([(b, h) for b in range(300) for h in (b"everywhere", f"own{b}".encode(), f"pair{b // 2}".encode())], "of long, h binary")
+    verdicts = spark.createDataFrame([(b"everywhere", 7, 300), *[(f"pair{b}".encode(), b, 2) for b in range(150)]], "h binary, top long, blocks long")
+    got = linededup._to_blocks(held, verdicts, 900)
+    assert sorted((r.of, bytes(r.h), r.top) for r in got.collect()) == sorted([(b, b"everywhere", 7) for b in range(300)] + [(b, f"pair{b // 2}".encode(), b // 2) for b in range(300)])
+    assert got.where("h = X'65766572797768657265'").select(F.spark_partition_id()).distinct().count() > 1 or "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_license_scores_are_those_of_dense_vectors():
+    """Postings give the cosine of whole vectors, also where templates share few terms."""
+    r = random.Random(6)
+    vocabulary = [f"t{i}" for i in range(60)]
+    templates = {f"l{k}": [" ".join(r.choices(vocabulary[k : k + 30], k=40))] for k in range(20)}
+    df = {w: r.randrange(50) for w in vocabulary}
+    scanner = licenses.Scanner(templates, df, 60, 0.2)
+    for _ in range(50):
+        unit = r.choices([*vocabulary, "x", "y"], k=r.randrange(1, 50))
+        idf = lambda w: scanner.idf.get(w, scanner.unseen)
+        vector = lambda c: {w: k * idf(w) for w, k in c.items()}
+        norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        u = vector(Counter(unit))
+        scores = []
+        for name in scanner.names:
+            t = vector(Counter(licenses.terms(templates[name][0])))
+            scores.append(round(sum(x * t.get(w, 0) for w, x in u.items()) / norm(u) / norm(t), 9))
+        score, j = scanner.best(unit)
+        assert (score, j) == (0.0, 0) and max(scores) < 0.2 or abs(score - max(scores)) < 1e-8 and scores[j] >= max(scores) - 1e-8
