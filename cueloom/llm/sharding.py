@@ -25,7 +25,7 @@ SEED = 20240229
 ROUNDS = 6
 #: Rows of a bucket, and the least and most bits of its number: 2 ** 18 sizes of some 20 bytes are broadcast at most.
 BUCKET_ROWS, MIN_BITS, MAX_BITS = 1 << 16, 8, 18
-#: Steps of a cycle: up to 900 rows none is longer than 62; beyond that each further step has a chance of 2 / sqrt(n).
+#: Steps of a cycle: up to 900 rows none is longer than 62; beyond that each further step has a chance of 2 / sqrt(n). A longer one is an error.
 WALK = 64
 
 
@@ -51,7 +51,9 @@ def root_above(n: Column) -> Column:
 def permuted(x: Column, n: Column, a: Column, seed: int = SEED, rounds: int = ROUNDS) -> Column:
     """The place of number x among 0..n-1, by cycle walking."""
     first = feistel(x, a, seed, rounds)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda y, _: F.when(y < n, y).otherwise(feistel(y, a, seed, rounds)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda y, _: F.when(y < n, y).otherwise(feistel(y, a, seed, rounds)))
+    over = F.raise_error(F.concat(F.lit(f"a cycle of over {WALK} steps; use another seed than {seed}"))).cast("long")
+    return F.transform(F.array(walked), lambda y: F.when(y < n, y).otherwise(over))[0]
 
 
 def bucket_bits(rows: int) -> int:
@@ -85,7 +87,7 @@ def assign(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEE
 
     keys: columns that tell rows apart. Rows that agree on all keys get
     consecutive numbers, in no stated order among themselves. Null keys are
-    keys like any other. Columns named shard or slot are replaced; others pass
+    keys like any other, and very long ones are compared whole. Columns named shard or slot are replaced; others pass
     through. An empty table gives none.
     """
     df = own(df, "shard", "slot")
