@@ -121,11 +121,11 @@ def rules(m: dict[str, Column], text: Column, words: Column) -> dict[str, Column
 
 
 def sampled(df: DataFrame, text_col: str, rows: int) -> DataFrame:
-    """(text), about `rows` rows (twice as many at most) drawn over the whole table, on the driver."""
+    """(text), about `rows` rows (twice as many at most) drawn over the whole table; one partition, on an executor."""
     text = df.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     n = df.count()
     drawn = text.sample(rows / n, SAMPLE_SEED) if n > rows else text
-    return df.sparkSession.createDataFrame(drawn.take(2 * rows), "text string")
+    return drawn.limit(2 * rows)
 
 
 def cost_and_selectivity(sample: DataFrame, checks: dict[str, Column]) -> dict[str, tuple[float, float]]:
@@ -172,7 +172,8 @@ def rejected_by(text: Column, order: list[str]) -> Column:
 def kept(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of df that judge() would keep, with their columns alone.
 
-    Null, empty and blank texts go. Repeated rows agree. An empty table gives none.
+    Null, empty and blank texts go, very long ones are judged whole. Repeated rows
+    agree. No column is added, so none clashes. An empty table gives none.
     """
     text, words = F.col("text"), F.col("words")
     sample = sampled(df, text_col, sample_rows).select("text", words_of(text).alias("words"))
@@ -185,7 +186,8 @@ def judge(df: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS)
 
     base_failed: under MIN_WORDS words, or over MAX_REPEATED percent of them in
     repeated windows. kept: no rule of rules(), these two among them, rejects
-    it; rejected_by names the first one in the measured order.
+    it; rejected_by names the first one in the measured order, which follows times
+    and may differ between runs where several rules reject (kept does not).
 
     Null, empty and blank texts have no words and fail the base. Each row is
     judged by its own whole text, however long, so repeated rows agree. Other
