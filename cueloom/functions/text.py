@@ -1,6 +1,7 @@
 """Column builders for timed text: predicates, normalisation, tags, formats and splits.
 
-All of them are JVM expressions but soft_split, whose cuts depend on earlier cuts.
+All of them are JVM expressions but soft_split, whose cuts depend on earlier cuts,
+and overlap_strip and grown, whose borders take a linear pass.
 Null texts give null unless a docstring says otherwise.
 """
 
@@ -163,20 +164,75 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: Unicode white space, as (?U)\s has it.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def border(before: str, after: str) -> int:
+    """The length of the longest beginning of `after` that ends `before`, in time linear in the shorter one.
+
+    By the prefix function of `after`: how far a beginning is matched is carried
+    along `before`, and on a mismatch falls back to the next shorter border.
+    """
+    n = min(len(before), len(after))
+    if not n:
+        return 0
+    fall, k = [0] * n, 0
+    for i in range(1, n):
+        while k and after[i] != after[k]:
+            k = fall[k - 1]
+        k += after[i] == after[k]
+        fall[i] = k
+    k = 0
+    for c in before[len(before) - n :]:
+        if k == n:
+            k = fall[k - 1]
+        while k and c != after[k]:
+            k = fall[k - 1]
+        k += c == after[k]
+    return k
+
+
+def without_overlap(before: str, fragment: str) -> str:
+    """The fragment without the longest prefix (two characters or more, case aside) that ends the text before it; whole if nothing else is left."""
+    at_end = "\n" if before.endswith("\n") else ""
+    said = (before[: len(before) - len(at_end)].rstrip(".!?。！？ ") or "") + at_end
+    start = fragment.lstrip(WHITE)
+    low = lambda text: "".join(c.lower() if len(c.lower()) == 1 else c for c in text)  # noqa: E731  a letter for a letter
+    n = border(low(said[-len(start) :] if start else ""), low(start))
+    left = start[n:].lstrip(" ,，;；") if n >= 2 else ""
+    return left if left.strip(WHITE) else fragment
+
+
 def overlap_strip(previous: Column, fragment: Column) -> Column:
-    """The fragment without the longest prefix (two characters or more) that ends the previous text."""
-    prev = F.lower(F.regexp_replace(previous, r"[.!?。！？ ]+$", ""))
-    frag = F.regexp_replace(fragment, r"(?U)^\s+", "")
+    """without_overlap() row by row; a null text before overlaps nothing."""
+
+    @F.pandas_udf("string")
+    def strip_all(before, after):
+        import pandas as pd
+
+        return pd.Series([f if p is None or f is None else without_overlap(p, f) for p, f in zip(before, after)], dtype=object)
+
+    return strip_all(previous, fragment)
+
+
+def grown(parts: Column) -> Column:
+    """The text of a merged segment from its rows in order, an array of (t, frag, blank): fragments lose what was said, blank texts add nothing."""
+
+    @F.pandas_udf("string")
+    def join_all(column):
+        import pandas as pd
 
-    def longest(x: Column) -> Column:
-        most = F.least(F.length(x["p"]), F.length(x["f"]))
-        return F.array_max(F.filter(F.sequence(F.lit(0), most), lambda n: (n >= 2) & F.endswith(x["p"], F.lower(F.substring(x["f"], F.lit(1), n)))))
+        def one(rows):
+            text = rows[0]["t"]
+            for r in rows[1:]:
+                if not r["blank"]:
+                    text = f"{text or ''} {without_overlap(text or '', r['t']) if r['frag'] else r['t']}".strip(WHITE)
+            return text
 
-    def rest(x: Column) -> Column:
-        left = bound(longest(x), lambda n: F.regexp_replace(F.substring(x["f"], n + 1, F.length(x["f"])), "^[ ,，;；]+", ""))
-        return bound(left, lambda r: F.when(strip(r) != "", r))
+        return pd.Series([one(rows) for rows in column], dtype=object)
 
-    return F.coalesce(bound(F.struct(prev.alias("p"), frag.alias("f")), rest), fragment)
+    return join_all(parts)
 
 
 def clock(ms: Column, mark: str = ",") -> Column:

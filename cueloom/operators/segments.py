@@ -105,12 +105,7 @@ def merge_continuous(segments: DataFrame, max_gap_ms: int = 1000, max_duration_m
     parts = F.array_sort(F.collect_list(F.struct("id", F.col("text").alias("t"), F.col("__frag").alias("frag"), F.col("__blank").alias("blank"))))
     met = rows.groupBy("media_id", "run").agg(F.min_by("start_ms", "id").alias("start_ms"), F.max_by("end_ms", "id").alias("end_ms"), parts.alias("p"), F.min_by("speaker", "id").alias("speaker"))
 
-    def longer(acc: Column, x: Column) -> Column:
-        added = F.when(x["frag"], T.overlap_strip(acc, x["t"])).otherwise(x["t"])
-        return F.when(x["blank"], acc).otherwise(T.strip(F.concat(F.coalesce(acc, F.lit("")), F.lit(" "), added)))
-
-    whole = F.aggregate(F.slice("p", 2, F.size("p")), F.get("p", F.lit(0))["t"], longer)
-    return renumber(met.select("media_id", F.col("run").alias("id"), "start_ms", "end_ms", whole.alias("text"), "speaker"), "id")
+    return renumber(met.select("media_id", F.col("run").alias("id"), "start_ms", "end_ms", T.grown(F.col("p")).alias("text"), "speaker"), "id")
 
 
 def _overlapping() -> Rule:

@@ -98,3 +98,20 @@ def test_soft_split_keeps_text(spark):
 def test_strip_and_one_line(spark, texts):
     assert values(spark, texts, T.strip) == [t.strip() for t in texts]
     assert values(spark, texts, T.one_line) == [re.sub(r"\s+", " ", t).strip() for t in texts]
+
+
+def test_borders():
+    """Against every length tried; long and periodic texts take linear time."""
+    import random
+    import time
+
+    r = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(r.choices("ab", k=r.randrange(9))) for _ in range(2))
+        assert T.border(a, b) == max(n for n in range(min(len(a), len(b)) + 1) if a.endswith(b[:n]))
+    n = 100_000
+    began = time.perf_counter()
+    assert T.border("a" * n, "a" * n) == n and T.border("a" * n + "b", "a" * n) == 0 and T.border("ab" * n, "ba" * n) == 2 * n - 1
+    text = "".join(r.choices("abcdefgh ", k=n))
+    assert T.without_overlap("Well. " + text + ". ", text.upper() + ", and more") == "and more"
+    assert time.perf_counter() - began < 5
