@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import context, jobs
 from ..operators import segments as S
 from ..operators import timeline as TL
-from ..sources import readers, writers
+from ..sources import readers, sqlite, writers
 from ..sources.stats_store import StatsStore
 from ..storage import drop_at_exit, shared_dir
 from ..streaming import live
@@ -463,13 +463,21 @@ def stats_store_by_language(spark, d):
     return _stats_store(spark, d).by_language(NOW, 1000)
 
 
+def sqlite_jobs(spark, d):
+    """Orders written as SQLite files and read back under conditions that the files answer."""
+    path = f"{shared_dir(spark)}/sqlite-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    sqlite.write_sqlite(orders(spark, d).select(F.col("k").cast("string").alias("id"), "k", "status", F.col("t").alias("created_at")), path, "jobs")
+    return sqlite.read_sqlite(spark, path, "jobs", where=[("status", "=", "done"), ("created_at", ">=", NOW - 2000 * 86400)]).select("id", "k", "created_at")
+
+
 NAMES = (
     "checkpoint_scan progress_scan latest_progress job_meta_scan stored_segments usage_scan usage_append media_probe extract_plan source_captions "
     "prompt_fill corrections_prompt style_lookup native_voices_for voice_lookup voice_defaults voice_match uploaded_inputs subtitle_bodies "
     "checkpoint_round_trip progress_round_trip job_record segments_round_trip timings cost_summary usage_counters job_rows jobs_after_delete job_history orphan_files dispatch readiness mix_cache "
     "concat_plan mux_plan pad_plan voiceover_volumes speed_gates source_language subtitle_choice client_ip rate_limits translated speaker_voices spoken recognised_chunks punctuated gap_sessions "
     "chat_messages joined_sets stats_store_rows stats_store_summary stats_store_by_language "
-    "stage_clients job_keys job_devices voice_catalogs"
+    "stage_clients job_keys job_devices voice_catalogs sqlite_jobs"
 ).split()
 
 

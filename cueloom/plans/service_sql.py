@@ -60,6 +60,7 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT provider, lang, string_agg('  - ' || name || CASE WHEN coalesce(description, '') IN ('', name) THEN '' ELSE ' — ' || description END, chr(10) ORDER BY pos) AS lines FROM v GROUP BY 1, 2),
             b AS (SELECT provider, lang, target, CASE WHEN lang = target THEN '== Voices for target language (' || lang || ') ==' WHEN lang = 'multi' THEN '== All voices (multilingual) ==' ELSE '== ' || lang || ' ==' END || chr(10) || lines || CASE WHEN lang = target THEN chr(10) ELSE '' END AS block FROM l JOIN a USING (provider))
             SELECT provider, target, string_agg(block, chr(10) ORDER BY lang <> target, lang) AS catalog FROM b GROUP BY 1, 2"""),
+        "sqlite_jobs": w(ORDERS, f"SELECT k::VARCHAR AS id, k, t AS created_at FROM o WHERE status = 'done' AND t >= {NOW - 2000 * 86400}"),
         "stats_store_rows": w(STORED, "SELECT id, created_at, status, target_language, audio_seconds FROM st"),
         "stats_store_summary": w(STORED, f"SELECT count(*) AS jobs, CAST(sum(CASE WHEN status = 'done' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed, {SUMS} FROM st WHERE created_at >= {NOW - 1000 * 86400}"),
         "stats_store_by_language": w(STORED, f"SELECT target_language, count(*) AS n, CAST(coalesce(sum(audio_seconds), 0) AS BIGINT) AS audio_seconds FROM st WHERE created_at >= {NOW - 1000 * 86400} AND target_language IS NOT NULL GROUP BY 1"),
