@@ -413,7 +413,7 @@ def _stats_store(spark, d) -> StatsStore:
     j = X.job_stats(spark, d).drop("owner", "provider")
     path = f"{shared_dir(spark)}/stats-{uuid.uuid4().hex}"
     drop_at_exit(spark, path)
-    store = StatsStore(spark, path, j.schema)
+    store = StatsStore(spark, path, j.schema, days=365)
     zero = {m: F.lit(0).cast(j.schema[m].dataType) for m in jobs.MEASURES}
     store.append(j.withColumns({"status": F.lit("queued"), **zero}))
     store.append(j.where("id % 2 = 0"))

@@ -37,11 +37,13 @@ class StatsStore:
     """A table of rows (key, created_at, status, target_language, MEASURES, ...) under a shared path.
 
     by: columns that order a key's rows within one append; of the rest the later
-    append counts, as in an upsert.
+    append counts, as in an upsert. days: how many make one folder `day=`, for
+    tables with few rows a day; readers and writers must agree on it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "id", by: tuple[str, ...] = ("created_at",)):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "id", by: tuple[str, ...] = ("created_at",), days: int = 1):
         self.spark, self.path, self.schema, self.key, self.by = spark, path.rstrip("/"), schema, key, by
+        self.seconds = days * DAY
 
     # -- manifests ---------------------------------------------------------
 
@@ -86,7 +88,7 @@ class StatsStore:
     # -- writing -----------------------------------------------------------
 
     def _day(self) -> Column:
-        return F.coalesce(F.floor(F.col("created_at") / DAY), F.lit(NO_DAY)).cast("int")
+        return F.coalesce(F.floor(F.col("created_at") / self.seconds), F.lit(NO_DAY)).cast("int")
 
     def append(self, rows: DataFrame) -> None:
         """Upserts rows. Keys must not be null; of a key that occurs twice the row with the largest `by` counts, equal ones in any order."""
@@ -190,7 +192,7 @@ class StatsStore:
         m = self.manifest()
         if since is None:
             return self._current(m, None)
-        days = [d for d in self._known_days(m) if d != NO_DAY and d >= since // DAY]
+        days = [d for d in self._known_days(m) if d != NO_DAY and d >= since // self.seconds]
         return self._current(m, days).where(F.col("created_at") >= since)
 
     def partial(self, since: int) -> DataFrame:
@@ -199,7 +201,7 @@ class StatsStore:
         Whole days of parts come from roll-ups, the day of `since` and deltas from rows.
         """
         m = self.manifest()
-        keys, cut = self._latest_keys(m), since // DAY
+        keys, cut = self._latest_keys(m), since // self.seconds
         whole = [d for d in m["days"] if int(d) > cut]
         names = ["status", "target_language", "n", *MEASURES]
         rolled = self.spark.createDataFrame([], self._roll_schema())
