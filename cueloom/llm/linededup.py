@@ -63,15 +63,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         import pyarrow as pa
         from xxhash import xxh3_128_digest as digest
 
-        from .common import working
+        from .common import eased, working
 
         working("linededup")
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 found: dict[bytes, list] = {}
+                size = 0
                 for rows in rows_of(payload.as_py()):
                     for doc, text in zip(rows.column(i_id).to_pylist(), rows.column(i_text).to_pylist()):
                         seen = set()
+                        size += len(text or "")
                         for line in text.encode().split(b"\n") if text else ():
                             if len(line) >= min_chars and (key := _long_key(line, min_chars)) is not None:
                                 seen.add(digest(key))
@@ -83,12 +85,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                                 if doc is not None and (x[1] is None or doc > x[1]):
                                     x[1] = doc
                 items = list(found.items())
+                found.clear()
                 for i in range(0, len(items), 50_000):
                     part = items[i : i + 50_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block] * len(part), pa.int64()), pa.array([h for h, _ in part], pa.binary()), pa.array([x[0] for _, x in part], pa.int64()), pa.array([x[1] for _, x in part], pa.int64())],
                         ["of", "h", "n", "top"],
                     )
+                del items
+                eased(2 * size)
 
     held = written(blocks.mapInArrow(keys, "of long, h binary, n long, top long"), "line-hashes")
     counted = held.groupBy("h").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.count(F.lit(1)).alias("blocks"))
@@ -105,9 +110,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     def rewrite(left, right):
         from xxhash import xxh3_128_digest as digest
 
-        from .common import working
+        from .common import eased, working
 
         working("linededup")
+        eased(2 * BLOCK_BYTES)
         drop = dict(zip(right.column("h").to_pylist(), right.column("top").to_pylist()))
         out = []
         for payload in left.column("payload"):
