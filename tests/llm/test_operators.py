@@ -241,10 +241,33 @@ def test_top_k(spark, sf_dir, monkeypatch):
     assert knn.top_k(rows.limit(0), lambda i: i % 100 == 0).count() == 0
     # Many cells and blocks: the first round's kth score prunes the others.
     monkeypatch.setattr(knn, "CELL", 20)
-    monkeypatch.setattr(knn, "BLOCK", 2)
+    monkeypatch.setattr(knn, "LENGTHS", 1)
     assert sorted(tuple(r) for r in knn.top_k(rows, lambda i: i % 100 == 0).collect()) == sorted(want)
 
 
+def test_regions_are_pruned_before_the_shuffle(spark, monkeypatch):
+    """Clustered vectors: far fewer (query, cell) pairs than all are formed, candidates are copied for few blocks, and no neighbour is lost."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(16, 8)) * 40
+    points = np.concatenate([c + rng.normal(size=(100, 8)) for c in centres] + [np.repeat(centres[:1], 400, 0)])  # a fifth are copies
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(knn, "CELL", 50)
+    formed = []
+    opened = knn.Space.opened
+    monkeypatch.setattr(knn.Space, "opened", lambda self, q, first: formed.append((self, opened(self, q, first))) or formed[-1][1])
+    got = sorted(map(tuple, knn.top_k(rows, lambda i: i % 20 == 0).collect()))
+    whole = np.floor(points * 1024).astype(np.int64)
+    want = []
+    for q in range(0, len(points), 20):
+        scores = whole @ whole[q]
+        best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    space, pairs = formed[1]
+    cells, queries = sum(space.subs.values()), len(range(0, len(points), 20))
+    assert cells >= 20 and len(space.subs) >= 12 and pairs.count() < queries * cells / 2
+
+
 def test_packing_offsets_beyond_a_broadcast(odd):
     tokens = written(packing.encoded(odd.select("doc_id", "text"), VOCABULARY), "pack")
     key = lambda df: Counter((r.id, r.start, r.length, r.sequence_id, r.offset, bytes(r.ids)) for r in df.collect())
