@@ -130,7 +130,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     Null and empty texts give no ids and an empty string. Whole texts are coded,
     however long. Repeated rows give repeated results, an empty table none. Other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names. Merges of equal rank are those of the
+    vocabulary, so there are no ties.
     """
     named = own(docs, *[c for c in docs.columns if c not in (id_col, text_col)]).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(named)

@@ -90,7 +90,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
     Null and empty texts give end_id alone. Very long texts are encoded whole
     and cut over as many sequences as they fill. Repeated rows are documents of
     their own. An empty table gives no rows. Other columns are ignored,
-    whatever their names. A null id is kept as null.
+    whatever their names. A null id is kept as null. Which of equal rows comes first
+    (ties) follows the input's tasks and files.
     """
     tokens = written(encoded(own(docs, *[c for c in docs.columns if c not in (id_col, text_col)]), vocabulary, end_id, id_col, text_col), "pack")
     return cut(tokens, length).withColumnRenamed("id", id_col)

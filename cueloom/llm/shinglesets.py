@@ -211,6 +211,9 @@ def groups(docs: DataFrame, shingle: int, radius: int, lanes: int, cap: int = CA
     Texts whose shingle sets have a similarity of SIMILAR or more link. Null,
     empty and blank texts have the same empty set and are copies. Rows that share
     an id are one document. A row without an id takes no part and has a null component.
+    Texts are read whole, however long. Ties have no part in it: similarity is
+    compared exactly. Other columns are left behind, whatever their names. An
+    empty table gives none.
     """
     docs = own(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
     sets = written(signatures(docs, shingle, lanes), "signatures")
