@@ -139,3 +139,18 @@ def flattened(config: dict, above: str = "") -> list[tuple[str, str | None]]:
         name = f"{above}.{k}" if above else str(k)
         out += flattened(v, name) if isinstance(v, dict) else [(name, None if v is None else str(v))]
     return out
+
+
+def merged_settings(jobs: DataFrame, base: dict, overrides: DataFrame, by: str) -> DataFrame:
+    """(by, key, value): each job's configuration, the flattened base with the job's overrides (by, key, value) before it.
+
+    A null override stays null. An override of a key under which the base has
+    others takes their place, and one below a plain value of the base takes that one's.
+    """
+    own = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).cast("string").alias("value")) for k, v in flattened(base)])
+    rows = jobs.select(by).distinct().select(by, F.explode(own).alias("x")).select(by, "x.*")
+    given = overrides.select(by, "key", "value").dropDuplicates([by, "key"])
+    keys = given.groupBy(by).agg(F.collect_set("key").alias("__keys"))
+    inside = lambda a, b: F.startswith(a, F.concat(b, F.lit(".")))
+    hit = F.exists(F.coalesce("__keys", F.array().cast("array<string>")), lambda k: (k == F.col("key")) | inside(F.col("key"), k) | inside(k, F.col("key")))
+    return rows.join(keys, by, "left").where(~hit).select(by, "key", "value").unionByName(given)

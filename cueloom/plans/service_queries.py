@@ -24,6 +24,7 @@ from . import fixtures as X
 from .queries import NOW, track_info
 
 STYLES = {"standard": {"description": "Plain"}, "kids": {"description": "For children", "translation": {"directives": "Be simple", "temperature": 0.5}, "tts": {"speed": 1.25, "emotion": "excited"}}}
+BASE = {"models": {"translation": {"provider": "together", "model": "m1"}, "tts": {"provider": "elevenlabs", "model": "v3"}, "chat": "m2"}, "tts": {"workers": 8}}
 ENVIRONMENT, BASE_URLS = {"TOGETHER_API_KEY": "k1", "OPENAI_API_KEY": ""}, {"together": "https://host.invalid/v1"}
 TEMPLATE = "Say {name} in {region}; {{kept}} {unknown}"
 
@@ -471,13 +472,38 @@ def sqlite_jobs(spark, d):
     return sqlite.read_sqlite(spark, path, "jobs", where=[("status", "=", "done"), ("created_at", ">=", NOW - 2000 * 86400)]).select("id", "k", "created_at")
 
 
+def job_settings(spark, d):
+    """Each job's configuration: the base, and what the job's order overrides."""
+    o, i = orders(spark, d), F.col("k")
+    given = F.array(
+        F.struct(F.lit("models.translation.model").alias("key"), F.concat(F.lit("m"), i % 3).alias("value")),
+        F.when(i % 2 == 0, F.struct(F.lit("output.fps").alias("key"), F.lit(None).cast("string").alias("value"))),
+        F.when(i % 5 == 0, F.struct(F.lit("models.tts").alias("key"), F.lit("plain").alias("value"))),
+    )
+    overrides = o.select("k", F.explode(F.filter(given, lambda x: x.isNotNull())).alias("x")).select("k", "x.*")
+    return config.merged_settings(o, BASE, overrides, "k")
+
+
+def language_list(spark, d):
+    """The languages of the nations, as a list by code."""
+    n = X.table(spark, d, "nation").select(F.initcap(F.lower("n_name")).alias("name"), catalogs.language_code(F.col("n_name")).alias("code"))
+    return readers.languages_by_code(n)
+
+
+def style_list(spark, d):
+    """A style for each market segment, as they are listed."""
+    c = X.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    table = c.select("name", F.concat(F.lit("For "), F.lower("name")).alias("description"), F.lit("").alias("directives"), F.lit(None).cast("double").alias("temperature"), (F.col("n") % 4 / 4).alias("speed"), F.when(F.col("n") % 2 == 0, "calm").alias("emotion"))
+    return readers.style_list(table).withColumn("tts_speed", F.floor(F.col("tts_speed") * 100).cast("long"))
+
+
 NAMES = (
     "checkpoint_scan progress_scan latest_progress job_meta_scan stored_segments usage_scan usage_append media_probe extract_plan source_captions "
     "prompt_fill corrections_prompt style_lookup native_voices_for voice_lookup voice_defaults voice_match uploaded_inputs subtitle_bodies "
     "checkpoint_round_trip progress_round_trip job_record segments_round_trip timings cost_summary usage_counters job_rows jobs_after_delete job_history orphan_files dispatch readiness mix_cache "
     "concat_plan mux_plan pad_plan voiceover_volumes speed_gates source_language subtitle_choice client_ip rate_limits translated speaker_voices spoken recognised_chunks punctuated gap_sessions "
     "chat_messages joined_sets stats_store_rows stats_store_summary stats_store_by_language "
-    "stage_clients job_keys job_devices voice_catalogs sqlite_jobs"
+    "stage_clients job_keys job_devices voice_catalogs sqlite_jobs job_settings language_list style_list"
 ).split()
 
 

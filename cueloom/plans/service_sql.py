@@ -60,6 +60,11 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT provider, lang, string_agg('  - ' || name || CASE WHEN coalesce(description, '') IN ('', name) THEN '' ELSE ' — ' || description END, chr(10) ORDER BY pos) AS lines FROM v GROUP BY 1, 2),
             b AS (SELECT provider, lang, target, CASE WHEN lang = target THEN '== Voices for target language (' || lang || ') ==' WHEN lang = 'multi' THEN '== All voices (multilingual) ==' ELSE '== ' || lang || ' ==' END || chr(10) || lines || CASE WHEN lang = target THEN chr(10) ELSE '' END AS block FROM l JOIN a USING (provider))
             SELECT provider, target, string_agg(block, chr(10) ORDER BY lang <> target, lang) AS catalog FROM b GROUP BY 1, 2"""),
+        "job_settings": w(ORDERS, """, b(key, value) AS (VALUES ('models.translation.provider', 'together'), ('models.translation.model', 'm1'), ('models.tts.provider', 'elevenlabs'), ('models.tts.model', 'v3'), ('models.chat', 'm2'), ('tts.workers', '8'))
+            SELECT k, key, value FROM o, b WHERE key <> 'models.translation.model' AND NOT (k % 5 = 0 AND starts_with(key, 'models.tts.')) UNION ALL SELECT k, 'models.translation.model', 'm' || k % 3 FROM o
+            UNION ALL SELECT k, 'output.fps', NULL FROM o WHERE k % 2 = 0 UNION ALL SELECT k, 'models.tts', 'plain' FROM o WHERE k % 5 = 0"""),
+        "language_list": f"SELECT array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS name, coalesce(code, left(lower(n_name), 2)) AS code FROM nation LEFT JOIN {values(LANGUAGES.items())} t(lang, code) ON lang = lower(n_name)",
+        "style_list": "SELECT c_mktsegment AS name, 'For ' || lower(c_mktsegment) AS description, CAST(floor(count(*) % 4 / 4.0::DOUBLE * 100) AS BIGINT) AS tts_speed, CASE WHEN count(*) % 2 = 0 THEN 'calm' END AS tts_emotion FROM customer GROUP BY 1",
         "sqlite_jobs": w(ORDERS, f"SELECT k::VARCHAR AS id, k, t AS created_at FROM o WHERE status = 'done' AND t >= {NOW - 2000 * 86400}"),
         "stats_store_rows": w(STORED, "SELECT id, created_at, status, target_language, audio_seconds FROM st"),
         "stats_store_summary": w(STORED, f"SELECT count(*) AS jobs, CAST(sum(CASE WHEN status = 'done' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed, {SUMS} FROM st WHERE created_at >= {NOW - 1000 * 86400}"),
