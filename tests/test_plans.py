@@ -8,7 +8,7 @@ from cueloom.operators import segments
 from cueloom.plans import queries
 
 FOLDS = {"merge_continuous", "overlap_dedup", "rolling_dedup", "split_segments", "auto_caption_words"}  # folds.runs() goes through rows in order
-PYTHON = FOLDS | {"soft_split", "localise", "source_captions", "voice_match", "translated", "spoken", "recognised_chunks", "punctuated", "chat_messages"}
+PYTHON = FOLDS | {"sqlite_jobs", "soft_split", "localise", "source_captions", "voice_match", "translated", "spoken", "recognised_chunks", "punctuated", "chat_messages"}
 
 
 @pytest.fixture(scope="module")
