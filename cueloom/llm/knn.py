@@ -30,8 +30,8 @@ from .common import text_batches, written
 K = 10
 SCALE = 1024
 CELL = 8192
-#: Blocks that the queries of one region are dealt to.
-BLOCKS = 4
+#: Queries of one block.
+BLOCK = 4096
 TREE = 2048
 LEAF = 64
 #: Vectors of the sample that the regions come from, regions at most, numbers in all their boxes at most, and lengths that have regions.
@@ -279,20 +279,32 @@ class Space:
         cell = F.concat("region", F.lit("#"), F.pmod(F.xxhash64("id", "v"), F.col("subs")))
         return placed.join(subs, "region").select(F.col("id").alias("c_id"), F.col("v").alias("c_vec"), cell.alias("cell"))
 
-    def opened(self, queries: DataFrame, first: bool) -> DataFrame:
+    def deal(self, homes: DataFrame) -> dict[str, tuple[int, int]]:
+        """region -> (first block, blocks) of the queries that begin there: neighbours share a block up to BLOCK queries, a full region has several."""
+        found = homes.groupBy(F.substring_index("q_cell", "#", 1).alias("region")).agg(F.count(F.lit(1)).alias("n")).orderBy("region").collect()  # a row a region
+        out, at, held = {}, 0, 0
+        for r in found:
+            if held and held + r.n > BLOCK:
+                at, held = at + 1, 0
+            blocks = -(-r.n // BLOCK)
+            out[r.region] = (at, blocks)
+            at, held = (at + blocks, 0) if blocks > 1 else (at, held + r.n)
+        return out
+
+    def opened(self, queries: DataFrame, first: bool, deal: dict[str, tuple[int, int]] | None = None) -> DataFrame:
         """(q_id, q_vec, floor, q_cell, q_part) of queries (id, v, floor): the cell that each meets first, or all others that may reach its floor.
 
-        q_part: queries that begin in one region meet in the same blocks.
+        q_part: the block of the query, by deal().
         """
         boxes, subs = self.boxes, self.subs
 
         def of(d: int, rows, floors):
-            """For each query its first region, its part, and the regions that it opens."""
+            """For each query its first region and the regions that it opens."""
             import numpy as np
 
             if d not in boxes:
                 name = f"other/{d % 64}"
-                return [(name, d, [name] if name in subs else [])] * len(rows)
+                return [(name, [name] if name in subs else [])] * len(rows)
             names, low, high = boxes[d]
             q = rows.astype("f8")
             up, down = np.maximum(q, 0), np.minimum(q, 0)
@@ -301,7 +313,7 @@ class Space:
             bounds += 1e-12 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T) + 1
             best = bounds.argmax(1)
             least = np.array([-np.inf if f is None else float(f) for f in floors])
-            return [(names[h], int(h), [names[j] for j in np.flatnonzero(bounds[i] >= least[i]).tolist()]) for i, h in enumerate(best.tolist())]
+            return [(names[h], [names[j] for j in np.flatnonzero(bounds[i] >= least[i]).tolist()]) for i, h in enumerate(best.tolist())]
 
         def run(batches):
             import zlib
@@ -311,7 +323,7 @@ class Space:
             for b in batches:
                 ids, floors, out = b.column("id").to_pylist(), b.column("floor").to_pylist(), []
                 for d, (at, matrix) in _matrix(pa.chunked_array([b.column("v")])).items() if b.num_rows else ():
-                    for i, (home, part, regions) in zip(at.tolist(), of(d, matrix, [floors[i] for i in at])):
+                    for i, (home, regions) in zip(at.tolist(), of(d, matrix, [floors[i] for i in at])):
                         mixed = zlib.crc32(str(ids[i]).encode())
                         if home not in subs:
                             continue
@@ -319,14 +331,15 @@ class Space:
                         if first:
                             out.append((i, own, 0))
                         else:
+                            start, blocks = deal[home]
+                            part = start + mixed // subs[home] % blocks
                             out += [(i, c, part) for r in regions for c in (f"{r}#{k}" for k in range(subs[r])) if c != own]
                 for a in range(0, len(out), 4096):
                     rows = out[a : a + 4096]
                     at = pa.array([r[0] for r in rows])
                     yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("v").take(at), b.column("floor").take(at), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64())], ["q_id", "q_vec", "floor", "q_cell", "q_part"])
 
-        out = queries.mapInArrow(run, "q_id long, q_vec array<long>, floor long, q_cell string, q_part long")
-        return out if first else out.withColumn("q_part", F.col("q_part") * BLOCKS + F.pmod(F.xxhash64("q_id"), F.lit(BLOCKS)))
+        return queries.mapInArrow(run, "q_id long, q_vec array<long>, floor long, q_cell string, q_part long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -361,7 +374,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_col:
     if space.many:
         first = written(met, "top-k")
         floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-        again = written(space.opened(asked.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "floor"), first=False), "top-k-queries")
+        again = written(space.opened(asked.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "floor"), False, space.deal(home)), "top-k-queries")
         # A candidate is copied for the blocks of queries that reach its cell, and for no others.
         pairs = again.select(F.col("q_cell").alias("cell"), F.col("q_part").alias("part")).distinct()
         met = first.unionByName(meet(cands.join(pairs, "cell"), again))

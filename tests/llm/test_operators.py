@@ -252,9 +252,10 @@ def test_regions_are_pruned_before_the_shuffle(spark, monkeypatch):
     points = np.concatenate([c + rng.normal(size=(100, 8)) for c in centres] + [np.repeat(centres[:1], 400, 0)])  # a fifth are copies
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>").repartition(4)
     monkeypatch.setattr(knn, "CELL", 50)
+    monkeypatch.setattr(knn, "BLOCK", 8)
     formed = []
     opened = knn.Space.opened
-    monkeypatch.setattr(knn.Space, "opened", lambda self, q, first: formed.append((self, opened(self, q, first))) or formed[-1][1])
+    monkeypatch.setattr(knn.Space, "opened", lambda self, *a, **k: formed.append((self, opened(self, *a, **k))) or formed[-1][1])
     got = sorted(map(tuple, knn.top_k(rows, lambda i: i % 20 == 0).collect()))
     whole = np.floor(points * 1024).astype(np.int64)
     want = []
@@ -266,6 +267,7 @@ def test_regions_are_pruned_before_the_shuffle(spark, monkeypatch):
     space, pairs = formed[1]
     cells, queries = sum(space.subs.values()), len(range(0, len(points), 20))
     assert cells >= 20 and len(space.subs) >= 12 and pairs.count() < queries * cells / 2
+    assert pairs.select("q_part").distinct().count() >= 4 and pairs.groupBy("q_cell", "q_part").count().agg(F.max("count")).first()[0] <= 16
 
 
 def test_packing_offsets_beyond_a_broadcast(odd):
