@@ -146,7 +146,8 @@ def plans(rows: DataFrame, every: DataFrame | None = None) -> DataFrame:
         m = m.unionByName(none)
     # One exchange: the window finds its rows together, since they are dealt by a part of its key.
     nth = F.row_number().over(Window.partitionBy("conv_id", "real", "role", "digest").orderBy("turn"))
-    m = m.repartition("conv_id").withColumn("again", nth > 1).sortWithinPartitions("conv_id", *ORDER)
+    # Of rows that agree in all of the order the one that isn't a duplicate comes first.
+    m = m.repartition("conv_id").withColumn("again", nth > 1).sortWithinPartitions("conv_id", *ORDER, "again")
 
     def run(batches):
         import pyarrow as pa

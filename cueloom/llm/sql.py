@@ -88,7 +88,8 @@ WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce(lis
 h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS b, t FROM conversations, t),
 c AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS how FROM h),
 d AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM c JOIN (VALUES (0), (1)) k(k) ON k = 0 OR how = 3 WHERE how <> 0),
-f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, rtrim(text, {BLANKS}) AS said, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+n AS MATERIALIZED (SELECT *, rtrim(text, {BLANKS}) AS said, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), nth) AS i FROM n),
 g AS MATERIALIZED (SELECT conv_id, i, turn, role, text, left(role, 1) AS r, said = '' AS blank, said <> '' AND nth > 1 AS dup, said <> '' AND nth = 1 AND right(said, 1) NOT IN ('.', '!', '?') AS cut,
       lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
 m AS (SELECT DISTINCT conv_id FROM conversations),
