@@ -134,6 +134,7 @@ def _by_size(rows):
 
 
 def _cell(left, right, k: int, schema):
+    """A cell's k best of each query; a score below all longs is null, since it may be a cell's best without being one of all."""
     import pyarrow as pa
 
     out: list[tuple[int, int, int]] = []
@@ -155,7 +156,7 @@ def _cell(left, right, k: int, schema):
                     bounds = tree.bounds(asked)
                     for n, j in enumerate(js.tolist()):
                         tree.search(q_ids[q_at[j]], asked[n], bounds[n], best[j], k, floors[q_at[j]])
-            out += [(int(q_ids[q]), -x, s) for j, q in enumerate(q_at) for s, x in best[j]]
+            out += [(int(q_ids[q]), -x, s if s >= -(2**63) else None) for j, q in enumerate(q_at) for s, x in best[j]]
     return pa.Table.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], schema=schema)
 
 
@@ -370,14 +371,15 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_col:
 
     # Each query meets one cell first, so the candidates aren't copied; a cell's queries are a share of all of them.
     home = written(space.opened(asked.withColumn("floor", F.lit(None).cast("long")), first=True), "top-k-homes")
-    met = meet(cands.withColumn("part", F.lit(0)), home)
+    met = meet(cands.withColumn("part", F.lit(0).cast("long")), home)  # as q_part: a cogroup deals ints and longs apart
     if space.many:
         first = written(met, "top-k")
-        floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        floors = first.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score")).alias("floor"))
         again = written(space.opened(asked.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "floor"), False, space.deal(home)), "top-k-queries")
         # A candidate is copied for the blocks of queries that reach its cell, and for no others.
         pairs = again.select(F.col("q_cell").alias("cell"), F.col("q_part").alias("part")).distinct()
         met = first.unionByName(meet(cands.join(pairs, "cell"), again))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
     best = met.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    score = F.coalesce("score", F.raise_error(F.lit("Overflow: a score among the best is below all longs")).cast("long"))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), score.alias("score"))

@@ -35,3 +35,13 @@ def test_large_queries_beyond_the_bound_of_a_long(spark):
 def test_a_score_that_does_not_fit_fails(spark):
     with pytest.raises(Exception, match="(?i)overflow|too large|too big|int64"):
         knn.top_k(frame(spark, {100: [2.0**30, 0.0], 101: [2.0**30, 0.0]}), lambda i: i == 100).collect()
+
+
+def test_a_score_below_all_longs_that_is_not_among_the_best(spark):
+    vecs = {100: [2.0**30, 0.0], 101: [-(2.0**30), 0.0]} | {i: [1.0 + i, 2.0] for i in range(10)}
+    whole = {i: [int(x * 1024) for x in v] for i, v in vecs.items()}
+    scores = sorted((-sum(a * b for a, b in zip(whole[100], v)), i) for i, v in whole.items() if i != 100)[:10]
+    got = knn.top_k(frame(spark, vecs), lambda i: i == 100).collect()
+    assert sorted(map(tuple, got)) == [(100, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    with pytest.raises(Exception, match="Overflow"):
+        knn.top_k(frame(spark, {i: v for i, v in vecs.items() if i > 99}), lambda i: i == 100).collect()

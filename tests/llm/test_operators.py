@@ -245,6 +245,23 @@ def test_top_k(spark, sf_dir, monkeypatch):
     assert sorted(tuple(r) for r in knn.top_k(rows, lambda i: i % 100 == 0).collect()) == sorted(want)
 
 
+def test_top_k_with_groups_in_many_partitions(spark, sf_dir, monkeypatch):
+    """Candidates and queries of a cell meet where partitions aren't joined into one, with one cell and with many."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vecs = {r.vec_id: np.floor(np.array(r.embedding, "f8") * 1024).astype(int) for r in rows.collect()}
+    want = []
+    for q in (i for i in vecs if i % 100 == 0):
+        best = sorted((-int(vecs[q] @ v), i) for i, v in vecs.items() if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for cell in (knn.CELL, 20):
+            monkeypatch.setattr(knn, "CELL", cell)
+            assert sorted(map(tuple, knn.top_k(rows, lambda i: i % 100 == 0).collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_regions_are_pruned_before_the_shuffle(spark, monkeypatch):
     """Clustered vectors: far fewer (query, cell) pairs than all are formed, candidates are copied for few blocks, and no neighbour is lost."""
     rng = np.random.default_rng(7)
